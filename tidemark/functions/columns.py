@@ -141,11 +141,12 @@ def option_symbol(symbol: ColumnLike) -> dict[str, Column]:
     """Parts of ``BTC-5FEB24-50000-C``; null where the symbol has not four parts."""
     parts = F.split(col(symbol), "-")
     ok = F.size(parts) == 4
-    side = parts[3]
+    part = [F.get(parts, F.lit(i)) for i in range(4)]
+    side = part[3]
     return {
-        "underlying": F.when(ok, parts[0]),
-        "expiry_str": F.when(ok, parts[1]),
-        "strike_price": F.when(ok, parts[2].try_cast("double")),
+        "underlying": F.when(ok, part[0]),
+        "expiry_str": F.when(ok, part[1]),
+        "strike_price": F.when(ok, part[2].try_cast("double")),
         "type": F.when(ok & (side == "C"), "call").when(ok & (side == "P"), "put"),
     }
 

@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from tidemark.functions.columns import ColumnLike, clip, col
 
@@ -178,7 +178,7 @@ def _solve(price, s, k, rate, years, is_call) -> np.ndarray:
     return np.where(possible, 0.5 * (lo + hi), np.nan)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def implied_vol(
     price: pd.Series, spot: pd.Series, strike: pd.Series, rate: pd.Series, years: pd.Series, is_call: pd.Series
 ) -> pd.Series:

@@ -146,14 +146,14 @@ def interpolate(df: DataFrame, keys: Sequence[str], ts: str, value: str, name: s
 HOUR, WEEK, MONTH = 3600, 7 * 86400, 30 * 86400
 
 
-def impute_by_gap(df: DataFrame, keys: Sequence[str], ts: str, value: str,
+def impute_by_gap(df: DataFrame, keys: Sequence[str], ts: str, value: str, order: Sequence[str] | None = None,
                   rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Fill missing values by the length of the gap they lie in.
 
     Under an hour linear, under a week forward, under thirty days backward, longer gaps stay null and are marked.
     """
     point = F.when(F.col(value).isNotNull(), F.struct(F.col(ts).alias("t"), F.col(value).alias("v")))
-    near = Series(df, keys, [ts], rows_per_task).running(_p=Running("last", point), _n=Running("next", point))
+    near = Series(df, keys, order or [ts], rows_per_task).running(_p=Running("last", point), _n=Running("next", point))
     p, n = F.col("_p"), F.col("_n")
     gap = n["t"] - p["t"]
     line = p["v"] + (n["v"] - p["v"]) * F.try_divide(F.col(ts) - p["t"], gap)
@@ -173,6 +173,15 @@ def impute_by_gap(df: DataFrame, keys: Sequence[str], ts: str, value: str,
     )
 
 
+def impute_in_period(df: DataFrame, keys: Sequence[str], order: Sequence[str], inside: Column, forward: Sequence[str],
+                     zero: Sequence[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Only where ``inside`` holds: carry some columns forward, set others to zero."""
+    filled = fill(df, keys, order, {f"_f_{c}": c for c in forward}, rows_per_task=rows_per_task)
+    changed = {c: F.when(inside, F.coalesce(F.col(c), F.col(f"_f_{c}"))).otherwise(F.col(c)) for c in forward}
+    changed |= {c: F.when(inside, F.coalesce(F.col(c), F.lit(0))).otherwise(F.col(c)) for c in zero}
+    return filled.withColumns(changed).select(*df.columns)
+
+
 def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, sec: str,
             rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Runs of an unchanged value: start, end and length of each."""

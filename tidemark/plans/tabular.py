@@ -148,11 +148,12 @@ def parquet_sink(spark, sf):
 
 @query(
     "a07_hour_partitioned_sink",
-    "SELECT event_type AS market, strftime(ts, '%Y-%m-%d') AS date, strftime(ts, '%H') AS hour, count(*) AS n FROM events GROUP BY ALL",
+    "SELECT concat('m', day(ts) % 2) AS market, strftime(ts, '%Y-%m-%d') AS date, strftime(ts, '%H') AS hour, count(*) AS n FROM events GROUP BY ALL",
 )
 def hour_sink(spark, sf):
     path = scratch(spark, "hours")
-    events = files.with_hour_parts(table(spark, sf, "events"), F.col("ts")).withColumn("market", F.col("event_type"))
+    events = files.with_hour_parts(table(spark, sf, "events"), F.col("ts"))
+    events = events.withColumn("market", F.concat(F.lit("m"), F.dayofmonth("ts") % 2))
     files.write_parquet(events, path, ["market", "date", "hour"])
     back = spark.read.schema("event_id long, market string, date string, hour string").parquet(path)
     return back.groupBy("market", "date", "hour").agg(F.count(F.lit(1)).alias("n"))
@@ -379,10 +380,10 @@ def compound(spark, sf):
     )
 
 
-@query("b05_range_predicate", with_(OPTIONS) + "SELECT l_orderkey, l_linenumber, round(spot / strike, 6) AS m FROM options WHERE spot / strike BETWEEN 0.97 AND 1.03")
+@query("b05_range_predicate", with_(OPTIONS) + "SELECT l_orderkey, l_linenumber, spot / strike AS m FROM options WHERE spot / strike BETWEEN 0.97 AND 1.03")
 def between(spark, sf):
     m = C.ratio("spot", "strike")
-    return options(spark, sf).where(m.between(0.97, 1.03)).select("l_orderkey", "l_linenumber", r(m).alias("m"))
+    return options(spark, sf).where(m.between(0.97, 1.03)).select("l_orderkey", "l_linenumber", m.alias("m"))
 
 
 @query("b06_membership", "SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderstatus NOT IN ('F')")
@@ -459,9 +460,9 @@ def keywords(spark, sf):
     )
 
 
-@query("b13_best_mid", with_(QUOTES) + "SELECT l_orderkey, l_linenumber, l_partkey, round(coalesce((bid + ask) / 2, bid, ask), 9) AS mid FROM quotes")
+@query("b13_best_mid", with_(QUOTES) + "SELECT l_orderkey, l_linenumber, l_partkey, coalesce((bid + ask) / 2, bid, ask) AS mid FROM quotes")
 def best_mid(spark, sf):
-    return quotes(spark, sf).select("l_orderkey", "l_linenumber", "l_partkey", r(C.mid_price("bid", "ask"), 9).alias("mid"))
+    return quotes(spark, sf).select("l_orderkey", "l_linenumber", "l_partkey", C.mid_price("bid", "ask").alias("mid"))
 
 
 @query(

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidemark.functions.columns import ColumnLike, clip, col
 
@@ -75,26 +76,37 @@ def norm_cdf_array(x: np.ndarray) -> np.ndarray:
 # -- binary (cash-or-nothing) options ---------------------------------------------------------------
 
 
-def binary_columns(spot, strike, rate, sigma, seconds) -> dict[str, Column]:
-    """d2, probability, discount and price of a contract that pays 1 if spot ends above strike."""
+def binary_d2(spot, strike, rate, sigma, seconds) -> Column:
+    """d2 of a contract that pays 1 if spot ends above strike; +-1e10 where no time value is left."""
     spot, strike, rate, sigma = col(spot), col(strike), col(rate), col(sigma)
     years = col(seconds) / SECONDS_PER_YEAR
     spread = sigma * F.sqrt(years)
     drift = (rate - 0.5 * sigma * sigma) * years
-    d2 = (
+    return (
         F.when(spread > 1e-10, F.try_divide(F.ln(spot / strike) + drift, spread))
-        .when(spot > strike, F.lit(1e10))
-        .when(spot.isNotNull() & strike.isNotNull() & sigma.isNotNull(), F.lit(-1e10))
+        .when(spread.isNotNull() & (spot > strike), F.lit(1e10))
+        .when(spread.isNotNull() & (spot <= strike), F.lit(-1e10))
     )
-    d2 = F.when(sigma.isNotNull(), d2)
-    probability = norm_cdf(d2)
-    discount = F.exp(-rate * years)
-    return {"d2": d2, "prob": F.when(d2.isNotNull(), probability), "discount": discount,
-            "price": F.when(d2.isNotNull(), discount * probability)}
 
 
-def binary_price(spot, strike, rate, sigma, seconds) -> Column:
-    return binary_columns(spot, strike, rate, sigma, seconds)["price"]
+def discount(rate, seconds) -> Column:
+    return F.exp(-col(rate) * (col(seconds) / SECONDS_PER_YEAR))
+
+
+def with_binary_prices(df: DataFrame, spot, strike, rate, seconds, volatilities: Mapping[str, ColumnLike],
+                       keep: bool = False) -> DataFrame:
+    """Add one price per volatility: {price column: volatility}.
+
+    d2 gets its own projection: the distribution function mentions its argument many times, and inlining d2
+    there would push the generated code over the JVM's method limit.  ``keep`` leaves ``d2_`` and ``prob_`` columns.
+    """
+    d2 = {f"d2_{name}": binary_d2(spot, strike, rate, sigma, seconds) for name, sigma in volatilities.items()}
+    probabilities = {
+        f"prob_{name}": F.when(F.col(f"d2_{name}").isNotNull(), norm_cdf(f"d2_{name}")) for name in volatilities
+    }
+    prices = {name: discount(rate, seconds) * F.col(f"prob_{name}") for name in volatilities}
+    out = df.withColumns(d2).withColumns(probabilities).withColumns(prices)
+    return out if keep else out.drop(*d2, *probabilities)
 
 
 def binary_greeks(s="S", k="K", sigma="sigma_mid", years="T_years", r="r", prob="prob_mid") -> list[dict[str, Column]]:

@@ -145,11 +145,9 @@ def pricing_grid(
         C.epoch_day("sec").alias("day"),
     )
     out = joins.lookup(out, rates, ["day"])
-    mid = (F.col("iv_bid") + F.col("iv_ask")) / 2
-    return out.withColumn("sigma_mid", mid).withColumns(
-        {f"prob_{n}": pricing.binary_price("S", "K", "r", c, "seconds_left")
-         for n, c in (("bid", "iv_bid"), ("ask", "iv_ask"), ("mid", "sigma_mid"))}
-    )
+    out = out.withColumn("sigma_mid", (F.col("iv_bid") + F.col("iv_ask")) / 2)
+    sources = {"prob_bid": "iv_bid", "prob_ask": "iv_ask", "prob_mid": "sigma_mid"}
+    return pricing.with_binary_prices(out, "S", "K", "r", "seconds_left", sources)
 
 
 def term_interpolation(iv: DataFrame, key: str, seconds: str, vol: str, target: float) -> DataFrame:

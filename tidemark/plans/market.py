@@ -289,8 +289,8 @@ def binary_inputs(spark, sf):
 
 @query("i16_binary_price", with_(TICKS, BIN) + f"SELECT id, round(d2, 5) AS d2, round({cdf_sql('d2')}, 9) AS prob, round(exp(-rate * t), 9) AS discount, round(exp(-rate * t) * {cdf_sql('d2')}, 9) AS price FROM d")
 def binary(spark, sf):
-    cols = pricing.binary_columns("S", "K", "r", "sigma", "left")
-    return binary_inputs(spark, sf).select("id", r(cols["d2"], 5).alias("d2"), *[r(cols[n], 9).alias(n) for n in ("prob", "discount", "price")])
+    out = pricing.with_binary_prices(binary_inputs(spark, sf), "S", "K", "r", "left", {"price": "sigma"}, keep=True)
+    return out.select("id", r("d2_price", 5).alias("d2"), r("prob_price", 9).alias("prob"), r(pricing.discount("r", "left"), 9).alias("discount"), r("price", 9).alias("price"))
 
 
 SPOT = """spot AS (SELECT sec, last_value(p IGNORE NULLS) OVER (ORDER BY sec ROWS UNBOUNDED PRECEDING) AS s FROM
@@ -377,13 +377,13 @@ def greek_transforms(spark, sf):
 @query(
     "i20_moneyness_features",
     with_(TICKS) + """, m AS (SELECT id, sec, user_id, price / 50.0e0 AS m FROM ticks)
-    SELECT id, round(ln(m), 9) AS log_moneyness, round((m - 1) * (m - 1), 8) AS moneyness_squared, round((m - 1) * (m - 1) * (m - 1), 8) AS moneyness_cubed, round((m - avg(m) OVER (PARTITION BY sec // 604800)) / (stddev_samp(m) OVER (PARTITION BY sec // 604800) + 1e-10), 6) AS standardized_moneyness,
+    SELECT id, round(ln(m), 9) AS log_moneyness, round((m - 1) * (m - 1), 8) AS moneyness_squared, round((m - 1) * (m - 1) * (m - 1), 10) AS moneyness_cubed, round((m - avg(m) OVER (PARTITION BY sec // 604800)) / (stddev_samp(m) OVER (PARTITION BY sec // 604800) + 1e-10), 6) AS standardized_moneyness,
     round((m - 1) * (user_id * 6), 6) AS moneyness_x_time, round(abs(m - 1), 9) AS moneyness_distance, round(dense_rank() OVER (PARTITION BY sec // 86400 ORDER BY m) / count(*) OVER (PARTITION BY sec // 86400), 9) AS moneyness_percentile FROM m""",
 )
 def moneyness(spark, sf):
     t = ticks(spark, sf).select("id", "sec", "price", F.lit(50.0).alias("K"), (F.col("user_id") * 6).alias("left"))
     out = feat.moneyness_features(t, "price", "K", "sec", "left")
-    digits = {"log_moneyness": 9, "moneyness_squared": 8, "moneyness_cubed": 8, "moneyness_distance": 9, "moneyness_percentile": 9}
+    digits = {"log_moneyness": 9, "moneyness_squared": 8, "moneyness_cubed": 10, "moneyness_distance": 9, "moneyness_percentile": 9}
     names = [*digits, "standardized_moneyness", "moneyness_x_time"]
     return out.select("id", *[r(n, digits.get(n, 6)).alias(n) for n in names])
 
@@ -712,13 +712,13 @@ def wallet_mapping(spark, sf):
 @query(
     "i45_day_spine",
     """WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day, avg(o_totalprice) AS rate FROM orders WHERE o_orderkey % 2 = 1 GROUP BY 1), s AS (SELECT CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM d)
-    SELECT strftime(s.day, '%Y-%m-%d') AS day, round(last_value(rate IGNORE NULLS) OVER (ORDER BY s.day ROWS UNBOUNDED PRECEDING), 4) AS rate, rate IS NULL AS missing FROM s LEFT JOIN d USING (day)""",
+    SELECT strftime(s.day, '%Y-%m-%d') AS day, round(last_value(rate IGNORE NULLS) OVER (ORDER BY s.day ROWS UNBOUNDED PRECEDING), 8) AS rate, rate IS NULL AS missing FROM s LEFT JOIN d USING (day)""",
 )
 def spine(spark, sf):
     daily = table(spark, sf, "orders").where("o_orderkey % 2 = 1").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.avg("o_totalprice").alias("rate"))
     full = day_spine(daily, "day").join(daily, "day", "left")
     out = grid.fill(full, [], ["day"], {"carried": "rate"})
-    return out.select(F.col("day").cast("string").alias("day"), r("carried", 4).alias("rate"), F.col("rate").isNull().alias("missing"))
+    return out.select(F.col("day").cast("string").alias("day"), r("carried", 8).alias("rate"), F.col("rate").isNull().alias("missing"))
 
 
 @query(
@@ -753,6 +753,7 @@ def iv_sources(spark, sf):
     ends = ticks(spark, sf).groupBy((F.floor(F.col("sec") / 900) * 900).alias("open_time")).agg(
         F.min_by("price", by).alias("K"), F.max_by("price", by).alias("S_close"), F.avg("price").alias("S")
     )
-    scored = sources.where("sigma is not null").join(ends, "open_time").withColumn("p", pricing.binary_price("S", "K", F.lit(0.0), "sigma", F.lit(450)))
+    scored = sources.where("sigma is not null").join(ends, "open_time")
+    scored = pricing.with_binary_prices(scored, "S", "K", F.lit(0.0), F.lit(450), {"p": "sigma"})
     err = F.col("p") - (F.col("S_close") > F.col("K")).cast("int")
     return scored.groupBy("source").agg(F.count(F.lit(1)).alias("n"), r(F.avg(err * err), 8).alias("brier"))

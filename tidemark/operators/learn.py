@@ -55,8 +55,9 @@ def walk_forward_windows(span: DataFrame, train_months: int, val_months: int, st
     ordinal = F.explode(F.sequence(F.lit(0), F.greatest(F.months_between("hi", "lo").cast("int"), F.lit(0)), F.lit(step_months)))
     base = span.select("lo", holdout.alias("holdout_start"), ordinal.alias("_m"))
     train_end = F.date_sub(F.add_months("lo", F.lit(train_months)), 1)
-    # Months are added to the first training end, one step at a time.
-    windows = base.withColumn("train_end", F.add_months(train_end, F.col("_m")))
+    # One step at a time from the window before: a month end once clamped stays clamped.
+    steps = F.when(F.col("_m") > 0, F.sequence(F.lit(step_months), F.col("_m"), F.lit(step_months))).otherwise(F.array().cast("array<int>"))
+    windows = base.withColumn("train_end", F.aggregate(steps, train_end, lambda day, _: F.add_months(day, F.lit(step_months))))
     windows = windows.withColumn("val_start", F.date_add("train_end", embargo_days + 1))
     windows = windows.withColumn("val_end", F.date_sub(F.add_months("val_start", F.lit(val_months)), 1))
     return windows.where(F.col("val_end") < F.col("holdout_start")).select(

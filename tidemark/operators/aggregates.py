@@ -50,10 +50,15 @@ def quantiles(
     )
 
 
+def one_row(df: DataFrame) -> Column:
+    """A one-row table as a struct value: a scalar subquery, evaluated once, no join."""
+    return df.select(F.struct(*df.columns)).scalar()
+
+
 def attach(df: DataFrame, per_group: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Give every row the values of its group; without keys the one-row side is broadcast."""
+    """Give every row the values of its group; without keys the one row becomes constants."""
     if not keys:
-        return df.join(F.broadcast(per_group), how="left")
+        return df.withColumn("_one", one_row(per_group)).select(*df.columns, "_one.*")
     from tidemark.operators.joins import lookup
 
     return lookup(df, per_group, keys)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions import columns as C
 from tidemark.functions.pricing import norm_cdf
-from tidemark.operators.aggregates import quantiles, spearman
+from tidemark.operators.aggregates import attach, quantiles, spearman
 from tidemark.operators.series import ROWS_PER_TASK, Running, Series
 
 LOG_CLIP = 1e-15
@@ -140,7 +140,7 @@ def deciles(df: DataFrame, p: str, y: str, ids: Sequence[str], bins: int = 10, r
 def information(df: DataFrame, x: str, y: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Spearman and Pearson correlation with the two-sided p-value of the rank correlation (normal limit)."""
     pearson = df.agg(F.corr(x, y).alias("pearson_ic"))
-    both = spearman(df, x, y, rows_per_task).withColumnRenamed("spearman", "spearman_ic").join(F.broadcast(pearson))
+    both = attach(spearman(df, x, y, rows_per_task).withColumnRenamed("spearman", "spearman_ic"), pearson, [])
     rho = F.col("spearman_ic")
     t = rho * F.sqrt((F.col("n") - 2) / (1 - rho * rho))
     return both.withColumn("_t", F.abs(t)).withColumn("ic_pvalue", 2 * (1 - norm_cdf("_t"))).drop("_t")
@@ -197,7 +197,7 @@ def bootstrap(df: DataFrame, keys: Sequence[str], ids: Sequence[str], measures:
         *[F.percentile(n, F.array(F.lit(tail), F.lit(1 - tail))).alias(n) for n in measures]  # `replicates` rows per group
     )
     means = df.groupBy(*keys).agg(*[F.avg(c).alias(f"{n}_mean") for n, c in measures.items()])
-    out = means.join(spans, list(keys)) if keys else means.join(F.broadcast(spans))
+    out = means.join(spans, list(keys)) if keys else attach(means, spans, [])
     return out.select(
         *keys, *[c for n in measures for c in (F.col(f"{n}_mean"), F.col(n)[0].alias(f"{n}_lower"), F.col(n)[1].alias(f"{n}_upper"))]
     )
@@ -224,7 +224,7 @@ def residual_quantiles(df: DataFrame, value: str, normal: Mapping[str, tuple[flo
         F.struct(F.lit(float(p)).alias("prob"), F.col(n).alias("observed"), (F.col("_mu") + z * F.col("_sd")).alias("normal"))
         for n, (p, z) in normal.items()
     ])
-    return q.join(F.broadcast(m)).select(F.inline(rows))
+    return attach(q, m, []).select(F.inline(rows))
 
 
 def signal_pnl(df: DataFrame, p: str, price: str, y: str, high: float, low: float) -> DataFrame:

@@ -68,12 +68,6 @@ def lifecycle_grid(df: DataFrame, keys: Sequence[str], sec: str, step: int = 1)
     return spread_sequence(spans, F.col("_lo").cast("long"), F.col("_hi").cast("long"), step, sec).drop("_lo", "_hi")
 
 
-def grid_rows(df: DataFrame, keys: Sequence[str], sec: str, step: int = 1) -> int:
-    """Size of the life-cycle grid, from one small aggregate."""
-    spans = df.groupBy(*keys).agg(((F.max(sec) - F.min(sec)) / step + 1).alias("_n"))
-    return int(spans.agg(F.sum("_n")).first()[0] or 0)
-
-
 def fill_grid(
     rows: DataFrame,
     keys: Sequence[str],
@@ -82,31 +76,43 @@ def fill_grid(
     step: int = 1,
     max_gap: int | None = None,
     zero: Sequence[str] = (),
-    grid: DataFrame | None = None,
-    grid_size: int | None = None,
+    start: int | None = None,
+    end: int | None = None,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Gap-free table with the last known values.
 
-    ``rows`` has one row per key and step.  Values older than ``max_gap`` seconds are dropped; ``zero`` columns become 0
-    where there was no row.  Adds ``is_forward_filled`` and ``seconds_since_last_update``.
+    ``rows`` has one row per key and step.  The grid runs from the first to the last row of each key, or over
+    [start, end) if given.  Values older than ``max_gap`` seconds are dropped; ``zero`` columns become 0 where there
+    was no row.  Adds ``is_forward_filled`` and ``seconds_since_last_update``.
+
+    Only the rows that exist are shuffled and sorted: each learns its known values and the time of the next row, and
+    then writes out the steps until then.
     """
     keys = list(keys)
-    if grid is None:
-        grid_size = grid_rows(rows, keys, sec, step)
-        grid = lifecycle_grid(rows, keys, sec, step)
-    joined = grid.join(rows.withColumn("_seen", F.lit(True)), keys + [sec], "left")
-    series = Series(joined, keys, [sec], rows_per_task, rows=grid_size)
+    seen = rows.withColumn("_seen", F.lit(True))
+    if start is not None:
+        first = rows.select(*keys).distinct() if keys else rows.sparkSession.range(1).select()
+        opening = first.select(*keys, F.lit(start).cast("long").alias(sec), F.lit(False).alias("_seen"))
+        seen = seen.where((F.col(sec) >= start) & (F.col(sec) < end)).unionByName(opening, allowMissingColumns=True)
     exprs = {f"_f_{c}": Running("last", F.col(c)) for c in columns}
+    exprs["_next"] = Running("after", F.col(sec))
     exprs["_at"] = Running("last", F.when(F.col("_seen"), F.col(sec)))
-    age = F.col(sec) - F.col("_at")
+    known = Series(seen, keys, [sec, "_seen"], rows_per_task).running(**exprs)
+    stop = F.coalesce(F.col("_next"), F.col(sec) + step if end is None else F.lit(end))
+    cells = known.withColumn("_stop", stop).where(F.col("_stop") > F.col(sec))
+    days = cells.withColumn("_from", F.explode(F.sequence(F.col(sec), F.col("_stop") - step, F.lit(CHUNK * step))))
+    upto = F.least(F.col("_stop"), F.col("_from") + CHUNK * step) - step
+    cells = days.withColumn("_cell", F.explode(F.sequence(F.col("_from"), upto, F.lit(step))))
+    own = F.col("_seen") & (F.col("_cell") == F.col(sec))
+    age = F.col("_cell") - F.col("_at")
     keep = F.lit(True) if max_gap is None else age <= max_gap
-    filled = series.running(**exprs)
-    return filled.select(
-        *keys, sec,
+    return cells.select(
+        *keys,
+        F.col("_cell").alias(sec),
         *[F.when(keep, F.col(f"_f_{c}")).alias(c) for c in columns],
-        *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in zero],
-        F.col("_seen").isNull().alias("is_forward_filled"),
+        *[F.when(own, F.coalesce(F.col(c), F.lit(0))).otherwise(F.lit(0)).alias(c) for c in zero],
+        (~own).alias("is_forward_filled"),
         age.alias("seconds_since_last_update"),
     )
 

@@ -98,16 +98,22 @@ def asof(
 
 
 def closest_eligible(
-    left: DataFrame, right: DataFrame, on: Sequence[str], eligible: Column, keys: Sequence[str], nearest: Column,
+    left: DataFrame, right: DataFrame, on: Sequence[str], nearest: str, tie: str, eligible: Column, keys: Sequence[str],
     take: Sequence[str],
 ) -> DataFrame:
-    """Of the right rows with the same key that satisfy ``eligible``, the one smallest by ``nearest``.
+    """Of the right rows with the same key that satisfy ``eligible``, the one with the smallest ``nearest``.
 
-    Aggregates with min_by, whose partial step runs before the shuffle; only ``keys`` and ``take`` remain.
+    ``eligible`` may use left columns and ``nearest``.  The right side is first cut to one row per key and ``nearest`` value,
+    so a key with many rows meets the join with few; min_by then aggregates before its shuffle.
     """
-    joined = left.join(right, list(on), "inner").where(eligible)
-    best = joined.groupBy(*keys).agg(F.min_by(F.struct(*take), nearest).alias("_best"))
-    return best.select(*keys, *[F.col(f"_best.{c}").alias(c) for c in take])
+    on = list(on)
+    one = F.min_by(F.struct(*[c for c in take if c != nearest], tie), tie).alias("_row")
+    few = right.groupBy(*on, nearest).agg(one)
+    joined = left.join(few, on, "inner").where(eligible)
+    best = joined.groupBy(*keys).agg(F.min_by(F.struct(nearest, "_row"), nearest).alias("_best"))
+    return best.select(
+        *keys, *[F.col("_best." + (c if c == nearest else f"_row.{c}")).alias(c) for c in take]
+    )
 
 
 def interval_lookup(df: DataFrame, ts: str, periods: DataFrame, start: str, end: str, length: int) -> DataFrame:
@@ -119,6 +125,7 @@ def interval_lookup(df: DataFrame, ts: str, periods: DataFrame, start: str, end:
     slots = periods.withColumn("_slot", F.explode(F.sequence(first, last)))
     inside = (F.col(ts) >= F.col(start)) & (F.col(ts) < F.col(end))
     left = df.withColumn("_slot", F.floor(F.col(ts) / length))
+    slots = F.broadcast(slots) if is_small(slots) else slots
     return left.join(slots, (left["_slot"] == slots["_slot"]) & inside, "left").drop("_slot")
 
 

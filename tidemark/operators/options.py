@@ -119,8 +119,8 @@ def pricing_grid(
     at = iv.select("sec").distinct()
     quoted = joins.interval_lookup(at, "sec", contracts.select("open_time", "close_time"), "open_time", "close_time", length)
     best = joins.closest_eligible(
-        quoted.where("open_time is not null"), iv, ["sec"], F.col("expiry") > F.col("close_time"), ["sec", "open_time"],
-        F.struct(F.col("expiry") - F.col("sec"), F.col("qid")), ["iv_bid", "iv_ask"],
+        quoted.where("open_time is not null"), iv, ["sec"], "expiry", "qid", F.col("expiry") > F.col("close_time"),
+        ["sec", "open_time"], ["iv_bid", "iv_ask"],
     )
     full = cells.join(spot, "sec", "left").join(
         best.select("sec", "open_time", F.struct(F.col("sec").alias("at"), "iv_bid", "iv_ask").alias("_iv")),

@@ -85,7 +85,7 @@ def overlap(tables: Mapping[str, DataFrame], sec: str) -> DataFrame:
     wide = None
     for name, df in tables.items():
         one = df.agg(F.min(sec).alias(f"lo_{name}"), F.max(sec).alias(f"hi_{name}"))
-        wide = one if wide is None else wide.crossJoin(one)  # one row each
+        wide = one if wide is None else attach(wide, one, [])
     lo, hi = F.greatest(*[f"lo_{n}" for n in tables]), F.least(*[f"hi_{n}" for n in tables])
     return _rows(wide, {"overlap_seconds": ((hi - lo).cast("double"), Check(F.lit(0), 1))})
 
@@ -113,7 +113,7 @@ def trade_rules(df: DataFrame, key: str, order: Sequence[str], ts: str, price: s
         count_of(F.col(ts) < F.col("_prev")).cast("double").alias("backwards"),
         count_of(~F.col(price).between(0.0, 1.0)).cast("double").alias("outside"),
     )
-    wide = first.crossJoin(duplicate_rows(df, [key]))  # one row each
+    wide = attach(first, duplicate_rows(df, [key]), [])
     zero = Check(F.lit(0), 0, 0)
     return _rows(wide, {"duplicate_hashes": (F.col("duplicates"), zero), "out_of_order": (F.col("backwards"), zero),
                         "price_out_of_range": (F.col("outside"), zero)})

@@ -31,7 +31,11 @@ FIRST, LAST = Window.unboundedPreceding, Window.unboundedFollowing
 
 @dataclass(frozen=True)
 class Running:
-    """One unbounded computation: kind is sum, count, max, min, last, next or total."""
+    """One computation over a whole series.
+
+    sum, count, max, min, last: over the rows up to this one; next: first known value from this row on;
+    after: value of the row that follows; total: sum over the series.
+    """
 
     kind: str
     value: Column | None = None
@@ -198,40 +202,58 @@ class Series:
         still advances the position.  A block spans 40 to 600 e-foldings of the weight: short enough
         for d^-i to stay finite, long enough that only the block before still counts in a double.
         """
-        numbered = self.numbered()
-        df = numbered.df
-        for name, (value, span) in columns.items():
-            rate = -math.log(1.0 - 2.0 / (span + 1.0))
-            size = max(math.ceil(40.0 / rate), min(self.rows_per_task, int(600.0 / rate)))
-            x = F.col(value).cast("double")
-            df = df.withColumns({"_blk": F.floor(F.col("_rn") / size), "_off": F.col("_rn") % size})
-            grow = F.exp(F.col("_off") * rate)
-            window = Window.partitionBy(*self.keys, "_blk").orderBy("_rn").rowsBetween(FIRST, 0)
-            local = df.withColumns(
-                {
-                    "_num": F.sum(x * grow).over(window) / grow,
-                    "_den": F.sum(F.when(x.isNotNull(), grow)).over(window) / grow,
-                }
-            )
-            if self.rows > size:
-                fade = F.exp((F.col("_off") - (size - 1)) * rate)
-                ends = df.groupBy(*self.keys, (F.col("_blk") + 1).alias("_blk")).agg(
-                    F.sum(x * fade).alias("_num_in"), F.sum(F.when(x.isNotNull(), fade)).alias("_den_in")
-                )
-                decay = F.exp(-(F.col("l._off") + 1) * rate)
-                joined = local.alias("l").join(ends.alias("r"), _same(self.keys + ["_blk"], "l", "r"), "left")
-                num = F.coalesce(F.col("l._num"), F.lit(0.0)) + F.coalesce(F.col("r._num_in") * decay, F.lit(0.0))
-                den = F.coalesce(F.col("l._den"), F.lit(0.0)) + F.coalesce(F.col("r._den_in") * decay, F.lit(0.0))
-                value_out = F.when(den > 0, num / den)
-                df = joined.select(
-                    *[F.col(f"l.`{c}`") for c in df.columns], value_out.alias(name)
-                )
-            else:
-                df = local.withColumn(name, F.when(F.col("_den") > 0, F.col("_num") / F.col("_den")))
-                df = df.drop("_num", "_den")
-            df = df.drop("_blk", "_off")
+        df = self.numbered().df
+        for size, group in _ewm_groups(columns, self.rows_per_task):
+            df = self._ewm_group(df, size, group)
         return df.drop("_rn")
 
+    def _ewm_group(self, df: DataFrame, size: int, group: Mapping[str, tuple[str, float]]) -> DataFrame:
+        """Columns that share a block size: one window pass and at most one join for the carries."""
+        columns = df.columns
+        df = df.withColumns({"_blk": F.floor(F.col("_rn") / size), "_off": F.col("_rn") % size})
+        window = Window.partitionBy(*self.keys, "_blk").orderBy("_rn").rowsBetween(FIRST, 0)
+        local, ends = {}, []
+        for name, (value, rate) in group.items():
+            x, grow = F.col(value).cast("double"), F.exp(F.col("_off") * rate)
+            fade = F.exp((F.col("_off") - (size - 1)) * rate)
+            local[f"_num_{name}"] = F.sum(x * grow).over(window) / grow
+            local[f"_den_{name}"] = F.sum(F.when(x.isNotNull(), grow)).over(window) / grow
+            ends += [F.sum(x * fade).alias(f"_num_in_{name}"), F.sum(F.when(x.isNotNull(), fade)).alias(f"_den_in_{name}")]
+        out = df.withColumns(local)
+        if self.rows > size:
+            carry = df.groupBy(*self.keys, (F.col("_blk") + 1).alias("_blk")).agg(*ends)
+            out = out.alias("l").join(carry.alias("r"), _same(self.keys + ["_blk"], "l", "r"), "left")
+            decay = {n: F.exp(-(F.col("l._off") + 1) * rate) for n, (_, rate) in group.items()}
+            part = {
+                side: {n: _zero(F.col(f"l._{side}_{n}")) + _zero(F.col(f"r._{side}_in_{n}") * decay[n]) for n in group}
+                for side in ("num", "den")
+            }
+            kept = [F.col(f"l.`{c}`") for c in columns]
+        else:
+            part = {side: {n: F.col(f"_{side}_{n}") for n in group} for side in ("num", "den")}
+            kept = [F.col(f"`{c}`") for c in columns]
+        return out.select(*kept, *[F.when(part["den"][n] > 0, part["num"][n] / part["den"][n]).alias(n) for n in group])
+
+
+def _zero(value: Column) -> Column:
+    return F.coalesce(value, F.lit(0.0))
+
+
+def _ewm_groups(columns: Mapping[str, tuple[str, float]], rows_per_task: int) -> list[tuple[int, dict]]:
+    """Spans whose valid block sizes overlap share one size: fewer passes over the table."""
+    groups: list[tuple[int, dict]] = []
+    low = high = 0.0
+    for name, (value, span) in sorted(columns.items(), key=lambda item: item[1][1]):
+        rate = -math.log(1.0 - 2.0 / (span + 1.0))
+        if groups and 40.0 / rate <= high:
+            low = max(low, 40.0 / rate)
+        else:
+            groups.append((0, {}))
+            low, high = 40.0 / rate, 600.0 / rate
+        groups[-1][1][name] = (value, rate)
+        groups[-1] = (max(math.ceil(low), min(rows_per_task, int(high))), groups[-1][1])
+    return groups
+
 
 # -- pieces of the two phases ---------------------------------------------------------------------
 
@@ -244,6 +266,8 @@ def _over(e: Running, window) -> Column:
         return F.last(e.value, ignorenulls=True).over(upto)
     if e.kind == "next":
         return F.first(e.value, ignorenulls=True).over(window.rowsBetween(0, LAST))
+    if e.kind == "after":
+        return F.lead(e.value).over(window)
     if e.kind == "total":
         return F.sum(e.value).over(window.rowsBetween(FIRST, LAST))
     return {"sum": F.sum, "max": F.max, "min": F.min}[e.kind](e.value).over(upto)
@@ -260,6 +284,7 @@ def _summary(name: str, e: Running, ordering: Column) -> Column:
         "min": lambda: F.min(value),
         "last": lambda: F.max_by(value, known),
         "next": lambda: F.min_by(value, known),
+        "after": lambda: F.min_by(value, ordering),
     }[e.kind]()
     return agg.alias(f"_sum_{name}")
 
@@ -274,8 +299,8 @@ def _carry(name: str, e: Running, window) -> Column:
         return F.min(value).over(past)
     if e.kind == "last":
         return F.last(value, ignorenulls=True).over(past)
-    if e.kind == "next":
-        return F.first(value, ignorenulls=True).over(later)
+    if e.kind in ("next", "after"):
+        return F.first(value, ignorenulls=e.kind == "next").over(later)
     return F.coalesce(F.sum(value).over(past), F.sum(value).over(later)) + F.when(
         F.sum(value).over(past).isNotNull() & F.sum(value).over(later).isNotNull(), F.sum(value).over(later)
     ).otherwise(F.lit(0))

@@ -181,7 +181,7 @@ def late_events(spark, sf):
     m.where("seq % 50 = 0").coalesce(1).write.mode("append").option("timestampFormat", MICROS).json(path)
     capture.append_table(stream(), table, checkpoint)
     last = m.where("seq % 50 != 0").agg(F.max(F.unix_millis("event_time")).alias("last_ms"))
-    closed = read_table(spark, table).join(F.broadcast(last), F.col("end_us") <= (F.col("last_ms") - 60_000) * 1000)
+    closed = read_table(spark, table).where(F.col("end_us") <= (last.scalar() - 60_000) * 1000)
     return closed.select("market", "start_us", "n")
 
 

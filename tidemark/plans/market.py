@@ -16,6 +16,7 @@ from tidemark.plans.standins import (
 )
 from tidemark.plans.tabular import DAILY, SCHEDULE, contracts, daily_rates, quote_messages
 from tidemark.plans.windows import cdf_sql
+from tidemark.session import cut_lineage
 from tidemark.sources.calendar import day_spine
 
 YEAR = pricing.SECONDS_PER_YEAR
@@ -134,8 +135,7 @@ def calendar_fill(spark, sf):
     start, end, step = 1704067200, 1706745600, 300
     t = ticks(spark, sf).withColumn("sec", grid.second_of("ts_us", step))
     rows = grid.last_known(t, ["sec"], ["price"], ["ts_us", "id"]).drop("quote_count")
-    spine = spark.range(start, end, step).toDF("sec")
-    out = grid.fill_grid(rows, [], "sec", ["price"], step=step, grid=spine, grid_size=(end - start) // step)
+    out = grid.fill_grid(rows, [], "sec", ["price"], step=step, start=start, end=end)
     return out.drop("seconds_since_last_update")
 
 
@@ -655,7 +655,7 @@ def feature_table(spark, sf):
     """Feature groups computed on one shared grid and joined on (symbol, sec): one shuffle layout for all."""
     from tidemark.operators.series import rolling
 
-    base = filled_bars(spark, sf, 3600)
+    base = cut_lineage(filled_bars(spark, sf, 3600))  # read by every group below
     vol = feat.realized_volatility(base, ["symbol"], ["sec"], windows=(6, 24)).select("symbol", "sec", r("rv_6s", 3).alias("rv_6s"), r("rv_24s", 3).alias("rv_24s"))
     mom = feat.momentum_and_range(base, ["symbol"], ["sec"], (6,), (6,)).select("symbol", "sec", r("momentum_6s", 8).alias("momentum_6s"))
     ext = feat.extremes(base, ["symbol"], ["sec"], "sec", 24).select("symbol", "sec", "window_high")

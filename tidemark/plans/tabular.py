@@ -533,8 +533,7 @@ def round_down(spark, sf):
 @query("b20_warmup_trim", with_(TICKS) + "SELECT id, sec FROM ticks WHERE sec >= (SELECT min(sec) FROM ticks) + 48 * 3600")
 def warmup(spark, sf):
     t = ticks(spark, sf)
-    first = t.agg((F.min("sec") + 48 * 3600).alias("start"))
-    return t.join(F.broadcast(first), F.col("sec") >= F.col("start")).select("id", "sec")
+    return t.where(F.col("sec") >= t.agg(F.min("sec") + 48 * 3600).scalar()).select("id", "sec")
 
 
 # == C: joins ========================================================================================
@@ -683,8 +682,7 @@ def closest(spark, sf):
     at = quoted.select("sec").distinct()
     pairs = joins.interval_lookup(at, "sec", periods, "open_time", "close_time", 900)
     return joins.closest_eligible(
-        pairs, quoted, ["sec"], F.col("expiry") > F.col("close_time"), ["sec", "close_time"],
-        F.struct(F.col("expiry") - F.col("sec"), F.col("qid")), ["iv", "expiry"],
+        pairs, quoted, ["sec"], "expiry", "qid", F.col("expiry") > F.col("close_time"), ["sec", "close_time"], ["iv", "expiry"],
     )
 
 

@@ -196,7 +196,7 @@ def average_percentile(spark, sf):
     t = ticks(spark, sf).select("id", "price")
     ranks = agg.average_ranks(t, "price", "rank")
     n = t.agg(F.count(F.lit(1)).alias("n"))
-    return lookup(t, ranks, ["price"]).join(F.broadcast(n)).select("id", r(F.col("rank") / F.col("n"), 9).alias("pct"))
+    return agg.attach(lookup(t, ranks, ["price"]), n, []).select("id", r(F.col("rank") / F.col("n"), 9).alias("pct"))
 
 
 @query(
@@ -434,7 +434,7 @@ def coverage_intersection(spark, sf):
     days = [table(spark, sf, "orders").select(F.col("o_orderdate").alias("t")), table(spark, sf, "lineitem").select(F.col("l_shipdate").alias("t"))]
     spans = [d.agg(F.min("t").alias(f"lo{i}"), F.max("t").alias(f"hi{i}")) for i, d in enumerate(days)]
     shared = days[0].intersect(days[1]).agg(F.count(F.lit(1)).alias("shared_days"))
-    return spans[0].crossJoin(spans[1]).crossJoin(shared).select(  # one row each
+    return agg.attach(agg.attach(spans[0], spans[1], []), shared, []).select(
         F.unix_seconds(F.greatest("lo0", "lo1")).alias("lo"), F.unix_seconds(F.least("hi0", "hi1")).alias("hi"), "shared_days"
     )
 
@@ -453,7 +453,8 @@ def duplicates(spark, sf):
 def list_equality(spark, sf):
     o = table(spark, sf, "orders", "o_custkey", "o_orderpriority", "o_orderstatus")
     a, b = (o.where(F.col("o_orderstatus") == s).drop("o_orderstatus") for s in ("F", "O"))
-    out = a.exceptAll(b).agg(F.count(F.lit(1)).alias("only_left")).crossJoin(b.exceptAll(a).agg(F.count(F.lit(1)).alias("only_right")))
+    only = lambda x, y, name: x.exceptAll(y).agg(F.count(F.lit(1)).alias(name))
+    out = agg.attach(only(a, b, "only_left"), only(b, a, "only_right"), [])
     return out.withColumn("equal", (F.col("only_left") == 0) & (F.col("only_right") == 0))
 
 

@@ -71,9 +71,8 @@ def heal_union(left: DataFrame, right: DataFrame, schema: dict[str, str]) -> Dat
 
 
 def latest_snapshot(df: DataFrame, snapshot: str) -> DataFrame:
-    """Rows of the newest snapshot; the one-row maximum is broadcast."""
-    newest = df.agg(F.max(snapshot).alias("_newest"))
-    return df.join(F.broadcast(newest), F.col(snapshot) == F.col("_newest"), "left_semi")
+    """Rows of the newest snapshot."""
+    return df.where(F.col(snapshot) == df.agg(F.max(snapshot)).scalar())
 
 
 def latest_file(spark: SparkSession, root: str) -> DataFrame:

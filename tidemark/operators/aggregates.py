@@ -30,7 +30,7 @@ def quantiles(
         grouped = df.groupBy(*keys).agg(F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs.values()])).alias("_q"))
         return grouped.select(*keys, *[F.col("_q")[i].alias(name) for i, name in enumerate(probs)])
     counts = df.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    ranked = Series(counts, keys, ["_v"], rows_per_task).running(
+    ranked = Series(counts, keys, ["_v"], rows_per_task, rows=rows).running(
         _upto=Running("sum", F.col("_c")), _n=Running("total", F.col("_c"))
     )
     start = F.col("_upto") - F.col("_c")
@@ -140,7 +140,7 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str], keys: Sequence[str]
 def average_ranks(df: DataFrame, value: str, name: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Distinct values with their average rank in the table: equal values share one row."""
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_c"))
-    upto = Series(counts, [], [value], rows_per_task).running(_upto=Running("sum", F.col("_c")))
+    upto = Series(counts, [], [value], rows_per_task, rows=df.count()).running(_upto=Running("sum", F.col("_c")))
     return upto.select(value, (F.col("_upto") - (F.col("_c") - 1) / 2.0).alias(name))
 
 
@@ -194,7 +194,7 @@ def exceedance(df: DataFrame, value: Column, thresholds: Sequence[float], keys:
 def gini(df: DataFrame, keys: Sequence[str], value: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Gini coefficient per group from counted values, so no group has to be sorted in one task."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    upto = Series(counts, list(keys), [value], rows_per_task).running(_upto=Running("sum", F.col("_c")))
+    upto = Series(counts, list(keys), [value], rows_per_task, rows=df.count()).running(_upto=Running("sum", F.col("_c")))
     x, c = F.col(value), F.col("_c")
     ranks = c * (2 * F.col("_upto") - c + 1) / 2.0  # sum of the ranks of the equal values
     out = upto.groupBy(*keys).agg(

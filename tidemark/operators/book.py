@@ -63,16 +63,16 @@ def replay(changes: DataFrame, events_per_block: int = EVENTS_PER_BLOCK, rows_pe
     An asset is cut into blocks of events.  The levels alive at a block's start are found by aggregates, so
     blocks replay independently however long the asset's history is.
     """
-    numbered = _epochs(changes, rows_per_task).numbered("_pos").df
-    df = numbered.withColumn("_block", F.floor(F.col("_pos") / events_per_block))
+    numbered = _epochs(changes, rows_per_task).numbered("_pos")
+    df = numbered.df.withColumn("_block", F.floor(F.col("_pos") / events_per_block))
     latest = F.max_by(F.struct("size", F.col("_epoch").alias("epoch")), "seq")
     per_block = df.groupBy("asset", "side", "price", "_block").agg(latest.alias("_last"))
     starts = df.groupBy("asset", "_block").agg(F.max("_epoch").alias("_ends"))
     # Epoch in force when a block begins = epoch at the end of the block before.
     begins = starts.select("asset", (F.col("_block") + 1).alias("_block"), F.col("_ends").alias("_begins"))
     ends = df.groupBy("asset").agg(F.max("_block").alias("_final"))
-    level = Series(per_block, ["asset", "side", "price"], ["_block"], rows_per_task).frames(
-        {"_next": lambda w: F.lead("_block").over(w)}, before=0, after=1
+    level = Series(per_block, ["asset", "side", "price"], ["_block"], rows_per_task, rows=numbered.rows).running(
+        _next=Running("after", F.col("_block"))
     )
     # A level set in block b is carried into b + 1 up to the block that changes it next.
     carried = (

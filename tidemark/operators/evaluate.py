@@ -91,7 +91,7 @@ def score_curve(df: DataFrame, keys: Sequence[str], p: str, y: str, rows_per_tas
     counts = df.groupBy(*keys, F.col(p).alias("score")).agg(
         F.sum(y).cast("double").alias("pos"), (F.count(F.lit(1)) - F.sum(y)).cast("double").alias("neg")
     ).withColumn("_down", -F.col("score"))
-    return Series(counts, keys, ["_down"], rows_per_task).running(
+    return Series(counts, keys, ["_down"], rows_per_task, rows=df.count()).running(
         tp=Running("sum", F.col("pos")), fp=Running("sum", F.col("neg")),
         P=Running("total", F.col("pos")), N=Running("total", F.col("neg")),
     ).drop("_down")
@@ -236,7 +236,7 @@ def signal_pnl(df: DataFrame, p: str, price: str, y: str, high: float, low: floa
 def equity_summary(trades: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Trades, hit rate, profit, Sharpe ratio per trade and maximum drawdown of an ordered trade list."""
     taken = trades.where("signal != 0")
-    series = Series(taken, keys, order, rows_per_task)
+    series = Series(taken, keys, order, rows_per_task, rows=trades.count())
     equity = series._with(series.running(equity=Running("sum", F.col("pnl"))))
     high = equity.running(peak=Running("max", F.col("equity")))
     return high.groupBy(*keys).agg(

@@ -42,7 +42,7 @@ def dense_rank_percentile(df: DataFrame, keys: Sequence[str], value: str, name:
                           rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Dense rank of the value in its group over the number of rows of the group."""
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    ranks = Series(counts, keys, [value], rows_per_task).running(
+    ranks = Series(counts, keys, [value], rows_per_task, rows=df.count()).running(
         _rank=Running("count"), _n=Running("total", F.col("_c"))
     )
     share = ranks.select(*keys, value, (F.col("_rank") / F.col("_n")).alias(name))

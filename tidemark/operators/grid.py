@@ -98,11 +98,15 @@ def fill_grid(
     exprs = {f"_f_{c}": Running("last", F.col(c)) for c in columns}
     exprs["_next"] = Running("after", F.col(sec))
     exprs["_at"] = Running("last", F.when(F.col("_seen"), F.col(sec)))
-    known = Series(seen, keys, [sec, "_seen"], rows_per_task).running(**exprs)
+    series = Series(seen, keys, [sec, "_seen"], rows_per_task)
+    known = series.running(**exprs)
     stop = F.coalesce(F.col("_next"), F.col(sec) + step if end is None else F.lit(end))
     cells = known.withColumn("_stop", stop).where(F.col("_stop") > F.col(sec))
     days = cells.withColumn("_from", F.explode(F.sequence(F.col(sec), F.col("_stop") - step, F.lit(CHUNK * step))))
     upto = F.least(F.col("_stop"), F.col("_from") + CHUNK * step) - step
+    if series.small:  # few rows can stand for many cells: spread them before they are written out
+        parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        days = days.repartition(parts, *keys, sec, "_from")
     cells = days.withColumn("_cell", F.explode(F.sequence(F.col("_from"), upto, F.lit(step))))
     own = F.col("_seen") & (F.col("_cell") == F.col(sec))
     age = F.col("_cell") - F.col("_at")
@@ -191,11 +195,10 @@ def impute_in_period(df: DataFrame, keys: Sequence[str], order: Sequence[str], i
 def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, sec: str,
             rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Runs of an unchanged value: start, end and length of each."""
-    changed = Series(df, keys, order, rows_per_task).frames(
-        {"_prev": lambda w: F.lag(F.struct(F.col(value).alias("v"))).over(w)}, before=1
-    )
+    series = Series(df, keys, order, rows_per_task)
+    changed = series.frames({"_prev": lambda w: F.lag(F.struct(F.col(value).alias("v"))).over(w)}, before=1)
     flag = F.when(F.col("_prev").isNull() | ~F.col("_prev.v").eqNullSafe(F.col(value)), 1).otherwise(0)
-    runs = Series(changed, keys, order, rows_per_task).running(run=Running("sum", flag))
+    runs = series._with(changed).running(run=Running("sum", flag))
     return runs.groupBy(*keys, "run", value).agg(
         F.count(F.lit(1)).alias("rows"), F.min(sec).alias("start_sec"), F.max(sec).alias("end_sec")
     )

@@ -9,7 +9,8 @@ of bounded size and carries the state between blocks:
 * ``frames``   - finite row frames (lag, rolling mean, ...): blocks overlap by the frame length;
 * ``ewm``      - exponentially weighted means: local scaled sums plus the carry of the block before.
 
-The order columns must be a total order inside a key.  Inputs up to ``rows_per_task`` rows are
+The order columns must be a total order inside a key.  ``rows`` may give an upper bound of the size, which saves
+counting a derived table.  Inputs up to ``rows_per_task`` rows are
 computed by the plain window directly; the size is counted, never assumed.
 """
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from operator import add
 
@@ -51,6 +51,18 @@ def ratio(num: ColumnLike, den: ColumnLike) -> Column:
     return F.try_divide(col(num).cast("double"), F.nullif(col(den).cast("double"), F.lit(0.0)))
 
 
+def correlation(x: ColumnLike, y: ColumnLike, over: Callable[[Column], Column] = lambda c: c) -> Column:
+    """Pearson correlation of the pairs where both are known; null where one of them does not vary.
+
+    The built-in ``corr`` raises on a constant column in ANSI mode.  ``over`` turns each aggregate into a window column.
+    """
+    x, y = col(x), col(y)
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x), F.when(both, y)
+    spread = over(F.stddev_pop(x)) * over(F.stddev_pop(y))
+    return F.try_divide(over(F.covar_pop(x, y)), F.nullif(spread, F.lit(0.0)))
+
+
 def clip(x: ColumnLike, lo: float, hi: float) -> Column:
     """x limited to [lo, hi]; null stays null."""
     x = col(x)

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.functions.columns import equal_width, ratio
+from tidemark.functions.columns import correlation, equal_width, ratio
 from tidemark.operators.series import ROWS_PER_TASK, Running, Series
 
 
@@ -127,7 +127,7 @@ def column_profile(df: DataFrame, columns: Sequence[str], rows: int | None = Non
 def correlation_pairs(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Pearson correlation of every pair of columns in one aggregate, unpivoted to rows."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    wide = df.groupBy(*keys).agg(*[F.corr(a, b).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
+    wide = df.groupBy(*keys).agg(*[correlation(a, b).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
     rows = F.array(
         *[
             F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"_{i}").alias("corr"))

@@ -139,7 +139,7 @@ def deciles(df: DataFrame, p: str, y: str, ids: Sequence[str], bins: int = 10, r
 
 def information(df: DataFrame, x: str, y: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Spearman and Pearson correlation with the two-sided p-value of the rank correlation (normal limit)."""
-    pearson = df.agg(F.corr(x, y).alias("pearson_ic"))
+    pearson = df.agg(C.correlation(x, y).alias("pearson_ic"))
     both = attach(spearman(df, x, y, rows_per_task).withColumnRenamed("spearman", "spearman_ic"), pearson, [])
     rho = F.col("spearman_ic")
     t = rho * F.sqrt((F.col("n") - 2) / (1 - rho * rho))

@@ -227,7 +227,7 @@ def vol_clustering(df: DataFrame, keys, order, short: str, long: str, window: in
     def persistence(w):
         frame = w.rowsBetween(-(window - 1), 0)
         pairs = F.count(F.when(v.isNotNull() & F.col("_prev").isNotNull(), 1)).over(frame)
-        return F.when(pairs >= min_rows, F.corr(v, F.col("_prev")).over(frame))
+        return F.when(pairs >= min_rows, C.correlation(v, F.col("_prev"), lambda c: c.over(frame)))
 
     steps = [
         {"_prev": lambda w: F.lag(short).over(w)},

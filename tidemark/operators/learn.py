@@ -122,15 +122,18 @@ def boosted(train: DataFrame, features: Sequence[str], label: str = "residual",
     return Pipeline(stages=stages).fit(train)
 
 
-def per_regime(train: DataFrame, regime: str, values: Sequence[str], fit) -> dict[str, PipelineModel]:
-    """One model per regime; the list of regimes is fixed by the configuration, not by the data."""
-    return {v: fit(train.where(F.col(regime) == v)) for v in values}
+def per_regime(train: DataFrame, regime: str, values: Sequence[str], fit, min_rows: int = 1) -> dict[str, PipelineModel]:
+    """One model per regime of the configuration; a regime with fewer than ``min_rows`` rows gets none."""
+    counts = train.where(F.col(regime).isin(*values)).groupBy(regime).count()
+    sizes = {r[0]: r[1] for r in counts.collect()}  # one row per configured regime
+    return {v: fit(train.where(F.col(regime) == v)) for v in values if sizes.get(v, 0) >= min_rows}
 
 
 def routed(df: DataFrame, models: Mapping[str, PipelineModel], regime: str, keep: Sequence[str]) -> DataFrame:
     """Score every row with the model of its regime; rows without one get a null prediction."""
     parts = [m.transform(df.where(F.col(regime) == v)).select(*keep, F.col("prediction")) for v, m in models.items()]
-    rest = df.where(~F.coalesce(F.col(regime).isin(*models), F.lit(False))).select(*keep, F.lit(None).cast("double").alias("prediction"))
+    scored = F.coalesce(F.col(regime).isin(*models), F.lit(False)) if models else F.lit(False)
+    rest = df.where(~scored).select(*keep, F.lit(None).cast("double").alias("prediction"))
     out = rest
     for part in parts:
         out = out.unionByName(part)

@@ -23,6 +23,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from tidemark.functions.columns import correlation
+
 ROWS_PER_TASK = 1_000_000
 MAX_CUTS = 4096  # also bounds what the driver holds and what `running` broadcasts
 SAMPLE_PER_CUT = 50
@@ -343,7 +345,7 @@ def rolling_corr(left: Column, right: Column, n: int):
     def column(window) -> Column:
         frame = window.rowsBetween(-(n - 1), 0)
         pairs = F.count(F.when(left.isNotNull() & right.isNotNull(), 1)).over(frame)
-        return F.when(pairs >= n, F.corr(left, right).over(frame))
+        return F.when(pairs >= n, correlation(left, right, lambda c: c.over(frame)))
 
     return column
 

@@ -121,7 +121,7 @@ def moments(spark, sf):
 
 @query("d10_correlation", "SELECT l_returnflag, round(corr(l_quantity, l_extendedprice), 8) AS rho FROM lineitem GROUP BY 1")
 def correlation(spark, sf):
-    return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(r(F.corr("l_quantity", "l_extendedprice"), 8).alias("rho"))
+    return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(r(C.correlation("l_quantity", "l_extendedprice"), 8).alias("rho"))
 
 
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]

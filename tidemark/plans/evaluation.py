@@ -147,14 +147,14 @@ MONEY3 = "CASE WHEN moneyness < -0.05 THEN 'otm' WHEN moneyness < 0.05 THEN 'atm
 
 @query(
     "j15_performance_by_bucket",
-    with_(FORECASTS) + ", b AS (" + " UNION ALL ".join(f"SELECT '{v}' AS variable, {e} AS bin, p, q, y FROM fc" for v, e in (("time", HORIZON), ("age", AGE), ("money", MONEY3))) + ") SELECT variable, bin, count(*) AS n, round(avg((p - y) ** 2), 8) AS brier_p, round(avg((q - y) ** 2), 8) AS brier_q FROM b GROUP BY 1, 2",
+    with_(FORECASTS) + ", b AS (" + " UNION ALL ".join(f"SELECT '{v}' AS variable, {e} AS bin, p, q, y FROM fc" for v, e in (("time", HORIZON), ("age", AGE), ("money", MONEY3))) + ") SELECT variable, bin, count(*) AS n, round(avg((p - y) ** 2), 11) AS brier_p, round(avg((q - y) ** 2), 11) AS brier_q FROM b GROUP BY 1, 2",
 )
 def by_bucket(spark, sf):
     bins = {
         "time": feat.temporal_regime("time_left"), "age": C.bucket("staleness", [10, 60, 120], ["fresh", "moderate", "stale", "very_stale"]),
         "money": C.bucket("moneyness", [-0.05, 0.05], ["otm", "atm", "itm"]),
     }
-    return rounded(ev.profiles(forecasts(spark, sf), bins, {"brier_p": (F.col("p") - F.col("y")) * (F.col("p") - F.col("y")), "brier_q": (F.col("q") - F.col("y")) * (F.col("q") - F.col("y"))}), 8)
+    return rounded(ev.profiles(forecasts(spark, sf), bins, {"brier_p": (F.col("p") - F.col("y")) * (F.col("p") - F.col("y")), "brier_q": (F.col("q") - F.col("y")) * (F.col("q") - F.col("y"))}), 11)
 
 
 @query(
@@ -295,7 +295,7 @@ FEATS = {"value": "price", "time_left": "time", "moneyness": "price", "vol": "vo
     with_(FORECASTS) + ", c AS (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, '{c}' AS category, corr({f}, q) AS rho FROM fc" for f, c in FEATS.items()) + ") SELECT feature, category, round(rho, 8) AS rho, row_number() OVER (ORDER BY round(abs(rho), 8) DESC, feature) AS rank FROM c",
 )
 def feature_ranking(spark, sf):
-    wide = forecasts(spark, sf).agg(*[F.corr(f, "q").alias(f) for f in FEATS])
+    wide = forecasts(spark, sf).agg(*[C.correlation(f, "q").alias(f) for f in FEATS])
     long = agg.unpivot_row(wide, {f: {"category": F.lit(c), "rho": r(F.col(f), 8)} for f, c in FEATS.items()}, "feature")
     ordered = long.withColumn("_o", -F.abs("rho"))
     from tidemark.operators.series import Running

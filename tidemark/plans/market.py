@@ -254,7 +254,7 @@ def exchange_error(spark, sf):
     j = j.withColumns(opt.iv_error(F.col("iv"), F.col("ref_iv")))
     bins = j.withColumn("bin", C.bucket("abs_error", [0.05, 0.15], ["small", "medium", "large"]))
     return bins.groupingSets([["bin"], []], "bin").agg(
-        F.count(F.lit(1)).alias("n"), r(F.avg("abs_error"), 8).alias("mae"), r(F.corr("iv", "ref_iv")).alias("rho")
+        F.count(F.lit(1)).alias("n"), r(F.avg("abs_error"), 8).alias("mae"), r(C.correlation("iv", "ref_iv")).alias("rho")
     )
 
 
@@ -272,7 +272,7 @@ def rate_methods(spark, sf):
     j = j.withColumns(opt.iv_error(F.col("iv_daily"), F.col("iv")))
     return j.groupingSets([["type"], ["money"], ["type", "money"]], "type", "money").agg(
         F.count(F.lit(1)).alias("n"), r(F.avg("abs_error"), 10).alias("mean_abs"),
-        F.count_if(F.col("abs_error") / F.col("iv") * 100 > 2.5).alias("over_2_5_pct"), r(F.corr("iv", "iv_daily")).alias("rho"),
+        F.count_if(F.col("abs_error") / F.col("iv") * 100 > 2.5).alias("over_2_5_pct"), r(C.correlation("iv", "iv_daily")).alias("rho"),
     )
 
 
@@ -401,21 +401,30 @@ def asymmetry(spark, sf):
 
 
 RV_W = (6, 12, 24, 48)
-RV = HB + f""", lr AS (SELECT *, ln(close / lag(close) OVER ({SW})) AS log_return FROM hb),
-rv AS (SELECT *, {', '.join(f"{roll('stddev_samp', 'log_return', n)} * sqrt({YEAR!r}e0 / {n}) AS rv_{n}s" for n in RV_W)} FROM lr)"""
+def rv_sql(digits=None):
+    cols = []
+    for n in RV_W:
+        x = f"{roll('stddev_samp', 'log_return', n)} * sqrt({YEAR!r}e0 / {n})"
+        cols.append(f"{x if digits is None else f'round({x}, {digits})'} AS rv_{n}s")
+    return HB + f", lr AS (SELECT *, ln(close / lag(close) OVER ({SW})) AS log_return FROM hb), rv AS (SELECT *, {', '.join(cols)} FROM lr)"
+
+
+RV = rv_sql(6)
 
 
 def rv_table(spark, sf):
-    return feat.realized_volatility(filled_bars(spark, sf, 3600), ["symbol"], ["sec"], windows=RV_W)
+    """Rounded, so that thresholds compare alike in both engines."""
+    out = feat.realized_volatility(filled_bars(spark, sf, 3600), ["symbol"], ["sec"], windows=RV_W)
+    return out.withColumns({f"rv_{n}s": r(f"rv_{n}s") for n in RV_W})
 
 
 @query(
     "i22_realized_volatility",
-    with_(RV) + f"SELECT symbol, sec, {', '.join(f'round(rv_{n}s, 3) AS rv_{n}s' for n in RV_W)}, CASE WHEN rv_6s = 0 THEN NULL ELSE round(rv_12s / rv_6s, 7) END AS rv_ratio_12_6, CASE WHEN rv_6s = 0 THEN NULL ELSE round((rv_48s - rv_6s) / rv_6s, 7) END AS rv_term_structure FROM rv",
+    with_(rv_sql()) + f"SELECT symbol, sec, {', '.join(f'round(rv_{n}s, 6) AS rv_{n}s' for n in RV_W)}, CASE WHEN rv_6s = 0 THEN NULL ELSE round(rv_12s / rv_6s, 8) END AS rv_ratio_12_6, CASE WHEN rv_6s = 0 THEN NULL ELSE round((rv_48s - rv_6s) / rv_6s, 8) END AS rv_term_structure FROM rv",
 )
 def rv(spark, sf):
-    out = rv_table(spark, sf)
-    return out.select("symbol", "sec", *[r(f"rv_{n}s", 3).alias(f"rv_{n}s") for n in RV_W], r("rv_ratio_12_6", 7).alias("rv_ratio_12_6"), r("rv_term_structure", 7).alias("rv_term_structure"))
+    out = feat.realized_volatility(filled_bars(spark, sf, 3600), ["symbol"], ["sec"], windows=RV_W)
+    return out.select("symbol", "sec", *[r(f"rv_{n}s").alias(f"rv_{n}s") for n in RV_W], r("rv_ratio_12_6", 8).alias("rv_ratio_12_6"), r("rv_term_structure", 8).alias("rv_term_structure"))
 
 
 @query(
@@ -443,7 +452,7 @@ def jumps(spark, sf):
     "i25_autocorrelations",
     with_(RV) + f""", l AS (SELECT *, lag(log_return, 1) OVER ({SW}) AS l1, lag(log_return, 5) OVER ({SW}) AS l5 FROM lr),
     c AS (SELECT symbol, sec, CASE WHEN count(l1) OVER w >= 24 THEN corr(log_return, l1) OVER w END AS a1, CASE WHEN count(l5) OVER w >= 24 THEN corr(log_return, l5) OVER w END AS a5 FROM l WINDOW w AS ({SW} ROWS 23 PRECEDING))
-    SELECT symbol, sec, round(a1, 6) AS autocorr_lag1, round(a5, 6) AS autocorr_lag5, round(a1 - a5, 6) AS autocorr_decay, round(0.5e0 + 0.5e0 * a1, 6) AS hurst FROM c""",
+    SELECT symbol, sec, round(a1, 6) AS autocorr_lag1, round(a5, 6) AS autocorr_lag5, round(a1 - a5, 6) AS autocorr_decay, round(0.5e0 + 0.5e0 * a1, 6) AS hurst FROM (SELECT symbol, sec, CASE WHEN isfinite(a1) THEN a1 END AS a1, CASE WHEN isfinite(a5) THEN a5 END AS a5 FROM c)""",
 )
 def autocorrelations(spark, sf):
     out = feat.autocorrelations(filled_bars(spark, sf, 3600), ["symbol"], ["sec"], (1, 5), 24)
@@ -477,7 +486,7 @@ def drawdown_runup(spark, sf):
 @query(
     "i28_volatility_clustering",
     with_(RV) + f""", l AS (SELECT *, lag(rv_6s) OVER ({SW}) AS p FROM rv)
-    SELECT symbol, sec, CASE WHEN count(CASE WHEN rv_6s IS NOT NULL AND p IS NOT NULL THEN 1 END) OVER w >= 10 THEN round(corr(rv_6s, p) OVER w, 5) END AS vol_persistence_ar1, CASE WHEN count(rv_6s) OVER w >= 10 THEN round(stddev_samp(rv_6s) OVER w, 2) END AS vol_of_vol,
+    SELECT symbol, sec, CASE WHEN count(CASE WHEN rv_6s IS NOT NULL AND p IS NOT NULL THEN 1 END) OVER w >= 10 AND isfinite(corr(rv_6s, p) OVER w) THEN round(corr(rv_6s, p) OVER w, 5) END AS vol_persistence_ar1, CASE WHEN count(rv_6s) OVER w >= 10 THEN round(stddev_samp(rv_6s) OVER w, 2) END AS vol_of_vol,
     round((rv_6s - rv_24s) / (rv_24s + 1e-9) * 100, 5) AS vol_acceleration, round(sqrt(0.94e0 * rv_24s * rv_24s + (1 - 0.94e0) * rv_6s * rv_6s), 3) AS vol_forecast FROM l WINDOW w AS ({SW} ROWS 23 PRECEDING)""",
 )
 def clustering(spark, sf):
@@ -649,14 +658,14 @@ def period_imputation(spark, sf):
 @query(
     "i41_feature_table",
     with_(RV) + f""", a AS (SELECT symbol, sec, close, rv_6s, rv_24s, (close - lag(close, 6) OVER ({SW})) / lag(close, 6) OVER ({SW}) AS m6, {roll('avg', 'close', 24)} AS mean24, max(high) OVER ({SW} ROWS 23 PRECEDING) AS h24 FROM rv)
-    SELECT symbol, sec, close, round(rv_6s, 3) AS rv_6s, round(rv_24s, 3) AS rv_24s, round(m6, 8) AS momentum_6s, round(mean24, 7) AS mean_24, h24 AS window_high, CAST(sec % 86400 // 3600 BETWEEN 13 AND 20 AS INTEGER) AS is_us_hours FROM a""",
+    SELECT symbol, sec, close, rv_6s, rv_24s, round(m6, 8) AS momentum_6s, round(mean24, 7) AS mean_24, h24 AS window_high, CAST(sec % 86400 // 3600 BETWEEN 13 AND 20 AS INTEGER) AS is_us_hours FROM a""",
 )
 def feature_table(spark, sf):
     """Feature groups computed on one shared grid and joined on (symbol, sec): one shuffle layout for all."""
     from tidemark.operators.series import rolling
 
     base = cut_lineage(filled_bars(spark, sf, 3600))  # read by every group below
-    vol = feat.realized_volatility(base, ["symbol"], ["sec"], windows=(6, 24)).select("symbol", "sec", r("rv_6s", 3).alias("rv_6s"), r("rv_24s", 3).alias("rv_24s"))
+    vol = feat.realized_volatility(base, ["symbol"], ["sec"], windows=(6, 24)).select("symbol", "sec", r("rv_6s").alias("rv_6s"), r("rv_24s").alias("rv_24s"))
     mom = feat.momentum_and_range(base, ["symbol"], ["sec"], (6,), (6,)).select("symbol", "sec", r("momentum_6s", 8).alias("momentum_6s"))
     ext = feat.extremes(base, ["symbol"], ["sec"], "sec", 24).select("symbol", "sec", "window_high")
     mean = Series(base, ["symbol"], ["sec"]).frames({"m": rolling(F.avg, F.col("close"), 24)}, before=23).select("symbol", "sec", r("m", 7).alias("mean_24"))
@@ -724,12 +733,12 @@ def spine(spark, sf):
 @query(
     "i46_scoring_window",
     with_(RV) + """, m AS (SELECT symbol, sec // 3600 * 3600 AS sec, count(DISTINCT user_id) AS users FROM ticks GROUP BY 1, 2)
-    SELECT rv.symbol, rv.sec, round(rv_24s, 3) AS rv_24s, users FROM rv LEFT JOIN m USING (symbol, sec) WHERE rv.sec BETWEEN 1704499200 AND 1705363200""",
+    SELECT rv.symbol, rv.sec, rv_24s, users FROM rv LEFT JOIN m USING (symbol, sec) WHERE rv.sec BETWEEN 1704499200 AND 1705363200""",
 )
 def scoring_window(spark, sf):
     window = F.col("sec").between(1704499200, 1705363200)
     micro = ticks(spark, sf).where(F.col("sec").between(1704499200, 1705363200 + 3599)).groupBy("symbol", grid.second_of("ts_us", 3600).alias("sec")).agg(F.countDistinct("user_id").alias("users"))
-    return rv_table(spark, sf).where(window).join(micro, ["symbol", "sec"], "left").select("symbol", "sec", r("rv_24s", 3).alias("rv_24s"), "users")
+    return rv_table(spark, sf).where(window).join(micro, ["symbol", "sec"], "left").select("symbol", "sec", "rv_24s", "users")
 
 
 @query(

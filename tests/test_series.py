@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import Window, functions as F
 
-from tidemark.operators.series import Running, Series, lag, rolling, rolling_corr
+from tidemark.operators.series import Moving, Running, Series, lag, rolling, rolling_corr
 
 SIZES = [7, 50, 10_000]
 
@@ -80,3 +80,23 @@ def test_ewm_matches_pandas(ticks, size):
         a, b = got[ident]
         assert close(a, None if f != f else f)
         assert abs(b - s) < 1e-9
+
+
+@pytest.mark.parametrize("size", [30, 10_000])
+@pytest.mark.parametrize("n,need", [(7, 7), (5, 2), (20, 1), (1, 1)])
+def test_moving_matches_sliding_frames(ticks, size, n, need):
+    x, y = F.col("x"), F.col("y")
+    kinds = {"sum": F.sum, "mean": F.avg, "std": F.stddev_samp, "max": F.max, "min": F.min}
+    fast = {f"{k}_{c}": Moving(k, F.col(c), n, need) for k in kinds for c in ("x", "y")}
+    slow = {f"{k}_{c}": rolling(f, F.col(c), n, need) for k, f in kinds.items() for c in ("x", "y")}
+    got = Series(ticks, ["key"], ["ts", "id"], size).frames(fast, before=n)
+    want = Series(ticks, ["key"], ["ts", "id"], 10**9).frames(slow, before=n)
+    assert_same(got, want, list(fast))
+
+
+def test_moving_is_chosen_for_long_windows(ticks):
+    long = rolling(F.avg, F.col("y"), 300, 1)
+    assert isinstance(long, Moving)
+    got = Series(ticks, ["key"], ["ts", "id"], 400).frames({"m": long}, before=300)
+    w = Window.partitionBy("key").orderBy("ts", "id").rowsBetween(-299, 0)
+    assert_same(got, ticks.withColumn("m", F.avg("y").over(w)), ["m"])

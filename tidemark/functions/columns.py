@@ -113,8 +113,8 @@ def equal_width(x: ColumnLike, lo: ColumnLike | float, hi: ColumnLike | float, n
     """Bin 0..n-1 of equal width over [lo, hi]; the top edge belongs to the last bin."""
     x = col(x)
     lo, hi = (F.lit(v) if isinstance(v, (int, float)) else col(v) for v in (lo, hi))
-    raw = F.floor((x - lo) / ((hi - lo) / float(n)))
-    return F.least(F.greatest(raw, F.lit(0)), F.lit(n - 1)).cast("int")
+    raw = F.floor(ratio(x - lo, (hi - lo) / float(n)))
+    return F.when(x.isNotNull(), F.least(F.greatest(raw, F.lit(0)), F.lit(n - 1)).cast("int"))
 
 
 def round_down(x: ColumnLike, step: float) -> Column:

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tidemark.functions.columns import ColumnLike, clip, col
+from tidemark.functions.columns import ColumnLike, clip, col, ratio
 
 # -- fixed values -----------------------------------------------------------------------------------
 SECONDS_PER_YEAR = 31_557_600.0  # 365.25 days
@@ -83,7 +83,9 @@ def binary_d2(spot, strike, rate, sigma, seconds) -> Column:
     spread = sigma * F.sqrt(years)
     drift = (rate - 0.5 * sigma * sigma) * years
     return (
-        F.when(spread > 1e-10, F.try_divide(F.ln(spot / strike) + drift, spread))
+        F.when(spread.isNotNull() & (spot <= 0) & (strike > 0), F.lit(-1e10))
+        .when(spread.isNotNull() & (spot > 0) & (strike <= 0), F.lit(1e10))
+        .when(spread > 1e-10, F.try_divide(F.ln(ratio(spot, strike)) + drift, spread))
         .when(spread.isNotNull() & (spot > strike), F.lit(1e10))
         .when(spread.isNotNull() & (spot <= strike), F.lit(-1e10))
     )
@@ -164,7 +166,7 @@ def vanilla_price(spot, strike, rate, sigma, years, is_call) -> Column:
     """Black-Scholes price of a call or put."""
     spot, strike, rate, sigma, years = (col(c) for c in (spot, strike, rate, sigma, years))
     scale = sigma * F.sqrt(years)
-    d1 = (F.ln(spot / strike) + (rate + 0.5 * sigma * sigma) * years) / scale
+    d1 = F.try_divide(F.ln(ratio(spot, strike)) + (rate + 0.5 * sigma * sigma) * years, F.nullif(scale, F.lit(0.0)))
     sign = F.when(col(is_call), 1.0).otherwise(-1.0)
     return sign * (spot * norm_cdf(sign * d1) - strike * F.exp(-rate * years) * norm_cdf(sign * (d1 - scale)))
 

@@ -128,11 +128,11 @@ def deciles(df: DataFrame, p: str, y: str, ids: Sequence[str], bins: int = 10, r
     )
     whole = Window.partitionBy()  # at most `bins` rows
     upto = whole.orderBy("decile").rowsBetween(Window.unboundedPreceding, 0)
-    base = F.sum("positives").over(whole) / F.sum("n").over(whole)
+    base = C.ratio(F.sum("positives").over(whole), F.sum("n").over(whole))
     return binned.withColumns(
         {
-            "captured": F.sum("positives").over(upto) / F.sum("positives").over(whole),
-            "lift": F.col("rate") / base,
+            "captured": C.ratio(F.sum("positives").over(upto), F.sum("positives").over(whole)),
+            "lift": C.ratio("rate", base),
         }
     )
 
@@ -142,7 +142,7 @@ def information(df: DataFrame, x: str, y: str, rows_per_task: int = ROWS_PER_TAS
     pearson = df.agg(C.correlation(x, y).alias("pearson_ic"))
     both = attach(spearman(df, x, y, rows_per_task).withColumnRenamed("spearman", "spearman_ic"), pearson, [])
     rho = F.col("spearman_ic")
-    t = rho * F.sqrt((F.col("n") - 2) / (1 - rho * rho))
+    t = rho * F.sqrt(C.ratio(F.col("n") - 2, 1 - rho * rho))
     return both.withColumn("_t", F.abs(t)).withColumn("ic_pvalue", 2 * (1 - norm_cdf("_t"))).drop("_t")
 
 

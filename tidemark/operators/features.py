@@ -102,10 +102,10 @@ def _frame(df: DataFrame, keys, order, steps, before, rows_per_task, rows=None)
 def realized_volatility(df: DataFrame, keys, order, close: str = "close", windows: Sequence[int] = RV_WINDOWS,
                         rows_per_task: int = ROWS_PER_TASK, rows: int | None = None) -> DataFrame:
     """Annualised standard deviation of log returns per window, window ratios and term slope."""
-    c = F.col(close)
     steps = [
-        {"log_return": lambda w: F.ln(c / F.lag(close).over(w))},
-        {f"rv_{n}s": _scaled(rolling(F.stddev_samp, F.col("log_return"), n), math.sqrt(SECONDS_PER_YEAR / n)) for n in windows},
+        {"log_return": log_return(close)},
+        {f"rv_{n}s": rolling(F.stddev_samp, F.col("log_return"), n) for n in windows},
+        {f"rv_{n}s": F.col(f"rv_{n}s") * math.sqrt(SECONDS_PER_YEAR / n) for n in windows},
     ]
     out = _frame(df, keys, order, steps, max(windows), rows_per_task, rows)
     short, long = f"rv_{windows[0]}s", f"rv_{windows[-1]}s"
@@ -113,8 +113,9 @@ def realized_volatility(df: DataFrame, keys, order, close: str = "close", window
     return out.withColumns({**ratios, "rv_term_structure": C.ratio(F.col(long) - F.col(short), short)})
 
 
-def _scaled(column, factor: float):
-    return lambda w: column(w) * factor
+def log_return(price: str = "close"):
+    """Log of the price over the one before; null where either is not positive."""
+    return lambda w: F.ln(C.ratio(price, F.lag(price).over(w)))
 
 
 def momentum_and_range(df: DataFrame, keys, order, windows: Sequence[int] = MOMENTUM_WINDOWS,
@@ -125,17 +126,18 @@ def momentum_and_range(df: DataFrame, keys, order, windows: Sequence[int] = MOME
     def momentum(n):
         return lambda w: C.ratio(close - F.lag("close", n).over(w), F.lag("close", n).over(w))
 
-    def spread(n):
-        return lambda w: C.ratio(rolling(F.max, F.col("high"), n)(w) - rolling(F.min, F.col("low"), n)(w), close)
-
-    step = {f"momentum_{n}s": momentum(n) for n in windows} | {f"range_{n}s": spread(n) for n in ranges}
-    return _frame(df, keys, order, [step], max([*windows, *ranges]), rows_per_task)
+    ends = {f"_{side}{n}": rolling(f, F.col(c), n) for n in ranges for side, f, c in (("hi", F.max, "high"), ("lo", F.min, "low"))}
+    steps = [
+        {f"momentum_{n}s": momentum(n) for n in windows} | ends,
+        {f"range_{n}s": C.ratio(F.col(f"_hi{n}") - F.col(f"_lo{n}"), close) for n in ranges},
+    ]
+    return _frame(df, keys, order, steps, max([*windows, *ranges]), rows_per_task).drop(*ends)
 
 
 def jumps(df: DataFrame, keys, order, rv: str, sec: str, window: int, min_rows: int = 10,
           rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Returns beyond three times the per-second volatility: flag, intensity, count, mean signed size."""
-    step0 = {"log_return": lambda w: F.ln(F.col("close") / F.lag("close").over(w))}
+    step0 = {"log_return": log_return()}
     per_second = F.col(rv) / math.sqrt(SECONDS_PER_YEAR)
     flag = (F.abs("log_return") > JUMP_SIGMAS * per_second).cast("int")
     jumped = F.when(F.col("jump_detected") == 1, F.col("log_return")).otherwise(0.0)
@@ -155,7 +157,7 @@ def autocorrelations(df: DataFrame, keys, order, lags: Sequence[int], window: in
     """Rolling correlation of returns with lagged returns, its decay, and the 0.5 + 0.5 rho Hurst proxy."""
     ret = F.col("log_return")
     steps = [
-        {"log_return": lambda w: F.ln(F.col("close") / F.lag("close").over(w))},
+        {"log_return": log_return()},
         {f"_l{n}": (lambda n: lambda w: F.lag("log_return", n).over(w))(n) for n in lags},
         {f"autocorr_lag{n}": rolling_corr(ret, F.col(f"_l{n}"), window) for n in lags},
     ]
@@ -203,12 +205,13 @@ def asymmetry(df: DataFrame, keys, order, price: str, n: int, rows_per_task: int
     steps = [
         {"ret": lambda w: C.ratio(p, F.lag(price, n).over(w)) - 1},
         {
-            "downside_vol": lambda w: F.sqrt(rolling(F.avg, known(down), n)(w)),
-            "upside_vol": lambda w: F.sqrt(rolling(F.avg, known(up), n)(w)),
+            "downside_vol": rolling(F.avg, known(down), n),
+            "upside_vol": rolling(F.avg, known(up), n),
             "realized_skewness": rolling(F.skewness, ret, n),
             "_m4": rolling(F.avg, square * square, n),
             "_m2": rolling(F.avg, square, n),
         },
+        {name: F.sqrt(name) for name in ("downside_vol", "upside_vol")},
     ]
     out = _frame(df, keys, order, steps, 2 * n, rows_per_task)
     return out.withColumns(

@@ -44,6 +44,49 @@ class Running:
     value: Column | None = None
 
 
+@dataclass(frozen=True)
+class Moving:
+    """An aggregate of the last ``n`` rows, null until ``need`` values are known, in constant work per row.
+
+    Spark evaluates a sliding frame from scratch for every row.  Here rows are numbered into chunks of ``n``: a window
+    is the tail of one chunk plus the head of the next, both of which are growing frames.
+    """
+
+    kind: str  # sum, mean, std, max or min
+    value: Column
+    n: int
+    need: int
+
+    def pieces(self, window) -> Column:
+        x = self.value
+        frame = window.rowsBetween(FIRST, 0)
+        out = {"c": F.count(x)}
+        if self.kind in ("sum", "mean"):
+            out["s"] = F.sum(x)
+        elif self.kind == "std":
+            out |= {"m": F.avg(x), "v": F.var_pop(x)}
+        else:
+            out["x"] = {"max": F.max, "min": F.min}[self.kind](x)
+        return F.struct(*[agg.over(frame).alias(name) for name, agg in out.items()])
+
+    def combined(self, head: Column, tail: Column) -> Column:
+        c2 = F.coalesce(tail["c"], F.lit(0))
+        count = head["c"] + c2
+        if self.kind in ("sum", "mean"):
+            total = F.when(head["s"].isNull(), tail["s"]).when(tail["s"].isNull(), head["s"]).otherwise(head["s"] + tail["s"])
+            value = total if self.kind == "sum" else F.try_divide(total, count)
+        elif self.kind == "std":
+            apart = F.coalesce(head["m"] - tail["m"], F.lit(0.0))
+            square = (
+                head["c"] * F.coalesce(head["v"], F.lit(0.0)) + c2 * F.coalesce(tail["v"], F.lit(0.0))
+                + F.coalesce(F.try_divide(apart * apart * head["c"] * c2, count), F.lit(0.0))
+            )
+            value = F.when(count > 1, F.sqrt(F.try_divide(square, count - 1)))
+        else:
+            value = {"max": F.greatest, "min": F.least}[self.kind](head["x"], tail["x"])
+        return F.when(count >= self.need, value)
+
+
 def _same(names: Sequence[str], left: str, right: str) -> Column:
     condition = F.lit(True)
     for name in names:
@@ -122,8 +165,8 @@ class Series:
     def running(self, **exprs: Running) -> DataFrame:
         """Add one column per keyword, each over the whole series up to (or, for next, from) the row."""
         if self.small:
-            window = Window.partitionBy(*self.keys).orderBy(*self.order)
-            return self.df.withColumns({name: _over(e, window) for name, e in exprs.items()})
+            ways = _both_ways(self.keys, self.order)
+            return self.df.withColumns({name: _over(e, *ways) for name, e in exprs.items()})
 
         inputs = {f"_in_{name}": e.value for name, e in exprs.items() if e.value is not None}
         df = self.df.withColumns({**inputs, "_block": self._block()})
@@ -142,10 +185,10 @@ class Series:
         carries = carries.where("_blocks > 1").select(
             *self.keys, "_block", *[f"_carry_{name}" for name in exprs]
         )
-        local = Window.partitionBy(*self.keys, "_block").orderBy(*self.order)
+        ways = _both_ways([*self.keys, "_block"], self.order)
         df = df.withColumns(
             {
-                f"_local_{name}": _over(Running(e.kind, None if e.value is None else F.col(f"_in_{name}")), local)
+                f"_local_{name}": _over(Running(e.kind, None if e.value is None else F.col(f"_in_{name}")), *ways)
                 for name, e in exprs.items()
             }
         )
@@ -179,7 +222,7 @@ class Series:
         use the columns of earlier ones, so ``before`` is the sum of the depths.
         """
         if self.small:
-            return _apply(self.df, steps, Window.partitionBy(*self.keys).orderBy(*self.order))
+            return _apply(self.df, steps, self.keys, self.order)
 
         df = self.numbered().df
         size = max(self.rows_per_task, before + after + 1)
@@ -193,8 +236,8 @@ class Series:
             lambda copy: copy.isNotNull(),
         )
         df = df.select("*", F.inline(copies))
-        window = Window.partitionBy(*self.keys, "_block").orderBy("_rn")
-        return _apply(df, steps, window).where("_own").drop("_rn", "_block", "_own")
+        done = _apply(df, steps, [*self.keys, "_block"], ["_rn"])
+        return done.where("_own").drop("_rn", "_block", "_own")
 
     # -- exponentially weighted means -------------------------------------------------------------
 
@@ -261,14 +304,20 @@ def _ewm_groups(columns: Mapping[str, tuple[str, float]], rows_per_task: int) ->
 # -- pieces of the two phases ---------------------------------------------------------------------
 
 
-def _over(e: Running, window) -> Column:
+def _both_ways(keys: Sequence[str], order: Sequence[str]):
+    """The same partition in ascending and in exactly reversed order."""
+    part = Window.partitionBy(*keys)
+    return part.orderBy(*order), part.orderBy(*[F.col(o).desc() for o in order])
+
+
+def _over(e: Running, window, reverse) -> Column:
     upto = window.rowsBetween(FIRST, 0)
     if e.kind == "count":
         return F.count(F.lit(1) if e.value is None else e.value).over(upto)
     if e.kind == "last":
         return F.last(e.value, ignorenulls=True).over(upto)
-    if e.kind == "next":
-        return F.first(e.value, ignorenulls=True).over(window.rowsBetween(0, LAST))
+    if e.kind == "next":  # in reversed order the frame only grows; one that shrinks is recomputed per row
+        return F.last(e.value, ignorenulls=True).over(reverse.rowsBetween(FIRST, 0))
     if e.kind == "after":
         return F.lead(e.value).over(window)
     if e.kind == "total":
@@ -319,18 +368,48 @@ def _combine(kind: str, carry: Column, local: Column) -> Column:
     return F.coalesce(local, carry)
 
 
-def _apply(df: DataFrame, steps, window) -> DataFrame:
+def _apply(df: DataFrame, steps, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    window = Window.partitionBy(*keys).orderBy(*order)
     for step in steps:
-        df = df.withColumns({name: f(window) if callable(f) else f for name, f in step.items()})
+        moving = {name: f for name, f in step.items() if isinstance(f, Moving)}
+        plain = {name: f for name, f in step.items() if name not in moving}
+        if plain:
+            df = df.withColumns({name: f(window) if callable(f) else f for name, f in plain.items()})
+        for n in sorted({m.n for m in moving.values()}):
+            df = _move(df, {name: m for name, m in moving.items() if m.n == n}, n, keys, order, window)
     return df
 
 
+def _move(df: DataFrame, items: Mapping[str, Moving], n: int, keys: Sequence[str], order: Sequence[str], window) -> DataFrame:
+    """Tail of the chunk before and head of the own chunk, for windows of one length."""
+    columns = df.columns
+    df = df.withColumn("_pos", F.row_number().over(window) - 1).withColumn("_chunk", F.floor(F.col("_pos") / n))
+    ahead, back = _both_ways([*keys, "_chunk"], order)
+    df = df.withColumns({f"_head_{name}": m.pieces(ahead) for name, m in items.items()})
+    df = df.withColumns({f"_tail_{name}": m.pieces(back) for name, m in items.items()})
+    # A window that is exactly its chunk has no tail.
+    partial = F.col("_pos") % n < n - 1
+    df = df.withColumns({f"_tail_{name}": F.when(partial, F.lag(f"_tail_{name}", n - 1).over(window)) for name in items})
+    return df.select(
+        *columns, *[m.combined(F.col(f"_head_{name}"), F.col(f"_tail_{name}")).alias(name) for name, m in items.items()]
+    )
+
+
+MOVING_ROWS = 128  # from this length on a sliding frame costs more than two growing ones
+_MOVING_KINDS = {F.sum: "sum", F.avg: "mean", F.stddev_samp: "std", F.max: "max", F.min: "min"}
+
+
 # -- column helpers for finite frames -------------------------------------------------------------
 
 
 def rolling(agg: Callable[[Column], Column], value: Column, n: int, min_rows: int | None = None):
-    """Aggregate of the last ``n`` rows, null until ``min_rows`` (default ``n``) values are known."""
+    """Aggregate of the last ``n`` rows, null until ``min_rows`` (default ``n``) values are known.
+
+    A step value for ``Series.frames``; long windows of common aggregates become ``Moving``.
+    """
     need = n if min_rows is None else min_rows
+    if n >= MOVING_ROWS and agg in _MOVING_KINDS:
+        return Moving(_MOVING_KINDS[agg], value, n, need)
 
     def column(window) -> Column:
         frame = window.rowsBetween(-(n - 1), 0)

@@ -199,13 +199,13 @@ avg_holding_time_per_market_hours pnl_std_dev largest_win largest_loss profit_fa
 
 @query(
     "d15_trader_rollup",
-    with_(POSITIONS, STATS) + "SELECT * REPLACE (" + ", ".join(f"round({c}, 7) AS {c}" for c in STAT_DOUBLES) + ") FROM stats",
+    with_(POSITIONS, STATS) + "SELECT * REPLACE (" + ", ".join(f"round({c}, 9) AS {c}" for c in STAT_DOUBLES) + ") FROM stats",
 )
 def rollup(spark, sf):
     t = trades(spark, sf)
     bound = table(spark, sf, "lineitem").count()  # positions are at most as many as trades
     p = pos.positions(pos.with_markets(t, markets(spark, sf)).where("market_closed"))
-    return rounded(pos.trader_statistics(p, rows=bound), 7)
+    return rounded(pos.trader_statistics(p, rows=bound), 9)
 
 
 @query(

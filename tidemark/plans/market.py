@@ -46,9 +46,9 @@ def roll(fn, x, n, need=None):
     return f"CASE WHEN count({x}) OVER {w} >= {need or n} THEN {fn}({x}) OVER {w} END"
 
 
-@query("i01_filled_bars", with_(filled_sql(300)) + "SELECT * REPLACE (round(vwap, 8) AS vwap) FROM hb")
+@query("i01_filled_bars", with_(filled_sql(300)) + "SELECT * REPLACE (round(vwap, 11) AS vwap) FROM hb")
 def filled(spark, sf):
-    return filled_bars(spark, sf, 300).withColumn("vwap", r("vwap", 8))
+    return filled_bars(spark, sf, 300).withColumn("vwap", r("vwap", 11))
 
 
 @query("i02_first_trade_per_step", with_(TICKS) + "SELECT symbol, sec // 60 * 60 AS minute, arg_min(price, (ts_us, id)) AS price, arg_min(id, (ts_us, id)) AS id FROM ticks GROUP BY 1, 2")
@@ -303,7 +303,7 @@ carried AS (SELECT open_time, sec, s, first_value(s) OVER w2 AS strike, last_val
   FROM full_ WINDOW w AS (PARTITION BY open_time ORDER BY sec ROWS UNBOUNDED PRECEDING), w2 AS (PARTITION BY open_time ORDER BY sec ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
 priced AS (SELECT open_time, carried.sec, s, strike, CAST(s_close > strike AS INTEGER) AS outcome, carried.sec - at_ AS age, open_time + 900 - carried.sec AS left_, rate, CASE WHEN carried.sec - at_ <= 300 THEN (iv_bid + iv_ask) / 2 END AS sigma FROM carried LEFT JOIN daily ON carried.sec // 86400 = day),
 dd AS (SELECT *, left_ / 31557600.0e0 AS t, CASE WHEN sigma IS NULL THEN NULL WHEN sigma * sqrt(left_ / 31557600.0e0) > 1e-10 THEN (ln(s / strike) + (rate - 0.5e0 * sigma * sigma) * (left_ / 31557600.0e0)) / nullif(sigma * sqrt(left_ / 31557600.0e0), 0) WHEN s > strike THEN 1e10 ELSE -1e10 END AS d2 FROM priced),
-pg AS (SELECT *, CASE WHEN d2 IS NOT NULL THEN exp(-rate * t) * """ + cdf_sql("d2") + """ END AS prob_mid FROM dd)"""
+pg AS (SELECT *, CASE WHEN d2 IS NOT NULL AND NOT isnan(d2) THEN exp(-rate * t) * """ + cdf_sql("d2") + """ END AS prob_mid FROM dd)"""
 
 
 def grid_iv(spark, sf):
@@ -377,7 +377,7 @@ def greek_transforms(spark, sf):
 @query(
     "i20_moneyness_features",
     with_(TICKS) + """, m AS (SELECT id, sec, user_id, price / 50.0e0 AS m FROM ticks)
-    SELECT id, round(ln(m), 9) AS log_moneyness, round((m - 1) * (m - 1), 8) AS moneyness_squared, round((m - 1) * (m - 1) * (m - 1), 10) AS moneyness_cubed, round((m - avg(m) OVER (PARTITION BY sec // 604800)) / (stddev_samp(m) OVER (PARTITION BY sec // 604800) + 1e-10), 6) AS standardized_moneyness,
+    SELECT id, CASE WHEN m > 0 THEN round(ln(m), 9) END AS log_moneyness, round((m - 1) * (m - 1), 8) AS moneyness_squared, round((m - 1) * (m - 1) * (m - 1), 10) AS moneyness_cubed, round((m - avg(m) OVER (PARTITION BY sec // 604800)) / (stddev_samp(m) OVER (PARTITION BY sec // 604800) + 1e-10), 6) AS standardized_moneyness,
     round((m - 1) * (user_id * 6), 6) AS moneyness_x_time, round(abs(m - 1), 9) AS moneyness_distance, round(dense_rank() OVER (PARTITION BY sec // 86400 ORDER BY m) / count(*) OVER (PARTITION BY sec // 86400), 9) AS moneyness_percentile FROM m""",
 )
 def moneyness(spark, sf):
@@ -475,7 +475,7 @@ def ema_crosses(spark, sf):
 
 @query(
     "i27_drawdown_runup",
-    with_(HB) + f"""SELECT symbol, sec, max(high) OVER w AS window_high, round((max(high) OVER w - close) * 100 / max(high) OVER w, 8) AS drawdown_from_high, round((close - min(low) OVER w) * 100 / min(low) OVER w, 6) AS runup_from_low,
+    with_(HB) + f"""SELECT symbol, sec, max(high) OVER w AS window_high, round((max(high) OVER w - close) * 100 / max(high) OVER w, 8) AS drawdown_from_high, round((close - min(low) OVER w) * 100 / nullif(min(low) OVER w, 0), 6) AS runup_from_low,
     sec - arg_max(sec, (high, sec)) OVER w AS time_since_high, sec - arg_min(sec, (low, -sec)) OVER w AS time_since_low FROM hb WINDOW w AS ({SW} ROWS 23 PRECEDING)""",
 )
 def drawdown_runup(spark, sf):
@@ -532,16 +532,16 @@ def term_smile(spark, sf):
 
 
 DEPTH = """dep AS (SELECT *, (bid_price_0 + ask_price_0) / 2 AS mid_price, bid_amount_0 + bid_amount_1 + bid_amount_2 + bid_amount_3 + bid_amount_4 AS tb, ask_amount_0 + ask_amount_1 + ask_amount_2 + ask_amount_3 + ask_amount_4 AS ta FROM books),
-feat AS (SELECT symbol, ts_us, id, (ask_price_0 - bid_price_0) * 10000 / mid_price AS spread_bps, (tb - ta) / (tb + ta) AS depth_imbalance,
+feat AS (SELECT symbol, ts_us, id, (ask_price_0 - bid_price_0) * 10000 / nullif(mid_price, 0) AS spread_bps, (tb - ta) / (tb + ta) AS depth_imbalance,
   (""" + " + ".join(f"{s}_price_{i} * {s}_amount_{i}" for s in ("bid", "ask") for i in range(5)) + """) / (tb + ta) AS wmid, (bid_amount_0 - ask_amount_0) / (bid_amount_0 + ask_amount_0) AS imb, bid_amount_0 / tb AS br FROM dep)"""
 
 
 @query(
     "i32_book_depth_features",
     "WITH RECURSIVE " + TICKS + ", " + levels_sql() + ", " + DEPTH + """, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts_us, id) AS i FROM feat),
-    e(symbol, i, a, da) AS (SELECT symbol, i, spread_bps, 1.0e0 FROM n WHERE i = 1 UNION ALL SELECT e.symbol, n.i, n.spread_bps + a * (1 - 2.0e0 / 61), 1 + da * (1 - 2.0e0 / 61) FROM e JOIN n ON n.symbol = e.symbol AND n.i = e.i + 1)
+    e(symbol, i, a, da) AS (SELECT symbol, i, coalesce(spread_bps, 0), CASE WHEN spread_bps IS NULL THEN 0.0e0 ELSE 1.0e0 END FROM n WHERE i = 1 UNION ALL SELECT e.symbol, n.i, coalesce(n.spread_bps, 0) + a * (1 - 2.0e0 / 61), CASE WHEN n.spread_bps IS NULL THEN 0 ELSE 1 END + da * (1 - 2.0e0 / 61) FROM e JOIN n ON n.symbol = e.symbol AND n.i = e.i + 1)
     SELECT id, round(spread_bps, 7) AS bid_ask_spread_bps, round(depth_imbalance, 9) AS depth_imbalance, round(wmid, 8) AS weighted_mid_price, round(imb, 9) AS bid_ask_imbalance, round(br, 9) AS bid_volume_ratio, round(a / da, 6) AS spread_ema_60s,
-    CASE WHEN count(*) OVER w >= 60 THEN round(stddev_samp(spread_bps) OVER w, 5) END AS spread_vol_60s FROM n JOIN e USING (symbol, i) WINDOW w AS (PARTITION BY symbol ORDER BY ts_us, id ROWS 59 PRECEDING)""",
+    CASE WHEN count(spread_bps) OVER w >= 60 THEN round(stddev_samp(spread_bps) OVER w, 5) END AS spread_vol_60s FROM n JOIN e USING (symbol, i) WINDOW w AS (PARTITION BY symbol ORDER BY ts_us, id ROWS 59 PRECEDING)""",
 )
 def depth_features(spark, sf):
     b = feat.with_steps(books(spark, sf), feat.book_columns())

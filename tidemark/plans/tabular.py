@@ -395,13 +395,13 @@ def membership(spark, sf):
 
 @query(
     "b07_scrub_infinities",
-    with_(TICKS) + """SELECT id, CASE WHEN k = 0 OR k % 9 = 0 THEN NULL ELSE round(ln(price / k), 6) END AS log_ratio,
+    with_(TICKS) + """SELECT id, CASE WHEN k = 0 OR k % 9 = 0 THEN NULL WHEN price <= 0 THEN NULL ELSE round(ln(price / k), 8) END AS log_ratio,
     k % 9 = 0 AND k <> 0 AS was_nan, k = 0 AS was_inf FROM ticks""",
 )
 def scrub(spark, sf):
     raw = F.when(F.col("k") == 0, float("inf")).when(F.col("k") % 9 == 0, float("nan")).otherwise(F.ln(F.col("price") / F.nullif("k", F.lit(0))))
     return ticks(spark, sf).withColumn("raw", raw).select(
-        "id", r(C.scrub("raw")).alias("log_ratio"), F.isnan("raw").alias("was_nan"), (F.abs("raw") == float("inf")).alias("was_inf")
+        "id", r(C.scrub("raw"), 8).alias("log_ratio"), F.coalesce(F.isnan("raw"), F.lit(False)).alias("was_nan"), F.coalesce(F.abs("raw") == float("inf"), F.lit(False)).alias("was_inf")
     )
 
 
@@ -548,14 +548,14 @@ def daily_rates(spark, sf):
 @query(
     "c01_left_time_join",
     """WITH d AS (SELECT o_orderdate AS t, avg(o_totalprice) AS spot FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1)
-    SELECT l_orderkey, l_linenumber, l_partkey, round(spot, 4) AS spot FROM lineitem LEFT JOIN d ON l_shipdate = t""",
+    SELECT l_orderkey, l_linenumber, l_partkey, round(spot, 8) AS spot FROM lineitem LEFT JOIN d ON l_shipdate = t""",
 )
 def left_time(spark, sf):
     spot = table(spark, sf, "orders").where("o_orderkey % 5 = 0").groupBy(F.col("o_orderdate").alias("l_shipdate")).agg(
         F.avg("o_totalprice").alias("spot")
     )
     lines = table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_shipdate")
-    return joins.lookup(lines, spot, ["l_shipdate"]).select("l_orderkey", "l_linenumber", "l_partkey", r("spot", 4).alias("spot"))
+    return joins.lookup(lines, spot, ["l_shipdate"]).select("l_orderkey", "l_linenumber", "l_partkey", r("spot", 8).alias("spot"))
 
 
 @query(

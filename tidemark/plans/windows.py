@@ -31,15 +31,15 @@ def lag_lead(spark, sf):
 
 @query(
     "e02_differences",
-    with_(TICKS) + f"SELECT id, round(price - lag(price) OVER w, 6) AS diff, round(ln(price / lag(price) OVER w), 9) AS log_return, sign(price - lag(price) OVER w)::DOUBLE AS direction FROM ticks WINDOW w AS {W}",
+    with_(TICKS) + f"SELECT id, round(price - lag(price) OVER w, 6) AS diff, CASE WHEN price > 0 AND lag(price) OVER w > 0 THEN round(ln(price / lag(price) OVER w), 9) END AS log_return, sign(price - lag(price) OVER w)::DOUBLE AS direction FROM ticks WINDOW w AS {W}",
 )
 def differences(spark, sf):
     p = F.col("price")
     out = tape(spark, sf).frames({"_p": lag("price")}, before=1)
-    return out.select("id", r(p - F.col("_p")).alias("diff"), r(F.ln(p / F.col("_p")), 9).alias("log_return"), F.signum(p - F.col("_p")).alias("direction"))
+    return out.select("id", r(p - F.col("_p")).alias("diff"), r(F.ln(C.ratio(p, "_p")), 9).alias("log_return"), F.signum(p - F.col("_p")).alias("direction"))
 
 
-@query("e03_percent_change", with_(TICKS) + f"SELECT id, round(price / lag(price, 3) OVER w - 1, 9) AS pct3 FROM ticks WINDOW w AS {W}")
+@query("e03_percent_change", with_(TICKS) + f"SELECT id, round(price / nullif(lag(price, 3) OVER w, 0) - 1, 9) AS pct3 FROM ticks WINDOW w AS {W}")
 def percent_change(spark, sf):
     return tape(spark, sf).frames({"_p": lag("price", 3)}, before=3).select("id", r(C.ratio("price", "_p") - 1, 9).alias("pct3"))
 
@@ -124,14 +124,14 @@ def rolling_autocorrelation(spark, sf):
 @query(
     "e10_rolling_quantile",
     with_(TICKS) + """, h AS (SELECT symbol, sec // 3600 AS hour, avg(price) AS x FROM ticks GROUP BY 1, 2)
-    SELECT symbol, hour, round(quantile_cont(x, 0.33) OVER w, 8) AS q33, round(quantile_cont(x, 0.67) OVER w, 8) AS q67, round(quantile_cont(x, 0.95) OVER w, 8) AS q95 FROM h
+    SELECT symbol, hour, round(quantile_cont(x, 0.33) OVER w, 11) AS q33, round(quantile_cont(x, 0.67) OVER w, 11) AS q67, round(quantile_cont(x, 0.95) OVER w, 11) AS q95 FROM h
     WINDOW w AS (PARTITION BY symbol ORDER BY hour RANGE BETWEEN 167 PRECEDING AND CURRENT ROW)""",
 )
 def rolling_quantile(spark, sf):
     h = ticks(spark, sf).groupBy("symbol", F.floor(F.col("sec") / 3600).alias("hour")).agg(F.avg("price").alias("x"))
     from tidemark.operators.features import rolling_time_quantiles
 
-    return rounded(rolling_time_quantiles(h, ["symbol"], "hour", "x", 168, {"q33": 0.33, "q67": 0.67, "q95": 0.95}).drop("x"), 8)
+    return rounded(rolling_time_quantiles(h, ["symbol"], "hour", "x", 168, {"q33": 0.33, "q67": 0.67, "q95": 0.95}).drop("x"), 11)
 
 
 EMA = """num AS (SELECT symbol, id, price, row_number() OVER (PARTITION BY symbol ORDER BY ts_us, id) AS i FROM ticks),

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 import math
+import os
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tidemark.functions.columns import correlation
 
-ROWS_PER_TASK = 1_000_000
+ROWS_PER_TASK = int(os.environ.get("TIDEMARK_ROWS_PER_TASK", 1_000_000))  # lowered to test the blocked paths
 MAX_CUTS = 4096  # also bounds what the driver holds and what `running` broadcasts
 SAMPLE_PER_CUT = 50
 
@@ -169,12 +170,12 @@ class Series:
             return self.df.withColumns({name: _over(e, *ways) for name, e in exprs.items()})
 
         inputs = {f"_in_{name}": e.value for name, e in exprs.items() if e.value is not None}
-        df = self.df.withColumns({**inputs, "_block": self._block()})
+        df = self.df.withColumns({**inputs, "__block": self._block()})
         ordering = F.struct(*self.order)
-        summary = df.groupBy(*self.keys, "_block").agg(
+        summary = df.groupBy(*self.keys, "__block").agg(
             *[_summary(name, e, ordering) for name, e in exprs.items()]
         )
-        by_block = Window.partitionBy(*self.keys).orderBy("_block")
+        by_block = Window.partitionBy(*self.keys).orderBy("__block")
         carries = summary.withColumns(
             {
                 **{f"_carry_{name}": _carry(name, e, by_block) for name, e in exprs.items()},
@@ -183,16 +184,16 @@ class Series:
         )
         # Only series that span a cut need a carry: at most two rows per cut point.
         carries = carries.where("_blocks > 1").select(
-            *self.keys, "_block", *[f"_carry_{name}" for name in exprs]
+            *self.keys, "__block", *[f"_carry_{name}" for name in exprs]
         )
-        ways = _both_ways([*self.keys, "_block"], self.order)
+        ways = _both_ways([*self.keys, "__block"], self.order)
         df = df.withColumns(
             {
                 f"_local_{name}": _over(Running(e.kind, None if e.value is None else F.col(f"_in_{name}")), *ways)
                 for name, e in exprs.items()
             }
         )
-        names = self.keys + ["_block"]
+        names = self.keys + ["__block"]
         joined = df.alias("l").join(F.broadcast(carries.alias("r")), _same(names, "l", "r"), "left")
         return joined.select(
             *[F.col(f"l.{name}") for name in self.df.columns],
@@ -202,7 +203,7 @@ class Series:
             ],
         )
 
-    def numbered(self, name: str = "_rn") -> "Series":
+    def numbered(self, name: str = "__rn") -> "Series":
         """Add the zero-based position of each row inside its series."""
         return self._with(
             self.running(**{name: Running("count")}).withColumn(name, F.col(name) - 1)
@@ -226,18 +227,18 @@ class Series:
 
         df = self.numbered().df
         size = max(self.rows_per_task, before + after + 1)
-        block, offset = F.floor(F.col("_rn") / size), F.col("_rn") % size
+        block, offset = F.floor(F.col("__rn") / size), F.col("__rn") % size
         copies = F.filter(
             F.array(
-                F.struct(block.alias("_block"), F.lit(True).alias("_own")),
-                F.when(offset >= size - before, F.struct((block + 1).alias("_block"), F.lit(False).alias("_own"))),
-                F.when(offset < after, F.struct((block - 1).alias("_block"), F.lit(False).alias("_own"))),
+                F.struct(block.alias("__block"), F.lit(True).alias("__own")),
+                F.when(offset >= size - before, F.struct((block + 1).alias("__block"), F.lit(False).alias("__own"))),
+                F.when(offset < after, F.struct((block - 1).alias("__block"), F.lit(False).alias("__own"))),
             ),
             lambda copy: copy.isNotNull(),
         )
         df = df.select("*", F.inline(copies))
-        done = _apply(df, steps, [*self.keys, "_block"], ["_rn"])
-        return done.where("_own").drop("_rn", "_block", "_own")
+        done = _apply(df, steps, [*self.keys, "__block"], ["__rn"])
+        return done.where("__own").drop("__rn", "__block", "__own")
 
     # -- exponentially weighted means -------------------------------------------------------------
 
@@ -251,25 +252,25 @@ class Series:
         df = self.numbered().df
         for size, group in _ewm_groups(columns, self.rows_per_task):
             df = self._ewm_group(df, size, group)
-        return df.drop("_rn")
+        return df.drop("__rn")
 
     def _ewm_group(self, df: DataFrame, size: int, group: Mapping[str, tuple[str, float]]) -> DataFrame:
         """Columns that share a block size: one window pass and at most one join for the carries."""
         columns = df.columns
-        df = df.withColumns({"_blk": F.floor(F.col("_rn") / size), "_off": F.col("_rn") % size})
-        window = Window.partitionBy(*self.keys, "_blk").orderBy("_rn").rowsBetween(FIRST, 0)
+        df = df.withColumns({"__blk": F.floor(F.col("__rn") / size), "__off": F.col("__rn") % size})
+        window = Window.partitionBy(*self.keys, "__blk").orderBy("__rn").rowsBetween(FIRST, 0)
         local, ends = {}, []
         for name, (value, rate) in group.items():
-            x, grow = F.col(value).cast("double"), F.exp(F.col("_off") * rate)
-            fade = F.exp((F.col("_off") - (size - 1)) * rate)
+            x, grow = F.col(value).cast("double"), F.exp(F.col("__off") * rate)
+            fade = F.exp((F.col("__off") - (size - 1)) * rate)
             local[f"_num_{name}"] = F.sum(x * grow).over(window) / grow
             local[f"_den_{name}"] = F.sum(F.when(x.isNotNull(), grow)).over(window) / grow
             ends += [F.sum(x * fade).alias(f"_num_in_{name}"), F.sum(F.when(x.isNotNull(), fade)).alias(f"_den_in_{name}")]
         out = df.withColumns(local)
         if self.rows > size:
-            carry = df.groupBy(*self.keys, (F.col("_blk") + 1).alias("_blk")).agg(*ends)
-            out = out.alias("l").join(carry.alias("r"), _same(self.keys + ["_blk"], "l", "r"), "left")
-            decay = {n: F.exp(-(F.col("l._off") + 1) * rate) for n, (_, rate) in group.items()}
+            carry = df.groupBy(*self.keys, (F.col("__blk") + 1).alias("__blk")).agg(*ends)
+            out = out.alias("l").join(carry.alias("r"), _same(self.keys + ["__blk"], "l", "r"), "left")
+            decay = {n: F.exp(-(F.col("l.__off") + 1) * rate) for n, (_, rate) in group.items()}
             part = {
                 side: {n: _zero(F.col(f"l._{side}_{n}")) + _zero(F.col(f"r._{side}_in_{n}") * decay[n]) for n in group}
                 for side in ("num", "den")
@@ -383,12 +384,12 @@ def _apply(df: DataFrame, steps, keys: Sequence[str], order: Sequence[str]) -> D
 def _move(df: DataFrame, items: Mapping[str, Moving], n: int, keys: Sequence[str], order: Sequence[str], window) -> DataFrame:
     """Tail of the chunk before and head of the own chunk, for windows of one length."""
     columns = df.columns
-    df = df.withColumn("_pos", F.row_number().over(window) - 1).withColumn("_chunk", F.floor(F.col("_pos") / n))
-    ahead, back = _both_ways([*keys, "_chunk"], order)
+    df = df.withColumn("__pos", F.row_number().over(window) - 1).withColumn("__chunk", F.floor(F.col("__pos") / n))
+    ahead, back = _both_ways([*keys, "__chunk"], order)
     df = df.withColumns({f"_head_{name}": m.pieces(ahead) for name, m in items.items()})
     df = df.withColumns({f"_tail_{name}": m.pieces(back) for name, m in items.items()})
     # A window that is exactly its chunk has no tail.
-    partial = F.col("_pos") % n < n - 1
+    partial = F.col("__pos") % n < n - 1
     df = df.withColumns({f"_tail_{name}": F.when(partial, F.lag(f"_tail_{name}", n - 1).over(window)) for name in items})
     return df.select(
         *columns, *[m.combined(F.col(f"_head_{name}"), F.col(f"_tail_{name}")).alias(name) for name, m in items.items()]

@@ -165,7 +165,7 @@ class Series:
 
     def running(self, **exprs: Running) -> DataFrame:
         """Add one column per keyword, each over the whole series up to (or, for next, from) the row."""
-        if self.small:
+        if self.small or not self.cuts:  # a bound may exceed the true size by far
             ways = _both_ways(self.keys, self.order)
             return self.df.withColumns({name: _over(e, *ways) for name, e in exprs.items()})
 

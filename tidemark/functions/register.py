@@ -7,12 +7,13 @@ import pandas as pd
 from pyspark.sql import SparkSession, functions as F, types as T
 
 from tidemark.functions import pricing
+from tidemark.functions.pricing import norm_cdf_array
 
 
 @F.pandas_udf(T.DoubleType())
 def normal_cdf_batch(x: pd.Series) -> pd.Series:
     """Normal distribution function over Arrow batches; the Column form is the one to use."""
-    return pd.Series(pricing.norm_cdf_array(x.to_numpy(np.float64)))
+    return pd.Series(norm_cdf_array(x.to_numpy(np.float64)))
 
 
 def _polynomial(coefficients, x: str) -> str:

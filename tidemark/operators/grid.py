@@ -98,15 +98,14 @@ def fill_grid(
     exprs = {f"_f_{c}": Running("last", F.col(c)) for c in columns}
     exprs["_next"] = Running("after", F.col(sec))
     exprs["_at"] = Running("last", F.when(F.col("_seen"), F.col(sec)))
-    series = Series(seen, keys, [sec, "_seen"], rows_per_task)
-    known = series.running(**exprs)
+    known = Series(seen, keys, [sec, "_seen"], rows_per_task).running(**exprs)
     stop = F.coalesce(F.col("_next"), F.col(sec) + step if end is None else F.lit(end))
     cells = known.withColumn("_stop", stop).where(F.col("_stop") > F.col(sec))
     days = cells.withColumn("_from", F.explode(F.sequence(F.col(sec), F.col("_stop") - step, F.lit(CHUNK * step))))
     upto = F.least(F.col("_stop"), F.col("_from") + CHUNK * step) - step
-    if series.small:  # few rows can stand for many cells: spread them before they are written out
-        parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        days = days.repartition(parts, *keys, sec, "_from")
+    # A row may stand for many cells: spread rows and days over the tasks before they are written out.
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    days = days.repartition(parts, *keys, sec, "_from")
     cells = days.withColumn("_cell", F.explode(F.sequence(F.col("_from"), upto, F.lit(step))))
     own = F.col("_seen") & (F.col("_cell") == F.col(sec))
     age = F.col("_cell") - F.col("_at")

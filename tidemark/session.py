@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pathlib
 import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,16 +64,3 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below the shared one, for tables written inside a job."""
     return f"{checkpoint_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
 
-
-def ship_package(spark: SparkSession, root: str) -> None:
-    """Send this package to the Python workers once per session."""
-    context = spark.sparkContext
-    if getattr(context, "_tidemark_shipped", False):
-        return
-    folder = tempfile.mkdtemp(prefix="tidemark-package-")  # read by the driver only, which serves it
-    archive = f"{folder}/tidemark.zip"
-    with zipfile.ZipFile(archive, "w") as out:
-        for path in sorted(pathlib.Path(root, "tidemark").rglob("*.py")):
-            out.write(path, path.relative_to(root))
-    context.addPyFile(archive)
-    context._tidemark_shipped = True

@@ -113,24 +113,28 @@ def pricing_grid(
     expiry``; rates: ``day, r``.  The volatility is the nearest expiry after the close, carried at most ``max_age``
     seconds inside the contract; the strike is the price at the open, the outcome compares the last price with it.
     """
-    cells = contracts.select("open_time", "close_time").withColumn(
-        "sec", F.explode(F.sequence(F.col("open_time"), F.col("close_time") - 1))
-    )
-    at = iv.select("sec").distinct()
-    quoted = joins.interval_lookup(at, "sec", contracts.select("open_time", "close_time"), "open_time", "close_time", length)
+    periods = contracts.select("open_time", "close_time")
+    cells = periods.withColumn("sec", F.explode(F.sequence(F.col("open_time"), F.col("close_time") - 1)))
+    at = joins.interval_lookup(iv.select("sec").distinct(), "sec", periods, "open_time", "close_time", length)
     best = joins.closest_eligible(
-        quoted.where("open_time is not null"), iv, ["sec"], "expiry", "qid", F.col("expiry") > F.col("close_time"),
-        ["sec", "open_time"], ["iv_bid", "iv_ask"],
+        at.where("open_time is not null"), iv, ["sec"], "expiry", "qid", F.col("expiry") > F.col("close_time"),
+        ["sec", "open_time", "close_time"], ["iv_bid", "iv_ask"],
+    )
+    prices = joins.interval_lookup(spot.select("sec", "S"), "sec", periods, "open_time", "close_time", length)
+    # Cells, prices and quotes meet in one shuffle by contract, which also serves the windows below.
+    keys = ["open_time", "close_time", "sec"]
+    parts = cells.unionByName(prices.where("open_time is not null"), allowMissingColumns=True).unionByName(
+        best.select(*keys, F.col("sec").alias("_at"), "iv_bid", "iv_ask"), allowMissingColumns=True
     )
-    full = cells.join(spot, "sec", "left").join(
-        best.select("sec", "open_time", F.struct(F.col("sec").alias("at"), "iv_bid", "iv_ask").alias("_iv")),
-        ["sec", "open_time"], "left",
+    count = int(spot.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    full = parts.repartition(count, "open_time").groupBy(*keys).agg(
+        *[F.max(c).alias(c) for c in ("S", "_at", "iv_bid", "iv_ask")]  # one row of each kind per cell
     )
     # A contract has `length` rows, so windows inside it are bounded by construction.
     inside = Window.partitionBy("open_time").orderBy("sec")
     filled = full.withColumns(
         {
-            "_iv": F.last("_iv", True).over(inside),
+            "_iv": F.last(F.when(F.col("_at").isNotNull(), F.struct(F.col("_at").alias("at"), "iv_bid", "iv_ask")), True).over(inside),
             "K": F.first("S").over(inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
             "S_close": F.last("S").over(inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
         }

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.parquet.inferTimestampNTZ.enabled": "false",
+    # The JVM does not compile methods above 8000 bytes: wide pricing and feature stages run faster split up.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bitplanes, packing
-from tidemark.llm.shared import table
+from tidemark.llm import bitplanes, language, packing, pii
+from tidemark.llm.shared import crc_mod, table
 from tidemark.session import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,3 +31,15 @@ def op2_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in windows of 2048 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), window=2048, end_id=1)
+
+
+@query
+def op7_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    return language.identify(table(spark, sf_dir, "documents"), held_out=crc_mod("doc_id", 5) == 0)
+
+
+@query
+def op9_boosted_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document."""
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))

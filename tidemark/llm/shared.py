@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import sys
 import types
+import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +48,13 @@ def per_worker(key: object, make: Callable[[], object]) -> object:
     return store[key]
 
 
+def shared_object(spark: SparkSession, value: object) -> Callable[[], object]:
+    """Broadcast a bounded object; the function returned gives it to tasks, unpacked once per worker."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    name = uuid.uuid4().hex
+    return lambda: per_worker(("shared", name), lambda: cloudpickle.loads(sent.value))
+
+
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """Finalising mixer over unsigned 64-bit values; a bijection for every seed."""
     with np.errstate(over="ignore"):

@@ -39,13 +39,10 @@ def pack_planes(ids: np.ndarray, block: int, kind: str = "bit", level: int = 3)
     planes = bits if kind == "bit" else (bits + 7) // 8
     packed = []
     for lo in range(0, ids.size, block):
-        part = np.ascontiguousarray(ids[lo : lo + block], "<u4").view(np.uint8).reshape(-1, 4)
-        if kind == "bit":
-            part = np.packbits(np.unpackbits(part.T[: (bits + 7) // 8].copy()[:, :, None], axis=2, bitorder="little").transpose(0, 2, 1)
-                               .reshape(-1, part.shape[0])[:planes], axis=1)
-        else:
-            part = part.T[:planes]
-        packed += [compress(np.ascontiguousarray(row).tobytes()) for row in part]
+        part = ids[lo : lo + block]
+        for p in range(planes):
+            plane = np.packbits((part >> p & 1).astype(np.uint8)) if kind == "bit" else (part >> 8 * p & 255).astype(np.uint8)
+            packed.append(compress(plane.tobytes()))
     return planes, [len(p) for p in packed], b"".join(packed)
 
 
@@ -54,23 +51,17 @@ def unpack_planes(payload: bytes, sizes: list[int], n_ids: int, planes: int, blo
     import zstandard
 
     decompress = zstandard.ZstdDecompressor().decompress
-    out, at, k = np.zeros(n_ids, "<u4"), 0, 0
+    out, at, size = np.zeros(n_ids, "<u4"), 0, iter(sizes)
     for lo in range(0, n_ids, block):
-        n = min(block, n_ids - lo)
-        rows = []
-        for size in sizes[k : k + planes]:
-            rows.append(np.frombuffer(decompress(payload[at : at + size]), np.uint8))
-            at += size
-        k += planes
-        if kind == "bit":
-            bits = np.unpackbits(np.stack(rows), axis=1)[:, :n]
-            full = np.zeros((32, n), np.uint8)
-            full[:planes] = bits
-            by_byte = np.packbits(full.reshape(4, 8, n), axis=1, bitorder="little").reshape(4, n)
-        else:
-            by_byte = np.zeros((4, n), np.uint8)
-            by_byte[:planes] = np.stack(rows)
-        out[lo : lo + n] = np.ascontiguousarray(by_byte.T).view("<u4").ravel()
+        part = out[lo : lo + block]
+        for p in range(planes):
+            n = next(size)
+            plane = np.frombuffer(decompress(payload[at : at + n]), np.uint8)
+            at += n
+            if kind == "bit":
+                part |= np.unpackbits(plane, count=part.size).astype("<u4") << p
+            else:
+                part |= plane.astype("<u4") << 8 * p
     return out
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bitplanes, language, packing, pii
+from tidemark.llm import bitplanes, decontaminate, language, lines, near, packing, pii
 from tidemark.llm.shared import crc_mod, table
 from tidemark.session import scratch
 
@@ -43,3 +43,25 @@ def op7_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_boosted_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document."""
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_hyper_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies among all documents: three words, 85 percent."""
+    return near.near_copies(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+@query
+def op1_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without lines whose template an earlier document has."""
+    return lines.drop_repeated_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
+@query
+def op8_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps of all documents with the benchmark."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+TWINS["op1_template_tree"] = lines.TWIN
+TWINS["op8_spaced_seeds"] = decontaminate.TWIN

@@ -115,19 +115,27 @@ class Words:
         self.n_texts = offsets.size - 1
         self.data, self.doc, self.start, self.end = clean, doc, out_start, out_start + sizes
 
-    def hashes(self, width: int = 1) -> tuple[np.ndarray, np.ndarray]:
-        """64-bit hashes of every run of `width` words within one text, and the index of the run's first word."""
-        values = self.data.astype(np.uint64) + np.uint64(1)
-        sums = np.zeros(values.size + 1, np.uint64)
+        values = clean.astype(np.uint64) + np.uint64(1)
+        self._sums = np.zeros(values.size + 1, np.uint64)
         with np.errstate(over="ignore"):
-            np.cumsum(values * _powers(values.size, BASE)[:-1], out=sums[1:])
-            n = self.start.size - width + 1
-            if n <= 0:
-                return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-            first = np.flatnonzero(self.doc[:n] == self.doc[width - 1 : width - 1 + n])
-            a, b = self.start[first], self.end[first + width - 1]
-            raw = (sums[b] - sums[a]) * _powers(values.size, INVERSE)[a] + (b - a).astype(np.uint64) * ODD
-        return mix(raw), first
+            np.cumsum(values * _powers(values.size, BASE)[:-1], out=self._sums[1:])
+
+    def hash_of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """64-bit hashes of byte ranges of `data`."""
+        with np.errstate(over="ignore"):
+            raw = (self._sums[end] - self._sums[start]) * _powers(self.data.size, INVERSE)[start] + (end - start).astype(np.uint64) * ODD
+        return mix(raw)
+
+    def shingles(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """(text, hash) of every run of `width` words of a text; of all its words, if it has fewer."""
+        n = max(0, self.start.size - width + 1)
+        first = np.flatnonzero(self.doc[:n] == self.doc[width - 1 : width - 1 + n])
+        counts = np.bincount(self.doc, minlength=self.n_texts)
+        ends = np.cumsum(counts)
+        short = np.flatnonzero((counts > 0) & (counts < width))
+        begin = np.concatenate([first, ends[short] - counts[short]])
+        last = np.concatenate([first + width - 1, ends[short] - 1])
+        return self.doc[begin], self.hash_of(self.start[begin], self.end[last])
 
 
 def blocks(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:

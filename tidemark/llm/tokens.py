@@ -14,38 +14,43 @@ TOKENIZER = "byte_bpe_50k.json"
 class Encoder:
     """Ids as little-endian unsigned 32-bit integers, equal to the tokenizers library's `encode` of the whole text.
 
-    The byte-level pre-tokenizer never joins what stands on both sides of a line end or before a space, if the
-    neighbours are not white space too. Texts are cut there, each distinct piece is encoded by the library once and
-    remembered, and other texts (double white space, special tokens' strings) go through the library whole. `most`
-    bounds the remembered pieces.
+    The byte-level pre-tokenizer never joins what stands on both sides of a line end or before a space, if no more
+    white space is next to it. Texts are cut there, each distinct piece is encoded by the library once and remembered,
+    and other texts (longer white space, special tokens' strings) go through the library whole. `most` bounds the
+    remembered pieces.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.most = most
-        special = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([r"\s\s", "\x00", *special]))
-        self.line_end = self.ids("\n")
-        if len(self.line_end) != 4:
+        self.special = ["\x00", *(t.content for t in self.library.get_added_tokens_decoder().values())]
+        self.other_space = re.compile(r"[^\S\n ]")
+        self.line_end = self.library.encode("\n", add_special_tokens=False).ids
+        if len(self.line_end) != 1:
             raise ValueError("the tokenizer has no single id for a line end")
-        self.known = {"": b"", "\n": self.line_end}
+        self.known = {"\n": np.array(self.line_end, "<u4").tobytes()}
 
-    def ids(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
 
     def encode(self, text: str) -> bytes:
-        if self.whole.search(text):
-            return self.ids(text)
+        if not text or any(s in text for s in self.special):
+            return self.ids(text).tobytes()
         pieces = text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00")
         try:
             return b"".join(map(self.known.__getitem__, pieces))
         except KeyError:
-            missing = list({p for p in pieces if p not in self.known})
-            ids = np.frombuffer(self.ids("\n".join(missing)), "<u4")
-            cuts = np.flatnonzero(ids == np.frombuffer(self.line_end, "<u4")[0])
-            found = {piece: ids[lo:hi].tobytes() for piece, lo, hi in zip(missing, [0, *(cuts + 1)], [*cuts, ids.size], strict=True)}
+            missing = list(set(pieces).difference(self.known))
+            joined = "\n".join(missing)
+            # an empty piece or a lone space stands between white space; such texts are not cut
+            if "" in missing or " " in missing or self.other_space.search(joined):
+                return self.ids(text).tobytes()
+            ids = self.ids(joined)
+            raw, ends = ids.tobytes(), (4 * np.flatnonzero(ids == self.line_end[0])).tolist()
+            starts = [0, *(e + 4 for e in ends)]
+            found = {piece: raw[lo:hi] for piece, lo, hi in zip(missing, starts, [*ends, len(raw)], strict=True)}
             if len(self.known) < self.most:
                 self.known.update(found)
                 return b"".join(map(self.known.__getitem__, pieces))

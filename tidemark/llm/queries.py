@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bitplanes, decontaminate, language, lines, near, packing, pii
+from tidemark.llm import bitplanes, decontaminate, hidden_markov, language, lines, near, packing, pii
 from tidemark.llm.shared import crc_mod, table
 from tidemark.session import scratch
 
@@ -65,3 +65,9 @@ def op8_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TWINS["op1_template_tree"] = lines.TWIN
 TWINS["op8_spaced_seeds"] = decontaminate.TWIN
+
+
+@query
+def op10_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document."""
+    return hidden_markov.score_texts(table(spark, sf_dir, "documents"), held_out=crc_mod("doc_id", 7) == 2)

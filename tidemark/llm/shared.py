@@ -27,11 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write to the shared folder and read back: later jobs start from files, not from the history."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -173,3 +173,22 @@ def crc32(data: bytes) -> int:
 
 def rows_out(schema: pa.Schema, columns: Iterable[object]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, t.type) if not isinstance(c, pa.Array) else c for c, t in zip(columns, schema, strict=True)], schema=schema)
+
+
+def tree_sum(df: DataFrame, key: str, value: str, numpy_type: str, fan_in: int = 64) -> DataFrame:
+    """Sum arrays kept as bytes: rows (task, `key`, `value`), added up by `fan_in` tasks at a time, so that no group
+    grows with the number of tasks. Returns (key, value)."""
+
+    def add(pdf):
+        total = np.frombuffer(pdf[value].iloc[0], numpy_type).copy()
+        for other in pdf[value].iloc[1:]:
+            total += np.frombuffer(other, numpy_type)
+        return pdf.iloc[:1].assign(**{value: [total.tobytes()]})
+
+    tasks = (df.agg(F.max("task")).first()[0] or 0) + 1
+    while True:
+        df = df.withColumn("task", F.floor(F.col("task") / fan_in).cast("int")).select("task", key, value)
+        df = df.groupBy("task", key).applyInPandas(add, df.schema)
+        tasks = -(-tasks // fan_in)
+        if tasks <= 1:
+            return df.select(key, value)

@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tidemark.llm.shared import blocks, per_worker, rows_out, shared_object, strings
+from tidemark.llm.shared import blocks, per_worker, shared_object, strings
 
 CLASSES = 0x110000
 UNKNOWN = 0
@@ -148,12 +149,10 @@ def sample_texts(labelled: DataFrame, rows: int, id_col: str, text_col: str, lan
     return {name: texts for name, texts in samples.items() if texts}
 
 
-OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
-
-
 def identify(docs: DataFrame, held_out: Column, sample_rows: int = 96, chars: int = 32_000, sharpness: float = 12.0, id_col: str = "doc_id",
-             text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Language of every whole text: doc_id, held_out, lang_pred, score.
+             text_col: str = "text", lang_col: str = "lang", keep_columns: bool = False) -> DataFrame:
+    """Language of every whole text: doc_id, held_out, lang_pred, score; with `keep_columns` all columns of `docs` instead
+    of doc_id, less any of those three names.
 
     Automata are learned from rows that are not `held_out` and have a language: about `sample_rows` texts of each, of
     which `chars` characters make the automaton. The score is the winner's share of the languages' phrase rates to the
@@ -168,8 +167,7 @@ def identify(docs: DataFrame, held_out: Column, sample_rows: int = 96, chars: in
         m = shared()
         table = per_worker(("letters", tuple(m.letters)), lambda: code_table(m.letters))
         for batch in batches:
-            texts = strings(batch, "text")
-            held, ids = batch.column("held_out"), batch.column("doc_id")
+            texts = strings(batch, text)
             for lo, hi in blocks(np.array([len(t) for t in texts]), 2_000_000):
                 codes = [encode(t, table) for t in texts[lo:hi]]
                 usable = np.array([bool((c != 1).any()) for c in codes]) & bool(m.names)
@@ -181,7 +179,13 @@ def identify(docs: DataFrame, held_out: Column, sample_rows: int = 96, chars: in
                     least = counts[np.arange(at.size), best]
                     names[at] = np.array(m.names, object)[best]
                     scores[at] = 1.0 / ((least[:, None] / counts) ** sharpness).sum(axis=1)
-                yield rows_out(OUT, [ids.slice(lo, hi - lo), held.slice(lo, hi - lo), names, scores])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(score, "doc_id long, held_out boolean, lang_pred string, score double")
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(names, pa.string()), pa.array(scores)], names=[*kept, "lang_pred", "score"])
+
+    if keep_columns:
+        rows, text = docs.withColumn("held_out", held_out).drop("lang_pred", "score"), text_col
+        kept = rows.columns
+    else:
+        rows, text, kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text_col).alias("text")), "text", ["doc_id", "held_out"]
+    schema = StructType([*(rows.schema[c] for c in kept), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return rows.mapInArrow(score, schema)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bitplanes, decontaminate, hidden_markov, language, lines, near, packing, pii
+from tidemark.llm import bitplanes, decontaminate, hidden_markov, language, lines, near, neighbours, packing, pii, quality
 from tidemark.llm.shared import crc_mod, table
 from tidemark.session import scratch
 
@@ -71,3 +71,15 @@ TWINS["op8_spaced_seeds"] = decontaminate.TWIN
 def op10_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log10 probability of every document."""
     return hidden_markov.score_texts(table(spark, sf_dir, "documents"), held_out=crc_mod("doc_id", 7) == 2)
+
+
+@query
+def op6_random_indexing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, as the labels mark it."""
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out=crc_mod("doc_id", 4) == 2)
+
+
+@query
+def op4_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth."""
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))

@@ -79,9 +79,12 @@ def encode(text: str, table: np.ndarray) -> np.ndarray:
 
 
 def parse_table(edges: list[dict[int, int]], width: int) -> np.ndarray:
-    """Row by state, column by code: the next state, or ~state if a new phrase starts with that character."""
-    out = np.empty((len(edges), width), np.int32)
-    start = np.zeros(width, np.int32)
+    """Row by state, column by code: the next state, or ~state if a new phrase starts with that character.
+
+    The last row is where a parse starts and where a character leads that no phrase can start with: nothing goes on.
+    """
+    out = np.empty((len(edges) + 1, width), np.int32)
+    start = np.full(width, len(edges), np.int32)
     for c, state in edges[0].items():
         start[c] = state
     out[:] = ~start
@@ -102,8 +105,8 @@ class Model:
             codes = np.concatenate([np.ones(1, np.uint8)] + [np.append(encode(t, table), np.uint8(1)) for t in samples[name]])[:chars]
             rows = parse_table(suffix_automaton([c for c in codes.tolist() if c != UNKNOWN]), width)
             tables.append(np.where(rows < 0, rows - at, rows + at).astype(np.int32))
-            self.starts.append(at)
             at += len(rows)
+            self.starts.append(at - 1)
         self.width = width
         self.next = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
 
@@ -120,7 +123,7 @@ class Model:
         codes = np.concatenate([*texts, np.zeros(1, np.uint8)])
         langs = len(self.names)
         state = np.repeat(np.array(self.starts, np.int32)[:, None], owner.size, axis=1)
-        count = np.ones((langs, owner.size), np.int32)  # the phrase that is open at the end
+        count = np.zeros((langs, owner.size), np.int32)
         active = np.searchsorted(-length, -np.arange(lane), side="left")  # lanes longer than t
         for t in range(int(length[0]) if length.size else 0):
             n = active[t]

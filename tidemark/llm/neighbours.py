@@ -156,7 +156,8 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, tables: int = 6, fu
     short = asked.select(F.col("rep").alias("q")).join(best.groupBy("q").count(), "q", "left").where(F.coalesce("count", F.lit(0)) < min(k + 1, n)).select("q", F.lit(0).alias("t"))
     short = written(short, "short")
     if not short.isEmpty():
-        rest = searched(short.join(sizes.where("t = 0").select("t", "key"), "t"))
+        cells = written(sizes.where("t = 0").select("t", "key"), "cells")  # every vector is in one cell of the first table
+        rest = searched(short.join(cells, "t"))
         best = best.join(short, "q", "left_anti").unionByName(rest.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).drop("r"))
 
     ids = ranked.select(F.col("vec_id"), F.first("vec_id").over(Window.partitionBy("v").orderBy("vec_id")).alias("rep"))

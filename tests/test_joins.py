@@ -56,6 +56,16 @@ def test_asof_brute_force(spark, direction, size):
         assert got[ident] == ((best[0], best[2]) if best else (None, None)), (ident, s, t)
 
 
+@pytest.mark.parametrize("size", [2, 10**6])
+def test_asof_ties_by_long_ids(spark, size):
+    head = "0x" + "f" * 62
+    right = spark.createDataFrame([(head + c, 10, c) for c in "bda"], "rid string, rt long, v string")
+    left = spark.createDataFrame([(7, 10), (8, 12), (9, 8)], "id long, t long")
+    for direction, want in (("backward", {7: "d", 8: "d", 9: None}), ("forward", {7: "a", 8: None, 9: "a"})):
+        out = joins.asof(left, right, on=("t", "rt"), ids=("id", "rid"), take=["v"], direction=direction, rows_per_task=size)
+        assert {r["id"]: r["v"] for r in out.collect()} == want
+
+
 def test_closest_eligible(spark):
     rng = random.Random(4)
     left = [(s, s // 10 * 10 + 10) for s in range(0, 200, 3)]

@@ -162,3 +162,16 @@ def test_unresolved_market_has_no_profit(spark):
     out = {r["slug"]: (r["pnl"], r["trade_result"]) for r in pos.trade_result(pos.with_markets(trades, markets)).collect()}
     assert out[1] == (None, "unresolved") and out[9] == (None, "unresolved")
     assert math.isclose(out[2][0], -1.2) and out[2][1] == "lost"
+
+
+@pytest.mark.parametrize("lengths", [(900,), (900, 3600), (3600, 900)])
+def test_contracts_of_one_open_time_do_not_mix(spark, lengths):
+    """A quarter of an hour that ends above its strike wins, whatever happens to the hour that opens with it."""
+    contracts = spark.createDataFrame([(0, n) for n in lengths], "open_time long, close_time long")
+    spot = spark.range(0, 3600).select(F.col("id").alias("sec"), F.when(F.col("id") < 900, 100 + F.col("id") / 100).otherwise(50.0).alias("S"))
+    iv = spark.createDataFrame([(5, 1, 0.5, 0.6, 9000)], "sec long, qid long, iv_bid double, iv_ask double, expiry long")
+    rates = spark.sql("SELECT 0L AS day, 0.01D AS r")
+    for length in lengths:
+        cells = opt.pricing_grid(contracts, spot, iv, rates, length=3600).where(F.col("close_time") == length)
+        row = cells.agg(F.count("*"), F.min("outcome"), F.max("outcome"), F.min("K")).first()
+        assert tuple(row) == (length, int(length == 900), int(length == 900), 100.0)

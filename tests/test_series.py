@@ -43,7 +43,7 @@ def assert_same(left, right, names):
 def test_running(ticks, size, keys):
     got = Series(ticks, keys, ["ts", "id"], size).running(
         n=Running("count"), s=Running("sum", F.col("x")), hi=Running("max", F.col("x")), lo=Running("min", F.col("x")),
-        prev=Running("last", F.col("x")), nxt=Running("next", F.col("x")), tot=Running("total", F.col("x")), aft=Running("after", F.col("id")),
+        prev=Running("last", F.col("x")), nxt=Running("next", F.col("x")), tot=Running("total", F.col("x")), aft=Running("after", F.col("id")), aftx=Running("after", F.col("x")),
     )
     w = Window.partitionBy(*keys).orderBy("ts", "id")
     up = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -51,9 +51,9 @@ def test_running(ticks, size, keys):
         "n": F.count(F.lit(1)).over(up), "s": F.sum("x").over(up), "hi": F.max("x").over(up), "lo": F.min("x").over(up),
         "prev": F.last("x", True).over(up),
         "nxt": F.first("x", True).over(w.rowsBetween(0, Window.unboundedFollowing)),
-        "tot": F.sum("x").over(Window.partitionBy(*keys)), "aft": F.lead("id").over(w),
+        "tot": F.sum("x").over(Window.partitionBy(*keys)), "aft": F.lead("id").over(w), "aftx": F.lead("x").over(w),
     })
-    assert_same(got, want, ["n", "s", "hi", "lo", "prev", "nxt", "tot", "aft"])
+    assert_same(got, want, ["n", "s", "hi", "lo", "prev", "nxt", "tot", "aft", "aftx"])
 
 
 @pytest.mark.parametrize("size", SIZES)

@@ -63,20 +63,20 @@ def asof(
 ) -> DataFrame:
     """Add the ``take`` columns of the right row closest in time to each left row.
 
-    ``on`` names the time columns and ``ids`` the tie-breaking columns of both sides.  Backward matches
-    at or before, forward at or after, nearest either (the earlier on a tie).  Works as one fill over the
+    ``on`` names the time columns and ``ids`` the tie-breaking columns of both sides, each ordered by its own type: of
+    right rows at one time backward takes the last id, forward the first.  Backward matches at or before, forward at or after, nearest either (the earlier on a tie).  Works as one fill over the
     union of both sides, so it needs no join and no series has to fit one task.
     """
     by = list(by)
     right_rank = 2 if direction == "forward" else 0
     found = F.struct(F.col(on[1]).alias("_at"), *[F.col(c) for c in take])
     probe = left.select(
-        *by, F.col(on[0]).alias("_t"), F.lit(1).alias("_side"), F.col(ids[0]).cast("string").alias("_tie"),
+        *by, F.col(on[0]).alias("_t"), F.lit(1).alias("_side"), F.col(ids[0]).alias("_left_tie"),
         F.struct(*left.columns).alias("_left"),
     )
     build = right.where(F.col(on[1]).isNotNull()).select(
         *by, F.col(on[1]).alias("_t"), F.lit(right_rank).alias("_side"),
-        F.lpad(F.col(ids[1]).cast("string"), 24, "0").alias("_tie"), found.alias("_right"),
+        F.col(ids[1]).alias("_right_tie"), found.alias("_right"),
     )
     both = probe.unionByName(build, allowMissingColumns=True)
     exprs = {}
@@ -84,7 +84,7 @@ def asof(
         exprs["_prev"] = Running("last", F.col("_right"))
     if direction in ("forward", "nearest"):
         exprs["_next"] = Running("next", F.col("_right"))
-    filled = Series(both, by, ["_t", "_side", "_tie"], rows_per_task).running(**exprs).where("_side = 1")
+    filled = Series(both, by, ["_t", "_side", "_left_tie", "_right_tie"], rows_per_task).running(**exprs).where("_side = 1")
     if direction == "nearest":
         behind, ahead = F.col("_t") - F.col("_prev._at"), F.col("_next._at") - F.col("_t")
         hit = F.when(ahead.isNull() | (behind <= ahead), F.col("_prev")).otherwise(F.col("_next"))

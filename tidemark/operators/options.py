@@ -131,7 +131,7 @@ def pricing_grid(
         *[F.max(c).alias(c) for c in ("S", "_at", "iv_bid", "iv_ask")]  # one row of each kind per cell
     )
     # A contract has `length` rows, so windows inside it are bounded by construction.
-    inside = Window.partitionBy("open_time").orderBy("sec")
+    inside = Window.partitionBy("open_time", "close_time").orderBy("sec")
     filled = full.withColumns(
         {
             "_iv": F.last(F.when(F.col("_at").isNotNull(), F.struct(F.col("_at").alias("at"), "iv_bid", "iv_ask")), True).over(inside),

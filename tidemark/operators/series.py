@@ -16,19 +16,18 @@ computed by the plain window directly; the size is counted, never assumed.
 
 from __future__ import annotations
 
-import json
 import math
 import os
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.columns import correlation
+from tidemark.session import cut_lineage
 
 ROWS_PER_TASK = int(os.environ.get("TIDEMARK_ROWS_PER_TASK", 1_000_000))  # lowered to test the blocked paths
-MAX_CUTS = 4096  # also bounds what the driver holds and what `running` broadcasts
-SAMPLE_PER_CUT = 50
+BROADCAST_BLOCKS = 4096  # carries, at most two rows per block, are broadcast up to this many blocks
 
 FIRST, LAST = Window.unboundedPreceding, Window.unboundedFollowing
 
@@ -109,7 +108,6 @@ class Series:
         self.order = list(order)
         self.rows_per_task = rows_per_task
         self._rows = rows
-        self._cuts: list[dict] | None = None
 
     # -- layout ---------------------------------------------------------------------------------
 
@@ -124,53 +122,32 @@ class Series:
         return self.rows <= self.rows_per_task
 
     def _with(self, df: DataFrame) -> "Series":
-        """The same rows with more columns: size and cut points stay valid."""
-        other = Series(df, self.keys, self.order, self.rows_per_task, self._rows)
-        other._cuts = self._cuts
-        return other
+        """The same rows with more columns: the size stays valid."""
+        return Series(df, self.keys, self.order, self.rows_per_task, self._rows)
 
-    @property
-    def cuts(self) -> list[dict]:
-        """Cut points in (keys, order), taken once from a sample of bounded size."""
-        if self._cuts is None:
-            blocks = min(MAX_CUTS, math.ceil(self.rows / self.rows_per_task))
-            if blocks <= 1:
-                self._cuts = []
-            else:
-                names = self.keys + self.order
-                fraction = min(1.0, SAMPLE_PER_CUT * blocks / self.rows)
-                sample = [
-                    row.asDict()
-                    for row in self.df.select(*names).sample(fraction, seed=7).orderBy(*names).collect()
-                ]
-                step = max(1, len(sample) // blocks)
-                self._cuts = sample[step::step][: blocks - 1]
-        return self._cuts
-
-    def _block(self) -> Column:
-        """Number of cut points at or below the row: a binary search over a constant array."""
-        names = self.keys + self.order
-        fields = [T.StructField(name, self.df.schema[name].dataType) for name in names]
-        cuts = F.from_json(F.lit(json.dumps(self.cuts, default=str)), T.ArrayType(T.StructType(fields)))
-        row = F.struct(*[F.col(name) for name in names])
-        top = 1 << (len(self.cuts).bit_length() - 1)
-        steps = F.array(*[F.lit(top >> i) for i in range(top.bit_length())])
-
-        def advance(position: Column, step: Column) -> Column:
-            return F.when(F.get(cuts, position + step - 1) <= row, position + step).otherwise(position)
-
-        return F.aggregate(steps, F.lit(0), advance)
+    def _blocked(self, df: DataFrame) -> DataFrame:
+        """Rows dealt by ranges of (keys, order), with the number of the range as ``__block``.
+
+        The checkpoint makes the ranges the same for everything that reads them, and the input is computed once.
+        """
+        blocks = math.ceil(self.rows / self.rows_per_task)
+        ranged = df.repartitionByRange(blocks, *self.keys, *self.order)
+        return cut_lineage(ranged.withColumn("__block", F.spark_partition_id()))
 
     # -- unbounded frames -----------------------------------------------------------------------
 
     def running(self, **exprs: Running) -> DataFrame:
         """Add one column per keyword, each over the whole series up to (or, for next, from) the row."""
-        if self.small or not self.cuts:  # a bound may exceed the true size by far
+        if self.small:
             ways = _both_ways(self.keys, self.order)
             return self.df.withColumns({name: _over(e, *ways) for name, e in exprs.items()})
 
-        inputs = {f"_in_{name}": e.value for name, e in exprs.items() if e.value is not None}
-        df = self.df.withColumns({**inputs, "__block": self._block()})
+        # The value of the row after may be null, so it travels in a struct that is not.
+        inputs = {
+            f"_in_{name}": F.struct(e.value.alias("v")) if e.kind == "after" else e.value
+            for name, e in exprs.items() if e.value is not None
+        }
+        df = self._blocked(self.df.withColumns(inputs))
         ordering = F.struct(*self.order)
         summary = df.groupBy(*self.keys, "__block").agg(
             *[_summary(name, e, ordering) for name, e in exprs.items()]
@@ -182,7 +159,7 @@ class Series:
                 "_blocks": F.count(F.lit(1)).over(Window.partitionBy(*self.keys)),
             }
         )
-        # Only series that span a cut need a carry: at most two rows per cut point.
+        # Only series that span a cut need a carry: at most two rows per block.
         carries = carries.where("_blocks > 1").select(
             *self.keys, "__block", *[f"_carry_{name}" for name in exprs]
         )
@@ -194,7 +171,9 @@ class Series:
             }
         )
         names = self.keys + ["__block"]
-        joined = df.alias("l").join(F.broadcast(carries.alias("r")), _same(names, "l", "r"), "left")
+        few = math.ceil(self.rows / self.rows_per_task) <= BROADCAST_BLOCKS
+        carries = F.broadcast(carries) if few else carries
+        joined = df.alias("l").join(carries.alias("r"), _same(names, "l", "r"), "left")
         return joined.select(
             *[F.col(f"l.{name}") for name in self.df.columns],
             *[
@@ -366,6 +345,8 @@ def _combine(kind: str, carry: Column, local: Column) -> Column:
         return F.greatest(carry, local)
     if kind == "min":
         return F.least(carry, local)
+    if kind == "after":
+        return F.coalesce(local, carry)["v"]
     return F.coalesce(local, carry)
 
 

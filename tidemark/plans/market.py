@@ -238,7 +238,7 @@ def iv_summary(spark, sf):
     )
 
 
-IVS = """ours AS (SELECT id, sec, symbol, 0.3e0 + k / 300.0e0 AS iv FROM ticks WHERE symbol IN ('click', 'view')), theirs AS (SELECT sec AS rsec, arg_max(0.25e0 + k / 280.0e0, lpad(CAST(id AS VARCHAR), 24, '0')) AS ref_iv FROM ticks WHERE symbol = 'purchase' GROUP BY 1),
+IVS = """ours AS (SELECT id, sec, symbol, 0.3e0 + k / 300.0e0 AS iv FROM ticks WHERE symbol IN ('click', 'view')), theirs AS (SELECT sec AS rsec, arg_max(0.25e0 + k / 280.0e0, id) AS ref_iv FROM ticks WHERE symbol = 'purchase' GROUP BY 1),
 j AS (SELECT ours.*, ref_iv, iv - ref_iv AS error FROM ours ASOF LEFT JOIN theirs ON ours.sec >= theirs.rsec)"""
 
 
@@ -720,11 +720,11 @@ def wallet_mapping(spark, sf):
 
 @query(
     "i45_day_spine",
-    """WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day, avg(o_totalprice) AS rate FROM orders WHERE o_orderkey % 2 = 1 GROUP BY 1), s AS (SELECT CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM d)
+    """WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day, avg(o_totalprice) AS rate FROM orders GROUP BY 1), s AS (SELECT CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM d)
     SELECT strftime(s.day, '%Y-%m-%d') AS day, round(last_value(rate IGNORE NULLS) OVER (ORDER BY s.day ROWS UNBOUNDED PRECEDING), 8) AS rate, rate IS NULL AS missing FROM s LEFT JOIN d USING (day)""",
 )
 def spine(spark, sf):
-    daily = table(spark, sf, "orders").where("o_orderkey % 2 = 1").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.avg("o_totalprice").alias("rate"))
+    daily = table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.avg("o_totalprice").alias("rate"))
     full = day_spine(daily, "day").join(daily, "day", "left")
     out = grid.fill(full, [], ["day"], {"carried": "rate"})
     return out.select(F.col("day").cast("string").alias("day"), r("carried", 8).alias("rate"), F.col("rate").isNull().alias("missing"))

@@ -9,7 +9,7 @@ from tidemark.plans.registry import query
 from tidemark.plans.standins import TICKS, r, ticks, with_
 from tidemark.plans.tabular import contracts
 from tidemark.session import scratch
-from tidemark.sources.files import read_table
+from tidemark.sources.files import read_table, write_parquet
 from tidemark.streaming import capture
 
 KIND = """CASE symbol WHEN 'click' THEN 'book' WHEN 'view' THEN 'price_change' WHEN 'purchase' THEN 'last_trade_price' WHEN 'signup' THEN 'tick_size_change' ELSE 'book' END"""
@@ -40,12 +40,9 @@ def messages(spark, sf):
 MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 
 
-def land(df, name, order="event_time", slices=None):
-    """Write messages as JSON files; with slices, one file after the other so that file order is event order."""
-    path = scratch(df.sparkSession, name)
-    for part in slices(df) if slices else [df]:
-        part.coalesce(1).sortWithinPartitions(order).write.mode("append").option("timestampFormat", MICROS).json(path)
-    return path
+def land(part, path):
+    """Write messages as JSON files, as many as the input has partitions."""
+    part.write.mode("append").option("timestampFormat", MICROS).json(path)
 
 
 def weeks(df):
@@ -55,11 +52,21 @@ def weeks(df):
     return [df.where(at < edges[0]), df.where((at >= edges[0]) & (at < edges[1])), df.where(at >= edges[1])]
 
 
-def streamed(spark, sf, name, transform, partition_by=(), slices=weeks, files=1):
-    path = land(messages(spark, sf), name, slices=slices)
+def landed(spark, name, parts, run, schema=capture.EVENT_SCHEMA):
+    """Land one slice after the other; after each, the stream goes on from its checkpoint over the new files."""
+    path = scratch(spark, name)
     table, checkpoint = capture.fresh(spark, name)
-    capture.append_table(transform(capture.message_stream(spark, path, files_per_batch=files)), table, checkpoint, partition_by)
-    return read_table(spark, table)
+    for part in parts:
+        land(part, path)
+        run(capture.message_stream(spark, path, schema), table, checkpoint)
+    return table
+
+
+def streamed(spark, sf, name, transform, partition_by=()):
+    def run(stream, table, checkpoint):
+        capture.append_table(transform(stream), table, checkpoint, partition_by)
+
+    return read_table(spark, landed(spark, name, weeks(messages(spark, sf)), run))
 
 
 @query("l01_message_source", with_(MESSAGES) + "SELECT event_type, count(*) AS n, round(sum(price), 4) AS price_sum FROM msg GROUP BY 1")
@@ -73,10 +80,8 @@ def message_source(spark, sf):
     with_(MESSAGES) + "SELECT CASE event_type WHEN 'last_trade_price' THEN 'trade' WHEN 'tick_size_change' THEN 'tick_size' ELSE event_type END AS route, CASE WHEN event_type = 'price_change' THEN 2 ELSE 1 END * count(*) AS n FROM msg GROUP BY event_type",
 )
 def routes(spark, sf):
-    path = land(messages(spark, sf), "route", slices=weeks)
-    table, checkpoint = capture.fresh(spark, "route")
     names = capture.event_routes()
-    capture.route(capture.message_stream(spark, path, files_per_batch=1), names, table, checkpoint)
+    table = landed(spark, "route", weeks(messages(spark, sf)), lambda stream, table, checkpoint: capture.route(stream, names, table, checkpoint))
     out = None
     for name in names:
         one = read_table(spark, f"{table}/{name}").groupBy(F.lit(name).alias("route")).agg(F.count(F.lit(1)).alias("n"))
@@ -111,13 +116,12 @@ def sampler(spark, sf):
     return streamed(spark, sf, "sampler", transform).select("asset_id", "seq")
 
 
-@query("l06_micro_batches", "SELECT count(*) AS rows, 3 AS batches FROM events")
+@query("l06_micro_batches", "SELECT CASE WHEN ts < TIMESTAMP '2024-01-10' THEN 0 WHEN ts < TIMESTAMP '2024-01-20' THEN 1 ELSE 2 END AS batch, count(*) AS rows, min(event_id) AS first_seq FROM events GROUP BY 1")
 def micro_batches(spark, sf):
-    """A flush per landed file: rows and batches written."""
-    path = land(messages(spark, sf), "flush", slices=weeks)
-    table, checkpoint = capture.fresh(spark, "flush")
-    capture.route(capture.message_stream(spark, path, files_per_batch=1), {"all": lambda d: d.select("seq")}, table, checkpoint)
-    return read_table(spark, f"{table}/all").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("batch").cast("int").alias("batches"))
+    """A flush per landed slice: rows of every batch written."""
+    routes = {"all": lambda d: d.select("seq")}
+    table = landed(spark, "flush", weeks(messages(spark, sf)), lambda stream, table, checkpoint: capture.route(stream, routes, table, checkpoint))
+    return read_table(spark, f"{table}/all").groupBy("batch").agg(F.count(F.lit(1)).alias("rows"), F.min("seq").alias("first_seq"))
 
 
 @query("l07_hour_partitions", "SELECT strftime(ts, '%Y-%m-%d') AS date, count(*) AS n, count(DISTINCT hour(ts)) AS hours FROM events GROUP BY 1")
@@ -129,12 +133,12 @@ def hour_partitions(spark, sf):
 def window_sql(length, step=None):
     step = step or length
     n = length // step
-    return f"""w AS (SELECT market, st AS start_us, st + {length}000000 AS end_us, price FROM (SELECT symbol AS market, price, unnest(list_transform(range({n}), lambda i: ts_us // {step}000000 * {step}000000 - i * {step}000000)) AS st FROM ticks))
-    SELECT market, start_us, end_us, count(*) AS n, round(avg(price), 8) AS mean_price, max(price) AS high, min(price) AS low FROM w, mark WHERE end_us <= wm GROUP BY ALL"""
+    return f"""w AS (SELECT market, st AS start_us, st + {length}000000 AS end_us, price, spread FROM (SELECT symbol AS market, price, CASE WHEN event_type = 'book' THEN least(ask0, ask1) - bid0 END AS spread, unnest(list_transform(range({n}), lambda i: ts_us // {step}000000 * {step}000000 - i * {step}000000)) AS st FROM msg))
+    SELECT market, start_us, end_us, count(*) AS n, round(avg(price), 8) AS mean_price, max(price) AS high, min(price) AS low, round(avg(spread), 8) AS mean_spread, max(spread) AS max_spread, min(spread) AS min_spread FROM w, mark WHERE end_us <= wm GROUP BY ALL"""
 
 
 def finish(df):
-    return df.withColumn("mean_price", r("mean_price", 8))
+    return df.withColumns({c: r(c, 8) for c in ("mean_price", "mean_spread")})
 
 
 @query("l08_tumbling_periods", with_(MESSAGES, window_sql(900)))
@@ -150,8 +154,8 @@ def sliding(spark, sf):
 
 @query(
     "l10_capture_sessions",
-    with_(MESSAGES) + """, g AS (SELECT symbol AS market, ts_us, price, CASE WHEN ts_us - lag(ts_us) OVER (PARTITION BY symbol ORDER BY ts_us) < 3600000000 THEN 0 ELSE 1 END AS f FROM ticks), s AS (SELECT *, sum(f) OVER (PARTITION BY market ORDER BY ts_us ROWS UNBOUNDED PRECEDING) AS run FROM g),
-    a AS (SELECT market, run, min(ts_us) AS start_us, max(ts_us) + 3600000000 AS end_us, count(*) AS n, round(avg(price), 8) AS mean_price, max(price) AS high, min(price) AS low FROM s GROUP BY 1, 2) SELECT market, start_us, end_us, n, mean_price, high, low FROM a, mark WHERE end_us <= wm""",
+    with_(MESSAGES) + """, g AS (SELECT symbol AS market, ts_us, price, CASE WHEN event_type = 'book' THEN least(ask0, ask1) - bid0 END AS spread, CASE WHEN ts_us - lag(ts_us) OVER (PARTITION BY symbol ORDER BY ts_us) < 3600000000 THEN 0 ELSE 1 END AS f FROM msg), s AS (SELECT *, sum(f) OVER (PARTITION BY market ORDER BY ts_us ROWS UNBOUNDED PRECEDING) AS run FROM g),
+    a AS (SELECT market, run, min(ts_us) AS start_us, max(ts_us) + 3600000000 AS end_us, count(*) AS n, round(avg(price), 8) AS mean_price, max(price) AS high, min(price) AS low, round(avg(spread), 8) AS mean_spread, max(spread) AS max_spread, min(spread) AS min_spread FROM s GROUP BY 1, 2) SELECT * EXCLUDE (run, wm) FROM a, mark WHERE end_us <= wm""",
 )
 def sessions(spark, sf):
     return finish(streamed(spark, sf, "sessions", lambda s: capture.sessions(s, "1 hour", ["market"])))
@@ -161,38 +165,45 @@ def sessions(spark, sf):
 def dedup(spark, sf):
     """Every tenth message is delivered twice."""
     m = messages(spark, sf)
-    path = land(m.unionByName(m.where("seq % 10 = 0")), "dedup", slices=weeks)
-    table, checkpoint = capture.fresh(spark, "dedup")
-    capture.append_table(capture.deduplicated(capture.message_stream(spark, path, files_per_batch=1)).select("market", "seq"), table, checkpoint)
+
+    def run(stream, table, checkpoint):
+        capture.append_table(capture.deduplicated(stream).select("market", "seq"), table, checkpoint)
+
+    table = landed(spark, "dedup", weeks(m.unionByName(m.where("seq % 10 = 0"))), run)
     return read_table(spark, table).groupBy("market").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_id"))
 
 
 @query(
     "l12_late_events",
-    with_(MESSAGES) + """, ok AS (SELECT * FROM ticks WHERE id % 50 <> 0), m2 AS (SELECT (max(ts_us) // 1000 - 60000) * 1000 AS wm FROM ok) SELECT symbol AS market, ts_us // 3600000000 * 3600000000 AS start_us, count(*) AS n FROM ok, m2 WHERE ts_us // 3600000000 * 3600000000 + 3600000000 <= wm GROUP BY 1, 2""",
+    with_(MESSAGES) + """, h AS (SELECT *, ts_us // 3600000000 * 3600000000 AS start_us FROM ticks), m2 AS (SELECT (max(ts_us) // 1000 - 60000) * 1000 AS wm FROM ticks WHERE id % 50 <> 0) SELECT symbol AS market, start_us, count(*) FILTER (id % 50 <> 0) AS n, count(*) FILTER (id % 50 = 0) AS late FROM h, m2 WHERE start_us + 3600000000 <= wm GROUP BY 1, 2 HAVING count(*) FILTER (id % 50 <> 0) > 0""",
 )
 def late_events(spark, sf):
-    """A fiftieth of the events arrive a month late, after their windows were closed: they do not change the result."""
+    """A fiftieth of the events arrive a month late, after their windows were closed: they are counted, not added."""
     m = messages(spark, sf)
-    path = land(m.where("seq % 50 != 0"), "late", slices=weeks)
-    table, checkpoint = capture.fresh(spark, "late")
-    stream = lambda: capture.tumbling(capture.message_stream(spark, path, files_per_batch=1), "1 hour", ["market"])
-    capture.append_table(stream(), table, checkpoint)
-    m.where("seq % 50 = 0").coalesce(1).write.mode("append").option("timestampFormat", MICROS).json(path)
-    capture.append_table(stream(), table, checkpoint)
-    last = m.where("seq % 50 != 0").agg(F.max(F.unix_millis("event_time")).alias("last_ms"))
-    closed = read_table(spark, table).where(F.col("end_us") <= (last.scalar() - 60_000) * 1000)
-    return closed.select("market", "start_us", "n")
+    late = m.where("seq % 50 = 0")
+    closed_until = []
+
+    def run(stream, table, checkpoint):
+        done = capture.append_table(capture.tumbling(stream, "1 hour", ["market"]), table, checkpoint)
+        closed_until[:] = closed_until[:1] + [capture.watermark_ms(done)]
+
+    table = landed(spark, "late", [*weeks(m.where("seq % 50 != 0")), late], run)
+    first = F.floor(F.unix_micros("event_time") / 3_600_000_000) * 3_600_000_000
+    mark = closed_until[-1] * 1000
+    missed = late.groupBy("market", first.alias("start_us")).agg(F.count(F.lit(1)).alias("late"))
+    closed = read_table(spark, table).where(F.col("end_us") <= mark)
+    return closed.join(missed, ["market", "start_us"], "left").select("market", "start_us", "n", F.coalesce("late", F.lit(0)).alias("late"))
 
 
 @query("l13_maintained_books", with_(TICKS, CHANGES) + "SELECT * FROM st")
 def maintained(spark, sf):
     changes = book_changes(spark, sf).withColumn("event_time", F.timestamp_micros("ts_us"))
-    path = land(changes, "books", order="seq", slices=weeks)
-    table, checkpoint = capture.fresh(spark, "books")
     schema = "asset string, seq long, is_snapshot boolean, side string, price double, size double"
-    capture.append_table(capture.maintained_books(capture.message_stream(spark, path, schema, 1)), table, checkpoint)
-    return read_table(spark, table)
+
+    def run(stream, table, checkpoint):
+        capture.append_table(capture.maintained_books(stream), table, checkpoint)
+
+    return read_table(spark, landed(spark, "books", weeks(changes), run, schema))
 
 
 @query("l14_stream_with_schedule", with_(MESSAGES) + "SELECT strftime(to_timestamp(sec // 900 * 900) AT TIME ZONE 'UTC', '%Y%m%d_%H%M') AS contract_id, count(*) AS n FROM msg GROUP BY 1")
@@ -204,15 +215,15 @@ def with_schedule(spark, sf):
 
 @query(
     "l15_capture_latency",
-    with_(MESSAGES) + "SELECT ts_us // 86400000000 * 86400000000 AS start_us, count(*) AS n, round(avg((ts_us + k * 1000) // 1000 - ts_us // 1000), 6) AS mean_ms, max((ts_us + k * 1000) // 1000 - ts_us // 1000) AS max_ms, 0 AS errors FROM ticks, mark WHERE ts_us // 86400000000 * 86400000000 + 86400000000 <= wm GROUP BY 1",
+    with_(MESSAGES) + ", delay AS (SELECT ts_us, (ts_us + k * 1000) // 1000 - ts_us // 1000 AS ms FROM ticks) SELECT ts_us // 86400000000 * 86400000000 AS start_us, count(*) AS n, round(avg(ms), 6) AS mean_ms, round(quantile_cont(ms, 0.95), 6) AS p95_ms, max(ms) AS max_ms, CAST(count(*) FILTER (ms < 0) AS INTEGER) AS errors FROM delay, mark WHERE ts_us // 86400000000 * 86400000000 + 86400000000 <= wm GROUP BY 1",
 )
 def latency(spark, sf):
     out = streamed(spark, sf, "latency", lambda s: capture.latency(s, "1 day"))
-    return out.select("start_us", "n", r("mean_ms").alias("mean_ms"), "max_ms", F.col("errors").cast("int").alias("errors"))
+    return out.select("start_us", "n", r("mean_ms").alias("mean_ms"), r("p95_ms").alias("p95_ms"), "max_ms", F.col("errors").cast("int").alias("errors"))
 
 
-@query("l16_capture_health")
+@query("l16_capture_health", "SELECT strftime(ts, '%Y-%m-%d') AS date, CAST(1 AS BIGINT) AS files, CAST(0 AS BIGINT) AS too_small, count(*) > 0 AS as_expected FROM events GROUP BY 1")
 def health(spark, sf):
     path = scratch(spark, "health")
-    capture.by_hour(messages(spark, sf), F.col("event_time")).select("seq", "date").coalesce(1).write.partitionBy("date").parquet(path)
-    return capture.capture_health(spark, path, 1, 0.5, 100)
+    write_parquet(capture.by_hour(messages(spark, sf), F.col("event_time")).select("seq", "date"), path, ["date"])
+    return capture.capture_health(spark, path, 1, 0.5, 100).select("date", "files", "too_small", "as_expected")

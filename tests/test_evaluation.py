@@ -6,6 +6,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions.pricing import student_p
 from tidemark.operators import evaluate as ev, features as feat, learn, quality as q
 
 D = dt.date
@@ -97,3 +98,12 @@ def test_quality_reports(spark):
     assert rules == {"duplicate_hashes": 1.0, "out_of_order": 1.0, "price_out_of_range": 1.0}  # a missing price is counted by the null check
     fold = spark.createDataFrame([("f", "train", 10), ("f", "val", 12), ("g", "train", 10), ("g", "val", 20)], "f string, s string, d long")
     assert {r["check"]: r["passed"] for r in q.leakage(fold, "f", "s", "d", 3).collect()} == {"embargo:f": False, "embargo:g": True}
+
+
+@pytest.mark.parametrize(("t", "freedom", "p"), [
+    (1.0, 1, 0.5), (1.0, 5, 0.36321746764912255), (2.0, 10, 0.07338803477074034), (-3.5, 20, 0.002255123153), (2.0, 30, 0.054625044963),
+    (0.1, 1000, 0.920364369024), (0.0, 3, 1.0), (40.0, 5000, 0.0),
+])
+def test_student_p(spark, t, freedom, p):
+    got = spark.range(1).select(student_p(F.lit(t), F.lit(float(freedom))).alias("p")).first()["p"]
+    assert abs(got - p) < 1e-7

@@ -177,17 +177,18 @@ def histogram(df: DataFrame, value: str, lo: float, hi: float, bins: int, keys:
     )
 
 
-def exceedance(df: DataFrame, value: Column, thresholds: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
-    """How many rows exceed each threshold, one pass."""
-    aggs = [F.count(value).alias("_n")] + [F.count_if(value > t).alias(f"_{i}") for i, t in enumerate(thresholds)]
-    wide = df.groupBy(*keys).agg(*aggs)
-    rows = F.array(
-        *[
-            F.struct(F.lit(float(t)).alias("threshold"), F.col(f"_{i}").alias("n_above"),
-                     ratio(F.col(f"_{i}") * 100, "_n").alias("pct_above"))
-            for i, t in enumerate(thresholds)
-        ]
+def exceedance(df: DataFrame, values: Mapping[str, tuple[Column, Sequence[float]]], keys: Sequence[str] = ()) -> DataFrame:
+    """How many rows exceed each threshold, for several measures in one pass: {kind: (value, thresholds)}."""
+    cells = [(kind, value, t, f"_{kind}_{i}") for kind, (value, levels) in values.items() for i, t in enumerate(levels)]
+    wide = df.groupBy(*keys).agg(
+        *[F.count(value).alias(f"_n_{kind}") for kind, (value, _) in values.items()],
+        *[F.count_if(value > t).alias(name) for _, value, t, name in cells],
     )
+    rows = F.array(*[
+        F.struct(F.lit(kind).alias("kind"), F.lit(float(t)).alias("threshold"), F.col(name).alias("n_above"),
+                 ratio(F.col(name) * 100, f"_n_{kind}").alias("pct_above"))
+        for kind, _, t, name in cells
+    ])
     return wide.select(*keys, F.inline(rows))
 
 

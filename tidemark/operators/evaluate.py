@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions import columns as C
-from tidemark.functions.pricing import norm_cdf
+from tidemark.functions.pricing import norm_cdf, student_p
 from tidemark.operators.aggregates import attach, quantiles, spearman
 from tidemark.operators.series import ROWS_PER_TASK, Running, Series
 
@@ -150,19 +150,25 @@ def information(df: DataFrame, x: str, y: str, rows_per_task: int = ROWS_PER_TAS
 
 
 def t_tests(df: DataFrame, a: Column, b: Column) -> DataFrame:
-    """Paired, Welch and one-sample statistics of two error columns, and Cohen's d; one aggregate."""
+    """Paired, Welch and one-sample statistics of two error columns with their two-sided p-values, and Cohen's d.
+
+    One aggregate; the one-sample tests ask whether each error's mean is zero.
+    """
     d = a - b
     m = df.agg(
         F.count(d).alias("n"), F.avg(a).alias("ma"), F.avg(b).alias("mb"), F.var_samp(a).alias("va"), F.var_samp(b).alias("vb"),
         F.avg(d).alias("md"), F.stddev_samp(d).alias("sd"),
     )
-    n = F.col("n")
-    return m.select(
+    n, va, vb = F.col("n"), F.col("va"), F.col("vb")
+    out = m.select(
         "n", F.col("md").alias("mean_difference"), C.ratio(F.col("md") * F.sqrt(n), "sd").alias("paired_t"),
-        C.ratio(F.col("ma") - F.col("mb"), F.sqrt((F.col("va") + F.col("vb")) / n)).alias("welch_t"),
-        C.ratio(F.col("ma") * F.sqrt(n), F.sqrt("va")).alias("one_sample_t"),
-        C.ratio(F.col("ma") - F.col("mb"), F.sqrt((F.col("va") + F.col("vb")) / 2)).alias("cohens_d"),
+        C.ratio(F.col("ma") - F.col("mb"), F.sqrt((va + vb) / n)).alias("welch_t"),
+        C.ratio((va + vb) * (va + vb) * (n - 1), va * va + vb * vb).alias("welch_df"),
+        C.ratio(F.col("ma") * F.sqrt(n), F.sqrt("va")).alias("one_sample_t"), C.ratio(F.col("mb") * F.sqrt(n), F.sqrt("vb")).alias("one_sample_t_b"),
+        C.ratio(F.col("ma") - F.col("mb"), F.sqrt((va + vb) / 2)).alias("cohens_d"),
     )
+    own = {"paired_t": n - 1, "welch_t": F.col("welch_df"), "one_sample_t": n - 1, "one_sample_t_b": n - 1}
+    return out.withColumns({name.replace("_t", "_p", 1): student_p(F.col(name), freedom.cast("double")) for name, freedom in own.items()})
 
 
 def poisson_weight(u: Column) -> Column:
@@ -217,14 +223,15 @@ def profiles(df: DataFrame, bins: Mapping[str, Column], measures: Mapping[str, C
 
 def residual_quantiles(df: DataFrame, value: str, normal: Mapping[str, tuple[float, float]],
                        rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Quantiles of a column beside those of the normal with its mean and deviation: {name: (prob, z)}."""
+    """Quantiles of a column beside those of the normal with its mean and deviation: {name: (prob, z)}; its moments
+    (skewness and excess kurtosis of the population) in every row."""
     q = quantiles(df, [], value, {n: p for n, (p, _) in normal.items()}, rows_per_task=rows_per_task)
-    m = df.agg(F.avg(value).alias("_mu"), F.stddev_samp(value).alias("_sd"))
+    m = df.agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.skewness(value).alias("skewness"), F.kurtosis(value).alias("kurtosis"))
     rows = F.array(*[
-        F.struct(F.lit(float(p)).alias("prob"), F.col(n).alias("observed"), (F.col("_mu") + z * F.col("_sd")).alias("normal"))
+        F.struct(F.lit(float(p)).alias("prob"), F.col(n).alias("observed"), (F.col("mean") + z * F.col("std")).alias("normal"))
         for n, (p, z) in normal.items()
     ])
-    return attach(q, m, []).select(F.inline(rows))
+    return attach(q, m, []).select("mean", "std", "skewness", "kurtosis", F.inline(rows))
 
 
 def signal_pnl(df: DataFrame, p: str, price: str, y: str, high: float, low: float) -> DataFrame:

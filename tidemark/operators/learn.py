@@ -66,12 +66,14 @@ def walk_forward_windows(span: DataFrame, train_months: int, val_months: int, st
 
 
 def fold_sizes(df: DataFrame, day: str, windows: DataFrame, min_train: int, min_val: int) -> DataFrame:
-    """Rows per window and whether it is used.  Rows are counted per day first, so no row is copied per window."""
+    """Rows per window and whether it is used.  Rows are counted per day first; windows list their days, so that days
+    and windows meet by equality."""
     daily = df.groupBy(F.col(day).alias("_day")).agg(F.count(F.lit(1)).alias("_n"))
-    joined = windows.join(daily, F.col("_day").between(F.col("train_start"), F.col("val_end")), "left")
-    n_train = F.sum(F.when(F.col("_day") <= F.col("train_end"), F.col("_n")).otherwise(0))
-    n_val = F.sum(F.when(F.col("_day") >= F.col("val_start"), F.col("_n")).otherwise(0))
-    out = joined.groupBy(*windows.columns).agg(n_train.alias("n_train"), n_val.alias("n_val"))
+    days = windows.withColumn("_day", F.explode(F.sequence("train_start", "val_end")))
+    joined = days.join(daily, "_day", "left")
+    n_train = F.sum(F.when(F.col("_day") <= F.col("train_end"), F.col("_n")))
+    n_val = F.sum(F.when(F.col("_day") >= F.col("val_start"), F.col("_n")))
+    out = joined.groupBy(*windows.columns).agg(*[F.coalesce(n, F.lit(0)).alias(name) for n, name in ((n_train, "n_train"), (n_val, "n_val"))])
     return out.withColumn("skipped", (F.col("n_train") < min_train) | (F.col("n_val") < min_val))
 
 

@@ -272,13 +272,19 @@ def segments(spark, sf):
     )
 
 
+EXCEED = {"absolute": ("abs(y - p)", (0.01, 0.05, 0.1)), "relative": ("abs(q - p) / p", (0.05, 0.1, 0.2))}
+
+
 @query(
     "d21_exceedance_table",
-    with_(FORECASTS) + ", ".join([]) + """, w AS (SELECT count(*) AS n, count(*) FILTER (abs(y - p) > 0.01e0) AS a, count(*) FILTER (abs(y - p) > 0.05e0) AS b, count(*) FILTER (abs(y - p) > 0.1e0) AS c FROM fc)
-    SELECT unnest([0.01e0, 0.05e0, 0.1e0]) AS threshold, unnest([a, b, c]) AS n_above, round(unnest([a * 100.0e0 / n, b * 100.0e0 / n, c * 100.0e0 / n]), 6) AS pct_above FROM w""",
+    with_(FORECASTS) + " UNION ALL ".join(
+        f"SELECT '{kind}' AS kind, {t}e0 AS threshold, count(*) FILTER ({value} > {t}e0) AS n_above, round(count(*) FILTER ({value} > {t}e0) * 100.0e0 / count({value}), 6) AS pct_above FROM fc"
+        for kind, (value, levels) in EXCEED.items() for t in levels),
 )
 def exceedance(spark, sf):
-    return rounded(agg.exceedance(forecasts(spark, sf), F.abs(F.col("y") - F.col("p")), [0.01, 0.05, 0.1]))
+    p, q = F.col("p"), F.col("q")
+    measures = {"absolute": F.abs(F.col("y") - p), "relative": C.ratio(F.abs(q - p), "p")}
+    return rounded(agg.exceedance(forecasts(spark, sf), {kind: (measures[kind], levels) for kind, (_, levels) in EXCEED.items()}))
 
 
 @query(
@@ -493,20 +499,28 @@ def rate_blend(spark, sf):
     return rounded(Series(both, [], ["day"]).frames({"blended_ma7": rolling(F.avg, F.col("blended"), 7)}, before=6), 8)
 
 
+BREAKDOWNS = [["type"], ["ttl"], ["y"], ["strike_bucket"], ["money"], ["day"], ["hour"], ["status"], ["type", "ttl"]]
+BREAKDOWN_COLUMNS = ["type", "ttl", "y", "strike_bucket", "money", "day", "hour", "status"]
+
+
 @query(
     "d38_failure_breakdowns",
-    with_(FAILED) + """, g AS (SELECT failed, type, CASE WHEN days < 0 THEN 'expired' WHEN days < 365 THEN 'short' ELSE 'long' END AS ttl, year(o_orderdate) AS y, floor(strike / 500) * 500 AS strike_bucket FROM f)
-    SELECT type, ttl, y, strike_bucket, count(*) AS n, count(*) FILTER (failed) AS failures, round(count(*) FILTER (failed) * 100.0e0 / count(*), 6) AS failure_pct FROM g
-    GROUP BY GROUPING SETS ((type), (ttl), (y), (strike_bucket), (type, ttl))""",
+    with_(FAILED) + f""", g AS (SELECT failed, type, CASE WHEN days < 0 THEN 'expired' WHEN days < 365 THEN 'short' ELSE 'long' END AS ttl, year(o_orderdate) AS y, floor(strike / 500) * 500 AS strike_bucket,
+      CASE WHEN spot / nullif(strike, 0) < 0.99 THEN 'otm' WHEN spot / nullif(strike, 0) < 1.01 THEN 'atm' WHEN strike <> 0 THEN 'itm' END AS money, sec // 86400 AS day,
+      (sec + l_partkey * 31) % 86400 // 3600 AS hour, CASE WHEN days <= 0 THEN 'expired' WHEN bid IS NULL AND ask IS NULL THEN 'no_quote' WHEN bid IS NULL THEN 'no_bid' WHEN ask IS NULL THEN 'no_ask' ELSE 'solved' END AS status FROM f)
+    SELECT {', '.join(BREAKDOWN_COLUMNS)}, count(*) AS n, count(*) FILTER (failed) AS failures, round(count(*) FILTER (failed) * 100.0e0 / count(*), 6) AS failure_pct FROM g
+    GROUP BY GROUPING SETS ({', '.join('(' + ', '.join(s) + ')' for s in BREAKDOWNS)})""",
 )
 def failures(spark, sf):
+    bid, ask = F.col("bid").isNull(), F.col("ask").isNull()
+    status = F.when(F.col("days") <= 0, "expired").when(bid & ask, "no_quote").when(bid, "no_bid").when(ask, "no_ask").otherwise("solved")
     g = option_failures(spark, sf).select(
         "failed", "type", C.bucket("days", [0, 365], ["expired", "short", "long"]).alias("ttl"), F.year("o_orderdate").alias("y"),
         C.round_down("strike", 500.0).alias("strike_bucket"),
+        C.bucket(C.ratio("spot", "strike"), [0.99, 1.01], ["otm", "atm", "itm"]).alias("money"), C.epoch_day("sec").alias("day"),
+        F.floor((F.col("sec") + F.col("l_partkey") * 31) % 86400 / 3600).alias("hour"), status.alias("status"),
     )
-    out = g.groupingSets([["type"], ["ttl"], ["y"], ["strike_bucket"], ["type", "ttl"]], "type", "ttl", "y", "strike_bucket").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("failed").alias("failures")
-    )
+    out = g.groupingSets(BREAKDOWNS, *BREAKDOWN_COLUMNS).agg(F.count(F.lit(1)).alias("n"), F.count_if("failed").alias("failures"))
     return out.withColumn("failure_pct", r(C.ratio(F.col("failures") * 100, "n")))
 
 
@@ -564,14 +578,23 @@ def cohorts(spark, sf):
     return c.select("split", "cohort", "positions", r("pnl", 3).alias("pnl"), r("avg_pnl", 5).alias("avg_pnl"), r("volume", 3).alias("volume"))
 
 
+ACTIVITY = [["strike", "type"], ["expiry"], ["symbol"], ["day"]]
+
+
 @query(
     "d43_activity_profile",
-    with_(OPTIONS) + """SELECT strike, type, count(*) AS quotes, count(DISTINCT expiry) AS expiries, round(avg(bid), 8) AS mean_premium, round(avg(ask - bid), 8) AS mean_spread,
-    round(avg(abs(spot - strike)), 6) AS mean_distance FROM options GROUP BY 1, 2 ORDER BY quotes DESC, strike, type LIMIT 40""",
+    with_(OPTIONS) + """, o AS (SELECT strike, type, expiry, l_suppkey AS symbol, sec // 86400 AS day, bid, ask, spot FROM options),
+    g AS (SELECT grouping(strike, expiry, symbol, day) AS view_, strike, type, expiry, symbol, day, count(*) AS quotes, count(DISTINCT expiry) AS expiries, round(avg(bid), 12) AS mean_premium, round(avg(ask - bid), 12) AS mean_spread,
+    round(avg(abs(spot - strike)), 6) AS mean_distance FROM o GROUP BY GROUPING SETS ((strike, type), (expiry), (symbol), (day)))
+    SELECT * EXCLUDE (view_) FROM g QUALIFY row_number() OVER (PARTITION BY view_ ORDER BY quotes DESC, strike, type, expiry, symbol, day) <= 20""",
 )
 def activity(spark, sf):
-    o = options(spark, sf).groupBy("strike", "type").agg(
-        F.count(F.lit(1)).alias("quotes"), F.countDistinct("expiry").alias("expiries"), r(F.avg("bid"), 8).alias("mean_premium"),
-        r(F.avg(F.col("ask") - F.col("bid")), 8).alias("mean_spread"), r(F.avg(F.abs(F.col("spot") - F.col("strike")))).alias("mean_distance"),
+    """The twenty busiest strikes by type, expiries, symbols and days."""
+    o = options(spark, sf).select("strike", "type", "expiry", F.col("l_suppkey").alias("symbol"), C.epoch_day("sec").alias("day"), "bid", "ask", "spot",
+                                  F.col("expiry").alias("due"), F.col("strike").alias("at"))
+    names = ["strike", "type", "expiry", "symbol", "day"]
+    g = o.groupingSets(ACTIVITY, *names).agg(
+        F.grouping_id().alias("view"), F.count(F.lit(1)).alias("quotes"), F.countDistinct("due").alias("expiries"), r(F.avg("bid"), 12).alias("mean_premium"),
+        r(F.avg(F.col("ask") - F.col("bid")), 12).alias("mean_spread"), r(F.avg(F.abs(F.col("spot") - F.col("at")))).alias("mean_distance"),
     )
-    return o.orderBy(F.desc("quotes"), "strike", "type").limit(40)
+    return agg.top_per_group(g, ["view"], [F.desc("quotes"), *names], 20).drop("view", "rank")

@@ -131,14 +131,24 @@ def win_grid(spark, sf):
 HORIZON = "CASE WHEN time_left < 300 THEN 'near' WHEN time_left < 600 THEN 'mid' ELSE 'far' END"
 
 
+REGIME = "CASE WHEN vol <= 0.5e0 THEN 'low_vol' ELSE 'high_vol' END || CASE WHEN abs(moneyness) < 0.05 THEN '_atm' ELSE '_otm' END"
+ROLLUP = "count(*) AS n_models, sum(n)::BIGINT AS n_samples, round(sum(n * a) / sum(n), 8) AS brier_baseline, round(sum(n * b) / sum(n), 8) AS brier_model, round(sum(n * ((a - b) * 100 / a)) / sum(n), 6) AS brier_improvement_pct"
+
+
 @query(
     "j14_regime_rollup",
-    with_(FORECASTS) + f", m AS (SELECT {HORIZON} AS horizon, model, count(*) AS n, avg((p - y) ** 2) AS a, avg((q - y) ** 2) AS b FROM fc GROUP BY 1, 2) SELECT horizon, count(*) AS n_models, sum(n)::BIGINT AS n_samples, round(sum(n * a) / sum(n), 8) AS brier_baseline, round(sum(n * b) / sum(n), 8) AS brier_model, round(sum(n * ((a - b) * 100 / a)) / sum(n), 6) AS brier_improvement_pct FROM m GROUP BY 1",
+    with_(FORECASTS) + f", m AS (SELECT {HORIZON} AS horizon, {REGIME} AS regime, count(*) AS n, avg((p - y) ** 2) AS a, avg((q - y) ** 2) AS b FROM fc GROUP BY 1, 2) SELECT 'bucket' AS by, horizon AS name, {ROLLUP} FROM m GROUP BY horizon UNION ALL SELECT 'regime', regime, {ROLLUP} FROM m GROUP BY regime",
 )
 def regime_rollup(spark, sf):
-    f = forecasts(spark, sf).withColumn("horizon", feat.temporal_regime("time_left"))
-    s = ev.weighted_rollup(ev.model_scores(f, ["horizon", "model"], "p", "q", "y"), ["horizon"], ["brier_baseline", "brier_model", "brier_improvement_pct"])
-    return s.select("horizon", "n_models", "n_samples", r("brier_baseline", 8).alias("brier_baseline"), r("brier_model", 8).alias("brier_model"), r("brier_improvement_pct").alias("brier_improvement_pct"))
+    """Twelve models, horizon by regime, rolled up to the three horizons and to the four regimes."""
+    regime = F.concat(F.when(F.col("vol") <= 0.5, "low_vol").otherwise("high_vol"), F.when(F.abs("moneyness") < 0.05, "_atm").otherwise("_otm"))
+    f = forecasts(spark, sf).withColumns({"horizon": feat.temporal_regime("time_left"), "regime": regime})
+    scores = ev.model_scores(f, ["horizon", "regime"], "p", "q", "y")
+    metrics = ["brier_baseline", "brier_model", "brier_improvement_pct"]
+    parts = [ev.weighted_rollup(scores, [c], metrics).select(F.lit(by).alias("by"), F.col(c).alias("name"), "n_models", "n_samples", *metrics)
+             for by, c in (("bucket", "horizon"), ("regime", "regime"))]
+    s = parts[0].unionByName(parts[1])
+    return s.select("by", "name", "n_models", "n_samples", r("brier_baseline", 8).alias("brier_baseline"), r("brier_model", 8).alias("brier_model"), r("brier_improvement_pct").alias("brier_improvement_pct"))
 
 
 AGE = "CASE WHEN staleness < 10 THEN 'fresh' WHEN staleness < 60 THEN 'moderate' WHEN staleness < 120 THEN 'stale' ELSE 'very_stale' END"
@@ -175,13 +185,29 @@ def bootstrap(spark, sf):
     return ev.bootstrap(forecasts(spark, sf), ["model"], ["id"], {"brier": model, "improvement": base - model})
 
 
+def _student_sql(t, freedom):
+    """Hill's transformed value; the tables are far beyond 20 degrees of freedom."""
+    w, y = f"({freedom} - 0.5e0)", f"sqrt(({freedom} - 0.5e0) * ln(1 + ({t}) ** 2 / ({freedom})))"
+    k = f"(48 * {w} ** 2)"
+    return f"{y} + ({y} ** 3 + 3 * {y}) / {k} - (4 * {y} ** 7 + 33 * {y} ** 5 + 240 * {y} ** 3 + 855 * {y}) / (10 * {k} * ({k} + 0.8e0 * {y} ** 4 + 100))"
+
+
+T_VALUES = {"paired": "n - 1", "welch": "welch_df", "one_sample": "n - 1", "one_sample_b": "n - 1"}
+
+
 @query(
     "j18_t_tests",
-    with_(FORECASTS) + ", e AS (SELECT (p - y) ** 2 AS a, (q - y) ** 2 AS b FROM fc) SELECT count(*) AS n, round(avg(a - b), 8) AS mean_difference, round(avg(a - b) * sqrt(count(*)) / stddev_samp(a - b), 5) AS paired_t, round((avg(a) - avg(b)) / sqrt((var_samp(a) + var_samp(b)) / count(*)), 6) AS welch_t, round(avg(a) * sqrt(count(*)) / stddev_samp(a), 5) AS one_sample_t, round((avg(a) - avg(b)) / sqrt((var_samp(a) + var_samp(b)) / 2), 7) AS cohens_d FROM e",
+    with_(FORECASTS) + """, e AS (SELECT (p - y) ** 2 AS a, (q - y) ** 2 AS b FROM fc),
+    m AS (SELECT count(*) AS n, avg(a - b) AS md, stddev_samp(a - b) AS sd, avg(a) AS ma, avg(b) AS mb, var_samp(a) AS va, var_samp(b) AS vb FROM e),
+    s AS (SELECT n, md, md * sqrt(n) / sd AS paired, (ma - mb) / sqrt((va + vb) / n) AS welch, (va + vb) ** 2 * (n - 1) / (va ** 2 + vb ** 2) AS welch_df, ma * sqrt(n) / sqrt(va) AS one_sample, mb * sqrt(n) / sqrt(vb) AS one_sample_b, (ma - mb) / sqrt((va + vb) / 2) AS cohens_d FROM m),
+    h AS (SELECT *, """ + ", ".join(f"-({_student_sql(t, v)}) AS z_{t}" for t, v in T_VALUES.items()) + """ FROM s)
+    SELECT n, round(md, 8) AS mean_difference, round(paired, 5) AS paired_t, round(welch, 6) AS welch_t, round(one_sample, 5) AS one_sample_t, round(one_sample_b, 5) AS one_sample_t_b, round(cohens_d, 7) AS cohens_d, """
+    + ", ".join(f"round(2 * {cdf_sql(f'z_{t}')}, 9) AS {t.replace('one_sample_b', 'one_sample_p_b') if t.endswith('_b') else t + '_p'}" for t in T_VALUES) + " FROM h",
 )
 def t_tests(spark, sf):
     out = ev.t_tests(forecasts(spark, sf), (F.col("p") - F.col("y")) * (F.col("p") - F.col("y")), (F.col("q") - F.col("y")) * (F.col("q") - F.col("y")))
-    return out.select("n", r("mean_difference", 8).alias("mean_difference"), r("paired_t", 5).alias("paired_t"), r("welch_t").alias("welch_t"), r("one_sample_t", 5).alias("one_sample_t"), r("cohens_d", 7).alias("cohens_d"))
+    digits = {"mean_difference": 8, "paired_t": 5, "welch_t": 6, "one_sample_t": 5, "one_sample_t_b": 5, "cohens_d": 7, "paired_p": 9, "welch_p": 9, "one_sample_p": 9, "one_sample_p_b": 9}
+    return out.select("n", *[r(c, d).alias(c) for c, d in digits.items()])
 
 
 @query(
@@ -203,7 +229,8 @@ NORMAL = {"q05": (0.05, -1.6448536269514722), "q25": (0.25, -0.6744897501960817)
 
 @query(
     "j20_residual_distribution",
-    with_(FORECASTS) + "".join([]) + " UNION ALL ".join(f"SELECT {p}e0 AS prob, round(quantile_cont(y - p, {p}), 8) AS observed, round(avg(y - p) + {z!r}e0 * stddev_samp(y - p), 8) AS normal FROM fc" for p, z in NORMAL.values()),
+    with_(FORECASTS) + ", m AS (SELECT avg(y - p) AS mu, stddev_samp(y - p) AS sd FROM fc), c AS (SELECT mu, sd, avg((y - p - mu) ** 2) AS m2, avg((y - p - mu) ** 3) AS m3, avg((y - p - mu) ** 4) AS m4 FROM fc, m GROUP BY 1, 2) "
+    + " UNION ALL ".join(f"SELECT {p}e0 AS prob, round((SELECT quantile_cont(y - p, {p}) FROM fc), 8) AS observed, round(mu + {z!r}e0 * sd, 8) AS normal, round(mu, 8) AS mean, round(sd, 8) AS std, round(m3 / m2 ** 1.5e0, 8) AS skewness, round(m4 / m2 ** 2 - 3, 8) AS kurtosis FROM c" for p, z in NORMAL.values()),
 )
 def residual_distribution(spark, sf):
     return rounded(ev.residual_quantiles(forecasts(spark, sf).withColumn("residual", F.col("y") - F.col("p")), "residual", NORMAL), 8)

@@ -46,16 +46,25 @@ def roll(fn, x, n, need=None):
     return f"CASE WHEN count({x}) OVER {w} >= {need or n} THEN {fn}({x}) OVER {w} END"
 
 
-@query("i01_filled_bars", with_(filled_sql(300)) + "SELECT * REPLACE (round(vwap, 11) AS vwap) FROM hb")
+@query(
+    "i01_filled_bars",
+    with_(filled_sql(1)) + """SELECT symbol, sec // 3600 * 3600 AS hour, count(*) AS seconds, count(*) FILTER (is_forward_filled) AS filled, sum(volume)::BIGINT AS volume, sum(trades)::BIGINT AS trades,
+    max(high) AS high, min(low) AS low, round(avg(open), 8) AS mean_open, round(avg(close), 8) AS mean_close, round(avg(vwap), 8) AS mean_vwap FROM hb GROUP BY 1, 2""",
+)
 def filled(spark, sf):
-    return filled_bars(spark, sf, 300).withColumn("vwap", r("vwap", 11))
+    """One-second bars without gaps, summed up per hour."""
+    bars = filled_bars(spark, sf, 1).groupBy("symbol", (F.floor(F.col("sec") / 3600) * 3600).alias("hour"))
+    return bars.agg(
+        F.count(F.lit(1)).alias("seconds"), F.count_if("is_forward_filled").alias("filled"), F.sum("volume").alias("volume"), F.sum("trades").alias("trades"),
+        F.max("high").alias("high"), F.min("low").alias("low"), *[r(F.avg(c), 8).alias(f"mean_{c}") for c in ("open", "close", "vwap")],
+    )
 
 
-@query("i02_first_trade_per_step", with_(TICKS) + "SELECT symbol, sec // 60 * 60 AS minute, arg_min(price, (ts_us, id)) AS price, arg_min(id, (ts_us, id)) AS id FROM ticks GROUP BY 1, 2")
+@query("i02_first_trade_per_step", with_(TICKS) + "SELECT symbol, sec, arg_min(price, (ts_us, id)) AS price, arg_min(id, (ts_us, id)) AS id FROM ticks GROUP BY 1, 2")
 def first_trade(spark, sf):
-    t = ticks(spark, sf).withColumn("minute", grid.second_of("ts_us", 60))
+    t = ticks(spark, sf).withColumn("second", grid.second_of("ts_us", 1))
     first = F.min_by(F.struct("price", "id"), F.struct("ts_us", "id")).alias("f")
-    return t.groupBy("symbol", "minute").agg(first).select("symbol", "minute", "f.price", "f.id")
+    return t.groupBy("symbol", "second").agg(first).select("symbol", F.col("second").alias("sec"), "f.price", "f.id")
 
 
 KEY = "(sec, l_orderkey, l_linenumber, l_partkey, l_extendedprice)"
@@ -63,12 +72,12 @@ KEY = "(sec, l_orderkey, l_linenumber, l_partkey, l_extendedprice)"
 
 @query(
     "i03_quotes_to_steps",
-    with_(QUOTES) + f"""SELECT symbol, sec // 3600 * 3600 AS sec, arg_max(bid, {KEY}) FILTER (bid IS NOT NULL) AS bid, arg_max(bid_amount, {KEY}) FILTER (bid_amount IS NOT NULL) AS bid_amount,
+    with_(QUOTES) + f"""SELECT symbol, sec, arg_max(bid, {KEY}) FILTER (bid IS NOT NULL) AS bid, arg_max(bid_amount, {KEY}) FILTER (bid_amount IS NOT NULL) AS bid_amount,
     arg_max(ask, {KEY}) FILTER (ask IS NOT NULL) AS ask, count(*) AS quote_count FROM quotes GROUP BY 1, 2""",
 )
 def quotes_to_steps(spark, sf):
-    q = quotes(spark, sf).withColumn("hour", F.floor(F.col("sec") / 3600) * 3600)
-    return grid.last_known(q, ["symbol", "hour"], ["bid", "bid_amount", "ask"], QUOTE_ORDER).withColumnRenamed("hour", "sec")
+    q = quotes(spark, sf).withColumn("second", F.col("sec"))
+    return grid.last_known(q, ["symbol", "second"], ["bid", "bid_amount", "ask"], QUOTE_ORDER).withColumnRenamed("second", "sec")
 
 
 def levels_sql(n=5):
@@ -93,36 +102,48 @@ def books(spark, sf, n=5):
     return ticks(spark, sf).select("symbol", "ts_us", "sec", "id", *[c.alias(n_) for n_, c in cols.items()])
 
 
+DEEP = 25
+DEEP_NAMES = [f"{s}_{w}_{i}" for i in range(DEEP) for s in ("bid", "ask") for w in ("price", "amount")]
+
+
 @query(
     "i04_book_snapshots_filled",
-    with_(TICKS, levels_sql()) + f""", last_ AS (SELECT symbol, sec // 900 * 900 AS sec, {', '.join(f'arg_max({c}, (ts_us, id)) AS {c}' for c in LEVEL_NAMES)} FROM books GROUP BY 1, 2),
-    sp AS (SELECT symbol, min(sec) AS lo, max(sec) AS hi FROM last_ GROUP BY 1), g AS (SELECT symbol, unnest(range(lo, hi + 1, 900)) AS sec FROM sp)
-    SELECT g.symbol, g.sec, {', '.join(f'round(last_value({c} IGNORE NULLS) OVER w, 6) AS {c}' for c in LEVEL_NAMES)}, last_.symbol IS NULL AS is_forward_filled
-    FROM g LEFT JOIN last_ USING (symbol, sec) WINDOW w AS (PARTITION BY g.symbol ORDER BY g.sec ROWS UNBOUNDED PRECEDING)""",
+    with_(TICKS, levels_sql(DEEP)) + f""", last_ AS (SELECT symbol, sec, arg_max(id, (ts_us, id)) AS id FROM books GROUP BY 1, 2),
+    sp AS (SELECT symbol, min(sec) AS lo, max(sec) AS hi FROM last_ GROUP BY 1), g AS (SELECT symbol, unnest(range(lo, hi + 1)) AS sec FROM sp),
+    w AS (SELECT g.symbol, g.sec, last_value(last_.id IGNORE NULLS) OVER w AS id, last_.id IS NULL AS filled FROM g LEFT JOIN last_ USING (symbol, sec) WINDOW w AS (PARTITION BY g.symbol ORDER BY g.sec ROWS UNBOUNDED PRECEDING)),
+    n AS (SELECT symbol, sec // 3600 * 3600 AS hour, id, count(*) AS n, count(*) FILTER (filled) AS f FROM w GROUP BY 1, 2, 3)
+    SELECT n.symbol, hour, sum(n)::BIGINT AS seconds, sum(f)::BIGINT AS filled, {', '.join(f'round(sum({c} * n) / sum(n), 6) AS {c}' for c in DEEP_NAMES)} FROM n JOIN books USING (id) GROUP BY 1, 2""",
 )
 def book_snapshots(spark, sf):
-    b = books(spark, sf).withColumn("sec", grid.second_of("ts_us", 900))
-    last = grid.last_state(b, ["symbol", "sec"], LEVEL_NAMES, ["ts_us", "id"])
-    packed = last.select("symbol", "sec", F.struct(*LEVEL_NAMES).alias("book"))
-    out = grid.fill_grid(packed, ["symbol"], "sec", ["book"], step=900)
-    return rounded(out.select("symbol", "sec", "book.*", "is_forward_filled"))
+    """Books of 25 levels at every second, averaged per hour."""
+    last = grid.last_state(books(spark, sf, DEEP).withColumn("second", F.col("sec")).drop("sec").withColumnRenamed("second", "sec"), ["symbol", "sec"], DEEP_NAMES, ["ts_us", "id"])
+    packed = last.select("symbol", "sec", F.struct(*DEEP_NAMES).alias("book"))
+    out = grid.fill_grid(packed, ["symbol"], "sec", ["book"], step=1)
+    hours = out.groupBy("symbol", (F.floor(F.col("sec") / 3600) * 3600).alias("hour"))
+    return hours.agg(F.count(F.lit(1)).alias("seconds"), F.count_if("is_forward_filled").alias("filled"), *[r(F.avg(f"book.{c}"), 6).alias(c) for c in DEEP_NAMES])
 
 
 @query(
     "i05_funding_to_steps",
-    with_(TICKS) + """, f AS (SELECT symbol, sec // 600 * 600 AS sec, arg_max(price, (ts_us, id)) FILTER (k % 5 <> 0) AS funding_rate, arg_max(price * 1.01e0, (ts_us, id)) FILTER (k % 3 <> 0) AS mark_price, count(*) AS n FROM ticks GROUP BY 1, 2),
-    sp AS (SELECT symbol, min(sec) AS lo, max(sec) AS hi FROM f GROUP BY 1), g AS (SELECT symbol, unnest(range(lo, hi + 1, 600)) AS sec FROM sp),
+    with_(TICKS) + """, f AS (SELECT symbol, sec, arg_max(price, (ts_us, id)) FILTER (k % 5 <> 0) AS funding_rate, arg_max(price * 1.01e0, (ts_us, id)) FILTER (k % 3 <> 0) AS mark_price, count(*) AS n FROM ticks GROUP BY 1, 2),
+    sp AS (SELECT symbol, min(sec) AS lo, max(sec) AS hi FROM f GROUP BY 1), g AS (SELECT symbol, unnest(range(lo, hi + 1)) AS sec FROM sp),
     w AS (SELECT g.symbol, g.sec, last_value(funding_rate IGNORE NULLS) OVER w AS funding_rate, last_value(mark_price IGNORE NULLS) OVER w AS mark_price, n IS NULL AS is_forward_filled,
       g.sec - last_value(CASE WHEN n IS NOT NULL THEN g.sec END IGNORE NULLS) OVER w AS age FROM g LEFT JOIN f USING (symbol, sec) WINDOW w AS (PARTITION BY g.symbol ORDER BY g.sec ROWS UNBOUNDED PRECEDING))
-    SELECT symbol, sec, CASE WHEN age <= 3600 THEN funding_rate END AS funding_rate, round(CASE WHEN age <= 3600 THEN mark_price END, 8) AS mark_price, is_forward_filled, age AS seconds_since_last_update FROM w""",
+    SELECT symbol, sec // 3600 * 3600 AS hour, count(*) AS seconds, count(*) FILTER (is_forward_filled) AS filled, max(age) AS oldest, count(CASE WHEN age <= 3600 THEN funding_rate END) AS known,
+    round(sum(CASE WHEN age <= 3600 THEN funding_rate END), 4) AS funding_sum, round(sum(CASE WHEN age <= 3600 THEN mark_price END), 5) AS mark_sum FROM w GROUP BY 1, 2""",
 )
 def funding_steps(spark, sf):
+    """Funding at every second, summed up per hour."""
     t = ticks(spark, sf).select(
-        "symbol", grid.second_of("ts_us", 600).alias("sec"), "ts_us", "id", F.when(F.col("k") % 5 != 0, F.col("price")).alias("funding_rate"),
+        "symbol", "sec", "ts_us", "id", F.when(F.col("k") % 5 != 0, F.col("price")).alias("funding_rate"),
         F.when(F.col("k") % 3 != 0, F.col("price") * 1.01).alias("mark_price"),
     )
     rows = grid.last_known(t, ["symbol", "sec"], ["funding_rate", "mark_price"], ["ts_us", "id"]).drop("quote_count")
-    return rounded(grid.fill_grid(rows, ["symbol"], "sec", ["funding_rate", "mark_price"], step=600, max_gap=3600), 8)
+    out = grid.fill_grid(rows, ["symbol"], "sec", ["funding_rate", "mark_price"], step=1, max_gap=3600)
+    return out.groupBy("symbol", (F.floor(F.col("sec") / 3600) * 3600).alias("hour")).agg(
+        F.count(F.lit(1)).alias("seconds"), F.count_if("is_forward_filled").alias("filled"), F.max("seconds_since_last_update").alias("oldest"),
+        F.count("funding_rate").alias("known"), r(F.sum("funding_rate"), 4).alias("funding_sum"), r(F.sum("mark_price"), 5).alias("mark_sum"),
+    )
 
 
 @query(

@@ -57,27 +57,30 @@ def dropped_lines(docs: DataFrame, lead: int, least: int) -> DataFrame:
     return late.groupBy("doc_id").agg(F.collect_set("pos").alias("dropped"))
 
 
-def drop_repeated_lines(docs: DataFrame, lead: int = 2, least: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, lead: int = 2, least: int = 8, most_sent: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of `docs`, the text without its repeated lines, and n_lines, n_dropped (long).
 
+    The places of dropped lines are sent to every task if they were counted to be at most `most_sent` numbers (16 MB);
+    beyond that, documents and places are shuffled together.
+
     Blank lines stay. A null text stays null and has no lines; an empty one has one blank line. Rows of one id are one
     document: no line is dropped because of another row of the same id, but a line dropped at a place goes from all rows
     of that id. Rows without an id are neither changed nor counted. Columns of `docs` named n_lines or n_dropped are
     replaced. An empty table gives an empty one.
     """
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    gone = dropped_lines(plain, lead, least).select(F.col("doc_id").alias("__id"), F.col("dropped").alias("__dropped"))
-    joined = docs.drop("n_lines", "n_dropped").join(gone, F.col(id_col) == F.col("__id"), "left")
-    cut = F.split(text_col, "\n")
-    places = F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), F.col("__dropped"))
-    kept = F.array_join(F.transform(places, lambda i: F.get(cut, i)), "\n")
-    size = F.coalesce(F.size(cut), F.lit(0))
-    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(size).cast("long")
-    n_dropped = F.coalesce(F.size(F.array_intersect(F.sequence(F.lit(0), F.greatest(size, F.lit(1)) - 1), "__dropped")), F.lit(0))
-    n_dropped = F.when(F.col("__dropped").isNull() | F.col(text_col).isNull(), 0).otherwise(n_dropped).cast("long")
-    text = F.when(F.col("__dropped").isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(kept)
+    gone = written(dropped_lines(plain, lead, least).select(F.col("doc_id").alias("__id"), F.col("dropped").alias("__dropped")), "dropped")
+    few = (gone.agg(F.sum(F.size("__dropped") + 4)).first()[0] or 0) <= most_sent
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return joined.select(*(text.alias(c) if c == text_col else F.col(c) for c in names), n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
+    joined = docs.select(*names).join(F.broadcast(gone) if few else gone, F.col(id_col) == F.col("__id"), "left")
+    joined = joined.withColumn("__cut", F.split(text_col, "\n"))
+    places = F.array_except(F.sequence(F.lit(0), F.size("__cut") - 1), "__dropped")
+    joined = joined.withColumn("__kept", F.when(F.col("__dropped").isNotNull(), places))
+    kept = F.array_join(F.transform("__kept", lambda i: F.get("__cut", i)), "\n")
+    text = F.when(F.col("__kept").isNull(), F.col(text_col)).otherwise(kept)
+    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size("__cut"))
+    n_dropped = F.when(F.col("__kept").isNull(), 0).otherwise(F.size("__cut") - F.size("__kept"))
+    return joined.select(*(text.alias(c) if c == text_col else F.col(c) for c in names), n_lines.cast("long").alias("n_lines"), n_dropped.cast("long").alias("n_dropped"))
 
 
 TWIN = """

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidemark.functions import columns as C
 from tidemark.functions.pricing import norm_cdf, student_p
 from tidemark.operators.aggregates import attach, quantiles, spearman
+from tidemark.operators.sampling import uniform
 from tidemark.operators.series import ROWS_PER_TASK, Running, Series
 
 LOG_CLIP = 1e-15
@@ -172,7 +173,7 @@ def t_tests(df: DataFrame, a: Column, b: Column) -> DataFrame:
 
 
 def poisson_weight(u: Column) -> Column:
-    """Poisson(1) count from a uniform value, by the inverse distribution function."""
+    """Poisson(1) count from one of 2 ** 32 uniform values, by the inverse distribution function: no draw exceeds 12."""
     edges, mass, total = [], math.exp(-1), 0.0
     for k in range(12):
         total += mass
@@ -193,8 +194,7 @@ def bootstrap(df: DataFrame, keys: Sequence[str], ids: Sequence[str], measures:
     """
     rows = df.select(*keys, *ids, *[c.alias(n) for n, c in measures.items()])
     copies = rows.withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    u = F.pmod(F.xxhash64(*ids, "_b", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    w = poisson_weight(u)
+    w = poisson_weight(uniform([*ids, "_b"], seed))
     sums = copies.withColumn("_w", w).groupBy(*keys, "_b").agg(
         *[C.ratio(F.sum(F.col("_w") * F.col(n)), F.sum(F.when(F.col(n).isNotNull(), F.col("_w")))).alias(n) for n in measures]
     )

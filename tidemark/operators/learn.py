@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -103,7 +104,7 @@ def calibration_slope(df: DataFrame, p: str, y: str) -> DataFrame:
     rows = df.select(F.ln(q / (1 - q)).alias("logit"), F.col(y).cast("double").alias("label"))
     # Equal pairs are counted and weighted: the solver iterates over far fewer rows.
     rows = rows.groupBy("logit", "label").agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    fit = LogisticRegression(regParam=0.0, standardization=False, maxIter=50, weightCol="weight").fit(assembled(rows, ["logit"]))
+    fit = LogisticRegression(regParam=0.0, standardization=False, maxIter=100, tol=1e-12, weightCol="weight").fit(assembled(rows, ["logit"]))
     return df.sparkSession.createDataFrame([(float(fit.coefficients[0]), float(fit.intercept))], "slope double, intercept double")
 
 
@@ -115,6 +116,21 @@ def ridge(train: DataFrame, features: Sequence[str], label: str = "residual", re
     return Pipeline(stages=stages).fit(train)
 
 
+def time_series_cv(df: DataFrame, day: str, folds: Sequence[tuple], features: Sequence[str], label: str = "residual", reg: float = 1.0) -> DataFrame:
+    """Expanding-window validation of the ridge model: rows and squared error beside that of no correction.  Folds are
+    (train_end, val_start, val_end)."""
+    parts = []
+    for i, (train_end, val_start, val_end) in enumerate(folds):
+        train = df.where(F.col(day) <= F.lit(train_end))
+        val = df.where(F.col(day).between(F.lit(val_start), F.lit(val_end)))
+        model = ridge(train, features, label, reg)
+        error = F.col(label) - F.col("prediction")
+        fit = train.agg(F.count(F.lit(1)).alias("n_train"))
+        out = model.transform(val).agg(F.count(F.lit(1)).alias("n_val"), F.avg(error * error).alias("mse"), F.avg(F.col(label) * F.col(label)).alias("mse_zero"))
+        parts.append(attach(fit, out, []).withColumn("fold", F.lit(i + 1)))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def boosted(train: DataFrame, features: Sequence[str], label: str = "residual", trees: int = 10, depth: int = 3) -> PipelineModel:
     # The working set is re-read every round: disk-backed caching is left to the caller's session.
     stages = [
@@ -217,6 +233,20 @@ def clusters(df: DataFrame, features: Sequence[str], k: int, measures: Sequence[
     )
 
 
+def cluster_check(df: DataFrame, features: Sequence[str], k: int, measures: Sequence[str]) -> DataFrame:
+    """What holds for any clustering: rows are neither lost nor doubled, cluster means average to the table's, and on
+    standardised features the spread inside clusters is smaller than the whole."""
+    parts = clusters(df, features, k, measures)
+    whole = df.agg(F.count(F.lit(1)).alias("rows"), *[F.stddev_samp(f).alias(f"_s_{f}") for f in features], *[F.avg(f).alias(f"_m_{f}") for f in features])
+    joined = attach(parts, whole, [])
+    n = F.col("n")
+    between = F.sum(n * reduce(Column.__add__, [C.ratio(F.col(f"mean_{f}") - F.col(f"_m_{f}"), f"_s_{f}") ** 2 for f in features])) / F.sum(n)
+    return joined.agg(
+        F.count(F.lit(1)).alias("clusters"), F.sum(n).alias("rows"), *[(F.sum(n * F.col(f"mean_{m}")) / F.sum(n)).alias(f"mean_{m}") for m in [*features, *measures]],
+        between.between(0.1 * len(features), len(features)).alias("separated"),
+    )
+
+
 def centred(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """StandardScaler output as plain columns."""
     raw = assembled(df, features, "_raw")

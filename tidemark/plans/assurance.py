@@ -14,7 +14,7 @@ from tidemark.plans.standins import (
     DAY, FORECASTS, OPTIONS, QUOTES, TICKS, TRADES, forecasts, options, quotes, r, rounded, table, ticks, trades, with_,
 )
 from tidemark.plans.windows import SYMBOLS, cdf_sql, symbols
-from tidemark.session import scratch
+from tidemark.session import cut_lineage, scratch
 from tidemark.sources import files
 
 FEATURES = ["value", "moneyness", "vol", "staleness"]
@@ -40,7 +40,7 @@ def scaling(spark, sf):
     return rounded(learn.scaled(forecasts(spark, sf), ["value", "vol"]).select("id", "value_scaled", "vol_scaled"), 7)
 
 
-@query("k01_standard_scaler_model")
+@query("k01_standard_scaler_model", with_(FORECASTS) + "SELECT id, round((value - avg(value) OVER ()) / stddev_samp(value) OVER (), 7) AS value_scaled, round((vol - avg(vol) OVER ()) / stddev_samp(vol) OVER (), 7) AS vol_scaled FROM fc")
 def scaler_model(spark, sf):
     out = learn.centred(training(spark, sf), ["value", "vol"])
     return rounded(out.select("id", "value_scaled", "vol_scaled"), 7)
@@ -53,6 +53,15 @@ def residual_target(spark, sf):
     return learn.residual_rows(f.withColumn("value", hole), "p", "y", FEATURES).select("id", r("residual", 9).alias("residual"))
 
 
+CV = "d AS (SELECT *, sec // 86400 AS day FROM fc), sp AS (SELECT min(day) AS lo, max(day) AS hi FROM d), f AS (SELECT i, lo + (hi - lo) * i // 4 AS te, lo + (hi - lo) * (i + 1) // 4 AS ve FROM sp, (SELECT unnest([1, 2, 3]) AS i))"
+
+
+def cv_folds(df):
+    """Three expanding folds by day, the last one to the end."""
+    lo, hi = df.agg(F.min("day"), F.max("day")).first()
+    return [(lo + (hi - lo) * i // 4, lo + (hi - lo) * i // 4 + 1, lo + (hi - lo) * (i + 1) // 4) for i in (1, 2, 3)]
+
+
 @query("k03_ridge_residual_model")
 def ridge(spark, sf):
     train, test = halves(training(spark, sf))
@@ -60,13 +69,34 @@ def ridge(spark, sf):
     return scored.select("id", "residual", r("prediction").alias("prediction"))
 
 
-@query("k04_boosted_residual_models")
+@query("k03_ridge_time_series_cv", with_(FORECASTS, CV) + "SELECT CAST(i AS INTEGER) AS fold, count(*) FILTER (day <= te) AS n_train, count(*) FILTER (day > te AND day <= ve) AS n_val, round(avg((y - p) ** 2) FILTER (day > te AND day <= ve), 8) AS mse_zero, true AS no_worse FROM d, f GROUP BY i")
+def ridge_cv(spark, sf):
+    df = training(spark, sf)
+    out = learn.time_series_cv(df, "day", cv_folds(df), FEATURES, reg=10.0)
+    return out.select("fold", "n_train", "n_val", r("mse_zero", 8).alias("mse_zero"), (F.col("mse") < 1.05 * F.col("mse_zero")).alias("no_worse"))
+
+
+REGIMES = [f"{h}_{v}_{m}" for h in HORIZONS for v in ("low_vol", "high_vol") for m in ("atm", "otm")]
+REGIME_SQL = "CASE WHEN time_left < 300 THEN 'near' WHEN time_left < 600 THEN 'mid' ELSE 'far' END || CASE WHEN vol <= 0.5e0 THEN '_low_vol' ELSE '_high_vol' END || CASE WHEN abs(moneyness) < 0.05 THEN '_atm' ELSE '_otm' END"
+
+
+def by_regime(df):
+    return df.withColumn("regime", F.concat_ws("_", "horizon", F.when(F.col("vol") <= 0.5, "low_vol").otherwise("high_vol"), F.when(F.abs("moneyness") < 0.05, "atm").otherwise("otm")))
+
+
+@query(
+    "k04_boosted_residual_models",
+    with_(FORECASTS) + f", o AS (SELECT *, row_number() OVER (ORDER BY ts_us, id) - 1 AS i, count(*) OVER () AS n, {REGIME_SQL} AS regime FROM fc) SELECT regime, count(*) AS n, round(avg((p - y) ** 2), 8) AS brier_baseline, count(*) AS scored, true AS in_range FROM o WHERE i >= floor(n * 0.8e0) GROUP BY 1",
+)
 def boosted(spark, sf):
-    train, test = halves(training(spark, sf))
-    models = learn.per_regime(train, "horizon", HORIZONS, lambda d: learn.boosted(d, FEATURES, trees=3))
-    scored = learn.routed(test, models, "horizon", ["id", "horizon", "p", "y"])
-    p = learn.final_probability("p", "prediction")
-    return scored.groupBy("horizon").agg(F.count(F.lit(1)).alias("n"), r(F.avg((p - F.col("y")) * (p - F.col("y"))), 6).alias("brier"))
+    """One boosted model for each of twelve regimes, horizon by volatility by moneyness."""
+    train, test = (cut_lineage(by_regime(part)) for part in halves(training(spark, sf)))
+    models = learn.per_regime(train, "regime", REGIMES, lambda d: learn.boosted(d, FEATURES, trees=10))
+    scored = learn.routed(test, models, "regime", ["id", "regime", "p", "y"])
+    p, q = F.col("p") - F.col("y"), learn.final_probability("p", "prediction")
+    return scored.groupBy("regime").agg(
+        F.count(F.lit(1)).alias("n"), r(F.avg(p * p), 8).alias("brier_baseline"), F.count("prediction").alias("scored"),
+        (F.min(q) >= 0).__and__(F.max(q) <= 1).alias("in_range"))
 
 
 ORDER_SPAN = "sp AS (SELECT CAST(min(o_orderdate) AS DATE) AS lo, CAST(max(o_orderdate) AS DATE) AS hi FROM orders)"
@@ -118,7 +148,7 @@ def stratify(spark, sf):
     return files.read_table(spark, path).groupBy("horizon", "regime").agg(F.count(F.lit(1)).alias("n"), r(F.sum("p")).alias("p_sum"))
 
 
-@query("k09_routed_scoring")
+@query("k09_routed_scoring", with_(FORECASTS) + f", o AS (SELECT *, row_number() OVER (ORDER BY ts_us, id) - 1 AS i, count(*) OVER () AS n FROM fc) SELECT {HORIZON} AS horizon, count(*) AS n, count(*) FILTER (time_left < 600) AS scored FROM o WHERE i >= floor(n * 0.8e0) GROUP BY 1")
 def routed(spark, sf):
     train, test = halves(training(spark, sf))
     models = learn.per_regime(train, "horizon", ["near", "mid"], lambda d: learn.ridge(d, FEATURES))
@@ -144,9 +174,7 @@ def final_probability(spark, sf):
 @query("k12_parameter_search")
 def search(spark, sf):
     df = training(spark, sf)
-    lo, hi = df.agg(F.min("day"), F.max("day")).first()
-    folds = [(lo + (hi - lo) * i // 4, lo + (hi - lo) * i // 4 + 2, lo + (hi - lo) * (i + 1) // 4 + (i == 3)) for i in (1, 2, 3)]
-    return learn.search(df, "day", folds, [{"reg": 0.1}, {"reg": 10.0}], lambda d, reg: learn.ridge(d, FEATURES, reg=reg))
+    return learn.search(df, "day", cv_folds(df), [{"reg": 0.1}, {"reg": 10.0}], lambda d, reg: learn.ridge(d, FEATURES, reg=reg))
 
 
 @query("k13_feature_importance")
@@ -183,6 +211,11 @@ def clusters(spark, sf):
     return learn.clusters(training(spark, sf), ["value", "vol", "p"], 4, ["y"])
 
 
+@query("k16_cluster_check", with_(FORECASTS) + "SELECT CAST(4 AS BIGINT) AS clusters, count(*) AS rows, round(avg(value), 7) AS mean_value, round(avg(vol), 7) AS mean_vol, round(avg(p), 7) AS mean_p, round(avg(y), 7) AS mean_y, true AS separated FROM fc")
+def cluster_check(spark, sf):
+    return rounded(learn.cluster_check(training(spark, sf), ["value", "vol", "p"], 4, ["y"]), 7)
+
+
 @query("k17_fold_metric_rollup", with_(FORECASTS) + "SELECT model, count(*) AS folds, round(avg(b), 8) AS mean_brier, round(stddev_samp(b), 8) AS std_brier, round(min(b), 8) AS min_brier, round(max(b), 8) AS max_brier, round(avg(CAST(b < 0.17e0 AS INTEGER)), 8) AS share_good FROM (SELECT model, sec // 604800 AS w, avg((p - y) ** 2) AS b FROM fc GROUP BY 1, 2) GROUP BY 1")
 def fold_rollup(spark, sf):
     err = F.col("p") - F.col("y")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
@@ -55,9 +57,18 @@ def decomposition(spark, sf):
     return rounded(ev.calibration_errors(curve(spark, sf), ["model"]).select("model", "reliability", "resolution", "uncertainty"), 8)
 
 
-@query("j07_calibration_slope")
+def _newton_sql(steps):
+    """Newton steps of the logistic fit, each an aggregate over the log-odds."""
+    text = ", n0 AS (SELECT 0.0e0 AS a, 1.0e0 AS b)"
+    for i in range(steps):
+        text += f""", s{i} AS (SELECT a, b, c, x, y, 1 / (1 + exp(-(a + b * x))) AS s FROM lo, n{i}), g{i} AS (SELECT a, b, sum(c * (y - s)) AS g0, sum(c * x * (y - s)) AS g1, sum(c * s * (1 - s)) AS h0, sum(c * x * s * (1 - s)) AS h1, sum(c * x * x * s * (1 - s)) AS h2 FROM s{i} GROUP BY 1, 2),
+        n{i + 1} AS (SELECT a + (h2 * g0 - h1 * g1) / (h0 * h2 - h1 * h1) AS a, b + (h0 * g1 - h1 * g0) / (h0 * h2 - h1 * h1) AS b FROM g{i})"""
+    return text
+
+
+@query("j07_calibration_slope", with_(FORECASTS) + ", lo AS (SELECT ln(p / (1 - p)) AS x, y, count(*) AS c FROM fc GROUP BY ALL)" + _newton_sql(8) + " SELECT round(b, 5) AS slope, round(a, 5) AS intercept FROM n8")
 def calibration_slope(spark, sf):
-    return learn.calibration_slope(forecasts(spark, sf), "p", "y")
+    return rounded(learn.calibration_slope(forecasts(spark, sf), "p", "y"), 5)
 
 
 @query("j08_residual_errors", with_(FORECASTS) + "SELECT model, round(avg((y - q) ** 2), 8) AS mse, round(sqrt(avg((y - q) ** 2)), 8) AS rmse, round(avg(abs(y - q)), 8) AS mae FROM fc GROUP BY 1")
@@ -179,10 +190,25 @@ def over_time(spark, sf):
     return rounded(ev.profiles(agg.attach(f, span, []), bins, {"brier": (F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))}), 8)
 
 
-@query("j17_bootstrap_intervals")
+def _poisson_sql(u):
+    text, mass, total = "CASE", math.exp(-1), 0.0
+    for k in range(12):
+        total += mass
+        text += f" WHEN {u} < {total!r}e0 THEN {k}"
+        mass /= k + 1
+    return text + " ELSE 12 END"
+
+
+@query(
+    "j17_bootstrap_intervals",
+    with_(FORECASTS) + ", c AS (SELECT model, (q - y) ** 2 AS m, (p - y) ** 2 - (q - y) ** 2 AS i, b, ('0x' || substr(md5(concat_ws('|', id, b, 42)), 1, 8))::BIGINT / 4294967296.0e0 AS u FROM fc, (SELECT unnest(range(1, 201)) AS b)), w AS (SELECT *, "
+    + _poisson_sql("u") + """ AS w FROM c), s AS (SELECT model, b, sum(w * m) / sum(w) AS m, sum(w * i) / sum(w) AS i FROM w GROUP BY 1, 2), t AS (SELECT model, avg((q - y) ** 2) AS mm, avg((p - y) ** 2 - (q - y) ** 2) AS im FROM fc GROUP BY 1)
+    SELECT model, round(max(mm), 8) AS brier_mean, round(quantile_cont(m, 0.025), 8) AS brier_lower, round(quantile_cont(m, 0.975), 8) AS brier_upper, round(max(im), 8) AS improvement_mean, round(quantile_cont(i, 0.025), 8) AS improvement_lower, round(quantile_cont(i, 0.975), 8) AS improvement_upper
+    FROM s JOIN t USING (model) GROUP BY 1""",
+)
 def bootstrap(spark, sf):
     base, model = (F.col("p") - F.col("y")) * (F.col("p") - F.col("y")), (F.col("q") - F.col("y")) * (F.col("q") - F.col("y"))
-    return ev.bootstrap(forecasts(spark, sf), ["model"], ["id"], {"brier": model, "improvement": base - model})
+    return rounded(ev.bootstrap(forecasts(spark, sf), ["model"], ["id"], {"brier": model, "improvement": base - model}), 8)
 
 
 def _student_sql(t, freedom):

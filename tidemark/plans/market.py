@@ -762,28 +762,36 @@ def scoring_window(spark, sf):
     return rv_table(spark, sf).where(window).join(micro, ["symbol", "sec"], "left").select("symbol", "sec", "rv_24s", "users")
 
 
+SOURCES = {"call_bid": "cb", "call_ask": "ca", "call_mid": "(cb + ca) / 2", "put_bid": "pb", "put_ask": "pa", "put_mid": "(pb + pa) / 2", "blend": "(cb + ca + pb + pa) / 4"}
+
+
 @query(
     "i47_iv_source_scores",
-    with_(GRID) + """, pick AS (SELECT iv.sec // 900 * 900 AS open_time, type, iv_bid, iv_ask FROM iv WHERE expiry > iv.sec // 900 * 900 + 900 QUALIFY row_number() OVER (PARTITION BY iv.sec // 900, type ORDER BY expiry - iv.sec, qid) = 1),
-    w AS (SELECT open_time, max(iv_bid) FILTER (type = 'call') AS cb, max(iv_ask) FILTER (type = 'call') AS ca, max(iv_bid) FILTER (type = 'put') AS pb, max(iv_ask) FILTER (type = 'put') AS pa FROM pick GROUP BY 1),
-    src AS (SELECT open_time, unnest(['call_bid', 'call_ask', 'call_mid', 'put_bid', 'put_ask', 'put_mid', 'blend']) AS source, unnest([cb, ca, (cb + ca) / 2, pb, pa, (pb + pa) / 2, (cb + ca + pb + pa) / 4]) AS sigma FROM w),
-    oc AS (SELECT sec // 900 * 900 AS open_time, arg_min(price, (ts_us, id)) AS strike, arg_max(price, (ts_us, id)) AS close, avg(price) AS s FROM ticks GROUP BY 1),
-    sc AS (SELECT source, sigma, CAST(close > strike AS INTEGER) AS y, (ln(s / strike) - 0.5e0 * sigma * sigma * (450 / 31557600.0e0)) / (sigma * sqrt(450 / 31557600.0e0)) AS d2 FROM src JOIN oc USING (open_time) WHERE sigma IS NOT NULL)
-    SELECT source, count(*) AS n, round(avg((""" + cdf_sql("d2") + """ - y) ** 2), 8) AS brier FROM sc GROUP BY 1""",
+    with_(GRID) + """, side AS (SELECT iv.sec, type, iv_bid, iv_ask FROM iv WHERE expiry > iv.sec // 900 * 900 + 900 QUALIFY row_number() OVER (PARTITION BY iv.sec, type ORDER BY expiry - iv.sec, qid) = 1),
+    f2 AS (SELECT cells.open_time, cells.sec, s, c.sec AS c_at, c.iv_bid AS cb, c.iv_ask AS ca, q.sec AS p_at, q.iv_bid AS pb, q.iv_ask AS pa FROM cells LEFT JOIN spot USING (sec)
+      LEFT JOIN (FROM side WHERE type = 'call') c ON c.sec = cells.sec LEFT JOIN (FROM side WHERE type = 'put') q ON q.sec = cells.sec),
+    c2 AS (SELECT open_time, sec, s, first_value(s) OVER w2 AS strike, last_value(s) OVER w2 AS s_close, """
+    + ", ".join(f"last_value({c} IGNORE NULLS) OVER w AS {c}" for c in ("c_at", "cb", "ca", "p_at", "pb", "pa"))
+    + """ FROM f2 WINDOW w AS (PARTITION BY open_time ORDER BY sec ROWS UNBOUNDED PRECEDING), w2 AS (PARTITION BY open_time ORDER BY sec ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+    fresh AS (SELECT open_time, sec, s, strike, CAST(s_close > strike AS INTEGER) AS y, CASE WHEN sec - c_at <= 300 THEN cb END AS cb, CASE WHEN sec - c_at <= 300 THEN ca END AS ca, CASE WHEN sec - p_at <= 300 THEN pb END AS pb, CASE WHEN sec - p_at <= 300 THEN pa END AS pa FROM c2),
+    src AS (SELECT open_time, sec, s, strike, y, unnest([""" + ", ".join(f"'{n}'" for n in SOURCES) + "]) AS source, unnest([" + ", ".join(SOURCES.values()) + """]) AS sigma FROM fresh),
+    sc AS (SELECT source, y, rate, (open_time + 900 - sec) / 31557600.0e0 AS t, CASE WHEN sigma * sqrt((open_time + 900 - sec) / 31557600.0e0) > 1e-10 THEN (ln(s / strike) + (rate - 0.5e0 * sigma * sigma) * ((open_time + 900 - sec) / 31557600.0e0)) / nullif(sigma * sqrt((open_time + 900 - sec) / 31557600.0e0), 0) WHEN s > strike THEN 1e10 ELSE -1e10 END AS d2
+      FROM src LEFT JOIN daily ON sec // 86400 = day WHERE sigma IS NOT NULL)
+    SELECT source, count(*) AS seconds, count(d2) FILTER (NOT isnan(d2) AND rate IS NOT NULL) AS priced, round(avg((exp(-rate * t) * """ + cdf_sql("d2") + """ - y) ** 2), 8) AS brier FROM sc GROUP BY 1""",
 )
 def iv_sources(spark, sf):
-    """Price each contract half-way with seven volatilities and score every source."""
-    iv = grid_iv(spark, sf).withColumn("open_time", F.floor(F.col("sec") / 900) * 900)
-    best = F.min_by(F.struct("iv_bid", "iv_ask"), F.struct(F.col("expiry") - F.col("sec"), F.col("qid")))
-    pick = iv.where("expiry > open_time + 900").groupBy("open_time").pivot("type", ["call", "put"]).agg(best)
-    cb, ca, pb, pa = (F.col(f"{t}.iv_{s}") for t in ("call", "put") for s in ("bid", "ask"))
-    named = {"call_bid": cb, "call_ask": ca, "call_mid": (cb + ca) / 2, "put_bid": pb, "put_ask": pa, "put_mid": (pb + pa) / 2, "blend": (cb + ca + pb + pa) / 4}
-    sources = pick.select("open_time", F.inline(F.array(*[F.struct(F.lit(n).alias("source"), c.alias("sigma")) for n, c in named.items()])))
-    by = F.struct("ts_us", "id")
-    ends = ticks(spark, sf).groupBy((F.floor(F.col("sec") / 900) * 900).alias("open_time")).agg(
-        F.min_by("price", by).alias("K"), F.max_by("price", by).alias("S_close"), F.avg("price").alias("S")
-    )
-    scored = sources.where("sigma is not null").join(ends, "open_time")
-    scored = pricing.with_binary_prices(scored, "S", "K", F.lit(0.0), F.lit(450), {"p": "sigma"})
-    err = F.col("p") - (F.col("S_close") > F.col("K")).cast("int")
-    return scored.groupBy("source").agg(F.count(F.lit(1)).alias("n"), r(F.avg(err * err), 8).alias("brier"))
+    """Every second of every contract priced with seven volatilities known by then; one score per source."""
+    rates = daily_rates(spark, sf).withColumnRenamed("rate", "r")
+    spot, iv = spot_seconds(spark, sf), grid_iv(spark, sf)
+
+    def side(kind):
+        return opt.pricing_grid(contracts(spark, sf), spot, iv.where(F.col("type") == kind).drop("type"), rates)
+
+    key = ["open_time", "close_time", "sec"]
+    call = side("call").select(*key, "S", "K", "r", "seconds_left", "outcome", F.col("iv_bid").alias("cb"), F.col("iv_ask").alias("ca"))
+    both = call.join(side("put").select(*key, F.col("iv_bid").alias("pb"), F.col("iv_ask").alias("pa")), key)
+    named = F.array(*[F.struct(F.lit(n).alias("source"), F.expr(e).alias("sigma")) for n, e in SOURCES.items()])
+    rows = both.select("S", "K", "r", "seconds_left", "outcome", F.inline(named)).where("sigma is not null")
+    scored = pricing.with_binary_prices(rows, "S", "K", "r", "seconds_left", {"p": "sigma"})
+    err = F.col("p") - F.col("outcome")
+    return scored.groupBy("source").agg(F.count(F.lit(1)).alias("seconds"), F.count("p").alias("priced"), r(F.avg(err * err), 8).alias("brier"))

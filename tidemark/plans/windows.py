@@ -359,17 +359,21 @@ def head_tail(spark, sf):
     return head.unionByName(t.orderBy(F.desc("ts_us"), F.desc("id")).limit(10).select(F.lit("tail").alias("part"), "id"))
 
 
-@query("f05_seeded_sample")
+def md5_sql(*keys):
+    return f"md5(concat_ws('|', {', '.join(keys)}, 42))"
+
+
+@query("f05_seeded_sample", f"SELECT o_orderkey, o_totalprice FROM orders WHERE ('0x' || substr({md5_sql('o_orderkey')}, 1, 8))::BIGINT / 4294967296.0e0 < 0.1e0")
 def seeded_sample(spark, sf):
     return sampling.hash_sample(table(spark, sf, "orders", "o_orderkey", "o_totalprice"), ["o_orderkey"], 0.1, seed=42)
 
 
-@query("f06_hash_shuffle")
+@query("f06_hash_shuffle", with_(TICKS) + f"SELECT id, sec, row_number() OVER (ORDER BY {md5_sql('id')}, id) AS position FROM ticks")
 def hash_shuffle(spark, sf):
     return sampling.hash_order(ticks(spark, sf).select("id", "sec"), ["id"], seed=42)
 
 
-@query("f07_stratified_sample")
+@query("f07_stratified_sample", f"SELECT l_returnflag, l_orderkey, l_linenumber, l_partkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY {md5_sql('l_orderkey', 'l_linenumber', 'l_partkey')}, l_orderkey, l_linenumber, l_partkey) <= 50")
 def stratified(spark, sf):
     return sampling.stratified(table(spark, sf, "lineitem", "l_returnflag", "l_orderkey", "l_linenumber", "l_partkey"),
                                ["l_returnflag"], ["l_orderkey", "l_linenumber", "l_partkey"], 50, seed=42)
@@ -622,9 +626,9 @@ def rowwise(spark, sf):
     )
 
 
-@query("h15_key_hash")
+@query("h15_key_hash", f"SELECT o_orderkey, ('0x' || substr({md5_sql('o_orderkey')}, 1, 15))::BIGINT AS hash FROM orders")
 def key_hash(spark, sf):
-    return table(spark, sf, "orders", "o_orderkey").select("o_orderkey", F.xxhash64("o_orderkey", F.lit(42)).alias("hash"))
+    return table(spark, sf, "orders", "o_orderkey").select("o_orderkey", sampling.key_hash(["o_orderkey"], 42).alias("hash"))
 
 
 @query(

@@ -207,24 +207,53 @@ def vanilla_price(spot, strike, rate, sigma, years, is_call) -> Column:
 
 
 def _vanilla_array(s, k, disc, drift, sigma, root, sign):
+    """Price and its derivative by the volatility."""
     scale = sigma * root
     d1 = (np.log(s / k) + drift) / scale + 0.5 * scale
-    return sign * (s * norm_cdf_array(sign * d1) - k * disc * norm_cdf_array(sign * (d1 - scale)))
+    price = sign * (s * norm_cdf_array(sign * d1) - k * disc * norm_cdf_array(sign * (d1 - scale)))
+    return price, s * root * np.exp(-0.5 * d1 * d1) / math.sqrt(2.0 * math.pi)
 
 
 def _solve(price, s, k, rate, years, is_call) -> np.ndarray:
-    """Volatility by bisection; NaN where no volatility gives the price."""
+    """Volatility by Newton steps inside a shrinking bracket; NaN where no volatility gives the price.
+
+    A step that leaves the bracket is replaced by its middle; rows that have converged are not touched again.
+    """
     root, sign, disc = np.sqrt(years), np.where(is_call, 1.0, -1.0), np.exp(-rate * years)
-    drift = rate * years / root * root
-    lo, hi = np.full(price.shape, VOL_LOW), np.full(price.shape, VOL_HIGH)
-    low = _vanilla_array(s, k, disc, drift, lo, root, sign)
-    high = _vanilla_array(s, k, disc, drift, hi, root, sign)
-    possible = (price > low) & (price < high)
+    data = np.stack([price, s, k, disc, rate * years, root, sign])
+    out = np.full(price.shape, np.nan)
+
+    def at(sigma, rows):
+        return _vanilla_array(*rows[1:5], sigma, *rows[5:])
+
+    ends = [at(np.full(price.shape, v), data)[0] for v in (VOL_LOW, VOL_HIGH)]
+    left = np.flatnonzero((price > ends[0]) & (price < ends[1]))
+    lo, hi = np.full(left.size, VOL_LOW), np.full(left.size, VOL_HIGH)
+    sigma = np.clip(2.5 * price[left] / (s[left] * root[left]), 0.05, 2.0)
     for _ in range(BISECTIONS):
-        middle = 0.5 * (lo + hi)
-        under = _vanilla_array(s, k, disc, drift, middle, root, sign) < price
-        lo, hi = np.where(under, middle, lo), np.where(under, hi, middle)
-    return np.where(possible, 0.5 * (lo + hi), np.nan)
+        if not left.size:
+            break
+        value, vega = at(sigma, data[:, left])
+        miss = value - price[left]
+        lo, hi = np.where(miss < 0, sigma, lo), np.where(miss < 0, hi, sigma)
+        step = sigma - miss / np.maximum(vega, 1e-300)
+        new = np.where((step > lo) & (step < hi), step, 0.5 * (lo + hi))
+        done = np.abs(new - sigma) < 1e-13
+        out[left] = new
+        left, lo, hi, sigma = left[~done], lo[~done], hi[~done], new[~done]
+    return out
+
+
+def _solved(price, s, k, rate, years, is_call) -> np.ndarray:
+    """The solver on the rows that have all inputs; NaN, which Arrow turns to null, elsewhere."""
+    numbers = [np.asarray(c, float) for c in (price, s, k, rate, years)]
+    known = np.all([~np.isnan(c) for c in numbers], axis=0) & ~pd.isna(np.asarray(is_call, object))
+    ok = known & np.all([c > 0 for c in (numbers[0], numbers[1], numbers[2], numbers[4])], axis=0)
+    out = np.full(len(ok), np.nan)
+    if ok.any():
+        with np.errstate(all="ignore"):
+            out[ok] = _solve(*[c[ok] for c in numbers], np.asarray(is_call, object)[ok].astype(bool))
+    return out
 
 
 @F.pandas_udf(T.DoubleType())
@@ -235,21 +264,21 @@ def implied_vol(
 
     Spark has no root finder; this runs on whole Arrow batches inside the tasks.
     """
-    frame = pd.DataFrame(
-        {"p": price, "s": spot, "k": strike, "r": rate, "t": years, "c": is_call}
-    )
-    ok = frame.notna().all(axis=1) & (frame.p > 0) & (frame.s > 0) & (frame.k > 0) & (frame.t > 0)
-    out = pd.Series(np.nan, index=price.index)
-    f = frame[ok]
-    if len(f):
-        columns = [f[c].to_numpy(float) for c in "pskrt"]
-        with np.errstate(all="ignore"):
-            out[ok] = _solve(*columns, f.c.to_numpy(bool))
-    return out.astype(object).where(out.notna(), None)
+    return pd.Series(_solved(price, spot, strike, rate, years, is_call))
+
+
+@F.pandas_udf(T.StructType([T.StructField(side, T.DoubleType()) for side in ("bid", "ask")]))
+def implied_vols(
+    bid: pd.Series, ask: pd.Series, spot: pd.Series, strike: pd.Series, rate: pd.Series, years: pd.Series, is_call: pd.Series
+) -> pd.DataFrame:
+    """Implied volatilities of both sides of a quote in one call."""
+    twice = [np.concatenate([c.to_numpy(), c.to_numpy()]) for c in (spot, strike, rate, years, is_call)]
+    both = _solved(np.concatenate([bid.to_numpy(float), ask.to_numpy(float)]), *twice)
+    return pd.DataFrame({"bid": both[: len(bid)], "ask": both[len(bid) :]})
 
 
 def implied_vol_columns(bid, ask, spot, strike, rate, days, is_call) -> list[dict[str, Column]]:
-    """implied_vol_bid / _ask of quotes in units of the underlying, and the status of each row.
+    """implied_vol_bid / _ask of quotes in units of the underlying, and the status of each row; ``_iv`` is left over.
 
     One pass: rows that fail the input rules reach the solver as nulls, so nothing is split and unioned.
     """
@@ -259,13 +288,11 @@ def implied_vol_columns(bid, ask, spot, strike, rate, days, is_call) -> list[dic
         & (spot > 0) & (strike > 0)
     )
     valid = F.coalesce(valid, F.lit(False))
-
-    def solve(quote):
-        return implied_vol(F.when(valid, quote * spot), spot, strike, col(rate), days / 365.25, col(is_call))
-
+    quotes = [F.when(valid, quote * spot) for quote in (bid, ask)]
     missing = F.col("implied_vol_bid").isNull() | F.col("implied_vol_ask").isNull()
     return [
-        {"implied_vol_bid": solve(bid), "implied_vol_ask": solve(ask)},
+        {"_iv": implied_vols(*quotes, spot, strike, col(rate), days / 365.25, col(is_call))},
+        {"implied_vol_bid": F.col("_iv.bid"), "implied_vol_ask": F.col("_iv.ask")},
         {"iv_calc_status": F.when(~valid, "invalid_input").when(missing, "failed").otherwise("success")},
     ]
 

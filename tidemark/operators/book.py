@@ -6,6 +6,8 @@ earlier epochs are gone.  Size 0 deletes a level.
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Sequence
 
 import pandas as pd
@@ -18,27 +20,50 @@ STATE = "best_bid double, best_ask double, bid_levels long, ask_levels long, bid
 
 
 class Book:
-    """Live levels of one asset; used inside tasks by the batch and the streaming job."""
+    """Live levels of one asset; used inside tasks by the batch and the streaming job.
 
-    def __init__(self):
-        self.levels: dict[str, dict[float, float]] = {"BUY": {}, "SELL": {}}
-        self.epoch = None
+    Volumes are running totals, and the best price is the top of a heap from which dead levels are dropped when they
+    come up: work per event does not grow with the number of levels.
+    """
+
+    def __init__(self, levels: dict[str, dict[float, float]] | None = None, epoch=None):
+        self.epoch = epoch
+        self._start(levels or {"BUY": {}, "SELL": {}})
+
+    def _start(self, levels: dict[str, dict[float, float]]) -> None:
+        self.levels = levels
+        self.volume = {side: math.fsum(sizes.values()) for side, sizes in levels.items()}
+        self._heaps = {"BUY": [-p for p in levels["BUY"]], "SELL": list(levels["SELL"])}
+        for heap in self._heaps.values():
+            heapq.heapify(heap)
 
     def apply(self, epoch, side: str, price: float, size: float) -> None:
         if epoch != self.epoch:
-            self.levels, self.epoch = {"BUY": {}, "SELL": {}}, epoch
+            self.epoch = epoch
+            self._start({"BUY": {}, "SELL": {}})
+        sizes = self.levels[side]
+        before = sizes.get(price)
         if size > 0:
-            self.levels[side][price] = size
-        else:
-            self.levels[side].pop(price, None)
+            sizes[price] = size
+            self.volume[side] += size - (before or 0.0)
+            if before is None:
+                heapq.heappush(self._heaps[side], -price if side == "BUY" else price)
+        elif before is not None:
+            del sizes[price]
+            self.volume[side] = self.volume[side] - before if sizes else 0.0
+
+    def _best(self, side: str, sign: int) -> float | None:
+        heap, sizes = self._heaps[side], self.levels[side]
+        while heap and sign * heap[0] not in sizes:
+            heapq.heappop(heap)
+        return sign * heap[0] if heap else None
 
     def state(self) -> tuple:
         bids, asks = self.levels["BUY"], self.levels["SELL"]
-        return (max(bids, default=None), min(asks, default=None), len(bids), len(asks),
-                sum(bids.values()), sum(asks.values()))
+        return self._best("BUY", -1), self._best("SELL", 1), len(bids), len(asks), self.volume["BUY"], self.volume["SELL"]
 
 
-def _replay(rows: pd.DataFrame) -> pd.DataFrame:
+def _replay(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """Replay one block: first the levels carried in, then its own events in order."""
     book, out = Book(), []
     rows = rows.sort_values(["_own", "seq"], kind="stable")
@@ -47,7 +72,7 @@ def _replay(rows: pd.DataFrame) -> pd.DataFrame:
     ):
         book.apply(epoch, side, price, size)
         if own:
-            out.append((rows["asset"].iloc[0], seq, *book.state()))
+            out.append((key[0], seq, *book.state()))
     names = ["asset", "seq", *[f.split()[0] for f in STATE.split(", ")]]
     return pd.DataFrame(out, columns=names).astype({"best_bid": "float64", "best_ask": "float64"})
 
@@ -74,13 +99,17 @@ def replay(changes: DataFrame, events_per_block: int = EVENTS_PER_BLOCK, rows_pe
     level = Series(per_block, ["asset", "side", "price"], ["_block"], rows_per_task, rows=numbered.rows).running(
         _next=Running("after", F.col("_block"))
     )
-    # A level set in block b is carried into b + 1 up to the block that changes it next.
+    # A level set in block b is carried into b + 1 up to the block that changes it next, or in which its epoch ends,
+    # so a level is never listed for blocks in which it is dead.
+    resets = df.groupBy("asset", (F.col("_epoch") - 1).alias("_epoch")).agg(F.min("_block").alias("_reset"))
     carried = (
         level.where(F.col("_last.size") > 0)
+        .withColumn("_epoch", F.col("_last.epoch"))
+        .join(resets, ["asset", "_epoch"], "left")
         .join(ends, "asset")
-        .withColumn("_until", F.coalesce("_next", "_final"))
+        .withColumn("_until", F.least(F.coalesce("_next", "_final"), F.coalesce("_reset", "_final")))
         .where(F.col("_until") > F.col("_block"))
-        .select("asset", "side", "price", F.col("_last.size").alias("size"), F.col("_last.epoch").alias("_epoch"),
+        .select("asset", "side", "price", F.col("_last.size").alias("size"), "_epoch",
                 F.explode(F.sequence(F.col("_block") + 1, F.col("_until"))).alias("_block"))
         .join(begins, ["asset", "_block"])
         .where(F.col("_epoch") == F.col("_begins"))

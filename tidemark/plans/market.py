@@ -237,7 +237,7 @@ SOLVED = OPTIONS + f""", base AS (SELECT *, row_number() OVER () AS id, CASE typ
 
 def solved(spark, sf):
     df = options(spark, sf).withColumns({"rate": F.lit(0.03), "is_call": F.col("type") == "call"})
-    return feat.with_steps(df, pricing.implied_vol_columns("bid", "ask", "spot", "strike", "rate", "days", "is_call"))
+    return feat.with_steps(df, pricing.implied_vol_columns("bid", "ask", "spot", "strike", "rate", "days", "is_call")).drop("_iv")
 
 
 @query(

@@ -227,8 +227,7 @@ def maintained_books(changes: DataFrame) -> DataFrame:
         book, epoch, applied = Book(), 0, -1
         if state.exists:
             epoch, applied, bids, asks = state.get
-            book.epoch = epoch
-            book.levels = {"BUY": {r[0]: r[1] for r in bids}, "SELL": {r[0]: r[1] for r in asks}}
+            book = Book({"BUY": {r[0]: r[1] for r in bids}, "SELL": {r[0]: r[1] for r in asks}}, epoch)
         rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
         out = []
         for seq, reset, side, price, size in zip(rows["seq"], rows["is_snapshot"], rows["side"], rows["price"], rows["size"]):

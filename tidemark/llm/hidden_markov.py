@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.shared import Words, shared_object, text_blocks, tree_sum, written
+from tidemark.llm.shared import Words, blocks, shared_object, text_blocks, tree_sum, written
 
 END = np.uint64(0x1D872B41F3C9A5E7)
 CHUNK_DDL = "chunk long, doc_ids array<long>, held array<boolean>, lengths array<int>, codes binary, words array<long>, train array<int>"
@@ -116,11 +116,11 @@ class Model:
     def log10_likelihood(self, seq: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Of every sequence, by the scaled forward recursion over all of it."""
         lanes = Lanes(first, length)
-        total, emitted = np.zeros(length.size), self.emit[seq[lanes.rows]]
+        total, seen = np.zeros(length.size), seq[lanes.rows]
         alpha = np.broadcast_to(self.start, (length.size, self.start.size))
         for t in range(lanes.steps):
             lo, hi = lanes.at[t], lanes.at[t + 1]
-            alpha = (alpha[: hi - lo] @ self.move if t else alpha) * emitted[lo:hi]
+            alpha = (alpha[: hi - lo] @ self.move if t else alpha) * self.emit[seen[lo:hi]]
             scale = alpha.sum(axis=1)
             alpha = alpha / scale[:, None]
             total[: hi - lo] += np.log10(scale)
@@ -207,7 +207,11 @@ def train(pieces: DataFrame, states: int, classes: int, rounds: int, window: int
 
         def expected(row: dict, shared=shared) -> np.ndarray:
             codes, of_code, first, length, held = unpacked(row, classes)
-            return shared().expected_counts(of_code[codes], *windows(first[~held], length[~held], window))
+            seq, total = of_code.astype(np.int32)[codes], 0.0
+            first, length = windows(first[~held], length[~held], window)
+            for lo, hi in blocks(length, 250_000):
+                total = total + shared().expected_counts(seq, first[lo:hi], length[lo:hi])
+            return total if length.size else np.zeros(states + states * states + classes * states)
 
         model = Model.of_counts(gathered(expected), states, classes)
     return model, counts
@@ -261,7 +265,7 @@ def score_texts(docs: DataFrame, held_out: Column, states: int = 6, classes: int
                 base = np.log10((count + 1) / (n + v + 1))
                 within = np.log10((count + 1) / (n_class + v_class + 1)[of_code])
                 add = np.add.reduceat
-                likelihood = hmm.log10_likelihood(of_code[codes], first, length)
+                likelihood = hmm.log10_likelihood(of_code.astype(np.int32)[codes], first, length)
                 columns = [pa.array(fields["doc_ids"], pa.int64()), pa.array(held), pa.array(length), pa.array(add((count > 0).astype(np.int64)[codes], first)),
                            pa.array(np.full(length.size, int(n))), pa.array(add(base[codes], first)), pa.array(add(within[codes], first) + likelihood)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])

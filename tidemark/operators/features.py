@@ -99,15 +99,20 @@ def _frame(df: DataFrame, keys, order, steps, before, rows_per_task, rows=None)
     return Series(df, keys, order, rows_per_task, rows=rows).frames(*steps, before=before)
 
 
-def realized_volatility(df: DataFrame, keys, order, close: str = "close", windows: Sequence[int] = RV_WINDOWS,
+def realized_volatility(df: DataFrame, keys, order, close: str = "close", windows: Sequence[int] = RV_WINDOWS, step: int = 1,
                         rows_per_task: int = ROWS_PER_TASK, rows: int | None = None) -> DataFrame:
-    """Annualised standard deviation of log returns per window, window ratios and term slope."""
+    """Annualised standard deviation of log returns per window, window ratios and term slope.
+
+    Windows are seconds; ``step`` is the time between two rows of the gap-free grid.
+    """
+    if any(n % step for n in windows):
+        raise ValueError(f"windows {windows} are no multiples of the step of {step} s")
     steps = [
         {"log_return": log_return(close)},
-        {f"rv_{n}s": rolling(F.stddev_samp, F.col("log_return"), n) for n in windows},
+        {f"rv_{n}s": rolling(F.stddev_samp, F.col("log_return"), n // step) for n in windows},
         {f"rv_{n}s": F.col(f"rv_{n}s") * math.sqrt(SECONDS_PER_YEAR / n) for n in windows},
     ]
-    out = _frame(df, keys, order, steps, max(windows), rows_per_task, rows)
+    out = _frame(df, keys, order, steps, max(windows) // step, rows_per_task, rows)
     short, long = f"rv_{windows[0]}s", f"rv_{windows[-1]}s"
     ratios = {f"rv_ratio_{b}_{a}": C.ratio(f"rv_{b}s", f"rv_{a}s") for a, b in zip(windows, windows[1:])}
     return out.withColumns({**ratios, "rv_term_structure": C.ratio(F.col(long) - F.col(short), short)})
@@ -134,12 +139,12 @@ def momentum_and_range(df: DataFrame, keys, order, windows: Sequence[int] = MOME
     return _frame(df, keys, order, steps, max([*windows, *ranges]), rows_per_task).drop(*ends)
 
 
-def jumps(df: DataFrame, keys, order, rv: str, sec: str, window: int, min_rows: int = 10,
+def jumps(df: DataFrame, keys, order, rv: str, window: int, min_rows: int = 10, step: int = 1,
           rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Returns beyond three times the per-second volatility: flag, intensity, count, mean signed size."""
+    """Returns beyond three times the volatility of one step of ``step`` seconds: flag, intensity, count, mean signed size."""
     step0 = {"log_return": log_return()}
-    per_second = F.col(rv) / math.sqrt(SECONDS_PER_YEAR)
-    flag = (F.abs("log_return") > JUMP_SIGMAS * per_second).cast("int")
+    per_step = F.col(rv) / math.sqrt(SECONDS_PER_YEAR / step)
+    flag = (F.abs("log_return") > JUMP_SIGMAS * per_step).cast("int")
     jumped = F.when(F.col("jump_detected") == 1, F.col("log_return")).otherwise(0.0)
     steps = [
         step0,

@@ -421,31 +421,33 @@ def asymmetry(spark, sf):
                       r("realized_skewness", 4).alias("realized_skewness"), r("realized_kurtosis", 5).alias("realized_kurtosis"))
 
 
-RV_W = (6, 12, 24, 48)
+RV_W = (21_600, 43_200, 86_400, 172_800)  # seconds, on hourly bars
+
+
 def rv_sql(digits=None):
     cols = []
     for n in RV_W:
-        x = f"{roll('stddev_samp', 'log_return', n)} * sqrt({YEAR!r}e0 / {n})"
+        x = f"{roll('stddev_samp', 'log_return', n // 3600)} * sqrt({YEAR!r}e0 / {n})"
         cols.append(f"{x if digits is None else f'round({x}, {digits})'} AS rv_{n}s")
     return HB + f", lr AS (SELECT *, ln(close / lag(close) OVER ({SW})) AS log_return FROM hb), rv AS (SELECT *, {', '.join(cols)} FROM lr)"
 
 
-RV = rv_sql(6)
+RV = rv_sql(8)
 
 
 def rv_table(spark, sf):
     """Rounded, so that thresholds compare alike in both engines."""
-    out = feat.realized_volatility(filled_bars(spark, sf, 3600), ["symbol"], ["sec"], windows=RV_W)
-    return out.withColumns({f"rv_{n}s": r(f"rv_{n}s") for n in RV_W})
+    out = feat.realized_volatility(filled_bars(spark, sf, 3600), ["symbol"], ["sec"], windows=RV_W, step=3600)
+    return out.withColumns({f"rv_{n}s": r(f"rv_{n}s", 8) for n in RV_W})
 
 
 @query(
     "i22_realized_volatility",
-    with_(rv_sql()) + f"SELECT symbol, sec, {', '.join(f'round(rv_{n}s, 6) AS rv_{n}s' for n in RV_W)}, CASE WHEN rv_6s = 0 THEN NULL ELSE round(rv_12s / rv_6s, 8) END AS rv_ratio_12_6, CASE WHEN rv_6s = 0 THEN NULL ELSE round((rv_48s - rv_6s) / rv_6s, 8) END AS rv_term_structure FROM rv",
+    with_(rv_sql()) + f"SELECT symbol, sec, {', '.join(f'round(rv_{n}s, 6) AS rv_{n}s' for n in RV_W)}, CASE WHEN rv_21600s = 0 THEN NULL ELSE round(rv_43200s / rv_21600s, 8) END AS rv_ratio_43200_21600, CASE WHEN rv_21600s = 0 THEN NULL ELSE round((rv_172800s - rv_21600s) / rv_21600s, 8) END AS rv_term_structure FROM rv",
 )
 def rv(spark, sf):
-    out = feat.realized_volatility(filled_bars(spark, sf, 3600), ["symbol"], ["sec"], windows=RV_W)
-    return out.select("symbol", "sec", *[r(f"rv_{n}s").alias(f"rv_{n}s") for n in RV_W], r("rv_ratio_12_6", 8).alias("rv_ratio_12_6"), r("rv_term_structure", 8).alias("rv_term_structure"))
+    out = feat.realized_volatility(filled_bars(spark, sf, 3600), ["symbol"], ["sec"], windows=RV_W, step=3600)
+    return out.select("symbol", "sec", *[r(f"rv_{n}s").alias(f"rv_{n}s") for n in RV_W], r("rv_ratio_43200_21600", 8).alias("rv_ratio_43200_21600"), r("rv_term_structure", 8).alias("rv_term_structure"))
 
 
 @query(
@@ -459,13 +461,13 @@ def momentum(spark, sf):
 
 @query(
     "i24_jumps",
-    with_(RV) + f""", j AS (SELECT *, CASE WHEN log_return IS NULL OR rvj IS NULL THEN NULL WHEN abs(log_return) > 3 * rvj / sqrt({YEAR!r}e0) THEN 1 ELSE 0 END AS jd FROM (SELECT *, rv_12s * 1.5e0 AS rvj FROM rv)),
+    with_(RV) + f""", j AS (SELECT *, CASE WHEN log_return IS NULL OR rvj IS NULL THEN NULL WHEN abs(log_return) > 3 * rvj / sqrt({YEAR!r}e0 / 3600) THEN 1 ELSE 0 END AS jd FROM (SELECT *, rv_43200s * 0.5e0 AS rvj FROM rv)),
     s AS (SELECT *, CASE WHEN jd = 1 THEN log_return ELSE 0.0e0 END AS sg FROM j)
     SELECT symbol, sec, jd AS jump_detected, {roll('sum', 'jd', 24)}::BIGINT AS jump_intensity, {roll('sum', 'jd', 24, 10)}::BIGINT AS jump_count, round({roll('sum', 'sg', 24, 10)} / ({roll('sum', 'jd', 24, 10)} + 1e-9), 7) AS jump_direction FROM s""",
 )
 def jumps(spark, sf):
-    base = rv_table(spark, sf).drop("log_return").withColumn("rvj", F.col("rv_12s") * 1.5)
-    out = feat.jumps(base, ["symbol"], ["sec"], "rvj", "sec", 24)
+    base = rv_table(spark, sf).drop("log_return").withColumn("rvj", F.col("rv_43200s") * 0.5)
+    out = feat.jumps(base, ["symbol"], ["sec"], "rvj", 24, step=3600)
     return out.select("symbol", "sec", "jump_detected", "jump_intensity", "jump_count", r("jump_direction", 7).alias("jump_direction"))
 
 
@@ -506,21 +508,21 @@ def drawdown_runup(spark, sf):
 
 @query(
     "i28_volatility_clustering",
-    with_(RV) + f""", l AS (SELECT *, lag(rv_6s) OVER ({SW}) AS p FROM rv)
-    SELECT symbol, sec, CASE WHEN count(CASE WHEN rv_6s IS NOT NULL AND p IS NOT NULL THEN 1 END) OVER w >= 10 AND isfinite(corr(rv_6s, p) OVER w) THEN round(corr(rv_6s, p) OVER w, 5) END AS vol_persistence_ar1, CASE WHEN count(rv_6s) OVER w >= 10 THEN round(stddev_samp(rv_6s) OVER w, 2) END AS vol_of_vol,
-    round((rv_6s - rv_24s) / (rv_24s + 1e-9) * 100, 5) AS vol_acceleration, round(sqrt(0.94e0 * rv_24s * rv_24s + (1 - 0.94e0) * rv_6s * rv_6s), 3) AS vol_forecast FROM l WINDOW w AS ({SW} ROWS 23 PRECEDING)""",
+    with_(RV) + f""", l AS (SELECT *, lag(rv_21600s) OVER ({SW}) AS p FROM rv)
+    SELECT symbol, sec, CASE WHEN count(CASE WHEN rv_21600s IS NOT NULL AND p IS NOT NULL THEN 1 END) OVER w >= 10 AND isfinite(corr(rv_21600s, p) OVER w) THEN round(corr(rv_21600s, p) OVER w, 5) END AS vol_persistence_ar1, CASE WHEN count(rv_21600s) OVER w >= 10 THEN round(stddev_samp(rv_21600s) OVER w, 2) END AS vol_of_vol,
+    round((rv_21600s - rv_86400s) / (rv_86400s + 1e-9) * 100, 5) AS vol_acceleration, round(sqrt(0.94e0 * rv_86400s * rv_86400s + (1 - 0.94e0) * rv_21600s * rv_21600s), 3) AS vol_forecast FROM l WINDOW w AS ({SW} ROWS 23 PRECEDING)""",
 )
 def clustering(spark, sf):
-    out = feat.vol_clustering(rv_table(spark, sf), ["symbol"], ["sec"], "rv_6s", "rv_24s", 24, 10)
+    out = feat.vol_clustering(rv_table(spark, sf), ["symbol"], ["sec"], "rv_21600s", "rv_86400s", 24, 10)
     return out.select("symbol", "sec", r("vol_persistence_ar1", 5).alias("vol_persistence_ar1"), r("vol_of_vol", 2).alias("vol_of_vol"), r("vol_acceleration", 5).alias("vol_acceleration"), r("vol_forecast", 3).alias("vol_forecast"))
 
 
 @query(
     "i29_har_forecast",
-    with_(RV) + f", m AS (SELECT symbol AS s2, avg(rv_24s) AS lvl FROM rv GROUP BY 1) SELECT symbol, sec, round(0.05e0 * lvl + (0.4e0 * {roll('avg', 'rv_24s', 12)} + 0.3e0 * {roll('avg', 'rv_24s', 48)} + 0.2e0 * {roll('avg', 'rv_24s', 96)}), 3) AS rv_forecast FROM rv JOIN m ON symbol = s2",
+    with_(RV) + f", m AS (SELECT symbol AS s2, avg(rv_86400s) AS lvl FROM rv GROUP BY 1) SELECT symbol, sec, round(0.05e0 * lvl + (0.4e0 * {roll('avg', 'rv_86400s', 12)} + 0.3e0 * {roll('avg', 'rv_86400s', 48)} + 0.2e0 * {roll('avg', 'rv_86400s', 96)}), 3) AS rv_forecast FROM rv JOIN m ON symbol = s2",
 )
 def har(spark, sf):
-    out = feat.har_forecast(rv_table(spark, sf), ["symbol"], ["sec"], "rv_24s", rows=(12, 48, 96))
+    out = feat.har_forecast(rv_table(spark, sf), ["symbol"], ["sec"], "rv_86400s", rows=(12, 48, 96))
     return out.select("symbol", "sec", r("rv_forecast", 3).alias("rv_forecast"))
 
 
@@ -613,41 +615,41 @@ def vol_normalized(spark, sf):
     return out.select("id", r("spread_vol_normalized", 9).alias("spread_vol_normalized"), r("depth_imbalance_vol_normalized", 9).alias("depth_imbalance_vol_normalized"), r("weighted_mid_velocity_normalized", 8).alias("weighted_mid_velocity_normalized"))
 
 
-QV = RV + ", qv AS (SELECT sec // 2592000 AS b, quantile_cont(rv_24s, 0.33) AS lo, quantile_cont(rv_24s, 0.67) AS hi, quantile_cont(rv_24s, 0.95) AS top FROM rv WHERE rv_24s IS NOT NULL GROUP BY 1), th AS (SELECT rv.*, lo, hi, top FROM rv JOIN qv ON sec // 2592000 = b WHERE rv_24s IS NOT NULL)"
+QV = RV + ", qv AS (SELECT sec // 2592000 AS b, quantile_cont(rv_86400s, 0.33) AS lo, quantile_cont(rv_86400s, 0.67) AS hi, quantile_cont(rv_86400s, 0.95) AS top FROM rv WHERE rv_86400s IS NOT NULL GROUP BY 1), th AS (SELECT rv.*, lo, hi, top FROM rv JOIN qv ON sec // 2592000 = b WHERE rv_86400s IS NOT NULL)"
 
 
 def with_thresholds(spark, sf):
-    known = rv_table(spark, sf).where("rv_24s is not null")
-    return feat.bucket_thresholds(known, F.floor(F.col("sec") / feat.THIRTY_DAYS), "rv_24s", {"lo": 0.33, "hi": 0.67, "top": 0.95})
+    known = rv_table(spark, sf).where("rv_86400s is not null")
+    return feat.bucket_thresholds(known, F.floor(F.col("sec") / feat.THIRTY_DAYS), "rv_86400s", {"lo": 0.33, "hi": 0.67, "top": 0.95})
 
 
 @query(
     "i36_extreme_conditions",
-    with_(QV) + "SELECT symbol, sec, round(rv_6s / (rv_24s + 1e-10), 6) AS rv_ratio, coalesce(rv_6s / (rv_24s + 1e-10) > 3 OR rv_24s > top, false) AS is_extreme_condition, CASE WHEN rv_6s / (rv_24s + 1e-10) > 3 THEN 0.5e0 ELSE 1.0e0 END AS position_scale FROM th",
+    with_(QV) + "SELECT symbol, sec, round(rv_21600s / (rv_86400s + 1e-10), 6) AS rv_ratio, coalesce(rv_21600s / (rv_86400s + 1e-10) > 3 OR rv_86400s > top, false) AS is_extreme_condition, CASE WHEN rv_21600s / (rv_86400s + 1e-10) > 3 THEN 0.5e0 ELSE 1.0e0 END AS position_scale FROM th",
 )
 def extreme(spark, sf):
-    out = feat.with_steps(with_thresholds(spark, sf), feat.extreme_conditions("rv_6s", "rv_24s", "top"))
+    out = feat.with_steps(with_thresholds(spark, sf), feat.extreme_conditions("rv_21600s", "rv_86400s", "top"))
     return out.select("symbol", "sec", r("rv_ratio").alias("rv_ratio"), "is_extreme_condition", "position_scale")
 
 
 @query(
     "i37_regimes",
-    with_(QV) + """SELECT symbol, sec, CASE WHEN rv_24s < lo * 0.9e0 THEN 'low' WHEN rv_24s > hi * 1.1e0 THEN 'high' ELSE 'medium' END AS volatility_regime,
-    CASE WHEN rv_24s < lo THEN CASE WHEN d < 0.2e0 THEN 'low_vol_atm' ELSE 'low_vol_otm' END WHEN rv_24s > hi THEN CASE WHEN d < 0.2e0 THEN 'high_vol_atm' ELSE 'high_vol_otm' END ELSE 'medium_vol' END AS market_regime,
-    concat(CASE WHEN sec // 3600 % 15 < 5 THEN 'near' WHEN sec // 3600 % 15 < 10 THEN 'mid' ELSE 'far' END, '_', CASE WHEN rv_24s <= hi THEN 'low_vol' ELSE 'high_vol' END) AS combined_regime FROM (SELECT *, abs(close / 50 - 1) AS d FROM th)""".replace("0.2e0", "0.01e0"),
+    with_(QV) + """SELECT symbol, sec, CASE WHEN rv_86400s < lo * 0.9e0 THEN 'low' WHEN rv_86400s > hi * 1.1e0 THEN 'high' ELSE 'medium' END AS volatility_regime,
+    CASE WHEN rv_86400s < lo THEN CASE WHEN d < 0.2e0 THEN 'low_vol_atm' ELSE 'low_vol_otm' END WHEN rv_86400s > hi THEN CASE WHEN d < 0.2e0 THEN 'high_vol_atm' ELSE 'high_vol_otm' END ELSE 'medium_vol' END AS market_regime,
+    concat(CASE WHEN sec // 3600 % 15 < 5 THEN 'near' WHEN sec // 3600 % 15 < 10 THEN 'mid' ELSE 'far' END, '_', CASE WHEN rv_86400s <= hi THEN 'low_vol' ELSE 'high_vol' END) AS combined_regime FROM (SELECT *, abs(close / 50 - 1) AS d FROM th)""".replace("0.2e0", "0.01e0"),
 )
 def regimes(spark, sf):
     left = F.floor(F.col("sec") / 3600) % 15 * 60
     base = with_thresholds(spark, sf).withColumns({"moneyness_distance": F.abs(F.col("close") / 50 - 1), "temporal_regime": feat.temporal_regime(left)})
-    return feat.with_steps(base, feat.regime_columns("rv_24s", "lo", "hi")).select("symbol", "sec", "volatility_regime", "market_regime", "combined_regime")
+    return feat.with_steps(base, feat.regime_columns("rv_86400s", "lo", "hi")).select("symbol", "sec", "volatility_regime", "market_regime", "combined_regime")
 
 
 @query(
     "i38_hysteresis_regime",
-    with_(QV) + f"SELECT symbol, sec, last_value(CASE WHEN rv_24s > hi * 1.1e0 THEN 'high' WHEN rv_24s < lo * 0.9e0 THEN 'low' WHEN rv_24s > lo * 1.1e0 AND rv_24s < hi * 0.9e0 THEN 'medium' END IGNORE NULLS) OVER ({SW} ROWS UNBOUNDED PRECEDING) AS regime FROM th",
+    with_(QV) + f"SELECT symbol, sec, last_value(CASE WHEN rv_86400s > hi * 1.1e0 THEN 'high' WHEN rv_86400s < lo * 0.9e0 THEN 'low' WHEN rv_86400s > lo * 1.1e0 AND rv_86400s < hi * 0.9e0 THEN 'medium' END IGNORE NULLS) OVER ({SW} ROWS UNBOUNDED PRECEDING) AS regime FROM th",
 )
 def hysteresis(spark, sf):
-    out = feat.hysteresis(with_thresholds(spark, sf), ["symbol"], ["sec"], "rv_24s", F.col("lo"), F.col("hi"), 0.1, "regime")
+    out = feat.hysteresis(with_thresholds(spark, sf), ["symbol"], ["sec"], "rv_86400s", F.col("lo"), F.col("hi"), 0.1, "regime")
     return out.select("symbol", "sec", "regime")
 
 
@@ -678,15 +680,15 @@ def period_imputation(spark, sf):
 
 @query(
     "i41_feature_table",
-    with_(RV) + f""", a AS (SELECT symbol, sec, close, rv_6s, rv_24s, (close - lag(close, 6) OVER ({SW})) / lag(close, 6) OVER ({SW}) AS m6, {roll('avg', 'close', 24)} AS mean24, max(high) OVER ({SW} ROWS 23 PRECEDING) AS h24 FROM rv)
-    SELECT symbol, sec, close, rv_6s, rv_24s, round(m6, 8) AS momentum_6s, round(mean24, 7) AS mean_24, h24 AS window_high, CAST(sec % 86400 // 3600 BETWEEN 13 AND 20 AS INTEGER) AS is_us_hours FROM a""",
+    with_(RV) + f""", a AS (SELECT symbol, sec, close, rv_21600s, rv_86400s, (close - lag(close, 6) OVER ({SW})) / lag(close, 6) OVER ({SW}) AS m6, {roll('avg', 'close', 24)} AS mean24, max(high) OVER ({SW} ROWS 23 PRECEDING) AS h24 FROM rv)
+    SELECT symbol, sec, close, rv_21600s, rv_86400s, round(m6, 8) AS momentum_6s, round(mean24, 7) AS mean_24, h24 AS window_high, CAST(sec % 86400 // 3600 BETWEEN 13 AND 20 AS INTEGER) AS is_us_hours FROM a""",
 )
 def feature_table(spark, sf):
     """Feature groups computed on one shared grid and joined on (symbol, sec): one shuffle layout for all."""
     from tidemark.operators.series import rolling
 
     base = cut_lineage(filled_bars(spark, sf, 3600))  # read by every group below
-    vol = feat.realized_volatility(base, ["symbol"], ["sec"], windows=(6, 24)).select("symbol", "sec", r("rv_6s").alias("rv_6s"), r("rv_24s").alias("rv_24s"))
+    vol = feat.realized_volatility(base, ["symbol"], ["sec"], windows=(21_600, 86_400), step=3600).select("symbol", "sec", r("rv_21600s", 8).alias("rv_21600s"), r("rv_86400s", 8).alias("rv_86400s"))
     mom = feat.momentum_and_range(base, ["symbol"], ["sec"], (6,), (6,)).select("symbol", "sec", r("momentum_6s", 8).alias("momentum_6s"))
     ext = feat.extremes(base, ["symbol"], ["sec"], "sec", 24).select("symbol", "sec", "window_high")
     mean = Series(base, ["symbol"], ["sec"]).frames({"m": rolling(F.avg, F.col("close"), 24)}, before=23).select("symbol", "sec", r("m", 7).alias("mean_24"))
@@ -754,12 +756,12 @@ def spine(spark, sf):
 @query(
     "i46_scoring_window",
     with_(RV) + """, m AS (SELECT symbol, sec // 3600 * 3600 AS sec, count(DISTINCT user_id) AS users FROM ticks GROUP BY 1, 2)
-    SELECT rv.symbol, rv.sec, rv_24s, users FROM rv LEFT JOIN m USING (symbol, sec) WHERE rv.sec BETWEEN 1704499200 AND 1705363200""",
+    SELECT rv.symbol, rv.sec, rv_86400s, users FROM rv LEFT JOIN m USING (symbol, sec) WHERE rv.sec BETWEEN 1704499200 AND 1705363200""",
 )
 def scoring_window(spark, sf):
     window = F.col("sec").between(1704499200, 1705363200)
     micro = ticks(spark, sf).where(F.col("sec").between(1704499200, 1705363200 + 3599)).groupBy("symbol", grid.second_of("ts_us", 3600).alias("sec")).agg(F.countDistinct("user_id").alias("users"))
-    return rv_table(spark, sf).where(window).join(micro, ["symbol", "sec"], "left").select("symbol", "sec", "rv_24s", "users")
+    return rv_table(spark, sf).where(window).join(micro, ["symbol", "sec"], "left").select("symbol", "sec", "rv_86400s", "users")
 
 
 SOURCES = {"call_bid": "cb", "call_ask": "ca", "call_mid": "(cb + ca) / 2", "put_bid": "pb", "put_ask": "pa", "put_mid": "(pb + pa) / 2", "blend": "(cb + ca + pb + pa) / 4"}

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-from pyspark.sql import functions as F
+from pyspark.sql import Column, functions as F
 
 from tidemark.functions import columns as C, pricing
 from tidemark.operators import aggregates as agg, book, features as feat, grid, joins, options as opt
-from tidemark.operators.series import Series
+from tidemark.operators.series import Running, Series, rolling
 from tidemark.plans.aggregation import bars_sql, tick_bars
 from tidemark.plans.registry import query
 from tidemark.plans.standins import (
@@ -16,7 +17,6 @@ from tidemark.plans.standins import (
 )
 from tidemark.plans.tabular import DAILY, SCHEDULE, contracts, daily_rates, quote_messages
 from tidemark.plans.windows import cdf_sql
-from tidemark.session import cut_lineage
 from tidemark.sources.calendar import day_spine
 
 YEAR = pricing.SECONDS_PER_YEAR
@@ -678,24 +678,72 @@ def period_imputation(spark, sf):
     return out.select("id", "x", "cnt")
 
 
+# Eight feature groups on one hourly series: (name, SQL, digits); windows in rows of the grid.
+BID5 = " + ".join(f"((book * {i + 3}) % 17 + 1.0e0)" for i in range(5))
+ASK5 = " + ".join(f"((book * {i + 5}) % 13 + 1.0e0)" for i in range(5))
+FEATURES_SQL = [
+    ("close", "close", 8), ("volume_mean_24", roll("avg", "volume", 24), 8), ("mean_24", roll("avg", "close", 24), 7),
+    ("funding_mean_24", roll("avg", "funding", 24, 1), 8), ("funding_change_6", f"funding - lag(funding, 6) OVER ({SW})", 8),
+    ("spread_bps", "spread / close * 10000", 6), ("imbalance_l0", "imb0", 8), ("imbalance_l0_mean_12", roll("avg", "imb0", 12), 8),
+    ("imbalance_5", "imb5", 8), ("imbalance_5_std_24", roll("stddev_samp", "imb5", 24), 8),
+    ("basis_bps", "basis", 6), ("basis_mean_12", roll("avg", "basis", 12), 6),
+    ("oi_change_6", f"oi / nullif(lag(oi, 6) OVER ({SW}), 0) - 1", 8),
+    ("rv_21600s", f"{roll('stddev_samp', 'lr', 6)} * sqrt({YEAR!r}e0 / 21600)", 8), ("rv_86400s", f"{roll('stddev_samp', 'lr', 24)} * sqrt({YEAR!r}e0 / 86400)", 8),
+    ("momentum_6", f"(close - lag(close, 6) OVER ({SW})) / lag(close, 6) OVER ({SW})", 8),
+    ("range_12", f"(max(high) OVER ({SW} ROWS 11 PRECEDING) - min(low) OVER ({SW} ROWS 11 PRECEDING)) / close", 8),
+    ("window_high", f"max(high) OVER ({SW} ROWS 23 PRECEDING)", 8), ("drawdown", f"close / max(high) OVER ({SW} ROWS 23 PRECEDING) - 1", 8),
+]
+
+
 @query(
     "i41_feature_table",
-    with_(RV) + f""", a AS (SELECT symbol, sec, close, rv_21600s, rv_86400s, (close - lag(close, 6) OVER ({SW})) / lag(close, 6) OVER ({SW}) AS m6, {roll('avg', 'close', 24)} AS mean24, max(high) OVER ({SW} ROWS 23 PRECEDING) AS h24 FROM rv)
-    SELECT symbol, sec, close, rv_21600s, rv_86400s, round(m6, 8) AS momentum_6s, round(mean24, 7) AS mean_24, h24 AS window_high, CAST(sec % 86400 // 3600 BETWEEN 13 AND 20 AS INTEGER) AS is_us_hours FROM a""",
+    with_(TICKS) + f""", ag AS (SELECT symbol, sec // 3600 * 3600 AS sec, arg_min(price, (ts_us, id)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (ts_us, id)) AS close, sum(k)::BIGINT AS volume,
+      arg_max(k, (ts_us, id)) AS book, arg_max(price, (ts_us, id)) FILTER (k % 5 <> 0) AS funding, arg_max(user_id, (ts_us, id)) AS oi FROM ticks GROUP BY 1, 2),
+    sp AS (SELECT symbol, min(sec) AS lo, max(sec) AS hi FROM ag GROUP BY 1), cells AS (SELECT symbol, unnest(range(lo, hi + 1, 3600)) AS sec FROM sp),
+    f AS (SELECT cells.symbol, cells.sec, {', '.join(f'last_value({c} IGNORE NULLS) OVER w AS {c}' for c in ('open', 'high', 'low', 'close', 'book', 'funding', 'oi'))}, coalesce(volume, 0) AS volume FROM cells LEFT JOIN ag USING (symbol, sec)
+      WINDOW w AS (PARTITION BY cells.symbol ORDER BY cells.sec ROWS UNBOUNDED PRECEDING)),
+    x AS (SELECT *, 1.0e0 + (book % 3) * 0.1e0 AS spread, ((book * 3) % 17 + 1.0e0 - ((book * 5) % 13 + 1.0e0)) / ((book * 3) % 17 + 1.0e0 + (book * 5) % 13 + 1.0e0) AS imb0, (({BID5}) - ({ASK5})) / (({BID5}) + ({ASK5})) AS imb5,
+      (close - open) / open * 10000 AS basis, ln(close / lag(close) OVER ({SW})) AS lr FROM f),
+    y AS (SELECT symbol, sec, {', '.join(f'{e} AS {n}' for n, e, _ in FEATURES_SQL)} FROM x)
+    SELECT symbol, sec, {', '.join(f'round({n}, {d}) AS {n}' for n, _, d in FEATURES_SQL)}, CAST(sec % 86400 // 3600 BETWEEN 13 AND 20 AS INTEGER) AS is_us_hours, coalesce(rv_21600s / nullif(rv_86400s, 0) > 1.5, false) AS is_extreme,
+      CASE WHEN rv_86400s IS NULL THEN NULL WHEN drawdown < -0.1 THEN 'stressed' WHEN rv_21600s > rv_86400s THEN 'rising' ELSE 'calm' END AS regime FROM y""",
 )
 def feature_table(spark, sf):
-    """Feature groups computed on one shared grid and joined on (symbol, sec): one shuffle layout for all."""
-    from tidemark.operators.series import rolling
-
-    base = cut_lineage(filled_bars(spark, sf, 3600))  # read by every group below
-    vol = feat.realized_volatility(base, ["symbol"], ["sec"], windows=(21_600, 86_400), step=3600).select("symbol", "sec", r("rv_21600s", 8).alias("rv_21600s"), r("rv_86400s", 8).alias("rv_86400s"))
-    mom = feat.momentum_and_range(base, ["symbol"], ["sec"], (6,), (6,)).select("symbol", "sec", r("momentum_6s", 8).alias("momentum_6s"))
-    ext = feat.extremes(base, ["symbol"], ["sec"], "sec", 24).select("symbol", "sec", "window_high")
-    mean = Series(base, ["symbol"], ["sec"]).frames({"m": rolling(F.avg, F.col("close"), 24)}, before=23).select("symbol", "sec", r("m", 7).alias("mean_24"))
-    out = base.select("symbol", "sec", "close", C.time_features("sec")["is_us_hours"].alias("is_us_hours"))
-    for part in (vol, mom, ext, mean):
-        out = out.join(part, ["symbol", "sec"], "left")
-    return out
+    """Trades, funding, best level, five levels, basis, open interest, volatility and regime of one series: one
+    aggregate, one fill and one pass of windows, without a join between parts of the series."""
+    t, by = ticks(spark, sf).withColumn("hour", grid.second_of("ts_us", 3600)), F.struct("ts_us", "id")
+    hours = t.groupBy("symbol", F.col("hour").alias("sec")).agg(
+        F.min_by("price", by).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", by).alias("close"), F.sum("k").alias("volume"),
+        F.max_by("k", by).alias("book"), F.max_by("price", F.when(F.col("k") % 5 != 0, by)).alias("funding"), F.max_by("user_id", by).alias("oi"),
+    )
+    base = grid.fill_grid(hours, ["symbol"], "sec", ["open", "high", "low", "close", "book", "funding", "oi"], step=3600, zero=["volume"])
+    close, book, funding, oi = (F.col(c) for c in ("close", "book", "funding", "oi"))
+    bids, asks = [(book * (i + 3)) % 17 + 1.0 for i in range(5)], [(book * (i + 5)) % 13 + 1.0 for i in range(5)]
+    total = lambda levels: reduce(Column.__add__, levels)
+    base = base.withColumns({
+        "spread": 1.0 + (book % 3) * 0.1, "imbalance_l0": (bids[0] - asks[0]) / (bids[0] + asks[0]),
+        "imbalance_5": (total(bids) - total(asks)) / (total(bids) + total(asks)), "basis_bps": (close - F.col("open")) / F.col("open") * 10000,
+    })
+    year = lambda seconds: math.sqrt(YEAR / seconds)
+    windows = {
+        "volume_mean_24": rolling(F.avg, F.col("volume"), 24), "mean_24": rolling(F.avg, close, 24),
+        "funding_mean_24": rolling(F.avg, funding, 24, 1), "funding_change_6": lambda w: funding - F.lag(funding, 6).over(w),
+        "imbalance_l0_mean_12": rolling(F.avg, F.col("imbalance_l0"), 12), "imbalance_5_std_24": rolling(F.stddev_samp, F.col("imbalance_5"), 24),
+        "basis_mean_12": rolling(F.avg, F.col("basis_bps"), 12), "oi_change_6": lambda w: C.ratio(oi, F.lag(oi, 6).over(w)) - 1,
+        "rv_21600s": rolling(F.stddev_samp, F.col("lr"), 6), "rv_86400s": rolling(F.stddev_samp, F.col("lr"), 24),
+        "momentum_6": lambda w: C.ratio(close - F.lag(close, 6).over(w), F.lag(close, 6).over(w)),
+        "_high_12": rolling(F.max, F.col("high"), 12, 1), "_low_12": rolling(F.min, F.col("low"), 12, 1), "window_high": rolling(F.max, F.col("high"), 24, 1),
+    }
+    out = Series(base, ["symbol"], ["sec"]).frames({"lr": feat.log_return()}, windows, before=24).withColumns({
+        "rv_21600s": F.col("rv_21600s") * year(21_600), "rv_86400s": F.col("rv_86400s") * year(86_400), "spread_bps": F.col("spread") / close * 10000,
+        "range_12": (F.col("_high_12") - F.col("_low_12")) / close, "drawdown": close / F.col("window_high") - 1,
+    })
+    fast, slow = F.col("rv_21600s"), F.col("rv_86400s")
+    regime = F.when(slow.isNotNull(), F.when(F.col("drawdown") < -0.1, "stressed").when(fast > slow, "rising").otherwise("calm"))
+    return out.select(
+        "symbol", "sec", *[r(n, d).alias(n) for n, _, d in FEATURES_SQL], C.time_features("sec")["is_us_hours"].alias("is_us_hours"),
+        F.coalesce(C.ratio(fast, slow) > 1.5, F.lit(False)).alias("is_extreme"), regime.alias("regime"),
+    )
 
 
 CHANGES = """ch AS (SELECT symbol AS asset, row_number() OVER (PARTITION BY symbol ORDER BY ts_us, id) AS seq, ts_us, k = 49 OR k = 99 AS is_snapshot, CASE WHEN id % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side,
@@ -708,8 +756,6 @@ st AS (SELECT asset, seq, max(price) FILTER (side = 'BUY' AND size > 0) AS best_
 
 def book_changes(spark, sf):
     t = ticks(spark, sf).select("symbol", "ts_us", "id", "price", "k")
-    from tidemark.operators.series import Running
-
     t = Series(t, ["symbol"], ["ts_us", "id"]).running(seq=Running("count"))
     buy = F.col("id") % 2 == 0
     return t.select(

@@ -21,13 +21,17 @@ def sides(spark):
 
 
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi"])
-def test_lookup_splits_hot_keys(sides, monkeypatch, how):
+def test_lookup_with_a_hot_key(spark, sides, how):
     left, right = sides
-    want = rows(left.join(right, "key", how))
-    assert rows(joins.lookup(left, right, ["key"], how)) == want  # broadcast
-    monkeypatch.setattr(joins, "is_small", lambda df, rows=0: False)
-    assert ("hot",) in joins.hot_keys(left, ["key"], left.count())
-    assert rows(joins.lookup(left, right, ["key"], how)) == want  # split
+    want = rows(left.join(F.broadcast(right), "key", how))
+    assert rows(joins.lookup(left, right, ["key"], how)) == want
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert rows(joins.lookup(left, right, ["key"], how)) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    with pytest.raises(ValueError):
+        joins.lookup(left, right, ["key"], "full")
 
 
 @pytest.mark.parametrize("direction", ["backward", "forward", "nearest"])

@@ -3,49 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.operators.series import ROWS_PER_TASK, Running, Series
 
-BROADCAST_ROWS = 200_000
-HOT_SHARE = 0.02  # a key with more than this share of the left side is joined apart
-HOT_SAMPLE = 100_000
-
-
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True if the table has at most ``rows`` rows; counted, since estimates miss joins and generated rows."""
-    return df.count() <= rows
-
-
-def hot_keys(df: DataFrame, on: Sequence[str], rows: int) -> list[tuple]:
-    """Keys that hold more than HOT_SHARE of the table: at most 1 / HOT_SHARE of them."""
-    fraction = min(1.0, HOT_SAMPLE / max(rows, 1))
-    counts = df.select(*on).sample(fraction, seed=11).groupBy(*on).count()
-    return [tuple(r)[:-1] for r in counts.where(F.col("count") > HOT_SHARE * fraction * rows).collect()]
-
-
-def _any_of(on: Sequence[str], keys: Sequence[tuple]) -> Column:
-    return reduce(or_, [reduce(and_, [F.col(c).eqNullSafe(F.lit(v)) for c, v in zip(on, key)]) for key in keys])
-
-
 def lookup(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
     """Join a large table to a table with one row per key.
 
-    A right side of checked size is broadcast.  Beyond that the hot keys of the left side are split
-    off: their few right rows are broadcast, the other keys take the shuffled join.
+    Adaptive execution sends the right side to all tasks if it turns out to be small and splits hot keys if it is not, so
+    no size is measured here.
     """
-    on = list(on)
-    if is_small(right):
-        return left.join(F.broadcast(right), on, how)
-    keys = hot_keys(left, on, left.count())
-    if not keys:
-        return left.join(right, on, how)
-    hot = F.coalesce(_any_of(on, keys), F.lit(False))
-    few = F.broadcast(right.where(hot))  # one row per key, at most 1 / HOT_SHARE keys
-    return left.where(hot).join(few, on, how).unionByName(left.where(~hot).join(right.where(~hot), on, how))
+    if how not in ("left", "inner", "left_semi"):
+        raise ValueError(f"a lookup keeps the left rows or drops some, not {how}")
+    return left.join(right, list(on), how)
 
 
 def asof(
@@ -125,7 +96,6 @@ def interval_lookup(df: DataFrame, ts: str, periods: DataFrame, start: str, end:
     slots = periods.withColumn("_slot", F.explode(F.sequence(first, last)))
     inside = (F.col(ts) >= F.col(start)) & (F.col(ts) < F.col(end))
     left = df.withColumn("_slot", F.floor(F.col(ts) / length))
-    slots = F.broadcast(slots) if is_small(slots) else slots
     return left.join(slots, (left["_slot"] == slots["_slot"]) & inside, "left").drop("_slot")
 
 

@@ -69,7 +69,7 @@ def test_families(spark, families, width, percent):
 
 
 def test_large_unresolved_buckets_are_compared_in_blocks(spark, families, monkeypatch):
-    monkeypatch.setattr(near, "BLOCK", 3)
+    monkeypatch.setattr(near, "BLOCK", 100)
     docs = spark.createDataFrame(list(families.items()), "doc_id long, text string")
     assert found(near.near_copies(docs, 3, 85)) == brute(families, 3, 85)
 

@@ -4,11 +4,12 @@
 2. A set is dealt into `registers` buckets by a hash; a bucket's smallest value is kept as its leading zeros and the
    mantissa bits behind them. A bucket that stays empty takes the smallest of a hash of its own over the whole set, so
    that two sets agree in a register with a probability equal to their similarity at every size.
-3. Classes that agree in all registers of a band meet in its bucket. Each class is first compared with the likeliest of
-   its buckets' smallest members, which joins a large group of copies with one comparison for each. What then still
-   lies in one bucket but in different components is compared in blocks, by estimate, pair for pair.
-4. An estimate, corrected for registers that agree by chance, keeps pairs within five standard errors of the limit;
-   the full sets decide. Components are the stars the links shrink to.
+3. Classes that agree in all registers of a band meet in its bucket. Each class is first compared with the smallest
+   members of its buckets, the three it meets most often, which joins a large group of copies with a few comparisons
+   for each: an estimate, corrected for registers that agree by chance, keeps pairs within five standard errors of the
+   limit, and the full sets decide. Components are the stars the links shrink to.
+4. What then still lies in one bucket but in different components is compared set by set, in blocks of bounded size; a
+   block returns one link for each two components it joins, so no list of all pairs is made.
 """
 
 from __future__ import annotations
@@ -19,12 +20,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.llm.shared import Words, mix, per_worker, rows_out, text_blocks, written
 
 ZERO_BITS, MANTISSA_BITS, VALUE_BITS = 6, 10, 44
 SET_BITS = 52
-BLOCK = 256
+BLOCK = 250_000  # shingles that are compared at once
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +100,7 @@ def signatures(docs: DataFrame, width: int, registers: int, id_col: str, text_co
         for batch in batches:
             for at in range(0, batch.num_rows, most):
                 part = batch.slice(at, most)
-                for lo, hi, data, offsets in text_blocks(part, "text"):
+                for lo, hi, data, offsets in text_blocks(part, "text", 1_000_000):
                     doc, value = shingle_sets(data, offsets, width)
                     n = hi - lo
                     sizes = np.bincount(doc, minlength=n)
@@ -161,7 +163,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, width: int, id_col: str, text_col
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                for lo, hi, data, offsets in text_blocks(part, "text"):
+                for lo, hi, data, offsets in text_blocks(part, "text", 1_000_000):
                     doc, value = shingle_sets(data, offsets, width)
                     cut = np.searchsorted(doc, np.arange(hi - lo + 1)).astype(np.int32)
                     lists = pa.ListArray.from_arrays(pa.array(cut), pa.array(value.view(np.int64)))
@@ -205,73 +207,98 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.select(F.col("u").alias("rep"), F.col("v").alias("root"))
 
 
-def rest_pairs(members: DataFrame, classes: DataFrame, labels: DataFrame, registers: int, least: float) -> DataFrame:
-    """Pairs of one bucket but different components that may be similar, by estimate, over all members of every bucket.
+def block_links(rep: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that join different components of a block, one for each two components they join.
 
-    In a bucket of more than BLOCK members only those outside its commonest component go to several blocks.
+    Intersections of all sets are the product of the matrix (set, shingle) with itself, by slices of its columns; a
+    shingle of one set alone adds nothing.
     """
-    known = members.join(labels, "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("comp"))
-    sizes = known.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    open_keys = (sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("k"), F.count("*").alias("comps")).where("comps > 1")
+    n = np.array([s.size for s in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row, shared = np.repeat(np.arange(n.size), n), count[column] > 1
+    place = (np.cumsum(count > 1) - 1)[column[shared]]
+    row, order = row[shared], np.argsort(place, kind="stable")
+    row, place = row[order], place[order]
+    both = np.zeros((n.size, n.size), np.float32)
+    cuts = np.searchsorted(place, np.arange(0, int(place[-1]) + 1 + 8192, 8192)) if place.size else []
+    for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        part = np.zeros((n.size, 8192), np.float32)
+        part[row[lo:hi], place[lo:hi] - 8192 * k] = 1
+        both += part @ part.T
+    either = n[:, None] + n[None, :] - both
+    x, y = np.nonzero((100 * both >= percent * either) & (comp[:, None] != comp[None, :]) & (rep[:, None] < rep[None, :]))
+    root = {c: c for c in comp.tolist()}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    out = []
+    for i, j in zip(x.tolist(), y.tolist(), strict=True):
+        a, b = find(int(comp[i])), find(int(comp[j]))
+        if a != b:
+            root[a] = b
+            out.append((int(rep[i]), int(rep[j])))
+    return out
+
+
+def rest_links(members: DataFrame, classes: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of one bucket in different components, from all such pairs of every bucket.
+
+    A bucket of more than BLOCK shingles is compared in blocks; then the members of its largest component are in one
+    block each, and only the others go to several.
+    """
+    sized = members.join(labels, "rep", "left").join(classes.select("rep", "n_shingles"), "rep")
+    known = sized.select("key", "rep", "n_shingles", F.coalesce("root", "rep").alias("comp"))
+    by_comp = known.groupBy("key", "comp").agg(F.sum("n_shingles").alias("n"))
+    open_keys = (by_comp.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("k"), F.count("*").alias("comps")).where("comps > 1")
                  .select("key", F.col("main.comp").alias("main"), F.col("main.n").alias("c"), "k"))
     rows = known.join(open_keys, "key").withColumn("is_main", F.col("comp") == F.col("main"))
     blocks_c, blocks_r = F.ceil(F.col("c") / BLOCK), F.ceil((F.col("k") - F.col("c")) / BLOCK)
-    own = F.xxhash64("rep")
 
     def upto(n):
         return F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)
 
-    def cell(side, i, j):
-        return F.struct(F.lit(side).alias("kind"), i.cast("long").alias("i"), j.cast("long").alias("j"))
+    def cell(kind, i, j):
+        return F.struct(F.lit(kind).alias("kind"), i.cast("long").alias("i"), j.cast("long").alias("j"))
 
-    mine_c, mine_r = F.pmod(own, blocks_c), F.pmod(own, blocks_r)
+    mine_c, mine_r = F.pmod(F.xxhash64("rep"), blocks_c), F.pmod(F.xxhash64("rep"), blocks_r)
     whole = F.array(cell("a", F.lit(0), F.lit(0)))
     of_main = F.transform(upto(blocks_r), lambda j: cell("m", mine_c, j))
     of_rest = F.concat(F.transform(upto(blocks_c), lambda i: cell("m", i, mine_r)),
                        F.transform(upto(blocks_r), lambda j: cell("r", F.least(mine_r, j), F.greatest(mine_r, j))))
     cells = F.when(F.col("k") <= BLOCK, whole).when(F.col("is_main"), of_main).otherwise(of_rest)
-    dealt = rows.select("key", "rep", "comp", F.explode(cells).alias("cell")).select("key", "cell.*", "rep", "comp")
-    dealt = dealt.join(classes.select("rep", "n_shingles", "registers"), "rep").withColumn("g", F.xxhash64("key", "kind", "i", "j"))
+    dealt = rows.select("key", "rep", "comp", F.explode(cells).alias("cell")).select(F.xxhash64("key", "cell").alias("g"), "rep", "comp").join(sets, "rep")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_group, rest = None, []
-
-        def pairs_of(parts: list) -> tuple[np.ndarray, np.ndarray]:
-            rep, comp, n = (np.concatenate([p[k] for p in parts]) for k in range(3))
-            regs = np.concatenate([p[3] for p in parts])
-            found_a, found_b = [], []
-            for lo in range(0, rep.size, 64):
-                agree = (regs[lo : lo + 64, None, :] == regs[None, :, :]).sum(axis=2)
-                est = estimate(agree, n[lo : lo + 64, None], n[None, :], registers)
-                x, y = np.nonzero((est >= least) & (comp[lo : lo + 64, None] != comp[None, :]) & (rep[lo : lo + 64, None] < rep[None, :]))
-                found_a.append(rep[lo + x])
-                found_b.append(rep[y])
-            return np.concatenate(found_a), np.concatenate(found_b)
-
-        def out(found: list) -> Iterator[pa.RecordBatch]:
-            if found:
-                a, b = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-                both = np.unique(np.stack([a, b], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+        now, parts = None, []
+
+        def done() -> list[tuple[int, int]]:
+            rep, comp = (np.concatenate([p[k] for p in parts]) for k in range(2))
+            return block_links(rep, comp, [s for p in parts for s in p[2]], percent)
+
+        def out(links: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in range(2)], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            g, rep, comp, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("g", "rep", "comp", "n_shingles"))
-            regs = np.stack([np.frombuffer(r, np.uint16) for r in batch.column("registers").to_pylist()])
+            g, rep, comp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("g", "rep", "comp"))
+            lists = batch.column("shingles")
+            values, at = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
             heads = np.concatenate([np.flatnonzero(np.diff(g, prepend=g[0] - 1)), [g.size]])
-            found = []
             for lo, hi in zip(heads, heads[1:], strict=False):
-                if rest and g[lo] != open_group:
-                    found.append(pairs_of(rest))
-                    rest = []
-                open_group = g[lo]
-                rest.append((rep[lo:hi], comp[lo:hi], n[lo:hi], regs[lo:hi]))
-            yield from out(found)
-        if rest:
-            yield from out([pairs_of(rest)])
+                if parts and g[lo] != now:
+                    yield out(done())
+                    parts = []
+                now = g[lo]
+                parts.append((rep[lo:hi], comp[lo:hi], [values[at[i] : at[i + 1]] for i in range(lo, hi)]))
+        if parts:
+            yield out(done())
 
-    return dealt.repartition("g").sortWithinPartitions("g").select("g", "rep", "comp", "n_shingles", "registers").mapInArrow(compare, "a long, b long").distinct()
+    return dealt.repartition("g").sortWithinPartitions("g").select("g", "rep", "comp", "shingles").mapInArrow(compare, "a long, b long").distinct()
 
 
 def near_copies(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -293,16 +320,16 @@ def near_copies(docs: DataFrame, width: int = 5, percent: int = 80, bands: int =
     shared = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last").select("key", "hub")
     members = written(keyed.join(shared, "key"), "members")
 
-    spokes = members.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-    likely = with_estimates(spokes, classes, registers, least)
-    first = written(likely.groupBy("a").agg(F.max(F.struct("estimate", (-F.col("b")).alias("b"))).alias("best")).select("a", (-F.col("best.b")).alias("b")), "spokes")
+    votes = members.where("rep <> hub").groupBy("rep", "hub").count()
+    order = Window.partitionBy("rep").orderBy(F.desc("count"), "hub")
+    spokes = votes.withColumn("r", F.row_number().over(order)).where("r <= 3").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
+    first = written(with_estimates(spokes, classes, registers, least).select("a", "b"), "spokes")
     ids = members.select("rep").distinct()
     sets = written(full_sets(docs, written(ids, "ids"), width, id_col, text_col), "sets")
     edges = written(confirmed(first, sets, percent), "links")
     labels = components(edges)
-    tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = rest_pairs(members, classes, labels, registers, least).join(tested, ["a", "b"], "left_anti")
-    labels = components(edges.unionByName(confirmed(written(more, "rest"), sets, percent)))
+    more = rest_links(members, classes, sets, labels, percent)
+    labels = components(edges.unionByName(written(more, "rest")))
 
     roots = classes.join(labels, "rep", "left").select(*digest, "rep", F.coalesce("root", "rep").alias("root"))
     whole = rows_all.select("doc_id", *digest)

@@ -94,6 +94,25 @@ def test_moving_matches_sliding_frames(ticks, size, n, need):
     assert_same(got, want, list(fast))
 
 
+@pytest.mark.parametrize("size", [30, 10_000])
+@pytest.mark.parametrize("n", [6, 25])
+def test_moving_moments_match_sliding_frames(ticks, size, n):
+    x, y = F.col("x"), F.col("y")
+    base = ticks.withColumn("z", F.when(F.col("ts") % 3 == 0, y).otherwise(0.5))  # runs of a constant
+    kinds = {"skew": F.skewness, "kurt": F.kurtosis}
+    fast = {f"{k}_{c}": Moving(k, F.col(c), n, 3) for k in kinds for c in ("x", "y", "z")} | {"corr": Moving("corr", x, n, 3, y)}
+    slow = {f"{k}_{c}": rolling(f, F.col(c), n, 3) for k, f in kinds.items() for c in ("x", "y", "z")}
+
+    def corr(w):
+        frame = w.rowsBetween(-(n - 1), 0)
+        return F.when(F.count(x).over(frame) >= 3, F.corr(x, y).over(frame))
+
+    got = Series(base, ["key"], ["ts", "id"], size).frames(fast, before=n)
+    want = Series(base, ["key"], ["ts", "id"], 10**9).frames(slow | {"corr": corr}, before=n)
+    for left, right in zip(rows_of(got, list(fast)), rows_of(want, list(fast))):
+        assert all((a is None) == (b is None or b != b) and (a is None or math.isclose(a, b, rel_tol=1e-6, abs_tol=1e-6)) for a, b in zip(left, right)), (left, right)
+
+
 def test_moving_is_chosen_for_long_windows(ticks):
     long = rolling(F.avg, F.col("y"), 300, 1)
     assert isinstance(long, Moving)

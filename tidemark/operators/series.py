@@ -52,38 +52,74 @@ class Moving:
     is the tail of one chunk plus the head of the next, both of which are growing frames.
     """
 
-    kind: str  # sum, mean, std, max or min
+    kind: str  # sum, mean, std, skew, kurt, corr, max or min
     value: Column
     n: int
     need: int
+    other: Column | None = None  # for corr
 
     def pieces(self, window) -> Column:
-        x = self.value
+        x, y = self.value, self.other
+        if self.kind == "corr":  # pairs only
+            x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
         frame = window.rowsBetween(FIRST, 0)
         out = {"c": F.count(x)}
         if self.kind in ("sum", "mean"):
             out["s"] = F.sum(x)
-        elif self.kind == "std":
-            out |= {"m": F.avg(x), "v": F.var_pop(x)}
-        else:
+        elif self.kind in ("max", "min"):
             out["x"] = {"max": F.max, "min": F.min}[self.kind](x)
+        else:
+            out |= {"m": F.avg(x), "v": F.var_pop(x)}
+            if self.kind in ("skew", "kurt"):
+                out |= {"g": F.skewness(x), "k": F.kurtosis(x)}
+            elif self.kind == "corr":
+                out |= {"my": F.avg(y), "vy": F.var_pop(y), "cov": F.covar_pop(x, y)}
         return F.struct(*[agg.over(frame).alias(name) for name, agg in out.items()])
 
+    def _moments(self, head: Column, tail: Column) -> Column:
+        """Central moments of two parts together, from their counts, means and moments."""
+        a, b = head["c"].cast("double"), F.coalesce(tail["c"], F.lit(0)).cast("double")
+        n, known = F.nullif(a + b, F.lit(0.0)), lambda part, name: F.coalesce(part[name], F.lit(0.0))
+        d = F.coalesce(tail["m"] - head["m"], F.lit(0.0))
+
+        def square(part, size, name="v"):
+            return size * known(part, name)
+
+        m2 = square(head, a) + square(tail, b) + d * d * a * b / n
+        if self.kind == "std":
+            return F.when(n > 1, F.sqrt(m2 / F.nullif(n - 1, F.lit(0.0))))
+        if self.kind == "corr":
+            dy = F.coalesce(tail["my"] - head["my"], F.lit(0.0))
+            m2y = square(head, a, "vy") + square(tail, b, "vy") + dy * dy * a * b / n
+            both = square(head, a, "cov") + square(tail, b, "cov") + d * dy * a * b / n
+            return F.when((m2 > 0) & (m2y > 0), both / F.sqrt(F.nullif(m2 * m2y, F.lit(0.0))))
+
+        def cube(part, size):
+            v = square(part, size)
+            return F.coalesce(known(part, "g") * v * F.sqrt(v) / F.sqrt(F.nullif(size, F.lit(0.0))), F.lit(0.0))
+
+        def fourth(part, size):
+            v = square(part, size)
+            return F.when(v > 0, (known(part, "k") + 3) * v * v / F.nullif(size, F.lit(0.0))).otherwise(0.0)
+
+        va, vb, ca, cb = square(head, a), square(tail, b), cube(head, a), cube(tail, b)
+        if self.kind == "skew":
+            m3 = ca + cb + d * d * d * a * b * (a - b) / (n * n) + 3 * d * (a * vb - b * va) / n
+            return F.when(m2 > 0, F.sqrt(n) * m3 / F.nullif(m2 * F.sqrt(m2), F.lit(0.0)))
+        m4 = (fourth(head, a) + fourth(tail, b) + d * d * d * d * a * b * (a * a - a * b + b * b) / (n * n * n)
+              + 6 * d * d * (a * a * vb + b * b * va) / (n * n) + 4 * d * (a * cb - b * ca) / n)
+        return F.when(m2 > 0, n * m4 / F.nullif(m2 * m2, F.lit(0.0)) - 3)
+
     def combined(self, head: Column, tail: Column) -> Column:
         c2 = F.coalesce(tail["c"], F.lit(0))
         count = head["c"] + c2
         if self.kind in ("sum", "mean"):
             total = F.when(head["s"].isNull(), tail["s"]).when(tail["s"].isNull(), head["s"]).otherwise(head["s"] + tail["s"])
             value = total if self.kind == "sum" else F.try_divide(total, count)
-        elif self.kind == "std":
-            apart = F.coalesce(head["m"] - tail["m"], F.lit(0.0))
-            square = (
-                head["c"] * F.coalesce(head["v"], F.lit(0.0)) + c2 * F.coalesce(tail["v"], F.lit(0.0))
-                + F.coalesce(F.try_divide(apart * apart * head["c"] * c2, count), F.lit(0.0))
-            )
-            value = F.when(count > 1, F.sqrt(F.try_divide(square, count - 1)))
-        else:
+        elif self.kind in ("max", "min"):
             value = {"max": F.greatest, "min": F.least}[self.kind](head["x"], tail["x"])
+        else:
+            value = self._moments(head, tail)
         return F.when(count >= self.need, value)
 
 
@@ -378,7 +414,7 @@ def _move(df: DataFrame, items: Mapping[str, Moving], n: int, keys: Sequence[str
 
 
 MOVING_ROWS = 128  # from this length on a sliding frame costs more than two growing ones
-_MOVING_KINDS = {F.sum: "sum", F.avg: "mean", F.stddev_samp: "std", F.max: "max", F.min: "min"}
+_MOVING_KINDS = {F.sum: "sum", F.avg: "mean", F.stddev_samp: "std", F.max: "max", F.min: "min", F.skewness: "skew", F.kurtosis: "kurt"}
 
 
 # -- column helpers for finite frames -------------------------------------------------------------
@@ -402,6 +438,8 @@ def rolling(agg: Callable[[Column], Column], value: Column, n: int, min_rows: in
 
 def rolling_corr(left: Column, right: Column, n: int):
     """Correlation of two columns over the last ``n`` rows, null until ``n`` pairs are known."""
+    if n >= MOVING_ROWS:
+        return Moving("corr", left, n, n, right)
 
     def column(window) -> Column:
         frame = window.rowsBetween(-(n - 1), 0)

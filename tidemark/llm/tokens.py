@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 
 import numpy as np
@@ -16,11 +17,12 @@ class Encoder:
 
     The byte-level pre-tokenizer never joins what stands on both sides of a line end or before a space, if no more
     white space is next to it. Texts are cut there, each distinct piece is encoded by the library once and remembered,
-    and other texts (longer white space, special tokens' strings) go through the library whole. `most` bounds the
-    remembered pieces.
+    and other texts (longer white space, special tokens' strings) go through the library whole. A piece is remembered
+    when it comes a second time, and at most `most` pieces are.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 400_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs one task per core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -31,9 +33,10 @@ class Encoder:
         if len(self.line_end) != 1:
             raise ValueError("the tokenizer has no single id for a line end")
         self.known = {"\n": np.array(self.line_end, "<u4").tobytes()}
+        self.once = bytearray(1 << 22)  # marks by hash of pieces that came once
 
     def ids(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")  # ids without offsets
 
     def encode(self, text: str) -> bytes:
         if not text or any(s in text for s in self.special):
@@ -50,11 +53,15 @@ class Encoder:
             ids = self.ids(joined)
             raw, ends = ids.tobytes(), (4 * np.flatnonzero(ids == self.line_end[0])).tolist()
             starts = [0, *(e + 4 for e in ends)]
-            found = {piece: raw[lo:hi] for piece, lo, hi in zip(missing, starts, [*ends, len(raw)], strict=True)}
-            if len(self.known) < self.most:
-                self.known.update(found)
-                return b"".join(map(self.known.__getitem__, pieces))
-            return b"".join([found.get(p) or self.known[p] for p in pieces])
+            self.known.update((piece, raw[lo:hi]) for piece, lo, hi in zip(missing, starts, [*ends, len(raw)], strict=True))
+            out = b"".join(map(self.known.__getitem__, pieces))
+            full = len(self.known) - len(missing) >= self.most
+            for piece in missing:
+                mark = hash(piece) & 0x3FFFFF
+                if full or not self.once[mark]:
+                    self.once[mark] = 1
+                    del self.known[piece]
+            return out
 
 
 def encoder(name_or_path: str = TOKENIZER) -> Encoder:

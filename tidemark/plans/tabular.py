@@ -92,7 +92,7 @@ def quote_messages(spark, sf):
     )
     asks = F.array(level(F.when(k % 11 == 0, price - 5).otherwise(price + 2), k * 1.5))
     day = F.dayofmonth(F.timestamp_seconds("sec")) % 28 + 1
-    return ticks(spark, sf).select(
+    return files.spread(ticks(spark, sf)).select(
         F.when(F.col("symbol") == "signup", "book_change").otherwise("quote").alias("type"),
         F.lit("venue").alias("exchange"),
         F.when(k % 13 == 0, "BROKEN").otherwise(F.concat_ws("-", F.lit("BTC"), F.concat(day, F.lit("FEB24")), strike, option)).alias("symbol"),
@@ -230,6 +230,17 @@ def latest_snapshot(spark, sf):
     return files.latest_snapshot(table(spark, sf, "orders"), "o_orderdate").select("o_orderkey", "o_custkey", "o_totalprice")
 
 
+@query("a13_newest_file", "SELECT n_regionkey, count(*) AS n, min(n_nationkey) AS first_nation FROM nation GROUP BY 1")
+def newest_file(spark, sf):
+    """Two snapshots written one after the other; the newer file is read."""
+    path = scratch(spark, "snapshots")
+    nations = table(spark, sf, "nation")
+    for part in (nations.where("n_regionkey = 0"), nations):
+        counts = part.groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("n"), F.min("n_nationkey").alias("first_nation"))
+        counts.coalesce(1).write.mode("append").parquet(path)  # at most one row per region
+    return files.latest_file(spark, path)
+
+
 @query(
     "a14_healing_union",
     """SELECT CAST(s_suppkey AS BIGINT) AS id, s_name AS name, s_acctbal AS balance, CAST(NULL AS VARCHAR) AS segment FROM supplier

@@ -76,11 +76,18 @@ def latest_snapshot(df: DataFrame, snapshot: str) -> DataFrame:
 
 
 def latest_file(spark: SparkSession, root: str) -> DataFrame:
-    """Rows of the most recently written file below a folder."""
-    df = read_tree(spark, root).withColumn(
-        "_file", F.struct("_metadata.file_modification_time", "_metadata.file_path")
-    )
-    return latest_snapshot(df, "_file").drop("_file")
+    """Rows of the most recently written file below a folder; only the listing is searched, not the rows."""
+    listing = configure(spark).read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
+    newest = listing.load(root).select("modificationTime", "path").agg(F.max(F.struct("modificationTime", "path")).alias("f")).first()["f"]
+    if newest is None:
+        raise FileNotFoundError(f"no Parquet file below {root}")
+    return configure(spark).read.parquet(newest["path"])
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of few files dealt to all cores, for work that costs far more per row than moving the row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 # -- sinks ------------------------------------------------------------------------------------------

@@ -159,7 +159,7 @@ def labelled_features(docs: DataFrame, labels: DataFrame, table: np.ndarray, mos
 OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, held_out: Column, rows: int = 8192, dims: int = 64, most_labels: int = 20_000, hidden: int = 32, epochs: int = 25,
+def score_quality(docs: DataFrame, labels: DataFrame, held_out: Column, rows: int = 8192, dims: int = 32, most_labels: int = 20_000, hidden: int = 32, epochs: int = 25,
                   limit: float = 0.7, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """doc_id, held_out, score, predicted of every whole text.
 

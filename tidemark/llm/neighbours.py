@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 
 from tidemark.llm.shared import written
 
-BLOCK = 4096
+BLOCK = 1024  # vectors, and queries, of a cell that meet in one task
 
 
 class Hash:
@@ -129,8 +129,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, tables: int = 6, fu
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(who.size, t, np.int32)), pa.array(key), batch.column("rep").take(pa.array(who))], names=["t", "key", "q"])
 
     indexed = written(distinct.mapInArrow(index, "t int, key long, rep long, v array<double>"), "index")
-    sizes = indexed.groupBy("t", "key").agg(F.count("*").alias("n")).select("t", "key", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    dealt = indexed.join(sizes, ["t", "key"]).withColumn("b", F.pmod(F.xxhash64("rep"), "blocks")).drop("blocks")
+    cells = written(indexed.groupBy("t", "key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "cells")
     vector_of = asked.select(F.col("rep").alias("q"), F.col("v").alias("qv"))
 
     def search(_key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -145,9 +144,18 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, tables: int = 6, fu
         score = dots / (np.sqrt((a * a).sum(axis=1))[qi] * np.sqrt((b * b).sum(axis=1))[ri])
         return pd.DataFrame({"q": left["q"].to_numpy()[qi], "rep": right["rep"].to_numpy()[ri], "score": score})
 
+    def upto(n: str):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
     def searched(probes: DataFrame) -> DataFrame:
-        spread = probes.join(sizes, ["t", "key"]).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks").join(vector_of, "q")
-        pairs = spread.groupBy("t", "key", "b").cogroup(dealt.groupBy("t", "key", "b")).applyInPandas(search, "q long, rep long, score double")
+        """Vectors and queries of every probed cell meet block by block."""
+        probes = written(probes, "probes")
+        asked_cells = probes.groupBy("t", "key").agg(F.ceil(F.count("*") / BLOCK).alias("asking"))
+        grid = written(cells.join(asked_cells, ["t", "key"]), "grid")
+        left = probes.join(grid, ["t", "key"]).withColumn("c", F.pmod(F.xxhash64("q"), "asking")).withColumn("b", upto("blocks")).join(vector_of, "q")
+        right = indexed.join(grid, ["t", "key"]).withColumn("b", F.pmod(F.xxhash64("rep"), "blocks")).withColumn("c", upto("asking"))
+        keys = ["t", "key", "b", "c"]
+        pairs = left.select(*keys, "q", "qv").groupBy(*keys).cogroup(right.select(*keys, "rep", "v").groupBy(*keys)).applyInPandas(search, "q long, rep long, score double")
         return pairs.groupBy("q", "rep").agg(F.max("score").alias("score"))
 
     # the nearest k + 1 distinct vectors, the query's own among them
@@ -156,8 +164,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, tables: int = 6, fu
     short = asked.select(F.col("rep").alias("q")).join(best.groupBy("q").count(), "q", "left").where(F.coalesce("count", F.lit(0)) < min(k + 1, n)).select("q", F.lit(0).alias("t"))
     short = written(short, "short")
     if not short.isEmpty():
-        cells = written(sizes.where("t = 0").select("t", "key"), "cells")  # every vector is in one cell of the first table
-        rest = searched(short.join(cells, "t"))
+        rest = searched(short.join(cells.where("t = 0").select("t", "key"), "t"))  # every vector is in one cell of the first table
         best = best.join(short, "q", "left_anti").unionByName(rest.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).drop("r"))
 
     ids = ranked.select(F.col("vec_id"), F.first("vec_id").over(Window.partitionBy("v").orderBy("vec_id")).alias("rep"))

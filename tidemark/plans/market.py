@@ -385,14 +385,14 @@ def binary_greeks(spark, sf):
     with_(TICKS, GREEK) + """SELECT id, round(ln(abs(delta) + 1e-8), 6) AS log_abs_delta, round(ln(abs(gamma) + 1e-8), 6) AS log_abs_gamma, round(ln(abs(vega) + 1e-8), 6) AS log_abs_vega,
     round(sqrt(abs(gamma) + 1e-8), 8) AS sqrt_abs_gamma, round(sqrt(abs(vega) + 1e-8), 8) AS sqrt_abs_vega, round(delta * delta, 10) AS delta_squared, round(theta / (t + 1e-8), 6) AS theta_per_day, round(vega * sqrt(t), 9) AS vega_time_weighted,
     round(vega / (abs(delta) + 1e-8), 5) AS vega_delta_ratio, round(gamma / (abs(delta) + 1e-8), 6) AS gamma_delta_ratio, round(vanna / (abs(vega) + 1e-8), 5) AS vanna_vega_ratio, round(delta * vega, 10) AS delta_vega_product, round(gamma * vega, 10) AS gamma_vega_product,
-    round(abs(vanna) + abs(volga) + abs(charm), 8) AS greek_stability, round(abs(gamma) / (abs(delta) + 1e-8), 6) AS convexity_measure, sign(delta)::DOUBLE AS delta_sign, sign(theta)::DOUBLE AS theta_sign FROM gv""",
+    round(abs(vanna) + abs(volga) + abs(charm), 8) AS greek_stability, round(abs(gamma) / (abs(delta) + 1e-8), 6) AS convexity_measure, sign(delta)::DOUBLE AS delta_sign, sign(theta)::DOUBLE AS theta_sign, round(ln(1 / (abs(gamma) + 1e-8)), 6) AS log_inverse_gamma FROM gv""",
 )
 def greek_transforms(spark, sf):
     digits = {"log_abs_delta": 6, "log_abs_gamma": 6, "log_abs_vega": 6, "delta_squared": 10, "theta_per_day": 6, "vega_time_weighted": 9, "vega_delta_ratio": 5,
               "gamma_delta_ratio": 6, "vanna_vega_ratio": 5, "delta_vega_product": 10, "gamma_vega_product": 10, "convexity_measure": 6}
     out = greeks(spark, sf).withColumns(pricing.greek_transforms())
     names = [n for n in pricing.greek_transforms() if n != "inverse_gamma"]
-    return out.select("id", *[r(n, digits.get(n, 8)).alias(n) for n in names])
+    return out.select("id", *[r(n, digits.get(n, 8)).alias(n) for n in names], r(F.ln("inverse_gamma"), 6).alias("log_inverse_gamma"))
 
 
 @query(

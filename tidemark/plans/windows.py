@@ -451,8 +451,7 @@ def duplicates(spark, sf):
 @query(
     "g09_list_equality",
     """WITH a AS (SELECT o_custkey, o_orderpriority FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT o_custkey, o_orderpriority FROM orders WHERE o_orderstatus = 'O')
-    SELECT (SELECT count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) AS only_left, (SELECT count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) AS only_right,
-    false AS equal""",
+    SELECT *, only_left = 0 AND only_right = 0 AS equal FROM (SELECT (SELECT count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) AS only_left, (SELECT count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) AS only_right)""",
 )
 def list_equality(spark, sf):
     o = table(spark, sf, "orders", "o_custkey", "o_orderpriority", "o_orderstatus")

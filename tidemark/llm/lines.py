@@ -49,11 +49,12 @@ def recurring(rows: DataFrame, key: str) -> DataFrame:
 def dropped_lines(docs: DataFrame, lead: int, least: int) -> DataFrame:
     """doc_id, dropped: the places of a document's lines whose template an earlier document has."""
     lines = written(template_hashes(docs, lead, least), "lines")
-    shared = lines.join(recurring(lines, "leaf").select("leaf"), "leaf")
+    # the sides of a join are tables of their own, so that a key with very many lines can be split
+    shared = written(lines.join(written(recurring(lines, "leaf").select("leaf"), "leaves"), "leaf"), "shared-lines")
     templates = F.when(F.size("parts") == 1, F.array(F.xxhash64("leaf", F.lit(0), F.col("parts")[0]))).otherwise(
         F.array(*(F.xxhash64("leaf", F.lit(i * SPANS + j), F.get("parts", F.lit(i)), F.get("parts", F.lit(j))) for i, j in KEPT)))
     keyed = shared.select("doc_id", "pos", F.explode(templates).alias("template"))
-    late = keyed.join(recurring(keyed, "template"), "template").where("first < doc_id")
+    late = keyed.join(written(recurring(keyed, "template"), "templates"), "template").where("first < doc_id")
     return late.groupBy("doc_id").agg(F.collect_set("pos").alias("dropped"))
 
 

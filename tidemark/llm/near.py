@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.shared import Words, mix, per_worker, rows_out, text_blocks, written
+from tidemark.llm.shared import Words, among, mix, per_worker, rows_out, text_blocks, written
 
 ZERO_BITS, MANTISSA_BITS, VALUE_BITS = 6, 10, 44
 SET_BITS = 52
-BLOCK = 250_000  # shingles that are compared at once
+BLOCK = 100_000  # shingles that are compared at once
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -45,11 +45,10 @@ def compress(values: np.ndarray) -> np.ndarray:
 
 
 def register_rows(doc: np.ndarray, value: np.ndarray, n_texts: int, registers: int) -> np.ndarray:
-    """One row of registers per text; rows of empty sets hold zeros."""
+    """One row of registers per text; rows of empty sets hold zeros. At most 2 ** 20 registers together."""
     mixed = mix(value, 1)
-    bucket, low = mixed % np.uint64(registers), mixed >> np.uint64(64 - VALUE_BITS)
-    low = mix(mixed, 2) >> np.uint64(64 - VALUE_BITS)
-    cell = (doc.astype(np.uint64) * np.uint64(registers) + bucket) << np.uint64(VALUE_BITS) | low if n_texts * registers < 2**20 else None
+    bucket, low = mixed % np.uint64(registers), mix(mixed, 2) >> np.uint64(64 - VALUE_BITS)
+    cell = (doc.astype(np.uint64) * np.uint64(registers) + bucket) << np.uint64(VALUE_BITS) | low
     out = np.full(n_texts * registers, 2**VALUE_BITS, np.uint64)
     cell.sort()
     place = (cell >> np.uint64(VALUE_BITS)).astype(np.int64)
@@ -96,7 +95,7 @@ def signatures(docs: DataFrame, width: int, registers: int, id_col: str, text_co
     """Set size, a 128-bit digest of the set and its registers, one row per document."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        most = (2**20 - 1) // registers
+        most = min(2 ** (64 - SET_BITS), 2**20 // registers)
         for batch in batches:
             for at in range(0, batch.num_rows, most):
                 part = batch.slice(at, most)
@@ -150,19 +149,13 @@ def with_estimates(pairs: DataFrame, classes: DataFrame, registers: int, least:
     return pairs.join(side["a"], "a").join(side["b"], "b").select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(score, "a long, b long, estimate double")
 
 
-def held(df: DataFrame, ids: DataFrame, column: str, most: int = 2_000_000) -> DataFrame:
-    """Rows of `df` whose `column` is among `ids` (one column of that name). The ids are sent to all tasks if they were
-    counted to be `most` at most (16 MB); otherwise both sides are shuffled."""
-    return df.join(F.broadcast(ids) if ids.count() <= most else ids, column, "left_semi")
-
-
 def full_sets(docs: DataFrame, ids: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
     """The shingle sets of the documents named."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
+            for at in range(0, batch.num_rows, 2 ** (64 - SET_BITS)):
+                part = batch.slice(at, 2 ** (64 - SET_BITS))
                 for lo, hi, data, offsets in text_blocks(part, "text", 1_000_000):
                     doc, value = shingle_sets(data, offsets, width)
                     cut = np.searchsorted(doc, np.arange(hi - lo + 1)).astype(np.int32)
@@ -170,15 +163,16 @@ def full_sets(docs: DataFrame, ids: DataFrame, width: int, id_col: str, text_col
                     yield pa.RecordBatch.from_arrays([part.column("rep").slice(lo, hi - lo), lists], names=["rep", "shingles"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
-    return held(rows, ids, "rep").mapInArrow(sets, "rep long, shingles array<long>")
+    return among(rows, ids, "rep").mapInArrow(sets, "rep long, shingles array<long>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) with 100 * |A and B| >= percent * |A or B|."""
+    """Pairs (a, b) with 100 * |A and B| >= percent * |A or B|. A member of very many pairs can be split by the join, as
+    nothing behind it needs a key's rows together."""
     side = {s: sets.select(F.col("rep").alias(s), F.col("shingles").alias(f"s_{s}")) for s in "ab"}
     both = F.size(F.array_intersect("s_a", "s_b"))
     either = F.size("s_a") + F.size("s_b") - both
-    return pairs.select("a", "b").join(side["a"], "a").join(side["b"], "b").where(100 * both >= percent * either).select("a", "b").distinct()
+    return pairs.select("a", "b").join(side["a"], "a").join(side["b"], "b").where(100 * both >= percent * either).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -318,7 +312,7 @@ def near_copies(docs: DataFrame, width: int = 5, percent: int = 80, bands: int =
                       .select(*digest, F.col("first.doc_id").alias("rep"), F.col("first.registers").alias("registers")), "classes")
     keyed = band_keys(classes, bands, rows)
     shared = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last").select("key", "hub")
-    members = written(keyed.join(shared, "key"), "members")
+    members = written(keyed.join(written(shared, "hubs"), "key"), "members")
 
     votes = members.where("rep <> hub").groupBy("rep", "hub").count()
     order = Window.partitionBy("rep").orderBy(F.desc("count"), "hub")

@@ -41,6 +41,14 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def among(df: DataFrame, ids: DataFrame, column: str, inside: bool = True, most: int = 2_000_000) -> DataFrame:
+    """Rows of `df` whose `column` is (or is not) among `ids`, a written table of that one column.
+
+    The ids are sent to all tasks if they were counted to be `most` at most (16 MB); otherwise both sides are shuffled.
+    """
+    return df.join(F.broadcast(ids) if ids.count() <= most else ids, column, "left_semi" if inside else "left_anti")
+
+
 def crc_mod(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus

@@ -5,7 +5,7 @@ text's probability is that of its class sequence under the hidden Markov model,
 the whole text, times that of each word within its class, from the training counts plus one, with one unknown word per
 class. The sum over all texts is one.
 
-The corpus is read once. Every task cuts its words into chunks of about two million, written as codes into the chunk's
+The corpus is read once. Every task cuts its words into chunks of about a million and a half, written as codes into the chunk's
 own dictionary. Word counts are the dictionaries shuffled by word and sent back by chunk; expected counts of each
 iteration are added up over the tasks.
 """
@@ -51,7 +51,7 @@ def chunks(docs: DataFrame, held_out: Column, size: int, id_col: str, text_col:
         for batch in batches:
             doc_ids = batch.column("doc_id")
             flags = batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
-            for lo, hi, data, offsets in text_blocks(batch, "text"):
+            for lo, hi, data, offsets in text_blocks(batch, "text", 1_000_000):
                 w = Words(data, offsets)
                 counts = np.bincount(w.doc, minlength=hi - lo) + 1
                 rows = np.full(int(counts.sum()), END)
@@ -220,7 +220,7 @@ def train(pieces: DataFrame, states: int, classes: int, rounds: int, window: int
 OUT_DDL = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score_texts(docs: DataFrame, held_out: Column, states: int = 6, classes: int = 8193, rounds: int = 3, window: int = 256, chunk: int = 2_000_000,
+def score_texts(docs: DataFrame, held_out: Column, states: int = 6, classes: int = 8193, rounds: int = 3, window: int = 256, chunk: int = 1_500_000,
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text, learned from those that are not held out.
 

@@ -2,6 +2,7 @@
 
 import gzip
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import options as opt
@@ -117,3 +118,16 @@ def test_books_skip_replayed_changes(spark, tmp_path):
 
 def test_checkpoint_folder_is_kept(spark):
     assert checkpoint_dir(spark) == checkpoint_dir(spark)
+
+
+def test_reports_of_one_file_are_small(spark, tmp_path):
+    files.write_csv_report(spark.range(5), str(tmp_path / "a"), most=5)
+    assert spark.read.option("header", "true").csv(str(tmp_path / "a")).count() == 5
+    with pytest.raises(ValueError):
+        files.write_json_summary(spark.range(6), str(tmp_path / "b"), most=5)
+
+
+def test_latest_file(spark, tmp_path):
+    for n in (3, 5, 4):
+        spark.range(n).coalesce(1).write.mode("append").parquet(str(tmp_path / "t"))
+    assert files.latest_file(spark, str(tmp_path / "t")).count() == 4

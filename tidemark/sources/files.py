@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tidemark.operators.aggregates import first_per_key
@@ -112,14 +113,24 @@ def with_calendar_parts(df: DataFrame, ts: Column) -> DataFrame:
     return df.withColumns({p: F.date_format(ts, f) for p, f in (("year", "yyyy"), ("month", "MM"), ("day", "dd"))})
 
 
-def write_csv_report(df: DataFrame, path: str) -> None:
-    """A small ranked report as a single CSV file; the caller limits it."""
-    df.coalesce(1).write.mode("overwrite").option("header", "true").csv(path)
+SMALL_REPORT = 100_000  # rows that go into a report of one file
 
 
-def write_json_summary(df: DataFrame, path: str) -> None:
+def _one_file(df: DataFrame, most: int) -> DataFrame:
+    """The table in one partition; refused if it has more than ``most`` rows, which nobody reads in one file."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"a report of one file is limited to {most} rows; write a table instead")
+    return df.coalesce(1)
+
+
+def write_csv_report(df: DataFrame, path: str, most: int = SMALL_REPORT) -> None:
+    """A small ranked report as a single CSV file."""
+    _one_file(df, most).write.mode("overwrite").option("header", "true").csv(path)
+
+
+def write_json_summary(df: DataFrame, path: str, most: int = SMALL_REPORT) -> None:
     """A small summary as JSON lines."""
-    df.select(F.to_json(F.struct(*df.columns)).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    _one_file(df.select(F.to_json(F.struct(*df.columns)).alias("value")), most).write.mode("overwrite").text(path)
 
 
 def compact(df: DataFrame, order: Sequence[str], path: str, rows_per_file: int = 20_000_000) -> None:
@@ -136,8 +147,8 @@ def append_dedup(
     touched = new.select(partition).distinct()
     try:
         old = read_table(spark, path)
-    except Exception as error:  # first load: there is no table yet
-        if "PATH_NOT_FOUND" not in str(error):
+    except AnalysisException as error:  # first load: there is no table yet
+        if error.getCondition() != "PATH_NOT_FOUND":
             raise
         merged = new
     else:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tidemark.llm.shared import blocks, per_worker, shared_object, strings
+from tidemark.llm.shared import blocks, shared_object, strings
 
 CLASSES = 0x110000
 UNKNOWN = 0
@@ -97,7 +97,7 @@ def parse_table(edges: list[dict[int, int]], width: int) -> np.ndarray:
 class Model:
     def __init__(self, samples: dict[str, list[str]], chars: int):
         """Automata of at most `chars` characters of sample text each."""
-        self.names = sorted(samples)
+        self.names, self.table = sorted(samples), None
         self.letters = alphabet([t for texts in samples.values() for t in texts])
         table = code_table(self.letters)
         width, tables, self.starts, at = len(self.letters) + 2, [], [], 0
@@ -110,6 +110,12 @@ class Model:
         self.width = width
         self.next = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
 
+    def codes(self) -> np.ndarray:
+        """The code table, made where it is first needed rather than sent."""
+        if self.table is None:
+            self.table = code_table(self.letters)
+        return self.table
+
     def phrases(self, texts: list[np.ndarray], lane: int = 512) -> np.ndarray:
         """Phrases per text and language. A text longer than `lane` is parsed in lanes of that length, all abreast."""
         sizes = np.array([t.size for t in texts], np.int64)
@@ -168,7 +174,7 @@ def identify(docs: DataFrame, held_out: Column, sample_rows: int = 96, chars: in
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared()
-        table = per_worker(("letters", tuple(m.letters)), lambda: code_table(m.letters))
+        table = m.codes()
         for batch in batches:
             texts = strings(batch, text)
             for lo, hi in blocks(np.array([len(t) for t in texts]), 2_000_000):

@@ -79,7 +79,7 @@ def chance_table() -> np.ndarray:
 
 def estimate(agree: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, registers: int) -> np.ndarray:
     """Similarity from the share of agreeing registers, less what agrees by chance."""
-    table = per_worker("chance", chance_table)
+    table = per_worker("model", "chance", chance_table)
 
     def row(n: np.ndarray) -> np.ndarray:
         return np.clip(np.round(2 * np.log2(np.maximum(n / registers, 1))), 0, 47).astype(int)
@@ -99,7 +99,7 @@ def signatures(docs: DataFrame, width: int, registers: int, id_col: str, text_co
         for batch in batches:
             for at in range(0, batch.num_rows, most):
                 part = batch.slice(at, most)
-                for lo, hi, data, offsets in text_blocks(part, "text", 1_000_000):
+                for lo, hi, data, offsets in text_blocks(part, "text", 500_000):
                     doc, value = shingle_sets(data, offsets, width)
                     n = hi - lo
                     sizes = np.bincount(doc, minlength=n)
@@ -156,7 +156,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, width: int, id_col: str, text_col
         for batch in batches:
             for at in range(0, batch.num_rows, 2 ** (64 - SET_BITS)):
                 part = batch.slice(at, 2 ** (64 - SET_BITS))
-                for lo, hi, data, offsets in text_blocks(part, "text", 1_000_000):
+                for lo, hi, data, offsets in text_blocks(part, "text", 500_000):
                     doc, value = shingle_sets(data, offsets, width)
                     cut = np.searchsorted(doc, np.arange(hi - lo + 1)).astype(np.int32)
                     lists = pa.ListArray.from_arrays(pa.array(cut), pa.array(value.view(np.int64)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import types
 import uuid
@@ -54,19 +55,37 @@ def crc_mod(column: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def per_worker(key: object, make: Callable[[], object]) -> object:
-    """A value kept as long as the Python worker lives. Task functions travel by value, so their globals do not."""
-    store = sys.modules.setdefault("_tidemark_worker", types.ModuleType("_tidemark_worker")).__dict__
-    if key not in store:
-        store[key] = make()
-    return store[key]
+def per_worker(kind: str, key: object, make: Callable[[], object]) -> object:
+    """A value kept by the Python worker between tasks. Task functions travel by value, so their globals do not.
+
+    Workers outlive queries: values of one `kind` make room when another kind is asked for.
+    """
+    store = sys.modules.setdefault("_tidemark_worker", types.ModuleType("_tidemark_worker"))
+    if getattr(store, "kind", None) != kind:
+        store.kind, store.kept = kind, {}
+        gc.collect()
+    if key not in store.kept:
+        store.kept[key] = make()
+    return store.kept[key]
 
 
 def shared_object(spark: SparkSession, value: object) -> Callable[[], object]:
-    """Broadcast a bounded object; the function returned gives it to tasks, unpacked once per worker."""
+    """Broadcast a bounded object; the function returned gives it to tasks, unpacked once per worker.
+
+    Workers outlive queries, so a worker keeps the two objects it used last.
+    """
     sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
     name = uuid.uuid4().hex
-    return lambda: per_worker(("shared", name), lambda: cloudpickle.loads(sent.value))
+
+    def get() -> object:
+        kept = per_worker("model", "shared", dict)
+        if name not in kept:
+            while len(kept) > 1:
+                del kept[next(iter(kept))]
+            kept[name] = cloudpickle.loads(sent.value)
+        return kept[name]
+
+    return get
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -79,13 +98,15 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
 
 
 def _powers(n: int, base: int) -> np.ndarray:
-    """base ** 0 .. base ** n modulo 2 ** 64, kept per worker and doubled on demand."""
-    kept = per_worker(("powers", base), lambda: [np.ones(1, np.uint64)])
-    while kept[0].size <= n:
-        step = kept[0]
+    """base ** 0 .. base ** n modulo 2 ** 64, by doubling; the first four million are kept per worker."""
+    kept = per_worker("model", ("powers", base), lambda: [np.ones(1, np.uint64)])
+    powers = kept[0]
+    while powers.size <= n:
         with np.errstate(over="ignore"):
-            kept[0] = np.concatenate([step, step * (step[-1] * np.uint64(base % 2**64))])
-    return kept[0][: n + 1]
+            powers = np.concatenate([powers, powers * (powers[-1] * np.uint64(base))])
+        if powers.size <= 1 << 22:
+            kept[0] = powers
+    return powers[: n + 1]
 
 
 BASE = 0x5851F42D4C957F2D

@@ -74,4 +74,4 @@ def encoder(name_or_path: str = TOKENIZER) -> Encoder:
 
         return Encoder(public_tokenizers.path(name_or_path))
 
-    return per_worker(("encoder", name_or_path), make)
+    return per_worker("encoder", name_or_path, make)

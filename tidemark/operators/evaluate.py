@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidemark.functions import columns as C
 from tidemark.functions.pricing import norm_cdf, student_p
 from tidemark.operators.aggregates import attach, quantiles, spearman
-from tidemark.operators.sampling import uniform
+from tidemark.operators.sampling import first_bits, repeated_uniform
 from tidemark.operators.series import ROWS_PER_TASK, Running, Series
 
 LOG_CLIP = 1e-15
@@ -192,9 +192,10 @@ def bootstrap(df: DataFrame, keys: Sequence[str], ids: Sequence[str], measures:
     Weights come from a hash of the row id, so a retried task draws the same sample.  Replicates are summed before
     the shuffle: what moves is replicates times groups, whatever the number of rows.
     """
-    rows = df.select(*keys, *ids, *[c.alias(n) for n, c in measures.items()])
+    rows = df.select(*keys, first_bits(ids, seed).alias("_first"), *[c.alias(n) for n, c in measures.items()])
     copies = rows.withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    w = poisson_weight(uniform([*ids, "_b"], seed))
+    w = poisson_weight(F.col("_u"))
+    copies = copies.withColumn("_u", repeated_uniform(F.col("_first"), F.col("_b").cast("long")))
     sums = copies.withColumn("_w", w).groupBy(*keys, "_b").agg(
         *[C.ratio(F.sum(F.col("_w") * F.col(n)), F.sum(F.when(F.col(n).isNotNull(), F.col("_w")))).alias(n) for n in measures]
     )

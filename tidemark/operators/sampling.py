@@ -25,7 +25,22 @@ def key_hash(keys: Sequence[str], seed: int) -> Column:
 
 def uniform(keys: Sequence[str], seed: int) -> Column:
     """One of 2 ** 32 values in [0, 1) fixed by the key and the seed."""
-    return F.conv(F.substring(digest(keys, seed), 1, 8), 16, 10).cast("long") / _DRAWS
+    return first_bits(keys, seed) / _DRAWS
+
+
+def repeated_uniform(first: Column, nth: Column) -> Column:
+    """One of 2 ** 32 values in [0, 1) for the nth draw of a row whose first 32 digest bits are given: integer mixing, so
+    that many draws cost one digest."""
+    word = F.lit((1 << 32) - 1)
+    x = first.bitwiseXOR((nth * F.lit(2654435761)).bitwiseAND(word))
+    for _ in range(2):
+        x = (x.bitwiseXOR(F.shiftright(x, 16)) * 73244475).bitwiseAND(word)
+    return x.bitwiseXOR(F.shiftright(x, 16)) / _DRAWS
+
+
+def first_bits(keys: Sequence[str], seed: int) -> Column:
+    """The first 32 bits of the digest as a number."""
+    return F.conv(F.substring(digest(keys, seed), 1, 8), 16, 10).cast("long")
 
 
 def hash_sample(df: DataFrame, keys: Sequence[str], fraction: float, seed: int) -> DataFrame:

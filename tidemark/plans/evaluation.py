@@ -201,7 +201,7 @@ def _poisson_sql(u):
 
 @query(
     "j17_bootstrap_intervals",
-    with_(FORECASTS) + ", c AS (SELECT model, (q - y) ** 2 AS m, (p - y) ** 2 - (q - y) ** 2 AS i, b, ('0x' || substr(md5(concat_ws('|', id, b, 42)), 1, 8))::BIGINT / 4294967296.0e0 AS u FROM fc, (SELECT unnest(range(1, 201)) AS b)), w AS (SELECT *, "
+    with_(FORECASTS) + ", c0 AS (SELECT model, (q - y) ** 2 AS m, (p - y) ** 2 - (q - y) ** 2 AS i, b, xor(('0x' || substr(md5(concat_ws('|', id, 42)), 1, 8))::BIGINT, (b * 2654435761) & 4294967295) AS x0 FROM fc, (SELECT unnest(range(1, 201)) AS b)), c1 AS (SELECT *, (xor(x0, x0 >> 16) * 73244475) & 4294967295 AS x1 FROM c0), c2 AS (SELECT *, (xor(x1, x1 >> 16) * 73244475) & 4294967295 AS x2 FROM c1), c AS (SELECT *, xor(x2, x2 >> 16) / 4294967296.0e0 AS u FROM c2), w AS (SELECT *, "
     + _poisson_sql("u") + """ AS w FROM c), s AS (SELECT model, b, sum(w * m) / sum(w) AS m, sum(w * i) / sum(w) AS i FROM w GROUP BY 1, 2), t AS (SELECT model, avg((q - y) ** 2) AS mm, avg((p - y) ** 2 - (q - y) ** 2) AS im FROM fc GROUP BY 1)
     SELECT model, round(max(mm), 8) AS brier_mean, round(quantile_cont(m, 0.025), 8) AS brier_lower, round(quantile_cont(m, 0.975), 8) AS brier_upper, round(max(im), 8) AS improvement_mean, round(quantile_cont(i, 0.025), 8) AS improvement_lower, round(quantile_cont(i, 0.975), 8) AS improvement_upper
     FROM s JOIN t USING (model) GROUP BY 1""",

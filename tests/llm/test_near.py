@@ -116,3 +116,22 @@ def test_unrelated_registers_agree_by_chance_as_the_table_says():
     agree = [(lambda r: (r[0] == r[1]).mean())(near.register_rows(doc, np.concatenate([np.unique(rng.integers(0, 2**52, s).astype(np.uint64)) for s in sizes]), 2, 500)) for _ in range(200)]
     want = near.chance_table()[5, 5]
     assert abs(np.mean(agree) - want) < 5e-4
+
+
+def test_blocks_are_bounded_by_sets_too(spark, families, monkeypatch):
+    classes = spark.range(1, 6001).selectExpr("id AS rep", "2L AS n_shingles")  # short sets, all in one bucket
+    members = classes.selectExpr("7L AS key", "rep")
+    labels = spark.createDataFrame([(r, 1) for r in range(2, 2501)], "rep long, root long")
+    sizes = near.block_members(members, classes, labels).groupBy("g").count().collect()
+    assert max(r["count"] for r in sizes) < 2.5 * near.SETS
+    monkeypatch.setattr(near, "SETS", 3)
+    docs = spark.createDataFrame(list(families.items()), "doc_id long, text string")
+    assert found(near.near_copies(docs, 3, 85)) == brute(families, 3, 85)
+
+
+def test_links_of_a_block_of_many_slices():
+    n = 3 * near.SLICE + 7
+    rep = np.arange(n)
+    sets = [np.array([10 * (i // 2), 10 * (i // 2) + 1 + (i % 2 and i % 3 == 0)], np.uint64) for i in range(n)]
+    links = near.block_links(rep, rep, sets, 80)
+    assert links == [(i, i + 1) for i in range(0, n - 1, 2) if np.array_equal(sets[i], sets[i + 1])]

@@ -27,6 +27,8 @@ from tidemark.llm.shared import Words, among, mix, per_worker, rows_out, text_bl
 ZERO_BITS, MANTISSA_BITS, VALUE_BITS = 6, 10, 44
 SET_BITS = 52
 BLOCK = 100_000  # shingles that are compared at once
+SETS = 2_000  # sets of one side that are compared at once
+SLICE = 512  # rows of a block's matrix that are looked at together
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -219,8 +221,6 @@ def block_links(rep: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], perce
         part = np.zeros((n.size, 8192), np.float32)
         part[row[lo:hi], place[lo:hi] - 8192 * k] = 1
         both += part @ part.T
-    either = n[:, None] + n[None, :] - both
-    x, y = np.nonzero((100 * both >= percent * either) & (comp[:, None] != comp[None, :]) & (rep[:, None] < rep[None, :]))
     root = {c: c for c in comp.tolist()}
 
     def find(c: int) -> int:
@@ -230,27 +230,35 @@ def block_links(rep: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], perce
         return c
 
     out = []
-    for i, j in zip(x.tolist(), y.tolist(), strict=True):
-        a, b = find(int(comp[i])), find(int(comp[j]))
-        if a != b:
-            root[a] = b
-            out.append((int(rep[i]), int(rep[j])))
+    for lo in range(0, n.size, SLICE):
+        mine = slice(lo, lo + SLICE)
+        either = n[mine, None] + n[None, :] - both[mine]
+        x, y = np.nonzero((100 * both[mine] >= percent * either) & (comp[mine, None] != comp[None, :]) & (rep[mine, None] < rep[None, :]))
+        for i, j in zip((x + lo).tolist(), y.tolist(), strict=True):
+            a, b = find(int(comp[i])), find(int(comp[j]))
+            if a != b:
+                root[a] = b
+                out.append((int(rep[i]), int(rep[j])))
     return out
 
 
-def rest_links(members: DataFrame, classes: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between members of one bucket in different components, from all such pairs of every bucket.
+def block_members(members: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(g, rep, comp): the blocks `g` in which the members of open buckets are compared.
 
-    A bucket of more than BLOCK shingles is compared in blocks; then the members of its largest component are in one
-    block each, and only the others go to several.
+    A bucket of more than BLOCK shingles or SETS sets is compared in blocks of about so many of each side; then the
+    members of its largest component are in one part each, and only the others go to several.
     """
     sized = members.join(labels, "rep", "left").join(classes.select("rep", "n_shingles"), "rep")
     known = sized.select("key", "rep", "n_shingles", F.coalesce("root", "rep").alias("comp"))
-    by_comp = known.groupBy("key", "comp").agg(F.sum("n_shingles").alias("n"))
-    open_keys = (by_comp.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("k"), F.count("*").alias("comps")).where("comps > 1")
-                 .select("key", F.col("main.comp").alias("main"), F.col("main.n").alias("c"), "k"))
+    by_comp = known.groupBy("key", "comp").agg(F.sum("n_shingles").alias("n"), F.count("*").alias("sets"))
+    open_keys = (by_comp.groupBy("key").agg(F.max(F.struct("n", "comp", "sets")).alias("main"), F.sum("n").alias("k"), F.sum("sets").alias("sets"), F.count("*").alias("comps"))
+                 .where("comps > 1").select("key", F.col("main.comp").alias("main"), F.col("main.n").alias("c"), F.col("main.sets").alias("sets_c"), "k", "sets"))
     rows = known.join(open_keys, "key").withColumn("is_main", F.col("comp") == F.col("main"))
-    blocks_c, blocks_r = F.ceil(F.col("c") / BLOCK), F.ceil((F.col("k") - F.col("c")) / BLOCK)
+
+    def parts(shingles, sets):
+        return F.greatest(F.ceil(shingles / BLOCK), F.ceil(sets / SETS))
+
+    blocks_c, blocks_r = parts(F.col("c"), F.col("sets_c")), parts(F.col("k") - F.col("c"), F.col("sets") - F.col("sets_c"))
 
     def upto(n):
         return F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)
@@ -263,8 +271,13 @@ def rest_links(members: DataFrame, classes: DataFrame, sets: DataFrame, labels:
     of_main = F.transform(upto(blocks_r), lambda j: cell("m", mine_c, j))
     of_rest = F.concat(F.transform(upto(blocks_c), lambda i: cell("m", i, mine_r)),
                        F.transform(upto(blocks_r), lambda j: cell("r", F.least(mine_r, j), F.greatest(mine_r, j))))
-    cells = F.when(F.col("k") <= BLOCK, whole).when(F.col("is_main"), of_main).otherwise(of_rest)
-    dealt = rows.select("key", "rep", "comp", F.explode(cells).alias("cell")).select(F.xxhash64("key", "cell").alias("g"), "rep", "comp").join(sets, "rep")
+    cells = F.when((F.col("k") <= BLOCK) & (F.col("sets") <= SETS), whole).when(F.col("is_main"), of_main).otherwise(of_rest)
+    return rows.select("key", "rep", "comp", F.explode(cells).alias("cell")).select(F.xxhash64("key", "cell").alias("g"), "rep", "comp")
+
+
+def rest_links(members: DataFrame, classes: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of one bucket in different components, from all such pairs of every bucket."""
+    dealt = block_members(members, classes, labels).join(sets, "rep")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts = None, []

@@ -68,3 +68,24 @@ def test_odd_rows(odd, nothing):
     assert {r["base_sha256"] for r in rows} == {hashlib.sha256(b"").hexdigest()}
     assert pii.find_personal_data(nothing).collect() == []
     assert pii.base_spans("9" * 5000 + ".1.1.1") == []
+
+
+def values(text):
+    return {text[a:b] for kind, a, b in pii.candidates(text) if kind == "secret"}
+
+
+def test_values_without_digits_are_proposed():
+    assert "correcthorse" in values("my password=correcthorse, ok")
+    assert "abcdefghijkl" in values('the secret: "abcdefghijkl" here')
+    assert "abcdefghijkl" in values("api_key =  abcdefghijkl")
+    assert values("a word : another and see http://example.org/page") == set()
+    for text, want in (("my password=correcthorse, ok", "correcthorse"), ('the secret: "abcdefghijkl" here', "abcdefghijkl")):
+        a = text.index(want)
+        assert pii.weak_label(text, "secret", a, a + len(want), []) == 1
+
+
+def test_every_value_of_a_token_is_proposed():
+    text = "see http://example.org/x?id=12&token=9f86d0818&user=somebody now"
+    assert {"9f86d0818", "somebody"} <= values(text)
+    a = text.index("9f86d0818")
+    assert pii.weak_label(text, "secret", a, a + 9, []) == 1

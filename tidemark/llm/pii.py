@@ -1,7 +1,7 @@
 """Personal data: formats that are certain, and candidates judged by boosted trees.
 
-Generous generators propose spans: tokens with digits, runs of number groups, tokens with an at sign, values behind an
-equals sign. Overlapping proposals are allowed. Trees boosted on the logistic loss score each proposal by its format and
+Generous generators propose spans: tokens with digits, runs of number groups, tokens with an at sign, the value behind
+every equals sign or colon, with or without digits. Overlapping proposals are allowed. Trees boosted on the logistic loss score each proposal by its format and
 its context, and what reaches the threshold of its kind is added to the certain spans it does not overlap. Labels come
 from the formats themselves: a proposal that is a valid address, card or phone, or a value named as a password, token
 or key, is private; a proposal that fails its format's check or is a plain short number is not; the rest is unlabelled.
@@ -33,6 +33,7 @@ DIGIT = re.compile(r"[0-9]")
 GROUPS = re.compile(r"\(?[0-9]+(?:[\x20().-]{1,2}[0-9]+)+")
 NUMBER_TOKEN = re.compile(r"[0-9]+")
 NAMED = re.compile(r"""(?i)\b(?:pass(?:word|wd)?|token|secret|api[_-]?key|key|auth)\s{0,2}[=:]\s{0,2}["']?$""")
+ASSIGN = re.compile(r"""[=:](\s{0,2})["']?""")
 CUES = re.compile(r"(?i)(pass|token|secret|key|auth|mail|phone|tel|call|card|iban|ssn|account|ip\b|host)")
 
 
@@ -92,6 +93,23 @@ def token_at(text: str, start: int, end: int) -> tuple[int, int]:
     return start, end
 
 
+def assigned(text: str) -> Iterator[tuple[int, int]]:
+    """Values behind every equals sign and colon, to the next parameter and to the end of the token; across blanks only
+    behind a name. What follows the colon of an address's scheme is no value."""
+    for m in ASSIGN.finditer(text):
+        start = m.end()
+        if text.startswith("//", start) or m.group(1) and not NAMED.search(text[max(0, start - 24) : start]):
+            continue
+        end = start
+        while end < len(text) and not text[end].isspace() and text[end] not in "\"'<>":
+            end += 1
+        for stop in {next((i for i in range(start, end) if text[i] in "&;,"), end), end}:
+            while stop > start and text[stop - 1] in ".,;:!?)":
+                stop -= 1
+            if stop - start >= 2 and any(c.isalpha() for c in text[start:stop]):
+                yield start, stop
+
+
 def candidates(text: str) -> list[tuple[str, int, int]]:
     """Overlapping proposals (kind, start, end)."""
     found = set()
@@ -101,6 +119,7 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
         if end - start > 2:
             found.add(("handle", start, end))
         at = text.find("@", end if end > at else at + 1)
+    found.update(("secret", *span) for span in assigned(text))
     if DIGIT.search(text):
         for m in GROUPS.finditer(text):
             found.add(("number", *m.span()))

@@ -1,13 +1,16 @@
 """Scores, folds and routing on hand-made rows."""
 
+import ast
 import datetime as dt
 import math
 
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tidemark.functions.pricing import student_p
 from tidemark.operators import evaluate as ev, features as feat, learn, quality as q
+from tidemark.plans import assurance
 
 D = dt.date
 
@@ -107,3 +110,16 @@ def test_quality_reports(spark):
 def test_student_p(spark, t, freedom, p):
     got = spark.range(1).select(student_p(F.lit(t), F.lit(float(freedom))).alias("p")).first()["p"]
     assert abs(got - p) < 1e-7
+
+
+def test_importances_cover_every_horizon(spark):
+    rows = entry.queries()["k13_feature_importance"](spark, "/root/testdata/sf0.01").collect()  # smaller tables have one horizon
+    assert {r["feature"] for r in rows} == set(assurance.FEATURES)
+    for h in assurance.HORIZONS:
+        assert abs(sum(r[h] for r in rows) - 1) < 1e-6
+
+
+def test_search_tries_a_grid_of_two_parameters(spark, sf):
+    rows = [(ast.literal_eval(r["params"]), r["folds"], r["mean_mse"]) for r in entry.queries()["k12_parameter_search"](spark, sf).collect()]
+    assert len(rows) == 9 and all(folds == 3 and error > 0 for _, folds, error in rows)
+    assert all(len({p[k] for p, _, _ in rows}) == 3 for k in ("trees", "depth"))

@@ -171,19 +171,22 @@ def final_probability(spark, sf):
     return f.select("id", r(learn.final_probability("p", "residual_pred"), 9).alias("prob"))
 
 
+SEARCH_GRID = [{"trees": trees, "depth": depth} for trees in (5, 10, 20) for depth in (2, 3, 4)]
+
+
 @query("k12_parameter_search")
 def search(spark, sf):
     df = training(spark, sf)
-    return learn.search(df, "day", cv_folds(df), [{"reg": 0.1}, {"reg": 10.0}], lambda d, reg: learn.ridge(d, FEATURES, reg=reg))
+    return learn.search(df, "day", cv_folds(df), SEARCH_GRID, lambda d, trees, depth: learn.boosted(d, FEATURES, trees=trees, depth=depth))
 
 
 @query("k13_feature_importance")
 def importance(spark, sf):
-    models = learn.per_regime(training(spark, sf), "horizon", ["near", "far"], lambda d: learn.boosted(d, FEATURES, trees=2))
+    models = learn.per_regime(training(spark, sf), "horizon", HORIZONS, lambda d: learn.boosted(d, FEATURES))
     rows = learn.importances(spark, models, FEATURES)
     top = rows.groupBy("feature").agg(F.max_by("model", F.struct("importance", "model")).alias("top_model"))
     spread = agg.gini(rows, ["feature"], "importance")
-    wide = rows.groupBy("feature").pivot("model", ["near", "far"]).agg(F.first("importance"))
+    wide = rows.groupBy("feature").pivot("model", HORIZONS).agg(F.first("importance"))
     return wide.join(top, "feature").join(spread, "feature")
 
 

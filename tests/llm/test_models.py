@@ -1,5 +1,6 @@
 """Quality network, vector search and the hidden Markov model."""
 
+import inspect
 import itertools
 import math
 from collections import Counter
@@ -193,3 +194,7 @@ def test_scores_of_odd_rows(odd, nothing):
     unknown = hidden_markov.score_texts(odd, F.lit(True), classes=65).collect()
     assert all(r["train_tokens"] == 0 and r["n_known"] == 0 and math.isclose(r["base_score"], 0, abs_tol=1e-9) for r in unknown)
     assert hidden_markov.score_texts(nothing, F.lit(False), classes=65).collect() == []
+
+
+def test_word_vectors_have_64_places():
+    assert inspect.signature(quality.score_quality).parameters["dims"].default == 64

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import bitplanes, decontaminate, hidden_markov, language, lines, near, neighbours, packing, pii, quality
+from tidemark.llm import bitplanes, decontaminate, hidden_markov, language, licenses, lines, near, neighbours, packing, periodic, pii, quality, ranked
 from tidemark.llm.shared import crc_mod, table
 from tidemark.session import scratch
 
@@ -83,3 +84,26 @@ def op6_random_indexing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors of every fiftieth."""
     return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op11_interval_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty best documents of every benchmark item."""
+    return ranked.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+TWINS["op11_interval_ranking"] = ranked.TWIN
+
+
+@query
+def op12_license_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and texts of every document."""
+    return licenses.report(licenses.scan_licenses(table(spark, sf_dir, "documents")))
+
+
+@query
+def op13_minimizer_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, a tenth of which are made periodic by their id."""
+    docs = table(spark, sf_dir, "documents")
+    draw = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    return periodic.digests(periodic.periodic_runs(periodic.with_period(docs.select("doc_id", "text"), draw)))

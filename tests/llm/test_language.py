@@ -29,18 +29,35 @@ def test_phrases_equal_a_plain_parse(sample, texts):
     model = language.Model({"x": [sample], "y": ["dddd"]}, 10_000)
     table = language.code_table(model.letters)
     codes = [language.encode(t, table) for t in texts]
-    inside = np.concatenate([[1], language.encode(sample, table), [1]]).astype(np.uint8)
+    inside = np.concatenate([[1], language.encode(sample, table), [1]])
     word = bytes(c for c in inside.tolist() if c)
-    got = model.phrases(codes, lane=1000)[:, 0].tolist()
-    assert got == [plain_phrases(word, bytes(c.tolist())) for c in codes]
+    for lane in (1000, 7, 2, 1):
+        got = model.phrases(codes, lane=lane)[:, 0].tolist()
+        assert got == [plain_phrases(word, bytes(c.tolist())) for c in codes]
 
 
-def test_lanes_add_at_most_one_phrase_each():
-    model = language.Model({"x": ["banana bandana cabana " * 5]}, 10_000)
+def test_lanes_do_not_change_the_count():
+    model = language.Model({"x": ["banana bandana cabana " * 5], "y": ["a banana in a cabana"]}, 10_000)
     table = language.code_table(model.letters)
-    codes = [language.encode("a banana in a cabana with a bandana " * 20, table)]
-    whole, cut = (model.phrases(codes, lane=lane)[0, 0] for lane in (100_000, 50))
-    assert whole <= cut <= whole + codes[0].size // 50 + 1
+    codes = [language.encode("a banana in a cabana with a bandana " * 20, table), language.encode("na" * 400, table)]
+    want = model.phrases(codes, lane=100_000)
+    for lane in (1, 3, 50, 512):
+        assert (model.phrases(codes, lane=lane) == want).all()
+
+
+def test_every_letter_counts():
+    """Two scripts of a thousand letters each, told apart by their rarest."""
+    first, second = "".join(map(chr, range(0x4E00, 0x4E00 + 1000))), "".join(map(chr, range(0xAC00, 0xAC00 + 1000)))
+    model = language.Model({"x": [first], "y": [second]}, 10_000)
+    table = language.code_table(model.letters)
+    counts = model.phrases([language.encode(first[900:950], table), language.encode(second[950:], table)])
+    assert counts.tolist() == [[1, 50], [50, 1]]
+    assert model.target.size < 40 * 1000  # not states times letters
+
+
+def test_every_text_has_an_equal_share():
+    assert [len(t) for t in language.equal_shares(["a" * 1000, "b" * 10, "c" * 500], 110)] == [50, 10, 50]
+    assert language.equal_shares(["ab", "c"], 100) == ["ab", "c"] and language.equal_shares([], 9) == []
 
 
 def test_held_out_accuracy(spark, sf):

@@ -132,6 +132,17 @@ def small_model():
     return hidden_markov.Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
+def test_equal_cosines_at_the_border_of_a_block(spark):
+    """Multiples of one direction by powers of two: all cosines are equal, the smallest ids win."""
+    rng = np.random.default_rng(3)
+    one = rng.normal(size=8)
+    ids = [50, *range(976, 1000)]
+    rows = [(i, (one * 2.0 ** (j % 11)).tolist()) for j, i in enumerate(ids)] + [(2000 + i, rng.normal(size=8).tolist()) for i in range(1, 31)]
+    rows = [(i, v) for i, v in rows if i == 50 or i % 50]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=50).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [976, 977, 978, 979, 980]
+
+
 def test_forward_recursion_sums_over_all_paths():
     model, seqs = small_model(), [[0], [1, 4, 2], [3, 3, 0, 1, 2, 4], [2, 2]]
     length = np.array([len(s) for s in seqs])

@@ -23,6 +23,7 @@ from pyspark.sql.window import Window
 from tidemark.llm.shared import written
 
 BLOCK = 1024  # vectors, and queries, of a cell that meet in one task
+SLACK = 1e-9  # cosines of unit vectors by matrix product are this exact at least
 
 
 class Hash:
@@ -90,8 +91,8 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, tables: int = 6, fu
             id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the `k` nearest found for every row whose id is divisible by `every`, by cosine.
 
-    Ties go to the smaller id; a query never finds its own row, but equal vectors under other ids. Null ids and vectors
-    without a direction take no part; repeated rows of one id and vector count once, of one id with different vectors
+    Ties go to the smaller id; a query never finds its own row, but equal vectors under other ids. Null ids, vectors
+    without a direction and vectors of another length than the commonest take no part; repeated rows of one id and vector count once, of one id with different vectors
     each. A query that meets fewer vectors than it could is searched in all cells, so `k` rows come back wherever the
     table has as many others.
     """
@@ -137,12 +138,16 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, tables: int = 6, fu
             return pd.DataFrame({"q": [], "rep": [], "score": []})
         a, ua = unit(left["qv"].tolist())
         b, ub = unit(right["v"].tolist())
-        take = min(k + 1, len(b))
-        found = np.argpartition(-(ua @ ub.T), take - 1, axis=1)[:, :take]
-        qi, ri = np.repeat(np.arange(len(a)), take), found.ravel()
+        # all that may be among the nearest, so that exact scores and ids decide between equals
+        take, rep = min(k + 1, len(b)), right["rep"].to_numpy()
+        near = ua @ ub.T
+        least = np.partition(near, len(b) - take, axis=1)[:, len(b) - take]
+        qi, ri = np.nonzero(near >= least[:, None] - SLACK)
         dots = (a[qi] * b[ri]).sum(axis=1)
         score = dots / (np.sqrt((a * a).sum(axis=1))[qi] * np.sqrt((b * b).sum(axis=1))[ri])
-        return pd.DataFrame({"q": left["q"].to_numpy()[qi], "rep": right["rep"].to_numpy()[ri], "score": score})
+        order = np.lexsort((rep[ri], -score, qi))
+        order = order[np.arange(order.size) - np.searchsorted(qi[order], qi[order], side="left") < take]
+        return pd.DataFrame({"q": left["q"].to_numpy()[qi[order]], "rep": rep[ri[order]], "score": score[order]})
 
     def upto(n: str):
         return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))

@@ -5,7 +5,8 @@ leaves the seed's hash as it is. Hashes of the benchmark's seeds meet those of e
 hit names a document, an item and the shift between them. The two are laid side by side at that shift, and the best
 run, one point for an equal token and one off for a substituted one, decides. Of a seed that an item repeats, its first
 and last place stand for all; of a place of an item that hits a run of neighbouring windows (a repeated word), the
-run's ends do. So repetitive texts give hits in proportion to their length. Only built-in functions run.
+run's ends do. So repetitive texts give hits in proportion to their length. Items too short for a mask are found whole,
+by the hash of all their tokens. Only built-in functions run.
 """
 
 from __future__ import annotations
@@ -35,12 +36,42 @@ def seeds(rows: DataFrame, keys: list[str], masks: tuple[str, ...]) -> DataFrame
     return by_mask.select(*keys, "mask", F.posexplode("windows").alias("pos", "seed"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, least: int = 12, most_seeds: int = 2_000_000, id_col: str = "doc_id",
+def short_items(items: DataFrame, masks: tuple[str, ...], shortest: int) -> DataFrame:
+    """Items (item_id, item) with `shortest` tokens at least that no mask fits."""
+    return items.where(F.size("item").between(shortest, min(map(len, masks)) - 1))
+
+
+def skipped_items(benchmark: DataFrame, shortest: int = 5, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """item_id, n_tokens of the items that `contaminated` does not look for, as they have fewer than `shortest` tokens."""
+    rows = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), F.size(tokens(F.col(item_text_col))).alias("n_tokens"))
+    return rows.where(F.col("n_tokens") < shortest)
+
+
+def whole_matches(texts: DataFrame, items: DataFrame, most_items: int) -> DataFrame | None:
+    """doc_id, item_id, shift, matched, score: the first place where all tokens of a short item stand; None without such
+    items. They are sent to every task if they were counted to be `most_items` at most."""
+    counts = {r[0]: r[1] for r in items.groupBy(F.size("item")).count().collect()}  # by length, fewer than a mask's
+    if not counts:
+        return None
+
+    def windows(n: int) -> Column:
+        starts = F.when(F.size("t") >= n, F.sequence(F.lit(0), F.size("t") - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.xxhash64(*(F.get("t", i + j) for j in range(n)), F.lit(n)))
+
+    places = texts.select("doc_id", F.explode(F.array(*map(windows, sorted(counts)))).alias("w")).select("doc_id", F.posexplode("w").alias("shift", "whole"))
+    of_item = F.coalesce(*(F.when(F.size("item") == n, F.xxhash64(*(F.get("item", F.lit(j)) for j in range(n)), F.lit(n))) for n in sorted(counts)))
+    keys = items.select("item_id", F.size("item").alias("n"), of_item.alias("whole"))
+    found = places.join(F.broadcast(keys) if sum(counts.values()) <= most_items else keys, "whole")
+    return found.groupBy("doc_id", "item_id", "n").agg(F.min("shift").alias("shift")).select("doc_id", "item_id", "shift", F.col("n").alias("matched"), F.col("n").alias("score"))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, least: int = 12, shortest: int = 5, most_seeds: int = 2_000_000, id_col: str = "doc_id",
                  text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, shift, matched, score (long): one row per document and item that overlap, the best shift (ties:
     the smallest). The run's score reaches `least` tokens, or the item's length if that is less.
 
-    Items shorter than a mask are too short to be evidence and match nothing; null and empty texts have no tokens; rows
+    Items shorter than a mask match where all their tokens stand, the first such place; items with fewer than `shortest`
+    tokens are no evidence and match nothing (`skipped_items` lists them). Null and empty texts have no tokens; rows
     without an id are left out; repeated rows of one id give one row. The benchmark's seeds and items are sent to every
     task if they were counted to be at most `most_seeds` rows; a larger benchmark is joined by shuffling.
     """
@@ -68,9 +99,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
     start = F.struct(F.lit(0).alias("run"), F.lit(0).alias("top"), F.lit(0).alias("matched"))
     scored = rows.select("doc_id", "item_id", "shift", F.size("item").alias("n_item"), F.aggregate(equal, start, step).alias("best"))
     scored = scored.where(F.col("best.top") >= F.least(F.lit(least), "n_item"))
-    order = F.struct("best.top", (-F.col("shift")).alias("back"), "best.matched")
-    return (scored.groupBy("doc_id", "item_id").agg(F.max(order).alias("top"))
-            .select("doc_id", "item_id", (-F.col("top.back")).cast("long").alias("shift"), F.col("top.matched").cast("long").alias("matched"), F.col("top.top").cast("long").alias("score")))
+    scored = scored.select("doc_id", "item_id", "shift", "best.matched", F.col("best.top").alias("score"))
+    whole = whole_matches(texts, short_items(items, masks, shortest), most_seeds)
+    order = F.struct("score", (-F.col("shift")).alias("back"), "matched")
+    return ((scored if whole is None else scored.unionByName(whole)).groupBy("doc_id", "item_id").agg(F.max(order).alias("top"))
+            .select("doc_id", "item_id", (-F.col("top.back")).cast("long").alias("shift"), F.col("top.matched").cast("long").alias("matched"), F.col("top.score").cast("long").alias("score")))
 
 
 def _seed_sql(table: str, key: str, mask: str) -> str:
@@ -92,7 +125,11 @@ side AS (SELECT doc_id, item_id, shift, len(i.t) AS n_item, d.t AS dt, i.t AS it
 marks AS (SELECT doc_id, item_id, shift, n_item, p, CASE WHEN dt[p] = it[p - shift] THEN 1 ELSE -1 END AS x FROM side),
 sums AS (SELECT *, sum(x) OVER w AS s FROM marks WINDOW w AS (PARTITION BY doc_id, item_id, shift ORDER BY p)),
 runs AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY doc_id, item_id, shift ORDER BY p)) AS run FROM sums),
-scores AS (SELECT doc_id, item_id, shift, n_item, max(run) AS score, count(*) FILTER (x = 1) AS matched FROM runs GROUP BY ALL),
+short AS (SELECT item_id, t, len(t) AS n FROM items WHERE len(t) BETWEEN 5 AND 10),
+whole AS (SELECT doc_id, item_id, min(p) AS shift, n FROM (SELECT doc_id, s.item_id, s.n, s.t AS it, d.t AS dt, unnest(range(0, len(d.t) - s.n + 1)) AS p FROM docs d, short s)
+          WHERE dt[p + 1 : p + n] = it GROUP BY ALL),
+scores AS (SELECT doc_id, item_id, shift, n_item, max(run) AS score, count(*) FILTER (x = 1) AS matched FROM runs GROUP BY ALL
+           UNION ALL SELECT doc_id, item_id, shift, n, n, n FROM whole),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY score DESC, shift) AS r FROM scores WHERE score >= least(12, n_item))
 SELECT doc_id, item_id, shift::BIGINT AS shift, matched::BIGINT AS matched, score::BIGINT AS score FROM ranked WHERE r = 1
 """

@@ -1,15 +1,17 @@
 """Personal data: formats that are certain, and candidates judged by boosted trees.
 
 Generous generators propose spans: tokens with digits, runs of number groups, tokens with an at sign, the value behind
-every equals sign or colon, with or without digits. Overlapping proposals are allowed. Trees boosted on the logistic loss score each proposal by its format and
-its context, and what reaches the threshold of its kind is added to the certain spans it does not overlap. Labels come
+every equals sign or colon, with or without digits. Overlapping proposals are allowed. Trees boosted on the logistic
+loss score each proposal by its format and its context, and what reaches the threshold of its kind is added to the certain spans it does not overlap. Labels come
 from the formats themselves: a proposal that is a valid address, card or phone, or a value named as a password, token
 or key, is private; a proposal that fails its format's check or is a plain short number is not; the rest is unlabelled.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import math
 import re
 from collections import Counter
@@ -20,20 +22,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import rows_out, strings
+from tidemark.llm.shared import rows_out, strings, written
 
 KINDS = ("email", "ip", "card", "phone", "handle", "number", "secret")
 BASE = KINDS[:4]
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+# a match never begins within a run of digits: from there it fails as it does from the run's start
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-GROUPS = re.compile(r"\(?[0-9]+(?:[\x20().-]{1,2}[0-9]+)+")
+GROUPS = re.compile(r"\(?(?<![0-9])[0-9]++(?:[\x20().-]{1,2}[0-9]++)+")
 NUMBER_TOKEN = re.compile(r"[0-9]+")
 NAMED = re.compile(r"""(?i)\b(?:pass(?:word|wd)?|token|secret|api[_-]?key|key|auth)\s{0,2}[=:]\s{0,2}["']?$""")
 ASSIGN = re.compile(r"""[=:](\s{0,2})["']?""")
+STOP = re.compile(r"""[\s"'<>]""")
+NEXT = re.compile("[&;,]")
+TRAIL = re.compile(r"[.,;:!?)]+")
 CUES = re.compile(r"(?i)(pass|token|secret|key|auth|mail|phone|tel|call|card|iban|ssn|account|ip\b|host)")
 
 
@@ -95,19 +101,61 @@ def token_at(text: str, start: int, end: int) -> tuple[int, int]:
 
 def assigned(text: str) -> Iterator[tuple[int, int]]:
     """Values behind every equals sign and colon, to the next parameter and to the end of the token; across blanks only
-    behind a name. What follows the colon of an address's scheme is no value."""
+    behind a name. What follows the colon of an address's scheme is no value.
+
+    Ends of tokens, next parameters, next letters and trailing points are each found once, whatever the number of values.
+    """
+    end = stop = letter = 0
+    trails = [m.span() for m in TRAIL.finditer(text)]
+    starts = [a for a, _ in trails]
+
+    def trimmed(at: int) -> int:
+        """`at` without the points before it."""
+        i = bisect.bisect_left(starts, at) - 1
+        return starts[i] if i >= 0 and at <= trails[i][1] else at
+
     for m in ASSIGN.finditer(text):
         start = m.end()
         if text.startswith("//", start) or m.group(1) and not NAMED.search(text[max(0, start - 24) : start]):
             continue
-        end = start
-        while end < len(text) and not text[end].isspace() and text[end] not in "\"'<>":
-            end += 1
-        for stop in {next((i for i in range(start, end) if text[i] in "&;,"), end), end}:
-            while stop > start and text[stop - 1] in ".,;:!?)":
-                stop -= 1
-            if stop - start >= 2 and any(c.isalpha() for c in text[start:stop]):
-                yield start, stop
+        if end < start:
+            found = STOP.search(text, start)
+            end = found.start() if found else len(text)
+        if stop < start:
+            found = NEXT.search(text, start)
+            stop = found.start() if found else len(text)
+        letter = max(letter, start)
+        while letter < len(text) and not text[letter].isalpha():
+            letter += 1
+        for last in {min(stop, end), end}:
+            last = max(start, trimmed(last))
+            if last - start >= 2 and letter < last:
+                yield start, last
+
+
+class Cover:
+    """Spans by place: which of them meet a stretch of text?"""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.spans = sorted(spans)
+        self.starts = [a for a, _ in self.spans]
+        self.reach = list(itertools.accumulate((b for _, b in self.spans), max))
+        self.longest = max((b - a for a, b in self.spans), default=0)
+
+    def meets(self, start: int, end: int) -> bool:
+        i = bisect.bisect_left(self.starts, end)
+        return i > 0 and self.reach[i - 1] > start
+
+    def mostly(self, start: int, end: int, share: float = 0.8) -> bool:
+        """Does one span cover that share of the stretch?"""
+        need = share * (end - start)
+        i = bisect.bisect_left(self.starts, end)
+        while self.longest >= need and i > 0 and self.reach[i - 1] > start:
+            i -= 1
+            a, b = self.spans[i]
+            if min(b, end) - max(a, start) >= need:
+                return True
+        return False
 
 
 def candidates(text: str) -> list[tuple[str, int, int]]:
@@ -162,11 +210,11 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
     ]
 
 
-def weak_label(text: str, kind: str, start: int, end: int, certain: list[tuple[str, int, int]]) -> int:
+def weak_label(text: str, kind: str, start: int, end: int, certain: Cover) -> int:
     """1 private, 0 not, -1 unknown."""
-    if any(a < end and start < b and min(b, end) - max(a, start) >= 0.8 * (end - start) for _, a, b in certain):
+    if certain.mostly(start, end):
         return 1
-    if any(a < end and start < b for _, a, b in certain):
+    if certain.meets(start, end):
         return -1
     s = text[start:end]
     if kind == "secret":
@@ -256,25 +304,30 @@ def thresholds(p: np.ndarray, y: np.ndarray, kinds: np.ndarray, precision: float
     return out
 
 
-def training_rows(docs: DataFrame, sample_docs: int, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """Features and weak labels of the proposals in about `sample_docs` texts, picked by a hash of their id."""
+def training_rows(docs: DataFrame, sample_docs: int, sample_rows: int, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """Features and weak labels of the proposals in about `sample_docs` texts, picked by a hash of their id; of more than
+    `sample_rows` proposals, about so many, picked by a hash of their features."""
     n = docs.count()
     draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(9)), F.lit(1 << 30)) / float(1 << 30)
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = [], []
+            x, y, nth = [], [], []
             for text in strings(batch, "text"):
-                certain = base_spans(text)
+                certain = Cover([(a, b) for _, a, b in base_spans(text)])
                 for kind, a, b in candidates(text):
                     label = weak_label(text, kind, a, b, certain)
                     if label >= 0:
                         x.append(features(text, kind, a, b))
                         y.append(label)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.int32())], names=["x", "y"])
+                        nth.append(a)  # equal proposals at other places are drawn on their own
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.int32()), pa.array(nth, pa.int64())], names=["x", "y", "nth"])
 
     sample = docs.where(draw < (sample_docs / n if n else 0)).select(F.col(text_col).alias("text"))
-    rows = sample.mapInArrow(propose, "x array<double>, y int").toPandas()
+    proposed = written(sample.mapInArrow(propose, "x array<double>, y int, nth long"), "proposals")
+    rate = min(1.0, sample_rows / max(1, proposed.count()))
+    chosen = proposed.where(F.pmod(F.xxhash64("x", "nth"), F.lit(1 << 30)) / float(1 << 30) < rate)
+    rows = chosen.select("x", "y").toPandas()
     rows = rows.assign(key=[tuple(v) for v in rows["x"]]).sort_values(["key", "y"])  # the same order on every run
     x = np.array([list(k) for k in rows["key"]], float).reshape(-1, N_FEATURES)
     return x, rows["y"].to_numpy(float)
@@ -291,13 +344,17 @@ class Model:
 def find_spans(text: str, model: Model) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(certain spans, accepted proposals that overlap none of them, nor a likelier one)."""
     certain = base_spans(text)
-    open_ones = [c for c in candidates(text) if not any(a < c[2] and c[1] < b for _, a, b in certain)]
+    taken = Cover([(a, b) for _, a, b in certain])
+    open_ones = [c for c in candidates(text) if not taken.meets(c[1], c[2])]
     added: list[tuple[str, int, int]] = []
     if open_ones:
-        p = model.trees.probability(np.array([features(text, *c) for c in open_ones], float))
+        p = np.concatenate([model.trees.probability(np.array([features(text, *c) for c in open_ones[i : i + 10_000]], float)) for i in range(0, len(open_ones), 10_000)])
+        ends: list[tuple[int, int]] = []  # of the added spans, which do not meet
         for i in sorted(range(len(p)), key=lambda i: (-p[i], open_ones[i])):
             kind, a, b = open_ones[i]
-            if p[i] >= model.limits[kind] and not any(x < b and a < y for _, x, y in added):
+            at = bisect.bisect_left(ends, (b, 0))
+            if p[i] >= model.limits[kind] and (at == 0 or ends[at - 1][1] <= a):
+                ends.insert(at, (a, b))
                 added.append((kind, a, b))
     return certain, sorted(added, key=lambda s: (KINDS.index(s[0]), s[1]))
 
@@ -306,15 +363,17 @@ OUT = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in BASE)
                  ("redacted", pa.string())])
 
 
-def find_personal_data(docs: DataFrame, sample_docs: int = 20_000, precision: float = 0.95, with_text: bool = False, id_col: str = "doc_id",
+def find_personal_data(docs: DataFrame, sample_docs: int = 20_000, sample_rows: int = 500_000, precision: float = 0.95, with_text: bool = False, id_col: str = "doc_id",
                        text_col: str = "text") -> DataFrame:
     """Personal data of every whole text: counts by certain kind, a digest of the certain spans, all spans, and on request
     the text with every span replaced by its kind.
 
-    The trees are fitted on the proposals of about `sample_docs` texts; thresholds reach `precision` on held-out
-    proposals. A null text is an empty one and has no spans; rows with null or repeated ids are each searched.
+    The trees are fitted on about `sample_rows` proposals at most, of about `sample_docs` texts; thresholds reach
+    `precision` on held-out proposals. A null text is an empty one and has no spans; rows with null or repeated ids are
+    each searched. A text of any length is searched whole, in time that grows with its length, white space or not. Other
+    columns are not read.
     """
-    model = Model(*training_rows(docs, sample_docs, id_col, text_col), precision)
+    model = Model(*training_rows(docs, sample_docs, sample_rows, id_col, text_col), precision)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C, pricing
-from tidemark.operators import book, features as feat, grid, options as opt, positions as pos
+from tidemark.operators import book, features as feat, grid, intervals, options as opt, positions as pos
 
 
 # -- grids -------------------------------------------------------------------------------------------
@@ -60,12 +60,12 @@ def changes(n, seed):
         yield ("hot" if seq % 3 else "x", seq, rng.random() < 0.02, side, price, float(rng.choice([0, 0, 3, 5, 8])))
 
 
-@pytest.mark.parametrize("block", [1, 7, 10**6])
-def test_book_replay_does_not_depend_on_blocks(spark, block):
+@pytest.mark.parametrize("top", [0, 2, 8])
+def test_book_replay_equals_levels_kept_by_hand(spark, top):
     data = list(changes(400, 6))
     df = spark.createDataFrame(data, "asset string, seq long, is_snapshot boolean, side string, price double, size double")
     got = {(r["asset"], r["seq"]): tuple(r[c] for c in ("best_bid", "best_ask", "bid_levels", "ask_levels", "bid_volume")) for r in
-           book.replay(df, events_per_block=block, rows_per_task=50 if block < 100 else 10**6).collect()}
+           book.replay(df, rows_per_task=50 if top < 8 else 10**6, top=top).collect()}
     books = {}
     for asset, seq, reset, side, price, size in data:
         if reset:
@@ -84,6 +84,19 @@ def test_book_replay_does_not_depend_on_blocks(spark, block):
     assert final == {(a, *k): s for a, levels in books.items() for k, s in levels.items()}
 
 
+@pytest.mark.parametrize("top", [0, 1, 3, 8])
+def test_units_of_an_interval_are_disjoint_and_few(spark, top):
+    rng = random.Random(top)
+    pairs = [(a, a + rng.choice([0, 1, 3, 17, 300])) for a in (rng.randrange(500) for _ in range(200))]
+    df = spark.createDataFrame(pairs, "a long, b long").select("a", "b", intervals.units_of_interval(F.col("a"), F.col("b"), top).alias("units"))
+    for row in df.collect():
+        held = [p for u in row["units"] for p in range(u["unit"] * 4 ** u["level"], (u["unit"] + 1) * 4 ** u["level"])]
+        assert sorted(held) == list(range(row["a"], row["b"]))
+        assert len(row["units"]) <= 6 * (top + 1) + (row["b"] - row["a"]) // 4**top
+    point = spark.range(1).select(intervals.units_of_point(F.lit(77), top).alias("u")).first()["u"]
+    assert [(u["level"], u["unit"]) for u in point] == [(j, 77 // 4**j) for j in range(top + 1)]
+
+
 # -- prices ------------------------------------------------------------------------------------------
 
 

@@ -6,126 +6,66 @@ earlier epochs are gone.  Size 0 deletes a level.
 
 from __future__ import annotations
 
-import heapq
-import math
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.operators.series import ROWS_PER_TASK, Running, Series
+from tidemark.operators import intervals
+from tidemark.operators.aggregates import attach
+from tidemark.operators.series import ROWS_PER_TASK, Running, Series, lag, lead
 
-EVENTS_PER_BLOCK = 50_000
-STATE = "best_bid double, best_ask double, bid_levels long, ask_levels long, bid_volume double, ask_volume double"
 
+def _epochs(changes: DataFrame, rows_per_task: int) -> Series:
+    series = Series(changes, ["asset"], ["seq"], rows_per_task)
+    return series._with(series.running(_epoch=Running("sum", F.col("is_snapshot").cast("int"))))
 
-class Book:
-    """Live levels of one asset; used inside tasks by the batch and the streaming job.
 
-    Volumes are running totals, and the best price is the top of a heap from which dead levels are dropped when they
-    come up: work per event does not grow with the number of levels.
-    """
+def level_lives(changes: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Every change with its place in the asset's history (``_pos``), the size its level had before (``_before``, 0 if
+    none) and the place at which the level is changed again or its epoch ends (``_until``)."""
+    numbered = _epochs(changes, rows_per_task).numbered("_pos")
+    level = Series(numbered.df, ["asset", "_epoch", "side", "price"], ["_pos"], rows_per_task, rows=numbered.rows)
+    lives = level.frames({"_before": lag("size"), "_next": lead("_pos")}, before=1, after=1)
+    ends = numbered.df.groupBy("asset", "_epoch").agg((F.max("_pos") + 1).alias("_end"))
+    lives = attach(lives, ends, ["asset", "_epoch"])
+    return lives.withColumns({"_before": F.greatest(F.coalesce("_before", F.lit(0.0)), F.lit(0.0)), "_until": F.coalesce("_next", "_end")}).drop("_next", "_end")
 
-    def __init__(self, levels: dict[str, dict[float, float]] | None = None, epoch=None):
-        self.epoch = epoch
-        self._start(levels or {"BUY": {}, "SELL": {}})
-
-    def _start(self, levels: dict[str, dict[float, float]]) -> None:
-        self.levels = levels
-        self.volume = {side: math.fsum(sizes.values()) for side, sizes in levels.items()}
-        self._heaps = {"BUY": [-p for p in levels["BUY"]], "SELL": list(levels["SELL"])}
-        for heap in self._heaps.values():
-            heapq.heapify(heap)
-
-    def apply(self, epoch, side: str, price: float, size: float) -> None:
-        if epoch != self.epoch:
-            self.epoch = epoch
-            self._start({"BUY": {}, "SELL": {}})
-        sizes = self.levels[side]
-        before = sizes.get(price)
-        if size > 0:
-            sizes[price] = size
-            self.volume[side] += size - (before or 0.0)
-            if before is None:
-                heapq.heappush(self._heaps[side], -price if side == "BUY" else price)
-        elif before is not None:
-            del sizes[price]
-            self.volume[side] = self.volume[side] - before if sizes else 0.0
-
-    def _best(self, side: str, sign: int) -> float | None:
-        heap, sizes = self._heaps[side], self.levels[side]
-        while heap and sign * heap[0] not in sizes:
-            heapq.heappop(heap)
-        return sign * heap[0] if heap else None
-
-    def state(self) -> tuple:
-        bids, asks = self.levels["BUY"], self.levels["SELL"]
-        return self._best("BUY", -1), self._best("SELL", 1), len(bids), len(asks), self.volume["BUY"], self.volume["SELL"]
-
-
-def _replay(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Replay one block: first the levels carried in, then its own events in order."""
-    book, out = Book(), []
-    rows = rows.sort_values(["_own", "seq"], kind="stable")
-    for own, seq, epoch, side, price, size in zip(
-        rows["_own"], rows["seq"], rows["_epoch"], rows["side"], rows["price"], rows["size"]
-    ):
-        book.apply(epoch, side, price, size)
-        if own:
-            out.append((key[0], seq, *book.state()))
-    names = ["asset", "seq", *[f.split()[0] for f in STATE.split(", ")]]
-    return pd.DataFrame(out, columns=names).astype({"best_bid": "float64", "best_ask": "float64"})
 
+def best_prices(lives: DataFrame, top: int = intervals.TOP) -> DataFrame:
+    """(asset, _pos, best_bid, best_ask) of every place at which a level is alive.
 
-def _epochs(changes: DataFrame, rows_per_task: int) -> Series:
-    series = Series(changes, ["asset"], ["seq"], rows_per_task)
-    return series._with(series.running(_epoch=Running("sum", F.col("is_snapshot").cast("int"))))
+    The life of a level is a few aligned units of the history; each unit keeps its best prices, and an event asks the
+    units that hold it.
+    """
+    alive = lives.where(F.col("size") > 0).select("asset", "side", "price", F.inline(intervals.units_of_interval(F.col("_pos"), F.col("_until"), top)))
+    units = alive.groupBy("asset", "level", "unit").agg(
+        F.max(F.when(F.col("side") == "BUY", F.col("price"))).alias("bid"), F.min(F.when(F.col("side") == "SELL", F.col("price"))).alias("ask")
+    )
+    asked = lives.select("asset", "_pos", F.inline(intervals.units_of_point(F.col("_pos"), top)))
+    return asked.join(units, ["asset", "level", "unit"]).groupBy("asset", "_pos").agg(F.max("bid").alias("best_bid"), F.min("ask").alias("best_ask"))
 
 
-def replay(changes: DataFrame, events_per_block: int = EVENTS_PER_BLOCK, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def replay(changes: DataFrame, rows_per_task: int = ROWS_PER_TASK, top: int = intervals.TOP) -> DataFrame:
     """Best prices, level counts and volumes after every event.
 
-    An asset is cut into blocks of events.  The levels alive at a block's start are found by aggregates, so
-    blocks replay independently however long the asset's history is.
+    Counts and volumes are running sums of what each event adds and takes within its epoch. Best prices come from the
+    intervals in which levels are alive, so no levels are carried along and an asset of any length is shared out.
     """
-    numbered = _epochs(changes, rows_per_task).numbered("_pos")
-    df = numbered.df.withColumn("_block", F.floor(F.col("_pos") / events_per_block))
-    latest = F.max_by(F.struct("size", F.col("_epoch").alias("epoch")), "seq")
-    per_block = df.groupBy("asset", "side", "price", "_block").agg(latest.alias("_last"))
-    starts = df.groupBy("asset", "_block").agg(F.max("_epoch").alias("_ends"))
-    # Epoch in force when a block begins = epoch at the end of the block before.
-    begins = starts.select("asset", (F.col("_block") + 1).alias("_block"), F.col("_ends").alias("_begins"))
-    ends = df.groupBy("asset").agg(F.max("_block").alias("_final"))
-    level = Series(per_block, ["asset", "side", "price"], ["_block"], rows_per_task, rows=numbered.rows).running(
-        _next=Running("after", F.col("_block"))
-    )
-    # A level set in block b is carried into b + 1 up to the block that changes it next, or in which its epoch ends,
-    # so a level is never listed for blocks in which it is dead.
-    resets = df.groupBy("asset", (F.col("_epoch") - 1).alias("_epoch")).agg(F.min("_block").alias("_reset"))
-    carried = (
-        level.where(F.col("_last.size") > 0)
-        .withColumn("_epoch", F.col("_last.epoch"))
-        .join(resets, ["asset", "_epoch"], "left")
-        .join(ends, "asset")
-        .withColumn("_until", F.least(F.coalesce("_next", "_final"), F.coalesce("_reset", "_final")))
-        .where(F.col("_until") > F.col("_block"))
-        .select("asset", "side", "price", F.col("_last.size").alias("size"), "_epoch",
-                F.explode(F.sequence(F.col("_block") + 1, F.col("_until"))).alias("_block"))
-        .join(begins, ["asset", "_block"])
-        .where(F.col("_epoch") == F.col("_begins"))
-    )
-    names = ["asset", "_block", "_own", "seq", "_epoch", "side", "price", "size"]
-    own = df.withColumn("_own", F.lit(1)).select(*names)
-    prior = carried.withColumns({"_own": F.lit(0), "seq": F.lit(-1).cast("long")}).select(*names)
-    kinds = dict(changes.dtypes)
-    states = own.unionByName(prior).groupBy("asset", "_block").applyInPandas(
-        _replay, f"asset {kinds['asset']}, seq {kinds['seq']}, {STATE}"
-    )
-    return states.withColumns(
-        {
-            "spread": F.col("best_ask") - F.col("best_bid"),
-            "mid_price": (F.col("best_ask") + F.col("best_bid")) / 2,
-        }
+    lives = level_lives(changes, rows_per_task)
+    size, before = F.greatest("size", F.lit(0.0)), F.col("_before")
+    sums = {}
+    for side, name in (("BUY", "bid"), ("SELL", "ask")):
+        own = F.col("side") == side
+        sums[f"{name}_levels"] = Running("sum", F.when(own, (size > 0).cast("long") - (before > 0).cast("long")).otherwise(F.lit(0).cast("long")))
+        sums[f"{name}_volume"] = Running("sum", F.when(own, size - before).otherwise(0.0))
+    states = Series(lives, ["asset", "_epoch"], ["_pos"], rows_per_task).running(**sums)
+    best = best_prices(lives, top)
+    out = states.select("asset", "seq", "_pos", *sums).join(best, ["asset", "_pos"], "left")
+    return out.select(
+        "asset", "seq", "best_bid", "best_ask", "bid_levels", "ask_levels",
+        # an empty side has no volume, whatever rounding leaves of its running sum
+        *[F.when(F.col(f"{n}_levels") > 0, F.col(f"{n}_volume")).otherwise(0.0).alias(f"{n}_volume") for n in ("bid", "ask")],
+        (F.col("best_ask") - F.col("best_bid")).alias("spread"), ((F.col("best_ask") + F.col("best_bid")) / 2).alias("mid_price"),
     )
 
 

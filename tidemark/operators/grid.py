@@ -79,12 +79,14 @@ def fill_grid(
     start: int | None = None,
     end: int | None = None,
     rows_per_task: int = ROWS_PER_TASK,
+    numbered: bool = False,
 ) -> DataFrame:
     """Gap-free table with the last known values.
 
     ``rows`` has one row per key and step.  The grid runs from the first to the last row of each key, or over
     [start, end) if given.  Values older than ``max_gap`` seconds are dropped; ``zero`` columns become 0 where there
-    was no row.  Adds ``is_forward_filled`` and ``seconds_since_last_update``.
+    was no row.  Adds ``is_forward_filled`` and ``seconds_since_last_update``; with ``numbered`` also the place of each
+    row in its grid as ``__rn``, which spares ``Series`` the pass that numbers rows.
 
     Only the rows that exist are shuffled and sorted: each learns its known values and the time of the next row, and
     then writes out the steps until then.
@@ -97,6 +99,8 @@ def fill_grid(
         seen = seen.where((F.col(sec) >= start) & (F.col(sec) < end)).unionByName(opening, allowMissingColumns=True)
     exprs = {f"_f_{c}": Running("last", F.col(c)) for c in columns}
     exprs["_next"] = Running("after", F.col(sec))
+    if numbered:
+        exprs["_first"] = Running("min", F.col(sec))
     exprs["_at"] = Running("last", F.when(F.col("_seen"), F.col(sec)))
     known = Series(seen, keys, [sec, "_seen"], rows_per_task).running(**exprs)
     stop = F.coalesce(F.col("_next"), F.col(sec) + step if end is None else F.lit(end))
@@ -117,6 +121,7 @@ def fill_grid(
         *[F.when(own, F.coalesce(F.col(c), F.lit(0))).otherwise(F.lit(0)).alias(c) for c in zero],
         (~own).alias("is_forward_filled"),
         age.alias("seconds_since_last_update"),
+        *([F.floor((F.col("_cell") - F.col("_first")) / step).alias("__rn")] if numbered else []),
     )
 
 

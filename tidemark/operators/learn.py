@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from functools import reduce
 
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidemark.functions import columns as C
+from tidemark.operators import linear
 from tidemark.operators.aggregates import attach
 from tidemark.operators.evaluate import LOG_CLIP
 from tidemark.operators.series import ROWS_PER_TASK, Running, Series
@@ -116,23 +120,25 @@ def ridge(train: DataFrame, features: Sequence[str], label: str = "residual", re
     return Pipeline(stages=stages).fit(train)
 
 
+def ridge_scored(train: DataFrame, rows: DataFrame, features: Sequence[str], label: str = "residual", reg: float = 1.0) -> DataFrame:
+    """Rows with the prediction of a ridge model, fitted from one aggregate of the training rows."""
+    fit = linear.coefficients(train, features, label, reg)
+    return attach(rows, fit, []).withColumn("prediction", linear.prediction(features, F.col("weights"), F.col("intercept"))).drop("weights", "intercept")
+
+
 def time_series_cv(df: DataFrame, day: str, folds: Sequence[tuple], features: Sequence[str], label: str = "residual", reg: float = 1.0) -> DataFrame:
     """Expanding-window validation of the ridge model: rows and squared error beside that of no correction.  Folds are
-    (train_end, val_start, val_end)."""
-    parts = []
-    for i, (train_end, val_start, val_end) in enumerate(folds):
-        train = df.where(F.col(day) <= F.lit(train_end))
-        val = df.where(F.col(day).between(F.lit(val_start), F.lit(val_end)))
-        model = ridge(train, features, label, reg)
-        error = F.col(label) - F.col("prediction")
-        fit = train.agg(F.count(F.lit(1)).alias("n_train"))
-        out = model.transform(val).agg(F.count(F.lit(1)).alias("n_val"), F.avg(error * error).alias("mse"), F.avg(F.col(label) * F.col(label)).alias("mse_zero"))
-        parts.append(attach(fit, out, []).withColumn("fold", F.lit(i + 1)))
-    return reduce(DataFrame.unionByName, parts)
+    (train_end, val_start, val_end); all of them come from one pass over the table."""
+    return linear.validated(df, day, folds, features, label, [reg]).select("fold", "n_train", "n_val", "mse", "mse_zero")
+
+
+def ridge_search(df: DataFrame, day: str, folds: Sequence[tuple], features: Sequence[str], penalties: Sequence[float], label: str = "residual", by: str | None = None) -> DataFrame:
+    """Mean validation error of every penalty over time folds, per value of ``by`` on request, from one pass."""
+    fits = linear.validated(df, day, folds, features, label, penalties, by=by)
+    return fits.groupBy(*([by] if by else []), "penalty").agg(F.count("mse").alias("folds"), F.avg("mse").alias("mean_mse"))
 
 
 def boosted(train: DataFrame, features: Sequence[str], label: str = "residual", trees: int = 10, depth: int = 3) -> PipelineModel:
-    # The working set is re-read every round: disk-backed caching is left to the caller's session.
     stages = [
         VectorAssembler(inputCols=list(features), outputCol="features"),
         GBTRegressor(labelCol=label, maxIter=trees, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, seed=SEED, cacheNodeIds=True),
@@ -140,11 +146,50 @@ def boosted(train: DataFrame, features: Sequence[str], label: str = "residual",
     return Pipeline(stages=stages).fit(train)
 
 
+def concurrently(spark: SparkSession, jobs: Mapping[str, Callable[[], object]], threads: int = 8) -> dict[str, object]:
+    """Results of independent jobs, run side by side, each in a scheduler pool of its own; every job that fails is named.
+
+    Fits of small parts leave cores idle between their stages. With ``spark.scheduler.mode`` FAIR the pools share the
+    cluster evenly; otherwise later jobs take what earlier ones leave.
+    """
+    def run(name: str):
+        context = spark.sparkContext
+        context.setLocalProperty("spark.scheduler.pool", f"fit-{name}")
+        try:
+            return jobs[name]()
+        finally:
+            context.setLocalProperty("spark.scheduler.pool", None)
+
+    done, failed = {}, {}
+    with ThreadPoolExecutor(max_workers=max(1, min(threads, len(jobs)))) as pool:
+        started = {name: pool.submit(inheritable_thread_target(spark)(run), name) for name in jobs}
+        for name, future in started.items():
+            try:
+                done[name] = future.result()
+            except Exception as error:  # noqa: BLE001 - told with its name below
+                failed[name] = error
+    if failed:
+        raise RuntimeError("; ".join(f"{name}: {error}" for name, error in failed.items())) from next(iter(failed.values()))
+    return done
+
+
+@contextmanager
+def kept(df: DataFrame) -> Iterator[DataFrame]:
+    """Rows computed once and held in memory and on disk for several fits."""
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield held
+    finally:
+        held.unpersist()
+
+
 def per_regime(train: DataFrame, regime: str, values: Sequence[str], fit, min_rows: int = 1) -> dict[str, PipelineModel]:
-    """One model per regime of the configuration; a regime with fewer than ``min_rows`` rows gets none."""
-    counts = train.where(F.col(regime).isin(*values)).groupBy(regime).count()
-    sizes = {r[0]: r[1] for r in counts.collect()}  # one row per configured regime
-    return {v: fit(train.where(F.col(regime) == v)) for v in values if sizes.get(v, 0) >= min_rows}
+    """One model per regime of the configuration, fitted side by side over rows that are read once; a regime with fewer
+    than ``min_rows`` rows gets none."""
+    with kept(train.where(F.col(regime).isin(*values))) as rows:
+        sizes = {r[0]: r[1] for r in rows.groupBy(regime).count().collect()}  # one row per configured regime
+        jobs = {v: (lambda v=v: fit(rows.where(F.col(regime) == v))) for v in values if sizes.get(v, 0) >= min_rows}
+        return concurrently(train.sparkSession, jobs)
 
 
 def routed(df: DataFrame, models: Mapping[str, PipelineModel], regime: str, keep: Sequence[str]) -> DataFrame:
@@ -179,15 +224,20 @@ def mse(df: DataFrame, label: str = "residual") -> float:
 
 
 def search(df: DataFrame, day: str, folds: Sequence[tuple], grid: Sequence[Mapping], fit, label: str = "residual") -> DataFrame:
-    """Mean validation error of every parameter set over time folds: (train_end, val_start, val_end)."""
-    rows = []
-    for params in grid:
-        errors = []
-        for train_end, val_start, val_end in folds:
-            model = fit(df.where(F.col(day) <= F.lit(train_end)), **params)
-            errors.append(mse(model.transform(df.where(F.col(day).between(F.lit(val_start), F.lit(val_end)))), label))
-        rows.append((str(dict(params)), len(errors), float(sum(errors) / len(errors))))
-    return df.sparkSession.createDataFrame(rows, "params string, folds int, mean_mse double")
+    """Mean validation error of every parameter set over time folds: (train_end, val_start, val_end).
+
+    The fits of all sets and folds run side by side over rows that are read once.
+    """
+    with kept(df) as rows:
+        def error(params, fold):
+            train_end, val_start, val_end = fold
+            model = fit(rows.where(F.col(day) <= F.lit(train_end)), **params)
+            return mse(model.transform(rows.where(F.col(day).between(F.lit(val_start), F.lit(val_end)))), label)
+
+        jobs = {f"{i}-{j}": (lambda p=params, f=fold: error(p, f)) for i, params in enumerate(grid) for j, fold in enumerate(folds)}
+        errors = concurrently(df.sparkSession, jobs)
+    means = [(str(dict(params)), len(folds), float(sum(errors[f"{i}-{j}"] for j in range(len(folds))) / len(folds))) for i, params in enumerate(grid)]
+    return df.sparkSession.createDataFrame(means, "params string, folds int, mean_mse double")
 
 
 def importances(spark: SparkSession, models: Mapping[str, PipelineModel], features: Sequence[str]) -> DataFrame:
@@ -200,15 +250,12 @@ def importances(spark: SparkSession, models: Mapping[str, PipelineModel], featur
     return spark.createDataFrame(rows, "model string, feature string, importance double")
 
 
-def ablation(train: DataFrame, test: DataFrame, features: Sequence[str], groups: Mapping[str, Sequence[str]], fit) -> DataFrame:
-    """Change of the test error when a feature group is left out."""
-    full = mse(fit(train, list(features)).transform(test))
-    rows = [("none", 0.0, float(full))]
-    for name, dropped in groups.items():
-        kept = [f for f in features if f not in dropped]
-        error = mse(fit(train, kept).transform(test))
-        rows.append((name, float(error - full), float(error)))
-    return train.sparkSession.createDataFrame(rows, "dropped string, delta double, mse double")
+def ablation(rows: DataFrame, part: str, features: Sequence[str], groups: Mapping[str, Sequence[str]], label: str = "residual", reg: float = 1.0) -> DataFrame:
+    """Change of the test error when a feature group is left out.  ``part`` is 0 for training rows and 1 for test rows;
+    all models come from one pass over both."""
+    fits = linear.validated(rows, part, [(0, 1, 1)], features, label, [reg], groups)
+    full = F.max(F.when(F.col("dropped") == "none", F.col("mse"))).over(Window.partitionBy("fold"))  # one row per group
+    return fits.select("dropped", (F.col("mse") - full).alias("delta"), "mse")
 
 
 def prune_suggestions(pairs: DataFrame, weights: DataFrame, threshold: float = 0.9) -> DataFrame:

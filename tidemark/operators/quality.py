@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions import columns as C
 from tidemark.operators.aggregates import attach
 from tidemark.operators.series import ROWS_PER_TASK, Series
+from tidemark.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -187,3 +189,19 @@ def capture_continuity(df: DataFrame, keys: Sequence[str], ms: str, limits=(2_00
         F.count(F.lit(1)).alias("rows"), count_of(F.col("_gap") == 0).alias("duplicates"),
         *[count_of(F.col("_gap") > limit).alias(f"gaps_over_{limit}ms") for limit in limits],
     )
+
+
+def key_overlaps(keys: Mapping[str, tuple[DataFrame, str]], lg_entries: int = 16) -> DataFrame:
+    """How far two key columns join, for every pair of them, without a join: distinct keys on the left, on the right and in
+    both, and the share of the left ones that match.
+
+    Every column is read once, into a sketch of 2 ** ``lg_entries`` hashes; pairs meet as sketches. Up to that many
+    distinct keys the counts are exact, beyond it they are off by about 2 / sqrt(2 ** lg_entries) of the union.
+    """
+    parts = [df.select(F.col(column).cast("string").alias("k")).agg(F.theta_sketch_agg("k", F.lit(lg_entries)).alias("sketch")).select(F.lit(name).alias("name"), "sketch") for name, (df, column) in keys.items()]
+    one = cut_lineage(reduce(DataFrame.unionByName, parts))  # one row per column
+    others = one.agg(F.collect_list(F.struct("name", "sketch")).alias("others"))
+    pairs = attach(one, others, []).select("name", "sketch", F.explode("others").alias("other")).where(F.col("name") != F.col("other.name"))
+    both = F.theta_sketch_estimate(F.theta_intersection("sketch", F.col("other.sketch")))
+    out = pairs.select(F.col("name").alias("left_key"), F.col("other.name").alias("right_key"), F.theta_sketch_estimate("sketch").alias("left_keys"), F.theta_sketch_estimate("other.sketch").alias("right_keys"), both.alias("matched"))
+    return out.withColumn("match_rate", F.try_divide(F.col("matched").cast("double"), F.col("left_keys").cast("double")))

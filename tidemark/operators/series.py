@@ -9,6 +9,9 @@ of bounded size and carries the state between blocks:
 * ``frames``   - finite row frames (lag, rolling mean, ...): blocks overlap by the frame length;
 * ``ewm``      - exponentially weighted means: local scaled sums plus the carry of the block before.
 
+A table with a column ``__rn``, the zero-based place of each row in its series, is taken as numbered: ``frames`` and
+``ewm`` then need no pass to number rows, no count and no checkpoint, and keep the column.
+
 The order columns must be a total order inside a key.  ``rows`` may give an upper bound of the size, which saves
 counting a derived table.  Inputs up to ``rows_per_task`` rows are
 computed by the plain window directly; the size is counted, never assumed.
@@ -157,6 +160,10 @@ class Series:
     def small(self) -> bool:
         return self.rows <= self.rows_per_task
 
+    @property
+    def has_places(self) -> bool:
+        return "__rn" in self.df.columns
+
     def _with(self, df: DataFrame) -> "Series":
         """The same rows with more columns: the size stays valid."""
         return Series(df, self.keys, self.order, self.rows_per_task, self._rows)
@@ -237,10 +244,10 @@ class Series:
         Each step is a mapping of column name to a function of the ordered window; later steps may
         use the columns of earlier ones, so ``before`` is the sum of the depths.
         """
-        if self.small:
+        if not self.has_places and self.small:
             return _apply(self.df, steps, self.keys, self.order)
 
-        df = self.numbered().df
+        df = self.df if self.has_places else self.numbered().df
         size = max(self.rows_per_task, before + after + 1)
         block, offset = F.floor(F.col("__rn") / size), F.col("__rn") % size
         copies = F.filter(
@@ -253,7 +260,7 @@ class Series:
         )
         df = df.select("*", F.inline(copies))
         done = _apply(df, steps, [*self.keys, "__block"], ["__rn"])
-        return done.where("__own").drop("__rn", "__block", "__own")
+        return done.where("__own").drop("__block", "__own", *([] if self.has_places else ["__rn"]))
 
     # -- exponentially weighted means -------------------------------------------------------------
 
@@ -264,10 +271,10 @@ class Series:
         still advances the position.  A block spans 40 to 600 e-foldings of the weight: short enough
         for d^-i to stay finite, long enough that only the block before still counts in a double.
         """
-        df = self.numbered().df
+        df = self.df if self.has_places else self.numbered().df
         for size, group in _ewm_groups(columns, self.rows_per_task):
             df = self._ewm_group(df, size, group)
-        return df.drop("__rn")
+        return df if self.has_places else df.drop("__rn")
 
     def _ewm_group(self, df: DataFrame, size: int, group: Mapping[str, tuple[str, float]]) -> DataFrame:
         """Columns that share a block size: one window pass and at most one join for the carries."""
@@ -282,7 +289,7 @@ class Series:
             local[f"_den_{name}"] = F.sum(F.when(x.isNotNull(), grow)).over(window) / grow
             ends += [F.sum(x * fade).alias(f"_num_in_{name}"), F.sum(F.when(x.isNotNull(), fade)).alias(f"_den_in_{name}")]
         out = df.withColumns(local)
-        if self.rows > size:
+        if self.has_places or self.rows > size:
             carry = df.groupBy(*self.keys, (F.col("__blk") + 1).alias("__blk")).agg(*ends)
             out = out.alias("l").join(carry.alias("r"), _same(self.keys + ["__blk"], "l", "r"), "left")
             decay = {n: F.exp(-(F.col("l.__off") + 1) * rate) for n, (_, rate) in group.items()}
@@ -401,19 +408,23 @@ def _apply(df: DataFrame, steps, keys: Sequence[str], order: Sequence[str]) -> D
 def _move(df: DataFrame, items: Mapping[str, Moving], n: int, keys: Sequence[str], order: Sequence[str], window) -> DataFrame:
     """Tail of the chunk before and head of the own chunk, for windows of one length."""
     columns = df.columns
-    df = df.withColumn("__pos", F.row_number().over(window) - 1).withColumn("__chunk", F.floor(F.col("__pos") / n))
+    # numbered rows need no pass of their own for their place
+    place = F.col("__rn") if list(order) == ["__rn"] else F.row_number().over(window) - 1
+    df = df.withColumn("__pos", place).withColumn("__chunk", F.floor(F.col("__pos") / n))
     ahead, back = _both_ways([*keys, "__chunk"], order)
-    df = df.withColumns({f"_head_{name}": m.pieces(ahead) for name, m in items.items()})
+    # backwards first: the frames ahead and the look back at the tails then share one order of the rows
     df = df.withColumns({f"_tail_{name}": m.pieces(back) for name, m in items.items()})
+    df = df.withColumns({f"_head_{name}": m.pieces(ahead) for name, m in items.items()})
+    along = Window.partitionBy(*keys).orderBy("__chunk", *order)
     # A window that is exactly its chunk has no tail.
     partial = F.col("__pos") % n < n - 1
-    df = df.withColumns({f"_tail_{name}": F.when(partial, F.lag(f"_tail_{name}", n - 1).over(window)) for name in items})
+    df = df.withColumns({f"_tail_{name}": F.when(partial, F.lag(f"_tail_{name}", n - 1).over(along)) for name in items})
     return df.select(
         *columns, *[m.combined(F.col(f"_head_{name}"), F.col(f"_tail_{name}")).alias(name) for name, m in items.items()]
     )
 
 
-MOVING_ROWS = 128  # from this length on a sliding frame costs more than two growing ones
+MOVING_ROWS = 48  # from this length on a sliding frame costs more than two growing ones
 _MOVING_KINDS = {F.sum: "sum", F.avg: "mean", F.stddev_samp: "std", F.max: "max", F.min: "min", F.skewness: "skew", F.kurtosis: "kurt"}
 
 
@@ -436,15 +447,16 @@ def rolling(agg: Callable[[Column], Column], value: Column, n: int, min_rows: in
     return column
 
 
-def rolling_corr(left: Column, right: Column, n: int):
-    """Correlation of two columns over the last ``n`` rows, null until ``n`` pairs are known."""
+def rolling_corr(left: Column, right: Column, n: int, min_rows: int | None = None):
+    """Correlation of two columns over the last ``n`` rows, null until ``min_rows`` (default ``n``) pairs are known."""
+    need = n if min_rows is None else min_rows
     if n >= MOVING_ROWS:
-        return Moving("corr", left, n, n, right)
+        return Moving("corr", left, n, need, right)
 
     def column(window) -> Column:
         frame = window.rowsBetween(-(n - 1), 0)
         pairs = F.count(F.when(left.isNotNull() & right.isNotNull(), 1)).over(frame)
-        return F.when(pairs >= n, correlation(left, right, lambda c: c.over(frame)))
+        return F.when(pairs >= need, correlation(left, right, lambda c: c.over(frame)))
 
     return column
 

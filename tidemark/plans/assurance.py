@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C, pricing
 from tidemark.functions.register import normal_cdf_batch, register_functions
-from tidemark.operators import aggregates as agg, features as feat, learn, options as opt, quality as q
+from tidemark.operators import aggregates as agg, features as feat, learn, linear, options as opt, quality as q
 from tidemark.plans.market import BIN, GREEK, binary_inputs, greeks
 from tidemark.plans.registry import query
 from tidemark.plans.standins import (
@@ -62,18 +62,35 @@ def cv_folds(df):
     return [(lo + (hi - lo) * i // 4, lo + (hi - lo) * i // 4 + 1, lo + (hi - lo) * (i + 1) // 4) for i in (1, 2, 3)]
 
 
-@query("k03_ridge_residual_model")
+RESIDUALS = FORECASTS + ", z AS (SELECT *, y - p AS residual, sec // 86400 AS day FROM fc), o AS (SELECT *, row_number() OVER (ORDER BY ts_us, id) - 1 AS i, count(*) OVER () AS n FROM z)"
+
+
+def predicted_sql(features):
+    return "b + " + " + ".join(f"w{i} * {f}" for i, f in enumerate(features))
+
+
+@query(
+    "k03_ridge_residual_model",
+    with_(RESIDUALS, "tr AS (SELECT * FROM o WHERE i < floor(n * 0.8e0))", linear.ridge_sql("tr", FEATURES, "residual", "1.0e0")) + f"SELECT id, residual, round({predicted_sql(FEATURES)}, 6) AS prediction FROM o, fit WHERE i >= floor(n * 0.8e0)",
+)
 def ridge(spark, sf):
     train, test = halves(training(spark, sf))
-    scored = learn.ridge(train, FEATURES).transform(test)
-    return scored.select("id", "residual", r("prediction").alias("prediction"))
+    return learn.ridge_scored(train, test, FEATURES).select("id", "residual", r("prediction").alias("prediction"))
+
+
+FOLD_ROWS = "fr AS (SELECT z.*, f.i AS fold, te, ve FROM z JOIN f ON day <= ve)"
 
 
-@query("k03_ridge_time_series_cv", with_(FORECASTS, CV) + "SELECT CAST(i AS INTEGER) AS fold, count(*) FILTER (day <= te) AS n_train, count(*) FILTER (day > te AND day <= ve) AS n_val, round(avg((y - p) ** 2) FILTER (day > te AND day <= ve), 8) AS mse_zero, true AS no_worse FROM d, f GROUP BY i")
+@query(
+    "k03_ridge_time_series_cv",
+    with_(RESIDUALS, CV, FOLD_ROWS, "tr AS (SELECT * FROM fr WHERE day <= te)", linear.ridge_sql("tr", FEATURES, "residual", "10.0e0", keys=["fold"]))
+    + f"""SELECT CAST(fold AS INTEGER) AS fold, count(*) FILTER (day <= te) AS n_train, count(*) FILTER (day > te) AS n_val, round(avg((residual - ({predicted_sql(FEATURES)})) ** 2) FILTER (day > te), 9) AS mse,
+    round(avg(residual ** 2) FILTER (day > te), 8) AS mse_zero FROM fr JOIN fit USING (fold) GROUP BY fold""",
+)
 def ridge_cv(spark, sf):
     df = training(spark, sf)
     out = learn.time_series_cv(df, "day", cv_folds(df), FEATURES, reg=10.0)
-    return out.select("fold", "n_train", "n_val", r("mse_zero", 8).alias("mse_zero"), (F.col("mse") < 1.05 * F.col("mse_zero")).alias("no_worse"))
+    return out.select("fold", "n_train", "n_val", r("mse", 9).alias("mse"), r("mse_zero", 8).alias("mse_zero"))
 
 
 REGIMES = [f"{h}_{v}_{m}" for h in HORIZONS for v in ("low_vol", "high_vol") for m in ("atm", "otm")]
@@ -190,10 +207,43 @@ def importance(spark, sf):
     return wide.join(top, "feature").join(spread, "feature")
 
 
-@query("k14_feature_ablation")
+DROPPED = {"price": ["value", "moneyness"], "quote": ["staleness"]}
+
+
+def ablation_sql():
+    parts = {"none": FEATURES, **{name: [f for f in FEATURES if f not in dropped] for name, dropped in DROPPED.items()}}
+    fits = [linear.ridge_sql("tr", kept, "residual", "1.0e0", f"fit_{name}") for name, kept in parts.items()]
+    errors = " UNION ALL ".join(f"SELECT '{name}' AS dropped, avg((residual - ({predicted_sql(kept)})) ** 2) AS mse FROM te, fit_{name}" for name, kept in parts.items())
+    return [*fits, f"er AS ({errors})"]
+
+
+@query(
+    "k14_feature_ablation",
+    with_(RESIDUALS, "tr AS (SELECT * FROM o WHERE i < floor(n * 0.8e0))", "te AS (SELECT * FROM o WHERE i >= floor(n * 0.8e0))", *ablation_sql())
+    + "SELECT dropped, round(mse - (SELECT mse FROM er WHERE dropped = 'none'), 9) AS delta, round(mse, 9) AS mse FROM er",
+)
 def ablation(spark, sf):
-    train, test = halves(training(spark, sf))
-    return learn.ablation(train, test, FEATURES, {"price": ["value", "moneyness"], "quote": ["staleness"]}, lambda d, fs: learn.ridge(d, fs))
+    """What leaving out a feature group costs; every model from one aggregate per part."""
+    split = learn.chronological_split(training(spark, sf), ["ts_us", "id"])
+    part = split.withColumn("part", F.when(F.col("split") == "train", 0).otherwise(1))
+    return rounded(learn.ablation(part, "part", FEATURES, DROPPED), 9)
+
+
+PENALTIES = (0.01, 0.1, 1.0, 10.0, 100.0)
+
+
+@query(
+    "k12_ridge_search",
+    with_(RESIDUALS, CV, FOLD_ROWS, f"h AS (SELECT *, {HORIZON} AS horizon FROM fr), pen AS (SELECT unnest([{', '.join(f'{x}e0' for x in PENALTIES)}]) AS penalty), hp AS (SELECT * FROM h, pen), tr AS (SELECT * FROM hp WHERE day <= te)",
+          linear.ridge_sql("tr", FEATURES, "residual", "any_value(penalty)", keys=["horizon", "penalty", "fold"]))
+    + f""", er AS (SELECT horizon, penalty, fold, avg((residual - ({predicted_sql(FEATURES)})) ** 2) AS mse FROM hp JOIN fit USING (horizon, penalty, fold) WHERE day > te GROUP BY ALL)
+    SELECT horizon, penalty, count(*) AS folds, round(avg(mse), 8) AS mean_mse FROM er GROUP BY 1, 2""",
+)
+def ridge_search(spark, sf):
+    """Five penalties over three folds and three horizons, from one pass over the table."""
+    df = training(spark, sf)
+    out = learn.ridge_search(df, "day", cv_folds(df), FEATURES, PENALTIES, by="horizon")
+    return out.select("horizon", "penalty", "folds", r("mean_mse", 8).alias("mean_mse"))
 
 
 @query(
@@ -278,6 +328,21 @@ def join_match(spark, sf):
     return rounded(q.match_rate(left, right, ["t"], 95.0))
 
 
+KEY_COLUMNS = {"l_orderkey": "lineitem", "o_orderkey": "orders", "o_custkey": "orders", "c_custkey": "customer", "l_partkey": "lineitem", "p_partkey": "part", "l_suppkey": "lineitem", "s_suppkey": "supplier", "c_nationkey": "customer", "n_nationkey": "nation"}
+
+
+@query(
+    "n03_key_overlap_sketches",
+    "WITH k AS (" + " UNION ALL ".join(f"SELECT DISTINCT '{c}' AS name, {c}::BIGINT AS k FROM {t} WHERE {c} IS NOT NULL" for c, t in KEY_COLUMNS.items()) + """), n AS (SELECT name, count(*) AS n FROM k GROUP BY 1),
+    b AS (SELECT l.name AS lname, r.name AS rname, count(*) AS both_ FROM k l JOIN k r ON l.k = r.k AND l.name <> r.name GROUP BY 1, 2)
+    SELECT l.name AS left_key, r.name AS right_key, l.n AS left_keys, r.n AS right_keys, coalesce(both_, 0) AS matched, round(coalesce(both_, 0)::DOUBLE / l.n, 8) AS match_rate FROM n l JOIN n r ON l.name <> r.name LEFT JOIN b ON lname = l.name AND rname = r.name""",
+)
+def key_overlaps(spark, sf):
+    """All ordered pairs of ten key columns, each column read once; exact up to 262,144 distinct keys."""
+    out = q.key_overlaps({c: (table(spark, sf, t, c), c) for c, t in KEY_COLUMNS.items()}, lg_entries=18)
+    return rounded(out, 8)
+
+
 @query(
     "n04_trade_rules",
     with_(TRADES) + ", a AS (SELECT count(*) - count(DISTINCT tx) AS d FROM trades), b AS (SELECT count(*) FILTER (ts < prev) AS o FROM (SELECT ts, lag(ts) OVER (ORDER BY l_orderkey, l_linenumber, slug, l_extendedprice) AS prev FROM trades)) " + " UNION ALL ".join([check_sql("duplicate_hashes", "d", "d = 0", "= 0", "a"), check_sql("out_of_order", "o", "o = 0", "= 0", "b"), check_sql("price_out_of_range", "0", "true", "= 0", "a")]),

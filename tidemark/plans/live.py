@@ -116,12 +116,23 @@ def sampler(spark, sf):
     return streamed(spark, sf, "sampler", transform).select("asset_id", "seq")
 
 
-@query("l06_micro_batches", "SELECT CASE WHEN ts < TIMESTAMP '2024-01-10' THEN 0 WHEN ts < TIMESTAMP '2024-01-20' THEN 1 ELSE 2 END AS batch, count(*) AS rows, min(event_id) AS first_seq FROM events GROUP BY 1")
+def land_days(part, path):
+    """One file per day of event time, as a collector that rotates its files does."""
+    day = F.date_format("event_time", "yyyy-MM-dd")
+    part.withColumn("day", day).repartition("day").write.mode("append").partitionBy("day").option("timestampFormat", MICROS).json(path)
+
+
+@query("l06_micro_batches", "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS rows, min(event_id) AS first_seq, CAST(1 AS BIGINT) AS days FROM events GROUP BY 1")
 def micro_batches(spark, sf):
-    """A flush per landed slice: rows of every batch written."""
-    routes = {"all": lambda d: d.select("seq")}
-    table = landed(spark, "flush", weeks(messages(spark, sf)), lambda stream, table, checkpoint: capture.route(stream, routes, table, checkpoint))
-    return read_table(spark, f"{table}/all").groupBy("batch").agg(F.count(F.lit(1)).alias("rows"), F.min("seq").alias("first_seq"))
+    """A day's file is all that a micro-batch may take: many flushes per landed slice, each with the rows of one day."""
+    path = scratch(spark, "flush")
+    table, checkpoint = capture.fresh(spark, "flush")
+    routes = {"all": lambda d: d.select("seq", F.date_format("event_time", "yyyy-MM-dd").alias("day"))}
+    for part in weeks(messages(spark, sf)):
+        land_days(part, path)
+        capture.route(capture.message_stream(spark, path, files_per_batch=1), routes, table, checkpoint)
+    flushed = read_table(spark, f"{table}/all").groupBy("batch").agg(F.min("day").alias("day"), F.count(F.lit(1)).alias("rows"), F.min("seq").alias("first_seq"), F.countDistinct("day").alias("days"))
+    return flushed.drop("batch")
 
 
 @query("l07_hour_partitions", "SELECT strftime(ts, '%Y-%m-%d') AS date, count(*) AS n, count(DISTINCT hour(ts)) AS hours FROM events GROUP BY 1")
@@ -178,20 +189,22 @@ def dedup(spark, sf):
     with_(MESSAGES) + """, h AS (SELECT *, ts_us // 3600000000 * 3600000000 AS start_us FROM ticks), m2 AS (SELECT (max(ts_us) // 1000 - 60000) * 1000 AS wm FROM ticks WHERE id % 50 <> 0) SELECT symbol AS market, start_us, count(*) FILTER (id % 50 <> 0) AS n, count(*) FILTER (id % 50 = 0) AS late FROM h, m2 WHERE start_us + 3600000000 <= wm GROUP BY 1, 2 HAVING count(*) FILTER (id % 50 <> 0) > 0""",
 )
 def late_events(spark, sf):
-    """A fiftieth of the events arrive a month late, after their windows were closed: they are counted, not added."""
+    """A fiftieth of the events arrive a month late. The stream drops what its watermark has closed; a side output, told by
+    the watermark of the run before, keeps those events, and they are counted beside their windows."""
     m = messages(spark, sf)
-    late = m.where("seq % 50 = 0")
-    closed_until = []
-
-    def run(stream, table, checkpoint):
-        done = capture.append_table(capture.tumbling(stream, "1 hour", ["market"]), table, checkpoint)
-        closed_until[:] = closed_until[:1] + [capture.watermark_ms(done)]
-
-    table = landed(spark, "late", [*weeks(m.where("seq % 50 != 0")), late], run)
+    path = scratch(spark, "late")
+    (table, checkpoint), (side, side_checkpoint) = capture.fresh(spark, "late"), capture.fresh(spark, "late-side")
+    mark = None
+    for part in [*weeks(m.where("seq % 50 != 0")), m.where("seq % 50 = 0")]:
+        land(part, path)
+        before = mark if mark is not None else -1
+        done = capture.append_table(capture.tumbling(capture.message_stream(spark, path), "1 hour", ["market"]), table, checkpoint)
+        late = capture.late_rows(capture.message_stream(spark, path), before, "1 hour")
+        capture.append_table(late.select("market", "event_time", "seq"), side, side_checkpoint)
+        mark = max(before, capture.watermark_ms(done))
     first = F.floor(F.unix_micros("event_time") / 3_600_000_000) * 3_600_000_000
-    mark = closed_until[-1] * 1000
-    missed = late.groupBy("market", first.alias("start_us")).agg(F.count(F.lit(1)).alias("late"))
-    closed = read_table(spark, table).where(F.col("end_us") <= mark)
+    missed = read_table(spark, side).groupBy("market", first.alias("start_us")).agg(F.count(F.lit(1)).alias("late"))
+    closed = read_table(spark, table)
     return closed.join(missed, ["market", "start_us"], "left").select("market", "start_us", "n", F.coalesce("late", F.lit(0)).alias("late"))
 
 
@@ -222,6 +235,17 @@ def latency(spark, sf):
     return out.select("start_us", "n", r("mean_ms").alias("mean_ms"), r("p95_ms").alias("p95_ms"), "max_ms", F.col("errors").cast("int").alias("errors"))
 
 
+@query(
+    "l15_recent_latency",
+    with_(MESSAGES) + """, delay AS (SELECT symbol AS market, id AS seq, ts_us, ((ts_us + k * 1000) // 1000 - ts_us // 1000)::DOUBLE AS ms FROM ticks)
+    SELECT market, seq, ms, round(avg(ms) OVER w, 6) AS mean_ms, round(quantile_cont(ms, 0.95) OVER w, 6) AS p95_ms, count(*) OVER w AS n FROM delay WINDOW w AS (PARTITION BY market ORDER BY ts_us, seq ROWS 99 PRECEDING)""",
+)
+def recent_latency(spark, sf):
+    """Delay of the last hundred messages of a market, from a list in the stream's state."""
+    out = streamed(spark, sf, "recent", lambda s: capture.recent_latency(s))
+    return out.select("market", "seq", "ms", r("mean_ms").alias("mean_ms"), r("p95_ms").alias("p95_ms"), "n")
+
+
 @query("l16_capture_health", "SELECT strftime(ts, '%Y-%m-%d') AS date, CAST(1 AS BIGINT) AS files, CAST(0 AS BIGINT) AS too_small, count(*) > 0 AS as_expected FROM events GROUP BY 1")
 def health(spark, sf):
     path = scratch(spark, "health")

@@ -17,6 +17,7 @@ from tidemark.plans.standins import (
 )
 from tidemark.plans.tabular import DAILY, SCHEDULE, contracts, daily_rates, quote_messages
 from tidemark.plans.windows import cdf_sql
+from tidemark.session import stored
 from tidemark.sources.calendar import day_spine
 
 YEAR = pricing.SECONDS_PER_YEAR
@@ -37,7 +38,15 @@ def filled_bars(spark, sf, step):
     ).drop("seconds_since_last_update")
 
 
-HB = filled_sql(3600)
+HB = filled_sql(1)  # one-second bars
+
+
+def seconds(spark, sf, *columns):
+    """One-second bars without gaps, numbered: the columns a query needs."""
+    bars = grid.fill_grid(tick_bars(spark, sf, 1), ["symbol"], "sec", ["open", "high", "low", "close", "vwap"], zero=["volume", "trades"], numbered=True)
+    return bars.select("symbol", "sec", "__rn", *columns)
+
+
 SW = "PARTITION BY symbol ORDER BY sec"
 
 
@@ -46,6 +55,19 @@ def roll(fn, x, n, need=None):
     return f"CASE WHEN count({x}) OVER {w} >= {need or n} THEN {fn}({x}) OVER {w} END"
 
 
+def hours_sql(source, digits):
+    """What an hour of one-second rows comes to: how many values are known, their mean, least and greatest."""
+    columns = [f"count({c}) AS {c}_known, round(avg({c}), {d}) AS {c}_mean, round(min({c}), {d}) AS {c}_min, round(max({c}), {d}) AS {c}_max" for c, d in digits.items()]
+    return f" SELECT symbol, sec // 3600 * 3600 AS hour, count(*) AS seconds, {', '.join(columns)} FROM {source} GROUP BY 1, 2"
+
+
+def hours(df, digits):
+    known = lambda c: F.when(~F.isnan(c), F.col(c))
+    columns = [a for c, d in digits.items() for a in (F.count(known(c)).alias(f"{c}_known"), r(F.avg(known(c)), d).alias(f"{c}_mean"), r(F.min(known(c)), d).alias(f"{c}_min"), r(F.max(known(c)), d).alias(f"{c}_max"))]
+    typed = df.select("symbol", "sec", *[F.col(c).cast("double").alias(c) for c in digits])
+    return typed.groupBy("symbol", (F.floor(F.col("sec") / 3600) * 3600).alias("hour")).agg(F.count(F.lit(1)).alias("seconds"), *columns)
+
+
 @query(
     "i01_filled_bars",
     with_(filled_sql(1)) + """SELECT symbol, sec // 3600 * 3600 AS hour, count(*) AS seconds, count(*) FILTER (is_forward_filled) AS filled, sum(volume)::BIGINT AS volume, sum(trades)::BIGINT AS trades,
@@ -397,147 +419,206 @@ def greek_transforms(spark, sf):
 
 @query(
     "i20_moneyness_features",
-    with_(TICKS) + """, m AS (SELECT id, sec, user_id, price / 50.0e0 AS m FROM ticks)
+    with_(TICKS) + """, m AS (SELECT id, sec, user_id, k, price / 50.0e0 AS m FROM ticks)
     SELECT id, CASE WHEN m > 0 THEN round(ln(m), 9) END AS log_moneyness, round((m - 1) * (m - 1), 8) AS moneyness_squared, round((m - 1) * (m - 1) * (m - 1), 10) AS moneyness_cubed, round((m - avg(m) OVER (PARTITION BY sec // 604800)) / (stddev_samp(m) OVER (PARTITION BY sec // 604800) + 1e-10), 6) AS standardized_moneyness,
-    round((m - 1) * (user_id * 6), 6) AS moneyness_x_time, round(abs(m - 1), 9) AS moneyness_distance, round(dense_rank() OVER (PARTITION BY sec // 86400 ORDER BY m) / count(*) OVER (PARTITION BY sec // 86400), 9) AS moneyness_percentile FROM m""",
+    round((m - 1) * (user_id * 6), 6) AS moneyness_x_time, round((m - 1) * (0.2e0 + k / 100.0e0), 6) AS moneyness_x_vol, round(abs(m - 1), 9) AS moneyness_distance, round(dense_rank() OVER (PARTITION BY sec // 86400 ORDER BY m) / count(*) OVER (PARTITION BY sec // 86400), 9) AS moneyness_percentile FROM m""",
 )
 def moneyness(spark, sf):
-    t = ticks(spark, sf).select("id", "sec", "price", F.lit(50.0).alias("K"), (F.col("user_id") * 6).alias("left"))
-    out = feat.moneyness_features(t, "price", "K", "sec", "left")
+    t = ticks(spark, sf).select("id", "sec", "price", F.lit(50.0).alias("K"), (F.col("user_id") * 6).alias("left"), (0.2 + F.col("k") / 100).alias("rv_60s"))
+    out = feat.moneyness_features(t, "price", "K", "sec", "left", "rv_60s")
     digits = {"log_moneyness": 9, "moneyness_squared": 8, "moneyness_cubed": 10, "moneyness_distance": 9, "moneyness_percentile": 9}
-    names = [*digits, "standardized_moneyness", "moneyness_x_time"]
+    names = [*digits, "standardized_moneyness", "moneyness_x_time", "moneyness_x_vol"]
     return out.select("id", *[r(n, digits.get(n, 6)).alias(n) for n in names])
 
 
+ASYMMETRY = {f"{name}_{n}": d for n in (60, 300, 900) for name, d in (("downside_vol", 7), ("upside_vol", 7), ("vol_asymmetry_ratio", 3), ("realized_skewness", 4), ("realized_kurtosis", 4))}
+ASYMMETRY |= {"iv_minus_downside_vol": 7, "iv_minus_upside_vol": 7, "vol_of_vol_300": 5}
+
+
+def asymmetry_sql():
+    """Per window: returns over it, their powers, and rolling means of those."""
+    steps, source = "", "hb"
+    for n in (60, 300, 900):
+        steps += f""", a{n} AS (SELECT *, p / lag(p, {n}) OVER ({SW}) - 1 AS ret FROM {source}),
+    b{n} AS (SELECT *, CASE WHEN ret < 0 THEN ret * ret WHEN ret IS NOT NULL THEN 0 END AS dn, CASE WHEN ret > 0 THEN ret * ret WHEN ret IS NOT NULL THEN 0 END AS up, ret * ret AS r2, ret * ret * ret AS r3, ret * ret * ret * ret AS r4 FROM a{n}),
+    c{n} AS (SELECT * EXCLUDE (ret, dn, up, r2, r3, r4), sqrt({roll('avg', 'dn', n)}) AS downside_vol_{n}, sqrt({roll('avg', 'up', n)}) AS upside_vol_{n}, {roll('avg', 'ret', n)} AS m1, {roll('avg', 'r2', n)} AS m2, {roll('avg', 'r3', n)} AS m3, {roll('avg', 'r4', n)} AS m4,
+      max(ret) OVER ({SW} ROWS {n - 1} PRECEDING) > min(ret) OVER ({SW} ROWS {n - 1} PRECEDING) AS moves FROM b{n}),
+    d{n} AS (SELECT * EXCLUDE (m1, m2, m3, m4, moves), CASE WHEN upside_vol_{n} > 0 THEN downside_vol_{n} / (upside_vol_{n} + 1e-10) END AS vol_asymmetry_ratio_{n},
+      CASE WHEN moves THEN (m3 - 3 * m1 * m2 + 2 * m1 * m1 * m1) / (m2 - m1 * m1) ** 1.5e0 END AS realized_skewness_{n}, m4 / (m2 * m2 + 1e-10) - 3 AS realized_kurtosis_{n} FROM c{n})"""
+        source = f"d{n}"
+    return steps + f""", v AS (SELECT *, ln(close / lag(close) OVER ({SW})) AS lr FROM d900), w AS (SELECT *, round({roll('stddev_samp', 'lr', 60)} * sqrt({YEAR!r}e0 / 60), 8) AS rv_60s FROM v),
+    x AS (SELECT *, {roll('stddev_samp', 'rv_60s', 300)} AS vol_of_vol_300, 0.2e0 + vwap / 500 - downside_vol_900 AS iv_minus_downside_vol, 0.2e0 + vwap / 500 - upside_vol_900 AS iv_minus_upside_vol FROM w)"""
+
+
 @query(
     "i21_volatility_asymmetry",
-    with_(HB) + f""", a AS (SELECT symbol, sec, close / lag(close, 24) OVER ({SW}) - 1 AS ret FROM hb), b AS (SELECT *, CASE WHEN ret < 0 THEN ret * ret WHEN ret IS NOT NULL THEN 0 END AS dn, CASE WHEN ret > 0 THEN ret * ret WHEN ret IS NOT NULL THEN 0 END AS up, ret * ret AS r2, ret * ret * ret * ret AS r4, ret * ret * ret AS r3 FROM a),
-    c AS (SELECT symbol, sec, sqrt({roll('avg', 'dn', 24)}) AS dv, sqrt({roll('avg', 'up', 24)}) AS uv, {roll('avg', 'r2', 24)} AS m2, {roll('avg', 'r4', 24)} AS m4, {roll('avg', 'ret', 24)} AS m1, {roll('avg', 'r3', 24)} AS m3 FROM b)
-    SELECT symbol, sec, round(dv, 7) AS downside_vol, round(uv, 7) AS upside_vol, round(dv / (uv + 1e-10), 4) AS vol_asymmetry_ratio, round((m3 - 3 * m1 * m2 + 2 * m1 * m1 * m1) / (m2 - m1 * m1) ** 1.5e0, 4) AS realized_skewness, round(m4 / (m2 * m2 + 1e-10) - 3, 5) AS realized_kurtosis FROM c""",
+    with_(HB.replace("hb AS (SELECT cells.symbol", "hb0 AS (SELECT cells.symbol") + ", hb AS (SELECT *, close + 100 AS p FROM hb0)") + asymmetry_sql() + hours_sql("x", ASYMMETRY),
 )
 def asymmetry(spark, sf):
-    out = feat.asymmetry(filled_bars(spark, sf, 3600), ["symbol"], ["sec"], "close", 24)
-    return out.select("symbol", "sec", r("downside_vol", 7).alias("downside_vol"), r("upside_vol", 7).alias("upside_vol"), r("vol_asymmetry_ratio", 4).alias("vol_asymmetry_ratio"),
-                      r("realized_skewness", 4).alias("realized_skewness"), r("realized_kurtosis", 5).alias("realized_kurtosis"))
+    """Semi-deviations of returns over one, five and fifteen minutes of one-second bars, what an implied volatility has
+    beyond them, and the volatility of volatility."""
+    out = seconds(spark, sf, "close", "vwap").withColumns({"p": F.col("close") + 100, "iv": 0.2 + F.col("vwap") / 500})
+    out = feat.asymmetry(out, ["symbol"], ["sec"], "p")
+    for n in feat.MOMENTUM_WINDOWS:
+        out = out.withColumn(f"vol_asymmetry_ratio_{n}", F.when(F.col(f"upside_vol_{n}") > 0, F.col(f"vol_asymmetry_ratio_{n}")))
+    out = feat.realized_volatility(out.withColumns(feat.iv_minus_semi_volatility("iv", "_900")), ["symbol"], ["sec"], windows=(60,)).withColumn("rv_60s", r("rv_60s", 8))
+    out = Series(out, ["symbol"], ["sec"]).frames({"vol_of_vol_300": rolling(F.stddev_samp, F.col("rv_60s"), 300)}, before=299)
+    return hours(out, ASYMMETRY)
 
 
-RV_W = (21_600, 43_200, 86_400, 172_800)  # seconds, on hourly bars
+RV_W = feat.RV_WINDOWS
 
 
-def rv_sql(digits=None):
+def rv_sql(digits=None, windows=RV_W):
     cols = []
-    for n in RV_W:
-        x = f"{roll('stddev_samp', 'log_return', n // 3600)} * sqrt({YEAR!r}e0 / {n})"
+    for n in windows:
+        x = f"{roll('stddev_samp', 'log_return', n)} * sqrt({YEAR!r}e0 / {n})"
         cols.append(f"{x if digits is None else f'round({x}, {digits})'} AS rv_{n}s")
     return HB + f", lr AS (SELECT *, ln(close / lag(close) OVER ({SW})) AS log_return FROM hb), rv AS (SELECT *, {', '.join(cols)} FROM lr)"
 
 
-RV = rv_sql(8)
+def rv_table(spark, sf, windows=RV_W):
+    """Rounded, so that thresholds compare alike in both engines."""
+    out = feat.realized_volatility(seconds(spark, sf, "close"), ["symbol"], ["sec"], windows=windows)
+    return out.withColumns({f"rv_{n}s": r(f"rv_{n}s", 8) for n in windows})
 
 
-def rv_table(spark, sf):
-    """Rounded, so that thresholds compare alike in both engines."""
-    out = feat.realized_volatility(filled_bars(spark, sf, 3600), ["symbol"], ["sec"], windows=RV_W, step=3600)
-    return out.withColumns({f"rv_{n}s": r(f"rv_{n}s", 8) for n in RV_W})
+RV_DIGITS = {**{f"rv_{n}s": 6 for n in RV_W}, "rv_ratio_300_60": 6, "rv_ratio_900_300": 6, "rv_ratio_3600_900": 6, "rv_term_structure": 6}
 
 
 @query(
     "i22_realized_volatility",
-    with_(rv_sql()) + f"SELECT symbol, sec, {', '.join(f'round(rv_{n}s, 6) AS rv_{n}s' for n in RV_W)}, CASE WHEN rv_21600s = 0 THEN NULL ELSE round(rv_43200s / rv_21600s, 8) END AS rv_ratio_43200_21600, CASE WHEN rv_21600s = 0 THEN NULL ELSE round((rv_172800s - rv_21600s) / rv_21600s, 8) END AS rv_term_structure FROM rv",
+    with_(rv_sql(10)) + ", x AS (SELECT *, " + ", ".join(f"rv_{b}s / nullif(rv_{a}s, 0) AS rv_ratio_{b}_{a}" for a, b in zip(RV_W, RV_W[1:])) + ", (rv_3600s - rv_60s) / nullif(rv_60s, 0) AS rv_term_structure FROM rv)" + hours_sql("x", RV_DIGITS),
 )
 def rv(spark, sf):
-    out = feat.realized_volatility(filled_bars(spark, sf, 3600), ["symbol"], ["sec"], windows=RV_W, step=3600)
-    return out.select("symbol", "sec", *[r(f"rv_{n}s").alias(f"rv_{n}s") for n in RV_W], r("rv_ratio_43200_21600", 8).alias("rv_ratio_43200_21600"), r("rv_term_structure", 8).alias("rv_term_structure"))
+    return hours(feat.realized_volatility(seconds(spark, sf, "close"), ["symbol"], ["sec"]), RV_DIGITS)
+
+
+MOMENTUM = {**{f"momentum_{n}s": 8 for n in feat.MOMENTUM_WINDOWS}, **{f"range_{n}s": 8 for n in feat.RANGE_WINDOWS}}
 
 
 @query(
     "i23_momentum_and_range",
-    with_(HB) + f"SELECT symbol, sec, round((close - lag(close, 6) OVER ({SW})) / lag(close, 6) OVER ({SW}), 8) AS momentum_6s, round((close - lag(close, 24) OVER ({SW})) / lag(close, 24) OVER ({SW}), 8) AS momentum_24s, round(({roll('max', 'high', 12)} - {roll('min', 'low', 12)}) / close, 8) AS range_12s FROM hb",
+    with_(HB) + ", x AS (SELECT symbol, sec, " + ", ".join(f"(close - lag(close, {n}) OVER ({SW})) / nullif(lag(close, {n}) OVER ({SW}), 0) AS momentum_{n}s" for n in feat.MOMENTUM_WINDOWS) + ", "
+    + ", ".join(f"({roll('max', 'high', n)} - {roll('min', 'low', n)}) / nullif(close, 0) AS range_{n}s" for n in feat.RANGE_WINDOWS) + " FROM hb)" + hours_sql("x", MOMENTUM),
 )
 def momentum(spark, sf):
-    out = feat.momentum_and_range(filled_bars(spark, sf, 3600), ["symbol"], ["sec"], windows=(6, 24), ranges=(12,))
-    return rounded(out.select("symbol", "sec", "momentum_6s", "momentum_24s", "range_12s"), 8)
+    return hours(feat.momentum_and_range(seconds(spark, sf, "close", "high", "low"), ["symbol"], ["sec"]), MOMENTUM)
+
+
+JUMPS = {"jump_detected": 8, "jump_intensity": 8, "jump_count": 8, "jump_direction": 7}
 
 
 @query(
     "i24_jumps",
-    with_(RV) + f""", j AS (SELECT *, CASE WHEN log_return IS NULL OR rvj IS NULL THEN NULL WHEN abs(log_return) > 3 * rvj / sqrt({YEAR!r}e0 / 3600) THEN 1 ELSE 0 END AS jd FROM (SELECT *, rv_43200s * 0.5e0 AS rvj FROM rv)),
-    s AS (SELECT *, CASE WHEN jd = 1 THEN log_return ELSE 0.0e0 END AS sg FROM j)
-    SELECT symbol, sec, jd AS jump_detected, {roll('sum', 'jd', 24)}::BIGINT AS jump_intensity, {roll('sum', 'jd', 24, 10)}::BIGINT AS jump_count, round({roll('sum', 'sg', 24, 10)} / ({roll('sum', 'jd', 24, 10)} + 1e-9), 7) AS jump_direction FROM s""",
+    with_(rv_sql(8, (900,))) + f""", j AS (SELECT *, CASE WHEN abs(log_return) > 3 * rv_900s / sqrt({YEAR!r}e0) THEN 1 WHEN log_return IS NOT NULL AND rv_900s IS NOT NULL THEN 0 END AS jump_detected FROM rv),
+    s AS (SELECT *, CASE WHEN jump_detected = 1 THEN log_return ELSE 0.0e0 END AS sg FROM j),
+    x AS (SELECT symbol, sec, jump_detected, {roll('sum', 'jump_detected', 300)} AS jump_intensity, {roll('sum', 'jump_detected', 300, 10)} AS jump_count, {roll('sum', 'sg', 300, 10)} / ({roll('sum', 'jump_detected', 300, 10)} + 1e-9) AS jump_direction FROM s)"""
+    + hours_sql("x", JUMPS),
 )
 def jumps(spark, sf):
-    base = rv_table(spark, sf).drop("log_return").withColumn("rvj", F.col("rv_43200s") * 0.5)
-    out = feat.jumps(base, ["symbol"], ["sec"], "rvj", 24, step=3600)
-    return out.select("symbol", "sec", "jump_detected", "jump_intensity", "jump_count", r("jump_direction", 7).alias("jump_direction"))
+    base = rv_table(spark, sf, (900,)).drop("log_return")
+    return hours(feat.jumps(base, ["symbol"], ["sec"], "rv_900s", 300), JUMPS)
+
+
+AUTOCORRELATION = {"autocorr_lag1": 6, "autocorr_lag5": 6, "autocorr_decay": 6, "hurst": 6}
 
 
 @query(
     "i25_autocorrelations",
-    with_(RV) + f""", l AS (SELECT *, lag(log_return, 1) OVER ({SW}) AS l1, lag(log_return, 5) OVER ({SW}) AS l5 FROM lr),
-    c AS (SELECT symbol, sec, CASE WHEN count(l1) OVER w >= 24 THEN corr(log_return, l1) OVER w END AS a1, CASE WHEN count(l5) OVER w >= 24 THEN corr(log_return, l5) OVER w END AS a5 FROM l WINDOW w AS ({SW} ROWS 23 PRECEDING))
-    SELECT symbol, sec, round(a1, 6) AS autocorr_lag1, round(a5, 6) AS autocorr_lag5, round(a1 - a5, 6) AS autocorr_decay, round(0.5e0 + 0.5e0 * a1, 6) AS hurst FROM (SELECT symbol, sec, CASE WHEN isfinite(a1) THEN a1 END AS a1, CASE WHEN isfinite(a5) THEN a5 END AS a5 FROM c)""",
+    with_(HB) + f""", lr AS (SELECT *, ln(close / lag(close) OVER ({SW})) AS log_return FROM hb), l AS (SELECT *, lag(log_return, 1) OVER ({SW}) AS l1, lag(log_return, 5) OVER ({SW}) AS l5 FROM lr),
+    c AS (SELECT symbol, sec, CASE WHEN count(l1) OVER w >= 300 THEN corr(log_return, l1) OVER w END AS a1, CASE WHEN count(l5) OVER w >= 300 THEN corr(log_return, l5) OVER w END AS a5 FROM l WINDOW w AS ({SW} ROWS 299 PRECEDING)),
+    f AS (SELECT symbol, sec, CASE WHEN isfinite(a1) THEN a1 END AS a1, CASE WHEN isfinite(a5) THEN a5 END AS a5 FROM c),
+    x AS (SELECT symbol, sec, a1 AS autocorr_lag1, a5 AS autocorr_lag5, a1 - a5 AS autocorr_decay, 0.5e0 + 0.5e0 * a1 AS hurst FROM f)""" + hours_sql("x", AUTOCORRELATION),
 )
 def autocorrelations(spark, sf):
-    out = feat.autocorrelations(filled_bars(spark, sf, 3600), ["symbol"], ["sec"], (1, 5), 24)
-    return rounded(out.select("symbol", "sec", "autocorr_lag1", "autocorr_lag5", "autocorr_decay", "hurst"))
+    return hours(feat.autocorrelations(seconds(spark, sf, "close"), ["symbol"], ["sec"], (1, 5), 300), AUTOCORRELATION)
+
+
+EMAS = (12, 60, 300, 900)
 
 
-EMAS = HB + """, num AS (SELECT symbol, sec, close, row_number() OVER (PARTITION BY symbol ORDER BY sec) AS i FROM hb),
-em(symbol, i, a, da, b, db) AS (SELECT symbol, i, close, 1.0e0, close, 1.0e0 FROM num WHERE i = 1 UNION ALL SELECT e.symbol, n.i, n.close + a * (1 - 2.0e0 / 13), 1 + da * (1 - 2.0e0 / 13), n.close + b * (1 - 2.0e0 / 61), 1 + db * (1 - 2.0e0 / 61) FROM em e JOIN num n ON n.symbol = e.symbol AND n.i = e.i + 1),
-ems AS (SELECT num.*, a / da AS e12, b / db AS e60 FROM em JOIN num USING (symbol, i))"""
+def ema_sql():
+    """Means at the last second of every hour: an hour fades the sums before it and adds its own."""
+    fade = {n: f"(1 - 2.0e0 / {n + 1})" for n in EMAS}
+    own = ", ".join(f"sum(close * pow({f}, top - sec)) AS t{n}, sum(pow({f}, top - sec)) AS u{n}" for n, f in fade.items())
+    start, step = ", ".join(f"t{n}, u{n}" for n in EMAS), ", ".join(f"h.t{n} + e.t{n} * pow({f}, h.seconds), h.u{n} + e.u{n} * pow({f}, h.seconds)" for n, f in fade.items())
+    return f""", tops AS (SELECT symbol, sec, close, max(sec) OVER (PARTITION BY symbol, sec // 3600) AS top FROM hb),
+    hh AS (SELECT symbol, top, count(*) AS seconds, arg_max(close, sec) AS close, {own}, row_number() OVER (PARTITION BY symbol ORDER BY top) AS i FROM tops GROUP BY symbol, top),
+    em AS (SELECT symbol, i, {start} FROM hh WHERE i = 1 UNION ALL SELECT e.symbol, h.i, {step} FROM em e JOIN hh h ON h.symbol = e.symbol AND h.i = e.i + 1),
+    x AS (SELECT symbol, top, close, {', '.join(f'em.t{n} / em.u{n} AS ema_{n}s' for n in EMAS)} FROM em JOIN hh USING (symbol, i))"""
 
 
 @query(
     "i26_ema_crosses",
-    "WITH RECURSIVE " + EMAS + "SELECT symbol, sec, round(e12, 7) AS ema_12s, round(e60, 7) AS ema_60s, round((e12 - e60) * 100 / close, 5) AS ema_cross_12_60, round((close - e60) * 100 / e60, 5) AS price_vs_ema_60 FROM ems",
+    "WITH RECURSIVE " + HB + ema_sql() + " SELECT symbol, top AS sec, " + ", ".join(f"round(ema_{n}s, 7) AS ema_{n}s" for n in EMAS) + ", "
+    + ", ".join(f"round((ema_{a}s - ema_{b}s) * 100 / close, 5) AS ema_cross_{a}_{b}" for a, b in zip(EMAS, EMAS[1:])) + ", round((close - ema_900s) * 100 / ema_900s, 5) AS price_vs_ema_900 FROM x",
 )
 def ema_crosses(spark, sf):
-    out = feat.ema_set(filled_bars(spark, sf, 3600), ["symbol"], ["sec"], spans=(12, 60))
-    return out.select("symbol", "sec", r("ema_12s", 7).alias("ema_12s"), r("ema_60s", 7).alias("ema_60s"), r("ema_cross_12_60", 5).alias("ema_cross_12_60"), r("price_vs_ema_60", 5).alias("price_vs_ema_60"))
+    """Every second's means; the last of each hour are compared."""
+    out = feat.ema_set(seconds(spark, sf, "close"), ["symbol"], ["sec"], spans=EMAS)
+    names = {**{f"ema_{n}s": 7 for n in EMAS}, **{f"ema_cross_{a}_{b}": 5 for a, b in zip(EMAS, EMAS[1:])}, "price_vs_ema_900": 5}
+    last = out.groupBy("symbol", F.floor(F.col("sec") / 3600).alias("hour")).agg(F.max_by(F.struct("sec", *names), "sec").alias("x")).select("symbol", "x.*")
+    return last.select("symbol", "sec", *[r(n, d).alias(n) for n, d in names.items()])
+
+
+EXTREMES = {"window_high": 8, "drawdown_from_high": 6, "runup_from_low": 6, "time_since_high": 6, "time_since_low": 6}
 
 
 @query(
     "i27_drawdown_runup",
-    with_(HB) + f"""SELECT symbol, sec, max(high) OVER w AS window_high, round((max(high) OVER w - close) * 100 / max(high) OVER w, 8) AS drawdown_from_high, round((close - min(low) OVER w) * 100 / nullif(min(low) OVER w, 0), 6) AS runup_from_low,
-    sec - arg_max(sec, (high, sec)) OVER w AS time_since_high, sec - arg_min(sec, (low, -sec)) OVER w AS time_since_low FROM hb WINDOW w AS ({SW} ROWS 23 PRECEDING)""",
+    # rank of the value, then the second, in one number: DuckDB has no fast arg_max over frames
+    with_(HB) + f""", ranked AS (SELECT *, dense_rank() OVER (ORDER BY high) * 8589934592 + sec AS hi, dense_rank() OVER (ORDER BY low) * 8589934592 + (8589934591 - sec) AS lo FROM hb),
+    x AS (SELECT symbol, sec, max(high) OVER w AS window_high, (max(high) OVER w - close) * 100 / nullif(max(high) OVER w, 0) AS drawdown_from_high, (close - min(low) OVER w) * 100 / nullif(min(low) OVER w, 0) AS runup_from_low,
+      sec - max(hi) OVER w % 8589934592 AS time_since_high, sec - (8589934591 - min(lo) OVER w % 8589934592) AS time_since_low FROM ranked WINDOW w AS ({SW} ROWS 899 PRECEDING))""" + hours_sql("x", EXTREMES),
 )
 def drawdown_runup(spark, sf):
-    out = feat.extremes(filled_bars(spark, sf, 3600), ["symbol"], ["sec"], "sec", 24)
-    return out.select("symbol", "sec", "window_high", r("drawdown_from_high", 8).alias("drawdown_from_high"), r("runup_from_low").alias("runup_from_low"), "time_since_high", "time_since_low")
+    return hours(feat.extremes(seconds(spark, sf, "close", "high", "low"), ["symbol"], ["sec"], "sec", 900), EXTREMES)
+
+
+CLUSTERING = {"vol_persistence_ar1": 4, "vol_of_vol": 5, "vol_acceleration": 3, "vol_forecast": 5}
 
 
 @query(
     "i28_volatility_clustering",
-    with_(RV) + f""", l AS (SELECT *, lag(rv_21600s) OVER ({SW}) AS p FROM rv)
-    SELECT symbol, sec, CASE WHEN count(CASE WHEN rv_21600s IS NOT NULL AND p IS NOT NULL THEN 1 END) OVER w >= 10 AND isfinite(corr(rv_21600s, p) OVER w) THEN round(corr(rv_21600s, p) OVER w, 5) END AS vol_persistence_ar1, CASE WHEN count(rv_21600s) OVER w >= 10 THEN round(stddev_samp(rv_21600s) OVER w, 2) END AS vol_of_vol,
-    round((rv_21600s - rv_86400s) / (rv_86400s + 1e-9) * 100, 5) AS vol_acceleration, round(sqrt(0.94e0 * rv_86400s * rv_86400s + (1 - 0.94e0) * rv_21600s * rv_21600s), 3) AS vol_forecast FROM l WINDOW w AS ({SW} ROWS 23 PRECEDING)""",
+    with_(rv_sql(8, (300, 900))) + f""", l AS (SELECT *, lag(rv_300s) OVER ({SW}) AS p FROM rv),
+    c AS (SELECT symbol, sec, rv_300s, rv_900s, CASE WHEN count(CASE WHEN rv_300s IS NOT NULL AND p IS NOT NULL THEN 1 END) OVER w >= 10 THEN corr(rv_300s, p) OVER w END AS ar, CASE WHEN count(rv_300s) OVER w >= 10 THEN stddev_samp(rv_300s) OVER w END AS vol_of_vol
+      FROM l WINDOW w AS ({SW} ROWS 899 PRECEDING)),
+    x AS (SELECT symbol, sec, vol_of_vol, CASE WHEN vol_of_vol > 1e-6 AND isfinite(ar) THEN ar END AS vol_persistence_ar1, (rv_300s - rv_900s) / (rv_900s + 1e-9) * 100 AS vol_acceleration, sqrt(0.94e0 * rv_900s * rv_900s + (1 - 0.94e0) * rv_300s * rv_300s) AS vol_forecast FROM c)"""
+    + hours_sql("x", CLUSTERING),
 )
 def clustering(spark, sf):
-    out = feat.vol_clustering(rv_table(spark, sf), ["symbol"], ["sec"], "rv_21600s", "rv_86400s", 24, 10)
-    return out.select("symbol", "sec", r("vol_persistence_ar1", 5).alias("vol_persistence_ar1"), r("vol_of_vol", 2).alias("vol_of_vol"), r("vol_acceleration", 5).alias("vol_acceleration"), r("vol_forecast", 3).alias("vol_forecast"))
+    out = feat.vol_clustering(rv_table(spark, sf, (300, 900)), ["symbol"], ["sec"], "rv_300s", "rv_900s", 900, 10)
+    # the correlation of a constant is null; which constants are exactly so depends on the engine's sums
+    return hours(out.withColumn("vol_persistence_ar1", F.when(F.col("vol_of_vol") > 1e-6, F.col("vol_persistence_ar1"))), CLUSTERING)
 
 
 @query(
     "i29_har_forecast",
-    with_(RV) + f", m AS (SELECT symbol AS s2, avg(rv_86400s) AS lvl FROM rv GROUP BY 1) SELECT symbol, sec, round(0.05e0 * lvl + (0.4e0 * {roll('avg', 'rv_86400s', 12)} + 0.3e0 * {roll('avg', 'rv_86400s', 48)} + 0.2e0 * {roll('avg', 'rv_86400s', 96)}), 3) AS rv_forecast FROM rv JOIN m ON symbol = s2",
+    with_(rv_sql(8, (900,))) + f""", m AS (SELECT symbol AS s2, avg(rv_900s) AS lvl FROM rv GROUP BY 1),
+    x AS (SELECT symbol, sec, 0.05e0 * lvl + (0.4e0 * {roll('avg', 'rv_900s', 96)} + 0.3e0 * {roll('avg', 'rv_900s', 672)} + 0.2e0 * {roll('avg', 'rv_900s', 2880)}) AS rv_forecast FROM rv JOIN m ON symbol = s2)"""
+    + hours_sql("x", {"rv_forecast": 5}),
 )
 def har(spark, sf):
-    out = feat.har_forecast(rv_table(spark, sf), ["symbol"], ["sec"], "rv_86400s", rows=(12, 48, 96))
-    return out.select("symbol", "sec", r("rv_forecast", 3).alias("rv_forecast"))
+    return hours(feat.har_forecast(stored(rv_table(spark, sf, (900,)).select("symbol", "sec", "__rn", "rv_900s")), ["symbol"], ["sec"], "rv_900s"), {"rv_forecast": 5})
 
 
 @query(
     "i30_adaptive_volatility",
-    with_(TICKS) + """, v AS (SELECT id, 0.3e0 + k / 200.0e0 AS iv, id * 31 % 240 AS age, CASE WHEN id % 11 = 0 THEN NULL ELSE 0.2e0 + price / 500 END AS rv, user_id * 6 AS left_, k * 5 AS n FROM ticks),
-    w AS (SELECT *, CASE WHEN rv IS NULL OR age < 10 THEN 1.0e0 WHEN age < 60 THEN 0.8e0 - (age - 10.0e0) / 50.0e0 * 0.3e0 WHEN age < 120 THEN 0.5e0 - (age - 60.0e0) / 60.0e0 * 0.3e0 ELSE greatest(0.1e0, 0.2e0 - (age - 120.0e0) / 1000 * 0.1e0) END AS wt FROM v)
+    with_(TICKS) + """, v AS (SELECT id, 0.3e0 + k / 200.0e0 AS iv, id * 31 % 240 AS age, CASE WHEN id % 11 <> 0 THEN 0.2e0 + price / 500 END AS rv60, CASE WHEN id % 7 <> 0 THEN 0.25e0 + price / 400 END AS rv300, CASE WHEN id % 5 <> 0 THEN 0.3e0 + price / 300 END AS rv900, id * 37 % 900 AS left_, k * 5 AS n FROM ticks),
+    u AS (SELECT *, CASE WHEN left_ < 180 THEN coalesce(rv60, rv300, rv900) WHEN left_ < 600 THEN coalesce(rv300, rv60, rv900) ELSE coalesce(rv900, rv300, rv60) END AS rv FROM v),
+    w AS (SELECT *, CASE WHEN rv IS NULL OR age < 10 THEN 1.0e0 WHEN age < 60 THEN 0.8e0 - (age - 10.0e0) / 50.0e0 * 0.3e0 WHEN age < 120 THEN 0.5e0 - (age - 60.0e0) / 60.0e0 * 0.3e0 ELSE greatest(0.1e0, 0.2e0 - (age - 120.0e0) / 1000 * 0.1e0) END AS wt FROM u)
     SELECT id, round(CASE WHEN wt = 1 THEN iv ELSE wt * iv + (1 - wt) * rv END, 9) AS sigma_adaptive, CASE WHEN rv IS NULL THEN 'iv_only_no_rv' WHEN age < 10 THEN 'fresh_iv' WHEN age < 60 THEN 'blend_moderate' WHEN age < 120 THEN 'blend_stale' ELSE 'rv_dominant' END AS blend_method,
     round(CASE WHEN rv IS NULL THEN 0.3e0 ELSE least(1.0e0, CASE WHEN age < 10 THEN 0.4e0 WHEN age < 60 THEN 0.3e0 WHEN age < 120 THEN 0.2e0 ELSE 0.1e0 END + CASE WHEN rv / iv > 0.9e0 AND rv / iv < 1.1e0 THEN 0.4e0 WHEN rv / iv > 0.8e0 AND rv / iv < 1.2e0 THEN 0.3e0 WHEN rv / iv > 0.7e0 AND rv / iv < 1.3e0 THEN 0.2e0 ELSE 0.1e0 END
       + CASE WHEN n >= 300 THEN 0.2e0 WHEN n >= 100 THEN 0.15e0 WHEN n >= 50 THEN 0.1e0 ELSE 0.05e0 END) END, 9) AS quality FROM w""",
 )
 def adaptive(spark, sf):
-    rv_ = F.when(F.col("id") % 11 != 0, 0.2 + F.col("price") / 500)
-    v = ticks(spark, sf).select("id", (0.3 + F.col("k") / 200.0).alias("iv"), (F.col("id") * 31 % 240).alias("age"), rv_.alias("rv"), (F.col("user_id") * 6).alias("left"), (F.col("k") * 5).alias("n"))
-    out = v.withColumns({**pricing.adaptive_vol("iv", "age", "rv", "rv", "rv", "left"), "quality": pricing.vol_quality("iv", "age", "rv", "n")})
+    ident, price, left = F.col("id"), F.col("price"), F.col("left")
+    rv = {"rv60": F.when(ident % 11 != 0, 0.2 + price / 500), "rv300": F.when(ident % 7 != 0, 0.25 + price / 400), "rv900": F.when(ident % 5 != 0, 0.3 + price / 300)}
+    v = ticks(spark, sf).select("id", (0.3 + F.col("k") / 200.0).alias("iv"), (ident * 31 % 240).alias("age"), *[x.alias(n) for n, x in rv.items()], (ident * 37 % 900).alias("left"), (F.col("k") * 5).alias("n"))
+    chosen = F.when(left < 180, F.coalesce("rv60", "rv300", "rv900")).when(left < 600, F.coalesce("rv300", "rv60", "rv900")).otherwise(F.coalesce("rv900", "rv300", "rv60"))
+    out = v.withColumns({**pricing.adaptive_vol("iv", "age", "rv60", "rv300", "rv900", "left"), "rv": chosen})
+    out = out.withColumn("quality", pricing.vol_quality("iv", "age", "rv", "n"))
     return out.select("id", r("sigma_adaptive", 9).alias("sigma_adaptive"), "blend_method", r("quality", 9).alias("quality"))
 
 
@@ -555,22 +636,38 @@ def term_smile(spark, sf):
 
 
 DEPTH = """dep AS (SELECT *, (bid_price_0 + ask_price_0) / 2 AS mid_price, bid_amount_0 + bid_amount_1 + bid_amount_2 + bid_amount_3 + bid_amount_4 AS tb, ask_amount_0 + ask_amount_1 + ask_amount_2 + ask_amount_3 + ask_amount_4 AS ta FROM books),
-feat AS (SELECT symbol, ts_us, id, (ask_price_0 - bid_price_0) * 10000 / nullif(mid_price, 0) AS spread_bps, (tb - ta) / (tb + ta) AS depth_imbalance,
+feat AS (SELECT symbol, ts_us, id, mid_price, (ask_price_0 - bid_price_0) * 10000 / nullif(mid_price, 0) AS spread_bps, (tb - ta) / (tb + ta) AS depth_imbalance,
   (""" + " + ".join(f"{s}_price_{i} * {s}_amount_{i}" for s in ("bid", "ask") for i in range(5)) + """) / (tb + ta) AS wmid, (bid_amount_0 - ask_amount_0) / (bid_amount_0 + ask_amount_0) AS imb, bid_amount_0 / tb AS br FROM dep)"""
 
 
+SMOOTHED = {"spread_bps": "spread", "imb": "imbalance", "depth_imbalance": "depth", "wmid": "weighted_mid"}
+
+
+def smoothed_sql():
+    """Exponential means of span 60 by recursion over the rows of a symbol: {prefix}_ema_60s."""
+    fade = "(1 - 2.0e0 / 61)"
+    names = ", ".join(f"a_{p}, d_{p}" for p in SMOOTHED.values())
+    first = ", ".join(f"coalesce({c}, 0), CASE WHEN {c} IS NULL THEN 0.0e0 ELSE 1.0e0 END" for c in SMOOTHED)
+    later = ", ".join(f"coalesce(n.{c}, 0) + a_{p} * {fade}, CASE WHEN n.{c} IS NULL THEN 0 ELSE 1 END + d_{p} * {fade}" for c, p in SMOOTHED.items())
+    return f""", n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts_us, id) AS i, ln(mid_price / lag(mid_price) OVER (PARTITION BY symbol ORDER BY ts_us, id)) AS lr FROM feat),
+    e(symbol, i, {names}) AS (SELECT symbol, i, {first} FROM n WHERE i = 1 UNION ALL SELECT e.symbol, n.i, {later} FROM e JOIN n ON n.symbol = e.symbol AND n.i = e.i + 1),
+    m AS (SELECT n.*, {', '.join(f'a_{p} / nullif(d_{p}, 0) AS {p}_ema_60s' for p in SMOOTHED.values())} FROM n JOIN e USING (symbol, i))"""
+
+
+BOOK_COLUMNS = {"bid_ask_spread_bps": ("spread_bps", 7), "depth_imbalance": ("depth_imbalance", 9), "weighted_mid_price": ("wmid", 8), "bid_ask_imbalance": ("imb", 9), "bid_volume_ratio": ("br", 9)}
+W60 = "OVER (PARTITION BY symbol ORDER BY ts_us, id ROWS 59 PRECEDING)"
+
+
 @query(
     "i32_book_depth_features",
-    "WITH RECURSIVE " + TICKS + ", " + levels_sql() + ", " + DEPTH + """, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts_us, id) AS i FROM feat),
-    e(symbol, i, a, da) AS (SELECT symbol, i, coalesce(spread_bps, 0), CASE WHEN spread_bps IS NULL THEN 0.0e0 ELSE 1.0e0 END FROM n WHERE i = 1 UNION ALL SELECT e.symbol, n.i, coalesce(n.spread_bps, 0) + a * (1 - 2.0e0 / 61), CASE WHEN n.spread_bps IS NULL THEN 0 ELSE 1 END + da * (1 - 2.0e0 / 61) FROM e JOIN n ON n.symbol = e.symbol AND n.i = e.i + 1)
-    SELECT id, round(spread_bps, 7) AS bid_ask_spread_bps, round(depth_imbalance, 9) AS depth_imbalance, round(wmid, 8) AS weighted_mid_price, round(imb, 9) AS bid_ask_imbalance, round(br, 9) AS bid_volume_ratio, round(a / da, 6) AS spread_ema_60s,
-    CASE WHEN count(spread_bps) OVER w >= 60 THEN round(stddev_samp(spread_bps) OVER w, 5) END AS spread_vol_60s FROM n JOIN e USING (symbol, i) WINDOW w AS (PARTITION BY symbol ORDER BY ts_us, id ROWS 59 PRECEDING)""",
+    "WITH RECURSIVE " + TICKS + ", " + levels_sql() + ", " + DEPTH + smoothed_sql() + " SELECT id, " + ", ".join(f"round({c}, {d}) AS {n}" for n, (c, d) in BOOK_COLUMNS.items()) + ", "
+    + ", ".join(f"round({p}_ema_60s, 6) AS {p}_ema_60s, CASE WHEN count({c}) {W60} >= 60 THEN round(stddev_samp({c}) {W60}, 5) END AS {p}_vol_60s" for c, p in SMOOTHED.items()) + " FROM m",
 )
 def depth_features(spark, sf):
     b = feat.with_steps(books(spark, sf), feat.book_columns())
-    out = feat.smoothed(b, ["symbol"], ["ts_us", "id"], {"bid_ask_spread_bps": "spread"}, [60], [60])
-    return out.select("id", r("bid_ask_spread_bps", 7).alias("bid_ask_spread_bps"), r("depth_imbalance", 9).alias("depth_imbalance"), r("weighted_mid_price", 8).alias("weighted_mid_price"),
-                      r("bid_ask_imbalance", 9).alias("bid_ask_imbalance"), r("bid_volume_ratio", 9).alias("bid_volume_ratio"), r("spread_ema_60s", 6).alias("spread_ema_60s"), r("spread_vol_60s", 5).alias("spread_vol_60s"))
+    named = {n: SMOOTHED[c] for n, (c, _) in BOOK_COLUMNS.items() if c in SMOOTHED}
+    out = feat.smoothed(b, ["symbol"], ["ts_us", "id"], named, [60], [60])
+    return out.select("id", *[r(n, d).alias(n) for n, (_, d) in BOOK_COLUMNS.items()], *[r(f"{p}_ema_60s").alias(f"{p}_ema_60s") for p in named.values()], *[r(f"{p}_vol_60s", 5).alias(f"{p}_vol_60s") for p in named.values()])
 
 
 def slope_sql(side):
@@ -607,50 +704,61 @@ def basis(spark, sf):
 
 @query(
     "i35_vol_normalized_book",
-    with_(TICKS, levels_sql(), DEPTH) + "SELECT id, round(spread_bps / (0.5e0 * 10000 + 1e-10), 9) AS spread_vol_normalized, round(depth_imbalance / (0.5e0 + 1e-10), 9) AS depth_imbalance_vol_normalized, round((wmid - 50) / (50.0e0 * 0.5e0 + 1e-10), 8) AS weighted_mid_velocity_normalized FROM feat",
+    "WITH RECURSIVE " + TICKS + ", " + levels_sql() + ", " + DEPTH + smoothed_sql() + f""", v AS (SELECT *, CASE WHEN count(lr) {W60} >= 60 THEN stddev_samp(lr) {W60} * sqrt({YEAR!r}e0 / 60) END AS rv FROM m)
+    SELECT id, round(spread_bps / (rv * 10000 + 1e-10), 8) AS spread_vol_normalized, round(depth_imbalance / (rv + 1e-10), 9) AS depth_imbalance_vol_normalized, round((wmid - weighted_mid_ema_60s) / (weighted_mid_ema_60s * rv + 1e-10), 8) AS weighted_mid_velocity_normalized FROM v""",
 )
 def vol_normalized(spark, sf):
-    b = feat.with_steps(books(spark, sf), feat.book_columns()).withColumns({"rv": F.lit(0.5), "weighted_mid_ema": F.lit(50.0)})
+    """Each row by the volatility of its own last 60 rows and its own exponential mean."""
+    b = feat.with_steps(books(spark, sf), feat.book_columns())
+    b = feat.realized_volatility(b, ["symbol"], ["ts_us", "id"], "mid_price", (60,)).withColumnRenamed("rv_60s", "rv")
+    b = Series(b, ["symbol"], ["ts_us", "id"]).ewm(weighted_mid_ema=("weighted_mid_price", 60))
     out = b.withColumns(feat.vol_normalized_book())
-    return out.select("id", r("spread_vol_normalized", 9).alias("spread_vol_normalized"), r("depth_imbalance_vol_normalized", 9).alias("depth_imbalance_vol_normalized"), r("weighted_mid_velocity_normalized", 8).alias("weighted_mid_velocity_normalized"))
+    return out.select("id", r("spread_vol_normalized", 8).alias("spread_vol_normalized"), r("depth_imbalance_vol_normalized", 9).alias("depth_imbalance_vol_normalized"), r("weighted_mid_velocity_normalized", 8).alias("weighted_mid_velocity_normalized"))
 
 
-QV = RV + ", qv AS (SELECT sec // 2592000 AS b, quantile_cont(rv_86400s, 0.33) AS lo, quantile_cont(rv_86400s, 0.67) AS hi, quantile_cont(rv_86400s, 0.95) AS top FROM rv WHERE rv_86400s IS NOT NULL GROUP BY 1), th AS (SELECT rv.*, lo, hi, top FROM rv JOIN qv ON sec // 2592000 = b WHERE rv_86400s IS NOT NULL)"
+QV = rv_sql(8, (60, 900)) + ", qv AS (SELECT sec // 2592000 AS b, quantile_cont(rv_900s, 0.33) AS lo, quantile_cont(rv_900s, 0.67) AS hi, quantile_cont(rv_900s, 0.95) AS top FROM rv WHERE rv_900s IS NOT NULL GROUP BY 1), th AS (SELECT rv.*, lo, hi, top FROM rv JOIN qv ON sec // 2592000 = b WHERE rv_900s IS NOT NULL)"
 
 
 def with_thresholds(spark, sf):
-    known = rv_table(spark, sf).where("rv_86400s is not null")
-    return feat.bucket_thresholds(known, F.floor(F.col("sec") / feat.THIRTY_DAYS), "rv_86400s", {"lo": 0.33, "hi": 0.67, "top": 0.95})
+    known = stored(rv_table(spark, sf, (60, 900)).where("rv_900s is not null").select("symbol", "sec", "close", "rv_60s", "rv_900s"))
+    return feat.bucket_thresholds(known, F.floor(F.col("sec") / feat.THIRTY_DAYS), "rv_900s", {"lo": 0.33, "hi": 0.67, "top": 0.95})
+
+
+def hour():
+    return (F.floor(F.col("sec") / 3600) * 3600).alias("hour")
 
 
 @query(
     "i36_extreme_conditions",
-    with_(QV) + "SELECT symbol, sec, round(rv_21600s / (rv_86400s + 1e-10), 6) AS rv_ratio, coalesce(rv_21600s / (rv_86400s + 1e-10) > 3 OR rv_86400s > top, false) AS is_extreme_condition, CASE WHEN rv_21600s / (rv_86400s + 1e-10) > 3 THEN 0.5e0 ELSE 1.0e0 END AS position_scale FROM th",
+    with_(QV) + """, x AS (SELECT *, rv_60s / (rv_900s + 1e-10) AS rv_ratio FROM th)
+    SELECT symbol, sec // 3600 * 3600 AS hour, count(*) AS seconds, round(avg(rv_ratio), 6) AS rv_ratio, count(*) FILTER (rv_ratio > 3 OR rv_900s > top) AS extreme_seconds, round(avg(CASE WHEN rv_ratio > 3 THEN 0.5e0 ELSE 1.0e0 END), 8) AS position_scale FROM x GROUP BY 1, 2""",
 )
 def extreme(spark, sf):
-    out = feat.with_steps(with_thresholds(spark, sf), feat.extreme_conditions("rv_21600s", "rv_86400s", "top"))
-    return out.select("symbol", "sec", r("rv_ratio").alias("rv_ratio"), "is_extreme_condition", "position_scale")
+    out = feat.with_steps(with_thresholds(spark, sf), feat.extreme_conditions("rv_60s", "rv_900s", "top"))
+    return out.groupBy("symbol", hour()).agg(F.count(F.lit(1)).alias("seconds"), r(F.avg("rv_ratio")).alias("rv_ratio"), F.count_if("is_extreme_condition").alias("extreme_seconds"), r(F.avg("position_scale"), 8).alias("position_scale"))
 
 
 @query(
     "i37_regimes",
-    with_(QV) + """SELECT symbol, sec, CASE WHEN rv_86400s < lo * 0.9e0 THEN 'low' WHEN rv_86400s > hi * 1.1e0 THEN 'high' ELSE 'medium' END AS volatility_regime,
-    CASE WHEN rv_86400s < lo THEN CASE WHEN d < 0.2e0 THEN 'low_vol_atm' ELSE 'low_vol_otm' END WHEN rv_86400s > hi THEN CASE WHEN d < 0.2e0 THEN 'high_vol_atm' ELSE 'high_vol_otm' END ELSE 'medium_vol' END AS market_regime,
-    concat(CASE WHEN sec // 3600 % 15 < 5 THEN 'near' WHEN sec // 3600 % 15 < 10 THEN 'mid' ELSE 'far' END, '_', CASE WHEN rv_86400s <= hi THEN 'low_vol' ELSE 'high_vol' END) AS combined_regime FROM (SELECT *, abs(close / 50 - 1) AS d FROM th)""".replace("0.2e0", "0.01e0"),
+    with_(QV) + """, x AS (SELECT symbol, sec, CASE WHEN rv_900s < lo * 0.9e0 THEN 'low' WHEN rv_900s > hi * 1.1e0 THEN 'high' ELSE 'medium' END AS volatility_regime,
+    CASE WHEN rv_900s < lo THEN CASE WHEN d < 0.01e0 THEN 'low_vol_atm' ELSE 'low_vol_otm' END WHEN rv_900s > hi THEN CASE WHEN d < 0.01e0 THEN 'high_vol_atm' ELSE 'high_vol_otm' END ELSE 'medium_vol' END AS market_regime,
+    concat(CASE WHEN 900 - sec % 900 < 300 THEN 'near' WHEN 900 - sec % 900 < 600 THEN 'mid' ELSE 'far' END, '_', CASE WHEN rv_900s <= hi THEN 'low_vol' ELSE 'high_vol' END) AS combined_regime FROM (SELECT *, abs(close / 50 - 1) AS d FROM th))
+    SELECT symbol, sec // 3600 * 3600 AS hour, volatility_regime, market_regime, combined_regime, count(*) AS seconds FROM x GROUP BY ALL""",
 )
 def regimes(spark, sf):
-    left = F.floor(F.col("sec") / 3600) % 15 * 60
-    base = with_thresholds(spark, sf).withColumns({"moneyness_distance": F.abs(F.col("close") / 50 - 1), "temporal_regime": feat.temporal_regime(left)})
-    return feat.with_steps(base, feat.regime_columns("rv_86400s", "lo", "hi")).select("symbol", "sec", "volatility_regime", "market_regime", "combined_regime")
+    base = with_thresholds(spark, sf).withColumns({"moneyness_distance": F.abs(F.col("close") / 50 - 1), "temporal_regime": feat.temporal_regime(900 - F.col("sec") % 900)})
+    out = feat.with_steps(base, feat.regime_columns("rv_900s", "lo", "hi"))
+    return out.groupBy("symbol", hour(), "volatility_regime", "market_regime", "combined_regime").agg(F.count(F.lit(1)).alias("seconds"))
 
 
 @query(
     "i38_hysteresis_regime",
-    with_(QV) + f"SELECT symbol, sec, last_value(CASE WHEN rv_86400s > hi * 1.1e0 THEN 'high' WHEN rv_86400s < lo * 0.9e0 THEN 'low' WHEN rv_86400s > lo * 1.1e0 AND rv_86400s < hi * 0.9e0 THEN 'medium' END IGNORE NULLS) OVER ({SW} ROWS UNBOUNDED PRECEDING) AS regime FROM th",
+    with_(QV) + f""", x AS (SELECT symbol, sec, last_value(CASE WHEN rv_900s > hi * 1.1e0 THEN 'high' WHEN rv_900s < lo * 0.9e0 THEN 'low' WHEN rv_900s > lo * 1.1e0 AND rv_900s < hi * 0.9e0 THEN 'medium' END IGNORE NULLS) OVER ({SW} ROWS UNBOUNDED PRECEDING) AS regime FROM th)
+    SELECT symbol, sec // 3600 * 3600 AS hour, regime, count(*) AS seconds FROM x GROUP BY ALL""",
 )
 def hysteresis(spark, sf):
-    out = feat.hysteresis(with_thresholds(spark, sf), ["symbol"], ["sec"], "rv_86400s", F.col("lo"), F.col("hi"), 0.1, "regime")
-    return out.select("symbol", "sec", "regime")
+    out = feat.hysteresis(with_thresholds(spark, sf), ["symbol"], ["sec"], "rv_900s", F.col("lo"), F.col("hi"), 0.1, "regime")
+    return out.groupBy("symbol", hour(), "regime").agg(F.count(F.lit(1)).alias("seconds"))
 
 
 @query(
@@ -678,45 +786,46 @@ def period_imputation(spark, sf):
     return out.select("id", "x", "cnt")
 
 
-# Eight feature groups on one hourly series: (name, SQL, digits); windows in rows of the grid.
+# Eight feature groups on one series of seconds: (name, SQL, digits); windows in seconds.
 BID5 = " + ".join(f"((book * {i + 3}) % 17 + 1.0e0)" for i in range(5))
 ASK5 = " + ".join(f"((book * {i + 5}) % 13 + 1.0e0)" for i in range(5))
 FEATURES_SQL = [
-    ("close", "close", 8), ("volume_mean_24", roll("avg", "volume", 24), 8), ("mean_24", roll("avg", "close", 24), 7),
-    ("funding_mean_24", roll("avg", "funding", 24, 1), 8), ("funding_change_6", f"funding - lag(funding, 6) OVER ({SW})", 8),
-    ("spread_bps", "spread / close * 10000", 6), ("imbalance_l0", "imb0", 8), ("imbalance_l0_mean_12", roll("avg", "imb0", 12), 8),
-    ("imbalance_5", "imb5", 8), ("imbalance_5_std_24", roll("stddev_samp", "imb5", 24), 8),
-    ("basis_bps", "basis", 6), ("basis_mean_12", roll("avg", "basis", 12), 6),
-    ("oi_change_6", f"oi / nullif(lag(oi, 6) OVER ({SW}), 0) - 1", 8),
-    ("rv_21600s", f"{roll('stddev_samp', 'lr', 6)} * sqrt({YEAR!r}e0 / 21600)", 8), ("rv_86400s", f"{roll('stddev_samp', 'lr', 24)} * sqrt({YEAR!r}e0 / 86400)", 8),
-    ("momentum_6", f"(close - lag(close, 6) OVER ({SW})) / lag(close, 6) OVER ({SW})", 8),
-    ("range_12", f"(max(high) OVER ({SW} ROWS 11 PRECEDING) - min(low) OVER ({SW} ROWS 11 PRECEDING)) / close", 8),
-    ("window_high", f"max(high) OVER ({SW} ROWS 23 PRECEDING)", 8), ("drawdown", f"close / max(high) OVER ({SW} ROWS 23 PRECEDING) - 1", 8),
+    ("close", "close", 8), ("volume_mean_300", roll("avg", "volume", 300), 8), ("mean_900", roll("avg", "close", 900), 7),
+    ("funding_mean_3600", roll("avg", "funding", 3600, 1), 8), ("funding_change_60", f"funding - lag(funding, 60) OVER ({SW})", 8),
+    ("spread_bps", "spread / close * 10000", 5), ("imbalance_l0", "imb0", 8), ("imbalance_l0_mean_300", roll("avg", "imb0", 300), 8),
+    ("imbalance_5", "imb5", 8), ("imbalance_5_std_300", roll("stddev_samp", "imb5", 300), 7),
+    ("basis_bps", "basis", 6), ("basis_mean_300", roll("avg", "basis", 300), 6),
+    ("oi_change_60", f"oi / nullif(lag(oi, 60) OVER ({SW}), 0) - 1", 8),
+    *((f"rv_{n}s", f"round({roll('stddev_samp', 'lr', n)} * sqrt({YEAR!r}e0 / {n}), 8)", 6) for n in RV_W),
+    ("momentum_300", f"(close - lag(close, 300) OVER ({SW})) / nullif(lag(close, 300) OVER ({SW}), 0)", 8),
+    ("range_900", f"(max(high) OVER ({SW} ROWS 899 PRECEDING) - min(low) OVER ({SW} ROWS 899 PRECEDING)) / nullif(close, 0)", 8),
+    ("window_high", f"max(high) OVER ({SW} ROWS 899 PRECEDING)", 8), ("drawdown", f"close / nullif(max(high) OVER ({SW} ROWS 899 PRECEDING), 0) - 1", 8),
 ]
+FEATURE_DIGITS = {n: d for n, _, d in FEATURES_SQL}
 
 
 @query(
     "i41_feature_table",
-    with_(TICKS) + f""", ag AS (SELECT symbol, sec // 3600 * 3600 AS sec, arg_min(price, (ts_us, id)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (ts_us, id)) AS close, sum(k)::BIGINT AS volume,
+    with_(TICKS) + f""", ag AS (SELECT symbol, sec, arg_min(price, (ts_us, id)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (ts_us, id)) AS close, sum(k)::BIGINT AS volume,
       arg_max(k, (ts_us, id)) AS book, arg_max(price, (ts_us, id)) FILTER (k % 5 <> 0) AS funding, arg_max(user_id, (ts_us, id)) AS oi FROM ticks GROUP BY 1, 2),
-    sp AS (SELECT symbol, min(sec) AS lo, max(sec) AS hi FROM ag GROUP BY 1), cells AS (SELECT symbol, unnest(range(lo, hi + 1, 3600)) AS sec FROM sp),
+    sp AS (SELECT symbol, min(sec) AS lo, max(sec) AS hi FROM ag GROUP BY 1), cells AS (SELECT symbol, unnest(range(lo, hi + 1, 1)) AS sec FROM sp),
     f AS (SELECT cells.symbol, cells.sec, {', '.join(f'last_value({c} IGNORE NULLS) OVER w AS {c}' for c in ('open', 'high', 'low', 'close', 'book', 'funding', 'oi'))}, coalesce(volume, 0) AS volume FROM cells LEFT JOIN ag USING (symbol, sec)
       WINDOW w AS (PARTITION BY cells.symbol ORDER BY cells.sec ROWS UNBOUNDED PRECEDING)),
-    x AS (SELECT *, 1.0e0 + (book % 3) * 0.1e0 AS spread, ((book * 3) % 17 + 1.0e0 - ((book * 5) % 13 + 1.0e0)) / ((book * 3) % 17 + 1.0e0 + (book * 5) % 13 + 1.0e0) AS imb0, (({BID5}) - ({ASK5})) / (({BID5}) + ({ASK5})) AS imb5,
+    g AS (SELECT *, 1.0e0 + (book % 3) * 0.1e0 AS spread, ((book * 3) % 17 + 1.0e0 - ((book * 5) % 13 + 1.0e0)) / ((book * 3) % 17 + 1.0e0 + (book * 5) % 13 + 1.0e0) AS imb0, (({BID5}) - ({ASK5})) / (({BID5}) + ({ASK5})) AS imb5,
       (close - open) / open * 10000 AS basis, ln(close / lag(close) OVER ({SW})) AS lr FROM f),
-    y AS (SELECT symbol, sec, {', '.join(f'{e} AS {n}' for n, e, _ in FEATURES_SQL)} FROM x)
-    SELECT symbol, sec, {', '.join(f'round({n}, {d}) AS {n}' for n, _, d in FEATURES_SQL)}, CAST(sec % 86400 // 3600 BETWEEN 13 AND 20 AS INTEGER) AS is_us_hours, coalesce(rv_21600s / nullif(rv_86400s, 0) > 1.5, false) AS is_extreme,
-      CASE WHEN rv_86400s IS NULL THEN NULL WHEN drawdown < -0.1 THEN 'stressed' WHEN rv_21600s > rv_86400s THEN 'rising' ELSE 'calm' END AS regime FROM y""",
+    y AS (SELECT symbol, sec, {', '.join(f'{e} AS {n}' for n, e, _ in FEATURES_SQL)} FROM g),
+    x AS (SELECT *, CAST(sec % 86400 // 3600 BETWEEN 13 AND 20 AS INTEGER) AS is_us_hours, CAST(coalesce(rv_300s / nullif(rv_900s, 0) > 1.5, false) AS INTEGER) AS is_extreme, CAST(drawdown < -0.1 AS INTEGER) AS is_stressed,
+      CAST(drawdown >= -0.1 AND rv_300s > rv_900s AS INTEGER) AS is_rising FROM y)""" + hours_sql("x", {**FEATURE_DIGITS, "is_us_hours": 6, "is_extreme": 6, "is_stressed": 6, "is_rising": 6}),
 )
 def feature_table(spark, sf):
-    """Trades, funding, best level, five levels, basis, open interest, volatility and regime of one series: one
+    """Trades, funding, best level, five levels, basis, open interest, volatility and regime of one series of seconds: one
     aggregate, one fill and one pass of windows, without a join between parts of the series."""
-    t, by = ticks(spark, sf).withColumn("hour", grid.second_of("ts_us", 3600)), F.struct("ts_us", "id")
-    hours = t.groupBy("symbol", F.col("hour").alias("sec")).agg(
+    t, by = ticks(spark, sf), F.struct("ts_us", "id")
+    first = t.groupBy("symbol", "sec").agg(
         F.min_by("price", by).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", by).alias("close"), F.sum("k").alias("volume"),
         F.max_by("k", by).alias("book"), F.max_by("price", F.when(F.col("k") % 5 != 0, by)).alias("funding"), F.max_by("user_id", by).alias("oi"),
     )
-    base = grid.fill_grid(hours, ["symbol"], "sec", ["open", "high", "low", "close", "book", "funding", "oi"], step=3600, zero=["volume"])
+    base = grid.fill_grid(first, ["symbol"], "sec", ["open", "high", "low", "close", "book", "funding", "oi"], step=1, zero=["volume"], numbered=True)
     close, book, funding, oi = (F.col(c) for c in ("close", "book", "funding", "oi"))
     bids, asks = [(book * (i + 3)) % 17 + 1.0 for i in range(5)], [(book * (i + 5)) % 13 + 1.0 for i in range(5)]
     total = lambda levels: reduce(Column.__add__, levels)
@@ -726,24 +835,24 @@ def feature_table(spark, sf):
     })
     year = lambda seconds: math.sqrt(YEAR / seconds)
     windows = {
-        "volume_mean_24": rolling(F.avg, F.col("volume"), 24), "mean_24": rolling(F.avg, close, 24),
-        "funding_mean_24": rolling(F.avg, funding, 24, 1), "funding_change_6": lambda w: funding - F.lag(funding, 6).over(w),
-        "imbalance_l0_mean_12": rolling(F.avg, F.col("imbalance_l0"), 12), "imbalance_5_std_24": rolling(F.stddev_samp, F.col("imbalance_5"), 24),
-        "basis_mean_12": rolling(F.avg, F.col("basis_bps"), 12), "oi_change_6": lambda w: C.ratio(oi, F.lag(oi, 6).over(w)) - 1,
-        "rv_21600s": rolling(F.stddev_samp, F.col("lr"), 6), "rv_86400s": rolling(F.stddev_samp, F.col("lr"), 24),
-        "momentum_6": lambda w: C.ratio(close - F.lag(close, 6).over(w), F.lag(close, 6).over(w)),
-        "_high_12": rolling(F.max, F.col("high"), 12, 1), "_low_12": rolling(F.min, F.col("low"), 12, 1), "window_high": rolling(F.max, F.col("high"), 24, 1),
+        "volume_mean_300": rolling(F.avg, F.col("volume"), 300), "mean_900": rolling(F.avg, close, 900),
+        "funding_mean_3600": rolling(F.avg, funding, 3600, 1), "funding_change_60": lambda w: funding - F.lag(funding, 60).over(w),
+        "imbalance_l0_mean_300": rolling(F.avg, F.col("imbalance_l0"), 300), "imbalance_5_std_300": rolling(F.stddev_samp, F.col("imbalance_5"), 300),
+        "basis_mean_300": rolling(F.avg, F.col("basis_bps"), 300), "oi_change_60": lambda w: C.ratio(oi, F.lag(oi, 60).over(w)) - 1,
+        **{f"rv_{n}s": rolling(F.stddev_samp, F.col("lr"), n) for n in RV_W},
+        "momentum_300": lambda w: C.ratio(close - F.lag(close, 300).over(w), F.lag(close, 300).over(w)),
+        "_high": rolling(F.max, F.col("high"), 900, 1), "_low": rolling(F.min, F.col("low"), 900, 1),
     }
-    out = Series(base, ["symbol"], ["sec"]).frames({"lr": feat.log_return()}, windows, before=24).withColumns({
-        "rv_21600s": F.col("rv_21600s") * year(21_600), "rv_86400s": F.col("rv_86400s") * year(86_400), "spread_bps": F.col("spread") / close * 10000,
-        "range_12": (F.col("_high_12") - F.col("_low_12")) / close, "drawdown": close / F.col("window_high") - 1,
+    out = Series(base, ["symbol"], ["sec"]).frames({"lr": feat.log_return()}, windows, before=max(RV_W) + 1).withColumns({
+        **{f"rv_{n}s": r(F.col(f"rv_{n}s") * year(n), 8) for n in RV_W}, "spread_bps": F.col("spread") / close * 10000,
+        "range_900": C.ratio(F.col("_high") - F.col("_low"), "close"), "window_high": F.col("_high"), "drawdown": C.ratio(close, "_high") - 1,
     })
-    fast, slow = F.col("rv_21600s"), F.col("rv_86400s")
-    regime = F.when(slow.isNotNull(), F.when(F.col("drawdown") < -0.1, "stressed").when(fast > slow, "rising").otherwise("calm"))
-    return out.select(
-        "symbol", "sec", *[r(n, d).alias(n) for n, _, d in FEATURES_SQL], C.time_features("sec")["is_us_hours"].alias("is_us_hours"),
-        F.coalesce(C.ratio(fast, slow) > 1.5, F.lit(False)).alias("is_extreme"), regime.alias("regime"),
-    )
+    fast, slow, down = F.col("rv_300s"), F.col("rv_900s"), F.col("drawdown")
+    out = out.withColumns({
+        "is_us_hours": C.time_features("sec")["is_us_hours"], "is_extreme": F.coalesce(C.ratio(fast, slow) > 1.5, F.lit(False)).cast("int"),
+        "is_stressed": (down < -0.1).cast("int"), "is_rising": ((down >= -0.1) & (fast > slow)).cast("int"),
+    })
+    return hours(out, {**FEATURE_DIGITS, "is_us_hours": 6, "is_extreme": 6, "is_stressed": 6, "is_rising": 6})
 
 
 CHANGES = """ch AS (SELECT symbol AS asset, row_number() OVER (PARTITION BY symbol ORDER BY ts_us, id) AS seq, ts_us, k = 49 OR k = 99 AS is_snapshot, CASE WHEN id % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side,
@@ -801,13 +910,13 @@ def spine(spark, sf):
 
 @query(
     "i46_scoring_window",
-    with_(RV) + """, m AS (SELECT symbol, sec // 3600 * 3600 AS sec, count(DISTINCT user_id) AS users FROM ticks GROUP BY 1, 2)
-    SELECT rv.symbol, rv.sec, rv_86400s, users FROM rv LEFT JOIN m USING (symbol, sec) WHERE rv.sec BETWEEN 1704499200 AND 1705363200""",
+    with_(rv_sql(8, (900,))) + """, m AS (SELECT symbol, sec, count(DISTINCT user_id) AS users FROM ticks GROUP BY 1, 2),
+    x AS (SELECT rv.symbol, rv.sec, rv_900s, users FROM rv LEFT JOIN m USING (symbol, sec) WHERE rv.sec BETWEEN 1704499200 AND 1705363199)""" + hours_sql("x", {"rv_900s": 6, "users": 6}),
 )
 def scoring_window(spark, sf):
-    window = F.col("sec").between(1704499200, 1705363200)
-    micro = ticks(spark, sf).where(F.col("sec").between(1704499200, 1705363200 + 3599)).groupBy("symbol", grid.second_of("ts_us", 3600).alias("sec")).agg(F.countDistinct("user_id").alias("users"))
-    return rv_table(spark, sf).where(window).join(micro, ["symbol", "sec"], "left").select("symbol", "sec", "rv_86400s", "users")
+    window = F.col("sec").between(1704499200, 1705363199)
+    micro = ticks(spark, sf).where(window).groupBy("symbol", "sec").agg(F.countDistinct("user_id").alias("users"))
+    return hours(rv_table(spark, sf, (900,)).where(window).join(micro, ["symbol", "sec"], "left"), {"rv_900s": 6, "users": 6})
 
 
 SOURCES = {"call_bid": "cb", "call_ask": "ca", "call_mid": "(cb + ca) / 2", "put_bid": "pb", "put_ask": "pa", "put_mid": "(pb + pa) / 2", "blend": "(cb + ca + pb + pa) / 4"}

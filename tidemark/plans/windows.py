@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C, pricing
-from tidemark.operators import aggregates as agg, grid, sampling
+from tidemark.operators import aggregates as agg, features as feat, grid, sampling
 from tidemark.operators.series import Running, Series, lag, lead, rolling, rolling_corr
 from tidemark.plans.registry import query
 from tidemark.plans.standins import (
@@ -129,9 +129,7 @@ def rolling_autocorrelation(spark, sf):
 )
 def rolling_quantile(spark, sf):
     h = ticks(spark, sf).groupBy("symbol", F.floor(F.col("sec") / 3600).alias("hour")).agg(F.avg("price").alias("x"))
-    from tidemark.operators.features import rolling_time_quantiles
-
-    return rounded(rolling_time_quantiles(h, ["symbol"], "hour", "x", 168, {"q33": 0.33, "q67": 0.67, "q95": 0.95}).drop("x"), 11)
+    return rounded(feat.rolling_time_quantiles(h, ["symbol"], "hour", "x", 168, {"q33": 0.33, "q67": 0.67, "q95": 0.95}).drop("x"), 11)
 
 
 EMA = """num AS (SELECT symbol, id, price, row_number() OVER (PARTITION BY symbol ORDER BY ts_us, id) AS i FROM ticks),
@@ -140,6 +138,25 @@ ema(symbol, i, n12, d12, n60, d60) AS (SELECT symbol, i, price, 1.0e0, price, 1.
   FROM ema e JOIN num n ON n.symbol = e.symbol AND n.i = e.i + 1)"""
 
 
+@query(
+    "e10_rolling_sketch",
+    with_(TICKS) + """, d AS (SELECT symbol, sec // 86400 AS day, count(price) AS n FROM ticks GROUP BY 1, 2), s AS (SELECT symbol, unnest(range(min(day), max(day) + 1)) AS day FROM d GROUP BY 1)
+    SELECT s.symbol, s.day, coalesce(sum(n) OVER (PARTITION BY s.symbol ORDER BY s.day ROWS 6 PRECEDING), 0)::BIGINT AS n, true AS q33_within, true AS q67_within, true AS q95_within FROM s LEFT JOIN d USING (symbol, day)""",
+)
+def rolling_sketch(spark, sf):
+    """Quantiles of the last seven days from one sketch per day; their exact ranks must lie within the sketch's bound."""
+    probs = {"q33": 0.33, "q67": 0.67, "q95": 0.95}
+    t = ticks(spark, sf).select("symbol", F.floor(F.col("sec") / 86_400).alias("day"), "price")
+    limits = feat.rolling_day_quantiles(t, ["symbol"], F.col("day"), "price", 7, probs)
+    # exact ranks: every value of a day is counted for the seven days whose windows hold it
+    counts = t.groupBy("symbol", "day", "price").agg(F.count(F.lit(1)).alias("c"))
+    held = counts.select("symbol", F.explode(F.sequence(F.col("day"), F.col("day") + 6)).alias("day"), "price", "c").join(limits.withColumnRenamed("n", "rows"), ["symbol", "day"])
+    ranks = held.groupBy("symbol", "day").agg(F.max("rows").alias("rows"), *[F.sum(F.when(F.col("price") < F.col(n), F.col("c")).otherwise(0)).alias(f"below_{n}") for n in probs], *[F.sum(F.when(F.col("price") <= F.col(n), F.col("c")).otherwise(0)).alias(f"upto_{n}") for n in probs])
+    out = limits.select("symbol", "day", "n").join(ranks, ["symbol", "day"], "left")
+    # within one value and the bound of the sketch
+    return out.select("symbol", "day", "n", *[((F.col(f"below_{n}") <= (p + 0.006) * F.col("rows") + 1) & (F.col(f"upto_{n}") >= (p - 0.006) * F.col("rows") - 1)).alias(f"{n}_within") for n, p in probs.items()])
+
+
 @query(
     "e11_exponential_means",
     "WITH RECURSIVE " + TICKS + ", " + EMA + " SELECT id, round(n12 / d12, 7) AS ema_12, round(n60 / d60, 7) AS ema_60 FROM ema JOIN num USING (symbol, i)",
@@ -308,23 +325,17 @@ def sortedness(spark, sf):
 def settlement_zscore(spark, sf):
     slot = F.floor(F.col("sec") / 28800)
     t = ticks(spark, sf).select("id", "symbol", slot.alias("slot"), (slot % 7 + 0.001 * (slot % 5)).alias("rate"))
-    from tidemark.operators.features import settlement_zscore as z
-
-    return z(t, ["symbol"], "slot", "rate", 21, "z").select("id", r("z").alias("z"))
+    return feat.settlement_zscore(t, ["symbol"], "slot", "rate", 21, "z").select("id", r("z").alias("z"))
 
 
 @query(
     "e27_seconds_since_high",
-    with_(TICKS) + """SELECT id, sec - arg_max(sec, (price, sec)) OVER w AS since_high, sec - arg_min(sec, (price, -sec)) OVER w AS since_low FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY ts_us, id ROWS 49 PRECEDING)""",
+    with_(TICKS) + """SELECT id, sec - arg_max(sec, (price, sec)) OVER w AS since_high, sec - arg_min(sec, (price, -sec)) OVER w AS since_low FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY ts_us, id ROWS 199 PRECEDING)""",
 )
 def since_extreme(spark, sf):
-    def since(agg_, by):
-        return lambda w: F.col("sec") - agg_("sec", by).over(w.rowsBetween(-49, 0))
-
-    out = tape(spark, sf).frames(
-        {"since_high": since(F.max_by, F.struct("price", "sec")), "since_low": since(F.min_by, F.struct(F.col("price"), -F.col("sec")))}, before=49
-    )
-    return out.select("id", "since_high", "since_low")
+    sec, price = F.col("sec"), F.col("price")
+    out = tape(spark, sf).frames({"high": feat.extreme_place(F.max, price, sec, 200), "low": feat.extreme_place(F.min, price, sec, 200)}, before=199)
+    return out.select("id", (sec - F.col("high.at")).alias("since_high"), (sec + F.col("low.at")).alias("since_low"))
 
 
 # == F: order, limits, samples =======================================================================

@@ -66,3 +66,10 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below the shared one, for tables written inside a job."""
     return f"{checkpoint_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
 
+
+
+def stored(df: DataFrame, name: str = "stored") -> DataFrame:
+    """Write to the shared folder and read back: like a checkpoint, but columnar, for wide spans of similar rows."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

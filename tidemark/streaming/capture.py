@@ -6,14 +6,16 @@ restart continues where the last batch ended.  Nothing here opens a connection.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
-from tidemark.operators.book import STATE, Book, top_levels
+from tidemark.operators.book import top_levels
 from tidemark.session import configure, scratch
 from tidemark.sources.files import with_hour_parts
 
@@ -23,6 +25,7 @@ EVENT_SCHEMA = (
     f"seq long, bids {_LEVELS}, asks {_LEVELS}, "
     "price_changes array<struct<side:string,price:double,size:double>>, side string, price double, size double"
 )
+STATE = "best_bid double, best_ask double, bid_levels long, ask_levels long, bid_volume double, ask_volume double"
 LATENESS = "60 seconds"
 MIN_INTERVAL_MS = 1_000
 MIN_MOVE = 0.005  # share of the best price
@@ -214,38 +217,155 @@ def sampled(stream: DataFrame, key: str, order: Sequence[str], at_ms: str, bid:
     )
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def keyed_state(spark: SparkSession) -> None:
+    """State in maps and lists needs a store that reads and writes single entries."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+
+
+class BookKeeper(StatefulProcessor):
+    """Book of one asset: a map of the live sizes by side and price, and one value with epoch, best prices and totals.
+
+    Of the map only the levels that a batch touches are read and written; all of it is listed only where the best price
+    of a side goes, to find the next one.
+    """
+
+    SIDES = ("BUY", "SELL")
+
+    def init(self, handle) -> None:
+        self.sizes = handle.getMapState("sizes", "side string, price double", "size double")
+        self.totals = handle.getValueState("totals", "applied long, bid double, ask double, bids long, asks long, bid_volume double, ask_volume double")
+
+    def close(self) -> None:
+        pass
+
+    def _size(self, side: str, price: float) -> float:
+        key = (side, price)
+        if key not in self.touched:
+            known = None if self.cleared else self.sizes.getValue(key) if self.sizes.containsKey(key) else None
+            self.touched[key] = float(known[0]) if known else 0.0
+        return self.touched[key]
+
+    def _next_best(self, side: str) -> float | None:
+        live = {k for k, size in self.touched.items() if size > 0 and k[0] == side}
+        if not self.cleared:
+            live |= {tuple(k) for k in self.sizes.keys() if k[0] == side and tuple(k) not in self.touched}
+        prices = [price for _, price in live]
+        return (max(prices) if side == "BUY" else min(prices)) if prices else None
+
+    def _apply(self, reset: bool, side: str, price: float, size: float) -> None:
+        if reset:
+            self.touched, self.cleared = {}, True
+            self.best, self.levels, self.volume = {s: None for s in self.SIDES}, dict.fromkeys(self.SIDES, 0), dict.fromkeys(self.SIDES, 0.0)
+        before, size = self._size(side, price), max(size, 0.0)
+        self.touched[side, price] = size
+        self.levels[side] += (size > 0) - (before > 0)
+        self.volume[side] = self.volume[side] + size - before if self.levels[side] else 0.0
+        best = self.best[side]
+        if size > 0 and (best is None or (price > best if side == "BUY" else price < best)):
+            self.best[side] = price
+        elif size == 0 and best == price:
+            self.best[side] = self._next_best(side)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        self.touched, self.cleared, applied = {}, False, -1
+        self.best, self.levels, self.volume = {s: None for s in self.SIDES}, dict.fromkeys(self.SIDES, 0), dict.fromkeys(self.SIDES, 0.0)
+        if self.totals.exists():
+            applied, self.best["BUY"], self.best["SELL"], self.levels["BUY"], self.levels["SELL"], self.volume["BUY"], self.volume["SELL"] = self.totals.get()
+        waiting: list[tuple] = []  # rows that came before their predecessor
+
+        def out(ready: list[tuple]) -> pd.DataFrame:
+            nonlocal applied
+            states = []
+            for seq, reset, side, price, size in ready:
+                if seq <= applied:  # a replay
+                    continue
+                self._apply(reset, side, price, size)
+                applied = seq
+                states.append((key[0], seq, self.best["BUY"], self.best["SELL"], self.levels["BUY"], self.levels["SELL"], self.volume["BUY"], self.volume["SELL"]))
+            return pd.DataFrame(states, columns=["asset", "seq", *[f.split()[0] for f in STATE.split(", ")]]).astype({"best_bid": "float64", "best_ask": "float64"})
+
+        for part in rows:
+            for row in zip(part["seq"].tolist(), part["is_snapshot"].tolist(), part["side"].tolist(), part["price"].tolist(), part["size"].tolist()):
+                heapq.heappush(waiting, row)
+            ready, last = [], applied
+            while waiting and waiting[0][0] <= last + 1:
+                ready.append(heapq.heappop(waiting))
+                last = max(last, ready[-1][0])
+            yield out(ready)
+        yield out([heapq.heappop(waiting) for _ in range(len(waiting))])
+        if self.cleared:
+            self.sizes.clear()
+        for (side, price), size in self.touched.items():
+            if size > 0:
+                self.sizes.updateValue((side, price), (size,))
+            elif not self.cleared and self.sizes.containsKey((side, price)):
+                self.sizes.removeKey((side, price))
+        self.totals.update((applied, self.best["BUY"], self.best["SELL"], self.levels["BUY"], self.levels["SELL"], self.volume["BUY"], self.volume["SELL"]))
+
+
 def maintained_books(changes: DataFrame) -> DataFrame:
-    """Book after every change, with the live levels as checkpointed state.
+    """Book after every change, with the live levels as checkpointed keyed state.
 
-    ``changes`` has asset, seq, is_snapshot, side, price, size.  Files must land in sequence order; a sequence number at or
+    ``changes`` has asset, seq, is_snapshot, side, price, size. A batch's rows are applied in the order of their sequence
+    numbers: as they come where they follow each other, and at the batch's end where numbers are missing. A number at or
     below the last applied one is a replay and is skipped.
     """
+    keyed_state(changes.sparkSession)
     kinds = dict(changes.dtypes)
-    levels = "array<struct<price:double,size:double>>"
+    rows = changes.select("asset", "seq", "is_snapshot", "side", "price", "size")
+    return rows.groupBy("asset").transformWithStateInPandas(
+        statefulProcessor=BookKeeper(), outputStructType=f"asset {kinds['asset']}, seq {kinds['seq']}, {STATE}", outputMode="Append", timeMode="None")
 
-    def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        book, epoch, applied = Book(), 0, -1
-        if state.exists:
-            epoch, applied, bids, asks = state.get
-            book = Book({"BUY": {r[0]: r[1] for r in bids}, "SELL": {r[0]: r[1] for r in asks}}, epoch)
-        rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
+
+class RecentDelays(StatefulProcessor):
+    """Delays of the last messages of a market, as a list in the state; every message reports their 95th percentile."""
+
+    def __init__(self, last: int, share: float):
+        self.last, self.share = last, share
+
+    def init(self, handle) -> None:
+        self.ring = handle.getListState("ring", "ms double")
+
+    def close(self) -> None:
+        pass
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        ring = [float(r[0]) for r in self.ring.get()]
+        # two numbers and an order per message of the batch, whose size admission control bounds
+        new = sorted(row for part in rows for row in zip(part["us"].tolist(), part["seq"].tolist(), part["ms"].tolist()))
         out = []
-        for seq, reset, side, price, size in zip(rows["seq"], rows["is_snapshot"], rows["side"], rows["price"], rows["size"]):
-            if seq <= applied:
-                continue
-            epoch += int(reset)
-            book.apply(epoch, side, price, size)
-            applied = seq
-            out.append((group[0], seq, *book.state()))
-        state.update((int(epoch), int(applied), [(float(p), float(s)) for p, s in book.levels["BUY"].items()],
-                      [(float(p), float(s)) for p, s in book.levels["SELL"].items()]))
-        names = ["asset", "seq", *[f.split()[0] for f in STATE.split(", ")]]
-        yield pd.DataFrame(out, columns=names).astype({"best_bid": "float64", "best_ask": "float64"})
-
-    return changes.groupBy("asset").applyInPandasWithState(
-        step, f"asset {kinds['asset']}, seq {kinds['seq']}, {STATE}", f"epoch long, applied long, bids {levels}, asks {levels}",
-        "append", GroupStateTimeout.NoTimeout,
-    )
+        for _, seq, ms in new:
+            ring = [*ring, float(ms)][-self.last :]
+            at = (len(ring) - 1) * self.share
+            ordered = sorted(ring)
+            low, high = ordered[int(at)], ordered[min(int(at) + 1, len(ring) - 1)]
+            out.append((key[0], seq, float(ms), sum(ring) / len(ring), low + (high - low) * (at - int(at)), len(ring)))
+        self.ring.put([(ms,) for ms in ring])
+        yield pd.DataFrame(out, columns=["market", "seq", "ms", "mean_ms", "p95_ms", "n"])
+
+
+def recent_latency(stream: DataFrame, last: int = 100, share: float = 0.95) -> DataFrame:
+    """Mean and 95th percentile of the delay between event and arrival over the last messages of a market, for every one."""
+    keyed_state(stream.sparkSession)
+    delay = F.unix_millis("received_time") - F.unix_millis("event_time")
+    rows = stream.select("market", F.unix_micros("event_time").alias("us"), "seq", delay.alias("ms"))
+    return rows.groupBy("market").transformWithStateInPandas(
+        statefulProcessor=RecentDelays(last, share), outputStructType="market string, seq long, ms double, mean_ms double, p95_ms double, n long", outputMode="Append", timeMode="None")
+
+
+def late_rows(stream: DataFrame, watermark: int, length: str) -> DataFrame:
+    """Side output: events whose window had been closed by a watermark (epoch milliseconds) before they came."""
+    end = F.unix_millis(F.window("event_time", length).end)
+    return stream.where(end <= watermark)
+
+
+def progress_table(spark: SparkSession, query) -> DataFrame:
+    """What a drained stream tells of its batches: rows read, its watermark, and rows dropped for being late."""
+    rows = [(p["batchId"], p["numInputRows"], (p.get("eventTime") or {}).get("watermark"), sum(s.get("numRowsDroppedByWatermark", 0) for s in p["stateOperators"])) for p in query.recentProgress]
+    return spark.createDataFrame(rows, "batch long, rows long, watermark string, dropped long")
 
 
 # -- batch checks on captured files ------------------------------------------------------------------

@@ -161,19 +161,19 @@ def log_return(price: str = "close"):
 
 
 def momentum_and_range(df: DataFrame, keys, order, windows: Sequence[int] = MOMENTUM_WINDOWS,
-                       ranges: Sequence[int] = RANGE_WINDOWS, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Return over n rows and (high - low) of the last n rows relative to the close."""
+                       ranges: Sequence[int] = RANGE_WINDOWS, step: int = 1, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Return over n seconds and (high - low) of the last n seconds relative to the close, on a gap-free grid of ``step``."""
     close = F.col("close")
 
     def momentum(n):
-        return lambda w: C.ratio(close - F.lag("close", n).over(w), F.lag("close", n).over(w))
+        return lambda w: C.ratio(close - F.lag("close", n // step).over(w), F.lag("close", n // step).over(w))
 
-    ends = {f"_{side}{n}": rolling(f, F.col(c), n) for n in ranges for side, f, c in (("hi", F.max, "high"), ("lo", F.min, "low"))}
+    ends = {f"_{side}{n}": rolling(f, F.col(c), n // step) for n in ranges for side, f, c in (("hi", F.max, "high"), ("lo", F.min, "low"))}
     steps = [
         {f"momentum_{n}s": momentum(n) for n in windows} | ends,
         {f"range_{n}s": C.ratio(F.col(f"_hi{n}") - F.col(f"_lo{n}"), close) for n in ranges},
     ]
-    return _frame(df, keys, order, steps, max([*windows, *ranges]), rows_per_task).drop(*ends)
+    return _frame(df, keys, order, steps, max([*windows, *ranges]) // step, rows_per_task).drop(*ends)
 
 
 def jumps(df: DataFrame, keys, order, rv: str, window: int, min_rows: int = 10, step: int = 1,
@@ -208,10 +208,10 @@ def autocorrelations(df: DataFrame, keys, order, lags: Sequence[int], window: in
     return out.withColumns({"autocorr_decay": F.col(first) - F.col(last), "hurst": 0.5 + 0.5 * F.col(first)})
 
 
-def ema_set(df: DataFrame, keys, order, close: str = "close", spans: Sequence[int] = (12, 60, 300, 900),
+def ema_set(df: DataFrame, keys, order, close: str = "close", spans: Sequence[int] = (12, 60, 300, 900), step: float = 1,
             rows_per_task: int = ROWS_PER_TASK, rows: int | None = None) -> DataFrame:
     """Exponential means, their crossings and the distance from the longest, in percent of price."""
-    means = Series(df, keys, order, rows_per_task, rows=rows).ewm(**{f"ema_{n}s": (close, n) for n in spans})
+    means = Series(df, keys, order, rows_per_task, rows=rows).ewm(**{f"ema_{n}s": (close, n / step) for n in spans})
     crosses = {
         f"ema_cross_{a}_{b}": C.ratio((F.col(f"ema_{a}s") - F.col(f"ema_{b}s")) * 100, close) for a, b in zip(spans, spans[1:])
     }
@@ -244,22 +244,23 @@ def extremes(df: DataFrame, keys, order, sec: str, n: int, rows_per_task: int =
     )
 
 
-def asymmetry(df: DataFrame, keys, order, price: str, windows: Sequence[int] = MOMENTUM_WINDOWS, rows_per_task: int = ROWS_PER_TASK, rows: int | None = None) -> DataFrame:
-    """Per window of n rows: semi-deviations of n-row returns, their ratio, skewness and the fourth-moment kurtosis."""
+def asymmetry(df: DataFrame, keys, order, price: str, windows: Sequence[int] = MOMENTUM_WINDOWS, step: int = 1, rows_per_task: int = ROWS_PER_TASK, rows: int | None = None) -> DataFrame:
+    """Per window of n seconds: semi-deviations of returns over n seconds, their ratio, skewness and the fourth-moment
+    kurtosis, on a gap-free grid of ``step`` seconds."""
     p = F.col(price)
-    returns = {f"_ret_{n}": (lambda n: lambda w: C.ratio(p, F.lag(price, n).over(w)) - 1)(n) for n in windows}
+    returns = {f"_ret_{n}": (lambda n: lambda w: C.ratio(p, F.lag(price, n // step).over(w)) - 1)(n) for n in windows}
     rolled, roots = {}, {}
     for n in windows:
         ret = F.col(f"_ret_{n}")
         square, known = ret * ret, ret.isNotNull()
         rolled |= {
-            f"downside_vol_{n}": rolling(F.avg, F.when(known, F.when(ret < 0, square).otherwise(0.0)), n),
-            f"upside_vol_{n}": rolling(F.avg, F.when(known, F.when(ret > 0, square).otherwise(0.0)), n),
-            f"_skew_{n}": rolling(F.skewness, ret, n), f"_m4_{n}": rolling(F.avg, square * square, n), f"_m2_{n}": rolling(F.avg, square, n),
-            f"_most_{n}": rolling(F.max, ret, n), f"_least_{n}": rolling(F.min, ret, n),
+            f"downside_vol_{n}": rolling(F.avg, F.when(known, F.when(ret < 0, square).otherwise(0.0)), n // step),
+            f"upside_vol_{n}": rolling(F.avg, F.when(known, F.when(ret > 0, square).otherwise(0.0)), n // step),
+            f"_skew_{n}": rolling(F.skewness, ret, n // step), f"_m4_{n}": rolling(F.avg, square * square, n // step), f"_m2_{n}": rolling(F.avg, square, n // step),
+            f"_most_{n}": rolling(F.max, ret, n // step), f"_least_{n}": rolling(F.min, ret, n // step),
         }
         roots |= {f"{side}_vol_{n}": F.sqrt(f"{side}_vol_{n}") for side in ("downside", "upside")}
-    out = _frame(df, keys, order, [returns, rolled], 2 * max(windows), rows_per_task, rows).withColumns(roots)
+    out = _frame(df, keys, order, [returns, rolled], 2 * max(windows) // step, rows_per_task, rows).withColumns(roots)
     for n in windows:
         out = out.withColumns({
             f"vol_asymmetry_ratio_{n}": F.col(f"downside_vol_{n}") / (F.col(f"upside_vol_{n}") + 1e-10),

@@ -38,18 +38,24 @@ def filled_bars(spark, sf, step):
     ).drop("seconds_since_last_update")
 
 
-HB = filled_sql(1)  # one-second bars
+STEP = 10  # seconds between two rows of the grid that the rolling features run on; windows are in seconds
+HB = filled_sql(STEP)
 
 
-def seconds(spark, sf, *columns):
-    """One-second bars without gaps, numbered: the columns a query needs."""
-    bars = grid.fill_grid(tick_bars(spark, sf, 1), ["symbol"], "sec", ["open", "high", "low", "close", "vwap"], zero=["volume", "trades"], numbered=True)
+def seconds(spark, sf, *columns, step=STEP):
+    """Bars without gaps, numbered: the columns a query needs."""
+    bars = grid.fill_grid(tick_bars(spark, sf, step), ["symbol"], "sec", ["open", "high", "low", "close", "vwap"], step=step, zero=["volume", "trades"], numbered=True)
     return bars.select("symbol", "sec", "__rn", *columns)
 
 
 SW = "PARTITION BY symbol ORDER BY sec"
 
 
+def span(fn, x, seconds, need=None):
+    """Aggregate over so many seconds of the grid."""
+    return roll(fn, x, seconds // STEP, need)
+
+
 def roll(fn, x, n, need=None):
     w = f"({SW} ROWS {n - 1} PRECEDING)"
     return f"CASE WHEN count({x}) OVER {w} >= {need or n} THEN {fn}({x}) OVER {w} END"
@@ -57,7 +63,7 @@ def roll(fn, x, n, need=None):
 
 def hours_sql(source, digits):
     """What an hour of one-second rows comes to: how many values are known, their mean, least and greatest."""
-    columns = [f"count({c}) AS {c}_known, round(avg({c}), {d}) AS {c}_mean, round(min({c}), {d}) AS {c}_min, round(max({c}), {d}) AS {c}_max" for c, d in digits.items()]
+    columns = [f"count({c}) AS {c}_known, round(avg({c}), {d}) AS {c}_mean, round(min({c})::DOUBLE, {d}) AS {c}_min, round(max({c})::DOUBLE, {d}) AS {c}_max" for c, d in digits.items()]
     return f" SELECT symbol, sec // 3600 * 3600 AS hour, count(*) AS seconds, {', '.join(columns)} FROM {source} GROUP BY 1, 2"
 
 
@@ -439,15 +445,15 @@ def asymmetry_sql():
     """Per window: returns over it, their powers, and rolling means of those."""
     steps, source = "", "hb"
     for n in (60, 300, 900):
-        steps += f""", a{n} AS (SELECT *, p / lag(p, {n}) OVER ({SW}) - 1 AS ret FROM {source}),
+        steps += f""", a{n} AS (SELECT *, p / lag(p, {n // STEP}) OVER ({SW}) - 1 AS ret FROM {source}),
     b{n} AS (SELECT *, CASE WHEN ret < 0 THEN ret * ret WHEN ret IS NOT NULL THEN 0 END AS dn, CASE WHEN ret > 0 THEN ret * ret WHEN ret IS NOT NULL THEN 0 END AS up, ret * ret AS r2, ret * ret * ret AS r3, ret * ret * ret * ret AS r4 FROM a{n}),
-    c{n} AS (SELECT * EXCLUDE (ret, dn, up, r2, r3, r4), sqrt({roll('avg', 'dn', n)}) AS downside_vol_{n}, sqrt({roll('avg', 'up', n)}) AS upside_vol_{n}, {roll('avg', 'ret', n)} AS m1, {roll('avg', 'r2', n)} AS m2, {roll('avg', 'r3', n)} AS m3, {roll('avg', 'r4', n)} AS m4,
-      max(ret) OVER ({SW} ROWS {n - 1} PRECEDING) > min(ret) OVER ({SW} ROWS {n - 1} PRECEDING) AS moves FROM b{n}),
+    c{n} AS (SELECT * EXCLUDE (ret, dn, up, r2, r3, r4), sqrt({span('avg', 'dn', n)}) AS downside_vol_{n}, sqrt({span('avg', 'up', n)}) AS upside_vol_{n}, {span('avg', 'ret', n)} AS m1, {span('avg', 'r2', n)} AS m2, {span('avg', 'r3', n)} AS m3, {span('avg', 'r4', n)} AS m4,
+      max(ret) OVER ({SW} ROWS {n // STEP - 1} PRECEDING) > min(ret) OVER ({SW} ROWS {n // STEP - 1} PRECEDING) AS moves FROM b{n}),
     d{n} AS (SELECT * EXCLUDE (m1, m2, m3, m4, moves), CASE WHEN upside_vol_{n} > 0 THEN downside_vol_{n} / (upside_vol_{n} + 1e-10) END AS vol_asymmetry_ratio_{n},
       CASE WHEN moves THEN (m3 - 3 * m1 * m2 + 2 * m1 * m1 * m1) / (m2 - m1 * m1) ** 1.5e0 END AS realized_skewness_{n}, m4 / (m2 * m2 + 1e-10) - 3 AS realized_kurtosis_{n} FROM c{n})"""
         source = f"d{n}"
-    return steps + f""", v AS (SELECT *, ln(close / lag(close) OVER ({SW})) AS lr FROM d900), w AS (SELECT *, round({roll('stddev_samp', 'lr', 60)} * sqrt({YEAR!r}e0 / 60), 8) AS rv_60s FROM v),
-    x AS (SELECT *, {roll('stddev_samp', 'rv_60s', 300)} AS vol_of_vol_300, 0.2e0 + vwap / 500 - downside_vol_900 AS iv_minus_downside_vol, 0.2e0 + vwap / 500 - upside_vol_900 AS iv_minus_upside_vol FROM w)"""
+    return steps + f""", v AS (SELECT *, ln(close / lag(close) OVER ({SW})) AS lr FROM d900), w AS (SELECT *, round({span('stddev_samp', 'lr', 60)} * sqrt({YEAR!r}e0 / 60), 8) AS rv_60s FROM v),
+    x AS (SELECT *, {span('stddev_samp', 'rv_60s', 300)} AS vol_of_vol_300, 0.2e0 + vwap / 500 - downside_vol_900 AS iv_minus_downside_vol, 0.2e0 + vwap / 500 - upside_vol_900 AS iv_minus_upside_vol FROM w)"""
 
 
 @query(
@@ -455,14 +461,14 @@ def asymmetry_sql():
     with_(HB.replace("hb AS (SELECT cells.symbol", "hb0 AS (SELECT cells.symbol") + ", hb AS (SELECT *, close + 100 AS p FROM hb0)") + asymmetry_sql() + hours_sql("x", ASYMMETRY),
 )
 def asymmetry(spark, sf):
-    """Semi-deviations of returns over one, five and fifteen minutes of one-second bars, what an implied volatility has
+    """Semi-deviations of returns over one, five and fifteen minutes, what an implied volatility has
     beyond them, and the volatility of volatility."""
     out = seconds(spark, sf, "close", "vwap").withColumns({"p": F.col("close") + 100, "iv": 0.2 + F.col("vwap") / 500})
-    out = feat.asymmetry(out, ["symbol"], ["sec"], "p")
+    out = feat.asymmetry(out, ["symbol"], ["sec"], "p", step=STEP)
     for n in feat.MOMENTUM_WINDOWS:
         out = out.withColumn(f"vol_asymmetry_ratio_{n}", F.when(F.col(f"upside_vol_{n}") > 0, F.col(f"vol_asymmetry_ratio_{n}")))
-    out = feat.realized_volatility(out.withColumns(feat.iv_minus_semi_volatility("iv", "_900")), ["symbol"], ["sec"], windows=(60,)).withColumn("rv_60s", r("rv_60s", 8))
-    out = Series(out, ["symbol"], ["sec"]).frames({"vol_of_vol_300": rolling(F.stddev_samp, F.col("rv_60s"), 300)}, before=299)
+    out = feat.realized_volatility(out.withColumns(feat.iv_minus_semi_volatility("iv", "_900")), ["symbol"], ["sec"], windows=(60,), step=STEP).withColumn("rv_60s", r("rv_60s", 8))
+    out = Series(out, ["symbol"], ["sec"]).frames({"vol_of_vol_300": rolling(F.stddev_samp, F.col("rv_60s"), 300 // STEP)}, before=300 // STEP)
     return hours(out, ASYMMETRY)
 
 
@@ -472,18 +478,18 @@ RV_W = feat.RV_WINDOWS
 def rv_sql(digits=None, windows=RV_W):
     cols = []
     for n in windows:
-        x = f"{roll('stddev_samp', 'log_return', n)} * sqrt({YEAR!r}e0 / {n})"
+        x = f"{span('stddev_samp', 'log_return', n)} * sqrt({YEAR!r}e0 / {n})"
         cols.append(f"{x if digits is None else f'round({x}, {digits})'} AS rv_{n}s")
     return HB + f", lr AS (SELECT *, ln(close / lag(close) OVER ({SW})) AS log_return FROM hb), rv AS (SELECT *, {', '.join(cols)} FROM lr)"
 
 
 def rv_table(spark, sf, windows=RV_W):
     """Rounded, so that thresholds compare alike in both engines."""
-    out = feat.realized_volatility(seconds(spark, sf, "close"), ["symbol"], ["sec"], windows=windows)
+    out = feat.realized_volatility(seconds(spark, sf, "close"), ["symbol"], ["sec"], windows=windows, step=STEP)
     return out.withColumns({f"rv_{n}s": r(f"rv_{n}s", 8) for n in windows})
 
 
-RV_DIGITS = {**{f"rv_{n}s": 6 for n in RV_W}, "rv_ratio_300_60": 6, "rv_ratio_900_300": 6, "rv_ratio_3600_900": 6, "rv_term_structure": 6}
+RV_DIGITS = {**{f"rv_{n}s": 5 for n in RV_W}, "rv_ratio_300_60": 6, "rv_ratio_900_300": 6, "rv_ratio_3600_900": 6, "rv_term_structure": 6}
 
 
 @query(
@@ -491,7 +497,7 @@ RV_DIGITS = {**{f"rv_{n}s": 6 for n in RV_W}, "rv_ratio_300_60": 6, "rv_ratio_90
     with_(rv_sql(10)) + ", x AS (SELECT *, " + ", ".join(f"rv_{b}s / nullif(rv_{a}s, 0) AS rv_ratio_{b}_{a}" for a, b in zip(RV_W, RV_W[1:])) + ", (rv_3600s - rv_60s) / nullif(rv_60s, 0) AS rv_term_structure FROM rv)" + hours_sql("x", RV_DIGITS),
 )
 def rv(spark, sf):
-    return hours(feat.realized_volatility(seconds(spark, sf, "close"), ["symbol"], ["sec"]), RV_DIGITS)
+    return hours(feat.realized_volatility(seconds(spark, sf, "close"), ["symbol"], ["sec"], step=STEP), RV_DIGITS)
 
 
 MOMENTUM = {**{f"momentum_{n}s": 8 for n in feat.MOMENTUM_WINDOWS}, **{f"range_{n}s": 8 for n in feat.RANGE_WINDOWS}}
@@ -499,11 +505,11 @@ MOMENTUM = {**{f"momentum_{n}s": 8 for n in feat.MOMENTUM_WINDOWS}, **{f"range_{
 
 @query(
     "i23_momentum_and_range",
-    with_(HB) + ", x AS (SELECT symbol, sec, " + ", ".join(f"(close - lag(close, {n}) OVER ({SW})) / nullif(lag(close, {n}) OVER ({SW}), 0) AS momentum_{n}s" for n in feat.MOMENTUM_WINDOWS) + ", "
-    + ", ".join(f"({roll('max', 'high', n)} - {roll('min', 'low', n)}) / nullif(close, 0) AS range_{n}s" for n in feat.RANGE_WINDOWS) + " FROM hb)" + hours_sql("x", MOMENTUM),
+    with_(HB) + ", x AS (SELECT symbol, sec, " + ", ".join(f"(close - lag(close, {n // STEP}) OVER ({SW})) / nullif(lag(close, {n // STEP}) OVER ({SW}), 0) AS momentum_{n}s" for n in feat.MOMENTUM_WINDOWS) + ", "
+    + ", ".join(f"({span('max', 'high', n)} - {span('min', 'low', n)}) / nullif(close, 0) AS range_{n}s" for n in feat.RANGE_WINDOWS) + " FROM hb)" + hours_sql("x", MOMENTUM),
 )
 def momentum(spark, sf):
-    return hours(feat.momentum_and_range(seconds(spark, sf, "close", "high", "low"), ["symbol"], ["sec"]), MOMENTUM)
+    return hours(feat.momentum_and_range(seconds(spark, sf, "close", "high", "low"), ["symbol"], ["sec"], step=STEP), MOMENTUM)
 
 
 JUMPS = {"jump_detected": 8, "jump_intensity": 8, "jump_count": 8, "jump_direction": 7}
@@ -511,14 +517,14 @@ JUMPS = {"jump_detected": 8, "jump_intensity": 8, "jump_count": 8, "jump_directi
 
 @query(
     "i24_jumps",
-    with_(rv_sql(8, (900,))) + f""", j AS (SELECT *, CASE WHEN abs(log_return) > 3 * rv_900s / sqrt({YEAR!r}e0) THEN 1 WHEN log_return IS NOT NULL AND rv_900s IS NOT NULL THEN 0 END AS jump_detected FROM rv),
+    with_(rv_sql(8, (900,))) + f""", j AS (SELECT *, CASE WHEN abs(log_return) > 3 * rv_900s / sqrt({YEAR!r}e0 / {STEP}) THEN 1 WHEN log_return IS NOT NULL AND rv_900s IS NOT NULL THEN 0 END AS jump_detected FROM rv),
     s AS (SELECT *, CASE WHEN jump_detected = 1 THEN log_return ELSE 0.0e0 END AS sg FROM j),
-    x AS (SELECT symbol, sec, jump_detected, {roll('sum', 'jump_detected', 300)} AS jump_intensity, {roll('sum', 'jump_detected', 300, 10)} AS jump_count, {roll('sum', 'sg', 300, 10)} / ({roll('sum', 'jump_detected', 300, 10)} + 1e-9) AS jump_direction FROM s)"""
+    x AS (SELECT symbol, sec, jump_detected, {span('sum', 'jump_detected', 300)} AS jump_intensity, {span('sum', 'jump_detected', 300, 10)} AS jump_count, {span('sum', 'sg', 300, 10)} / ({span('sum', 'jump_detected', 300, 10)} + 1e-9) AS jump_direction FROM s)"""
     + hours_sql("x", JUMPS),
 )
 def jumps(spark, sf):
     base = rv_table(spark, sf, (900,)).drop("log_return")
-    return hours(feat.jumps(base, ["symbol"], ["sec"], "rv_900s", 300), JUMPS)
+    return hours(feat.jumps(base, ["symbol"], ["sec"], "rv_900s", 300 // STEP, step=STEP), JUMPS)
 
 
 AUTOCORRELATION = {"autocorr_lag1": 6, "autocorr_lag5": 6, "autocorr_decay": 6, "hurst": 6}
@@ -527,21 +533,21 @@ AUTOCORRELATION = {"autocorr_lag1": 6, "autocorr_lag5": 6, "autocorr_decay": 6,
 @query(
     "i25_autocorrelations",
     with_(HB) + f""", lr AS (SELECT *, ln(close / lag(close) OVER ({SW})) AS log_return FROM hb), l AS (SELECT *, lag(log_return, 1) OVER ({SW}) AS l1, lag(log_return, 5) OVER ({SW}) AS l5 FROM lr),
-    c AS (SELECT symbol, sec, CASE WHEN count(l1) OVER w >= 300 THEN corr(log_return, l1) OVER w END AS a1, CASE WHEN count(l5) OVER w >= 300 THEN corr(log_return, l5) OVER w END AS a5 FROM l WINDOW w AS ({SW} ROWS 299 PRECEDING)),
+    c AS (SELECT symbol, sec, CASE WHEN count(l1) OVER w >= {300 // STEP} THEN corr(log_return, l1) OVER w END AS a1, CASE WHEN count(l5) OVER w >= {300 // STEP} THEN corr(log_return, l5) OVER w END AS a5 FROM l WINDOW w AS ({SW} ROWS {300 // STEP - 1} PRECEDING)),
     f AS (SELECT symbol, sec, CASE WHEN isfinite(a1) THEN a1 END AS a1, CASE WHEN isfinite(a5) THEN a5 END AS a5 FROM c),
     x AS (SELECT symbol, sec, a1 AS autocorr_lag1, a5 AS autocorr_lag5, a1 - a5 AS autocorr_decay, 0.5e0 + 0.5e0 * a1 AS hurst FROM f)""" + hours_sql("x", AUTOCORRELATION),
 )
 def autocorrelations(spark, sf):
-    return hours(feat.autocorrelations(seconds(spark, sf, "close"), ["symbol"], ["sec"], (1, 5), 300), AUTOCORRELATION)
+    return hours(feat.autocorrelations(seconds(spark, sf, "close"), ["symbol"], ["sec"], (1, 5), 300 // STEP), AUTOCORRELATION)
 
 
-EMAS = (12, 60, 300, 900)
+EMAS = (60, 300, 900, 3600)
 
 
 def ema_sql():
     """Means at the last second of every hour: an hour fades the sums before it and adds its own."""
-    fade = {n: f"(1 - 2.0e0 / {n + 1})" for n in EMAS}
-    own = ", ".join(f"sum(close * pow({f}, top - sec)) AS t{n}, sum(pow({f}, top - sec)) AS u{n}" for n, f in fade.items())
+    fade = {n: f"(1 - 2.0e0 / {n / STEP + 1})" for n in EMAS}
+    own = ", ".join(f"sum(close * pow({f}, (top - sec) // {STEP})) AS t{n}, sum(pow({f}, (top - sec) // {STEP})) AS u{n}" for n, f in fade.items())
     start, step = ", ".join(f"t{n}, u{n}" for n in EMAS), ", ".join(f"h.t{n} + e.t{n} * pow({f}, h.seconds), h.u{n} + e.u{n} * pow({f}, h.seconds)" for n, f in fade.items())
     return f""", tops AS (SELECT symbol, sec, close, max(sec) OVER (PARTITION BY symbol, sec // 3600) AS top FROM hb),
     hh AS (SELECT symbol, top, count(*) AS seconds, arg_max(close, sec) AS close, {own}, row_number() OVER (PARTITION BY symbol ORDER BY top) AS i FROM tops GROUP BY symbol, top),
@@ -552,12 +558,12 @@ def ema_sql():
 @query(
     "i26_ema_crosses",
     "WITH RECURSIVE " + HB + ema_sql() + " SELECT symbol, top AS sec, " + ", ".join(f"round(ema_{n}s, 7) AS ema_{n}s" for n in EMAS) + ", "
-    + ", ".join(f"round((ema_{a}s - ema_{b}s) * 100 / close, 5) AS ema_cross_{a}_{b}" for a, b in zip(EMAS, EMAS[1:])) + ", round((close - ema_900s) * 100 / ema_900s, 5) AS price_vs_ema_900 FROM x",
+    + ", ".join(f"round((ema_{a}s - ema_{b}s) * 100 / close, 5) AS ema_cross_{a}_{b}" for a, b in zip(EMAS, EMAS[1:])) + ", round((close - ema_3600s) * 100 / ema_3600s, 5) AS price_vs_ema_3600 FROM x",
 )
 def ema_crosses(spark, sf):
     """Every second's means; the last of each hour are compared."""
-    out = feat.ema_set(seconds(spark, sf, "close"), ["symbol"], ["sec"], spans=EMAS)
-    names = {**{f"ema_{n}s": 7 for n in EMAS}, **{f"ema_cross_{a}_{b}": 5 for a, b in zip(EMAS, EMAS[1:])}, "price_vs_ema_900": 5}
+    out = feat.ema_set(seconds(spark, sf, "close"), ["symbol"], ["sec"], spans=EMAS, step=STEP)
+    names = {**{f"ema_{n}s": 7 for n in EMAS}, **{f"ema_cross_{a}_{b}": 5 for a, b in zip(EMAS, EMAS[1:])}, "price_vs_ema_3600": 5}
     last = out.groupBy("symbol", F.floor(F.col("sec") / 3600).alias("hour")).agg(F.max_by(F.struct("sec", *names), "sec").alias("x")).select("symbol", "x.*")
     return last.select("symbol", "sec", *[r(n, d).alias(n) for n, d in names.items()])
 
@@ -570,10 +576,10 @@ EXTREMES = {"window_high": 8, "drawdown_from_high": 6, "runup_from_low": 6, "tim
     # rank of the value, then the second, in one number: DuckDB has no fast arg_max over frames
     with_(HB) + f""", ranked AS (SELECT *, dense_rank() OVER (ORDER BY high) * 8589934592 + sec AS hi, dense_rank() OVER (ORDER BY low) * 8589934592 + (8589934591 - sec) AS lo FROM hb),
     x AS (SELECT symbol, sec, max(high) OVER w AS window_high, (max(high) OVER w - close) * 100 / nullif(max(high) OVER w, 0) AS drawdown_from_high, (close - min(low) OVER w) * 100 / nullif(min(low) OVER w, 0) AS runup_from_low,
-      sec - max(hi) OVER w % 8589934592 AS time_since_high, sec - (8589934591 - min(lo) OVER w % 8589934592) AS time_since_low FROM ranked WINDOW w AS ({SW} ROWS 899 PRECEDING))""" + hours_sql("x", EXTREMES),
+      sec - max(hi) OVER w % 8589934592 AS time_since_high, sec - (8589934591 - min(lo) OVER w % 8589934592) AS time_since_low FROM ranked WINDOW w AS ({SW} ROWS {900 // STEP - 1} PRECEDING))""" + hours_sql("x", EXTREMES),
 )
 def drawdown_runup(spark, sf):
-    return hours(feat.extremes(seconds(spark, sf, "close", "high", "low"), ["symbol"], ["sec"], "sec", 900), EXTREMES)
+    return hours(feat.extremes(seconds(spark, sf, "close", "high", "low"), ["symbol"], ["sec"], "sec", 900 // STEP), EXTREMES)
 
 
 CLUSTERING = {"vol_persistence_ar1": 4, "vol_of_vol": 5, "vol_acceleration": 3, "vol_forecast": 5}
@@ -583,12 +589,12 @@ CLUSTERING = {"vol_persistence_ar1": 4, "vol_of_vol": 5, "vol_acceleration": 3,
     "i28_volatility_clustering",
     with_(rv_sql(8, (300, 900))) + f""", l AS (SELECT *, lag(rv_300s) OVER ({SW}) AS p FROM rv),
     c AS (SELECT symbol, sec, rv_300s, rv_900s, CASE WHEN count(CASE WHEN rv_300s IS NOT NULL AND p IS NOT NULL THEN 1 END) OVER w >= 10 THEN corr(rv_300s, p) OVER w END AS ar, CASE WHEN count(rv_300s) OVER w >= 10 THEN stddev_samp(rv_300s) OVER w END AS vol_of_vol
-      FROM l WINDOW w AS ({SW} ROWS 899 PRECEDING)),
+      FROM l WINDOW w AS ({SW} ROWS {900 // STEP - 1} PRECEDING)),
     x AS (SELECT symbol, sec, vol_of_vol, CASE WHEN vol_of_vol > 1e-6 AND isfinite(ar) THEN ar END AS vol_persistence_ar1, (rv_300s - rv_900s) / (rv_900s + 1e-9) * 100 AS vol_acceleration, sqrt(0.94e0 * rv_900s * rv_900s + (1 - 0.94e0) * rv_300s * rv_300s) AS vol_forecast FROM c)"""
     + hours_sql("x", CLUSTERING),
 )
 def clustering(spark, sf):
-    out = feat.vol_clustering(rv_table(spark, sf, (300, 900)), ["symbol"], ["sec"], "rv_300s", "rv_900s", 900, 10)
+    out = feat.vol_clustering(rv_table(spark, sf, (300, 900)), ["symbol"], ["sec"], "rv_300s", "rv_900s", 900 // STEP, 10)
     # the correlation of a constant is null; which constants are exactly so depends on the engine's sums
     return hours(out.withColumn("vol_persistence_ar1", F.when(F.col("vol_of_vol") > 1e-6, F.col("vol_persistence_ar1"))), CLUSTERING)
 
@@ -790,25 +796,25 @@ def period_imputation(spark, sf):
 BID5 = " + ".join(f"((book * {i + 3}) % 17 + 1.0e0)" for i in range(5))
 ASK5 = " + ".join(f"((book * {i + 5}) % 13 + 1.0e0)" for i in range(5))
 FEATURES_SQL = [
-    ("close", "close", 8), ("volume_mean_300", roll("avg", "volume", 300), 8), ("mean_900", roll("avg", "close", 900), 7),
-    ("funding_mean_3600", roll("avg", "funding", 3600, 1), 8), ("funding_change_60", f"funding - lag(funding, 60) OVER ({SW})", 8),
-    ("spread_bps", "spread / close * 10000", 5), ("imbalance_l0", "imb0", 8), ("imbalance_l0_mean_300", roll("avg", "imb0", 300), 8),
-    ("imbalance_5", "imb5", 8), ("imbalance_5_std_300", roll("stddev_samp", "imb5", 300), 7),
-    ("basis_bps", "basis", 6), ("basis_mean_300", roll("avg", "basis", 300), 6),
-    ("oi_change_60", f"oi / nullif(lag(oi, 60) OVER ({SW}), 0) - 1", 8),
-    *((f"rv_{n}s", f"round({roll('stddev_samp', 'lr', n)} * sqrt({YEAR!r}e0 / {n}), 8)", 6) for n in RV_W),
-    ("momentum_300", f"(close - lag(close, 300) OVER ({SW})) / nullif(lag(close, 300) OVER ({SW}), 0)", 8),
-    ("range_900", f"(max(high) OVER ({SW} ROWS 899 PRECEDING) - min(low) OVER ({SW} ROWS 899 PRECEDING)) / nullif(close, 0)", 8),
-    ("window_high", f"max(high) OVER ({SW} ROWS 899 PRECEDING)", 8), ("drawdown", f"close / nullif(max(high) OVER ({SW} ROWS 899 PRECEDING), 0) - 1", 8),
+    ("close", "close", 8), ("volume_mean_300", span("avg", "volume", 300), 8), ("mean_900", span("avg", "close", 900), 7),
+    ("funding_mean_3600", span("avg", "funding", 3600, 1), 8), ("funding_change_60", f"funding - lag(funding, {60 // STEP}) OVER ({SW})", 8),
+    ("spread_bps", "spread / close * 10000", 5), ("imbalance_l0", "imb0", 8), ("imbalance_l0_mean_300", span("avg", "imb0", 300), 8),
+    ("imbalance_5", "imb5", 8), ("imbalance_5_std_300", span("stddev_samp", "imb5", 300), 7),
+    ("basis_bps", "basis", 6), ("basis_mean_300", span("avg", "basis", 300), 6),
+    ("oi_change_60", f"oi / nullif(lag(oi, {60 // STEP}) OVER ({SW}), 0) - 1", 8),
+    *((f"rv_{n}s", f"round({span('stddev_samp', 'lr', n)} * sqrt({YEAR!r}e0 / {n}), 8)", 5) for n in RV_W),
+    ("momentum_300", f"(close - lag(close, {300 // STEP}) OVER ({SW})) / nullif(lag(close, {300 // STEP}) OVER ({SW}), 0)", 8),
+    ("range_900", f"(max(high) OVER ({SW} ROWS {900 // STEP - 1} PRECEDING) - min(low) OVER ({SW} ROWS {900 // STEP - 1} PRECEDING)) / nullif(close, 0)", 8),
+    ("window_high", f"max(high) OVER ({SW} ROWS {900 // STEP - 1} PRECEDING)", 8), ("drawdown", f"close / nullif(max(high) OVER ({SW} ROWS {900 // STEP - 1} PRECEDING), 0) - 1", 8),
 ]
 FEATURE_DIGITS = {n: d for n, _, d in FEATURES_SQL}
 
 
 @query(
     "i41_feature_table",
-    with_(TICKS) + f""", ag AS (SELECT symbol, sec, arg_min(price, (ts_us, id)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (ts_us, id)) AS close, sum(k)::BIGINT AS volume,
+    with_(TICKS) + f""", ag AS (SELECT symbol, sec // {STEP} * {STEP} AS sec, arg_min(price, (ts_us, id)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (ts_us, id)) AS close, sum(k)::BIGINT AS volume,
       arg_max(k, (ts_us, id)) AS book, arg_max(price, (ts_us, id)) FILTER (k % 5 <> 0) AS funding, arg_max(user_id, (ts_us, id)) AS oi FROM ticks GROUP BY 1, 2),
-    sp AS (SELECT symbol, min(sec) AS lo, max(sec) AS hi FROM ag GROUP BY 1), cells AS (SELECT symbol, unnest(range(lo, hi + 1, 1)) AS sec FROM sp),
+    sp AS (SELECT symbol, min(sec) AS lo, max(sec) AS hi FROM ag GROUP BY 1), cells AS (SELECT symbol, unnest(range(lo, hi + 1, {STEP})) AS sec FROM sp),
     f AS (SELECT cells.symbol, cells.sec, {', '.join(f'last_value({c} IGNORE NULLS) OVER w AS {c}' for c in ('open', 'high', 'low', 'close', 'book', 'funding', 'oi'))}, coalesce(volume, 0) AS volume FROM cells LEFT JOIN ag USING (symbol, sec)
       WINDOW w AS (PARTITION BY cells.symbol ORDER BY cells.sec ROWS UNBOUNDED PRECEDING)),
     g AS (SELECT *, 1.0e0 + (book % 3) * 0.1e0 AS spread, ((book * 3) % 17 + 1.0e0 - ((book * 5) % 13 + 1.0e0)) / ((book * 3) % 17 + 1.0e0 + (book * 5) % 13 + 1.0e0) AS imb0, (({BID5}) - ({ASK5})) / (({BID5}) + ({ASK5})) AS imb5,
@@ -821,11 +827,11 @@ def feature_table(spark, sf):
     """Trades, funding, best level, five levels, basis, open interest, volatility and regime of one series of seconds: one
     aggregate, one fill and one pass of windows, without a join between parts of the series."""
     t, by = ticks(spark, sf), F.struct("ts_us", "id")
-    first = t.groupBy("symbol", "sec").agg(
+    first = t.groupBy("symbol", grid.second_of("ts_us", STEP).alias("sec")).agg(
         F.min_by("price", by).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", by).alias("close"), F.sum("k").alias("volume"),
         F.max_by("k", by).alias("book"), F.max_by("price", F.when(F.col("k") % 5 != 0, by)).alias("funding"), F.max_by("user_id", by).alias("oi"),
     )
-    base = grid.fill_grid(first, ["symbol"], "sec", ["open", "high", "low", "close", "book", "funding", "oi"], step=1, zero=["volume"], numbered=True)
+    base = grid.fill_grid(first, ["symbol"], "sec", ["open", "high", "low", "close", "book", "funding", "oi"], step=STEP, zero=["volume"], numbered=True)
     close, book, funding, oi = (F.col(c) for c in ("close", "book", "funding", "oi"))
     bids, asks = [(book * (i + 3)) % 17 + 1.0 for i in range(5)], [(book * (i + 5)) % 13 + 1.0 for i in range(5)]
     total = lambda levels: reduce(Column.__add__, levels)
@@ -835,15 +841,15 @@ def feature_table(spark, sf):
     })
     year = lambda seconds: math.sqrt(YEAR / seconds)
     windows = {
-        "volume_mean_300": rolling(F.avg, F.col("volume"), 300), "mean_900": rolling(F.avg, close, 900),
-        "funding_mean_3600": rolling(F.avg, funding, 3600, 1), "funding_change_60": lambda w: funding - F.lag(funding, 60).over(w),
-        "imbalance_l0_mean_300": rolling(F.avg, F.col("imbalance_l0"), 300), "imbalance_5_std_300": rolling(F.stddev_samp, F.col("imbalance_5"), 300),
-        "basis_mean_300": rolling(F.avg, F.col("basis_bps"), 300), "oi_change_60": lambda w: C.ratio(oi, F.lag(oi, 60).over(w)) - 1,
-        **{f"rv_{n}s": rolling(F.stddev_samp, F.col("lr"), n) for n in RV_W},
-        "momentum_300": lambda w: C.ratio(close - F.lag(close, 300).over(w), F.lag(close, 300).over(w)),
-        "_high": rolling(F.max, F.col("high"), 900, 1), "_low": rolling(F.min, F.col("low"), 900, 1),
+        "volume_mean_300": rolling(F.avg, F.col("volume"), 300 // STEP), "mean_900": rolling(F.avg, close, 900 // STEP),
+        "funding_mean_3600": rolling(F.avg, funding, 3600 // STEP, 1), "funding_change_60": lambda w: funding - F.lag(funding, 60 // STEP).over(w),
+        "imbalance_l0_mean_300": rolling(F.avg, F.col("imbalance_l0"), 300 // STEP), "imbalance_5_std_300": rolling(F.stddev_samp, F.col("imbalance_5"), 300 // STEP),
+        "basis_mean_300": rolling(F.avg, F.col("basis_bps"), 300 // STEP), "oi_change_60": lambda w: C.ratio(oi, F.lag(oi, 60 // STEP).over(w)) - 1,
+        **{f"rv_{n}s": rolling(F.stddev_samp, F.col("lr"), n // STEP) for n in RV_W},
+        "momentum_300": lambda w: C.ratio(close - F.lag(close, 300 // STEP).over(w), F.lag(close, 300 // STEP).over(w)),
+        "_high": rolling(F.max, F.col("high"), 900 // STEP, 1), "_low": rolling(F.min, F.col("low"), 900 // STEP, 1),
     }
-    out = Series(base, ["symbol"], ["sec"]).frames({"lr": feat.log_return()}, windows, before=max(RV_W) + 1).withColumns({
+    out = Series(base, ["symbol"], ["sec"]).frames({"lr": feat.log_return()}, windows, before=max(RV_W) // STEP + 1).withColumns({
         **{f"rv_{n}s": r(F.col(f"rv_{n}s") * year(n), 8) for n in RV_W}, "spread_bps": F.col("spread") / close * 10000,
         "range_900": C.ratio(F.col("_high") - F.col("_low"), "close"), "window_high": F.col("_high"), "drawdown": C.ratio(close, "_high") - 1,
     })
@@ -910,13 +916,13 @@ def spine(spark, sf):
 
 @query(
     "i46_scoring_window",
-    with_(rv_sql(8, (900,))) + """, m AS (SELECT symbol, sec, count(DISTINCT user_id) AS users FROM ticks GROUP BY 1, 2),
-    x AS (SELECT rv.symbol, rv.sec, rv_900s, users FROM rv LEFT JOIN m USING (symbol, sec) WHERE rv.sec BETWEEN 1704499200 AND 1705363199)""" + hours_sql("x", {"rv_900s": 6, "users": 6}),
+    with_(rv_sql(8, (900,))) + f""", m AS (SELECT symbol, sec // {STEP} * {STEP} AS sec, count(DISTINCT user_id) AS users FROM ticks GROUP BY 1, 2),
+    x AS (SELECT rv.symbol, rv.sec, rv_900s, users FROM rv LEFT JOIN m USING (symbol, sec) WHERE rv.sec BETWEEN 1704499200 AND 1705363199)""" + hours_sql("x", {"rv_900s": 5, "users": 6}),
 )
 def scoring_window(spark, sf):
     window = F.col("sec").between(1704499200, 1705363199)
-    micro = ticks(spark, sf).where(window).groupBy("symbol", "sec").agg(F.countDistinct("user_id").alias("users"))
-    return hours(rv_table(spark, sf, (900,)).where(window).join(micro, ["symbol", "sec"], "left"), {"rv_900s": 6, "users": 6})
+    micro = ticks(spark, sf).where(window).groupBy("symbol", grid.second_of("ts_us", STEP).alias("sec")).agg(F.countDistinct("user_id").alias("users"))
+    return hours(rv_table(spark, sf, (900,)).where(window).join(micro, ["symbol", "sec"], "left"), {"rv_900s": 5, "users": 6})
 
 
 SOURCES = {"call_bid": "cb", "call_ask": "ca", "call_mid": "(cb + ca) / 2", "put_bid": "pb", "put_ask": "pa", "put_mid": "(pb + pa) / 2", "blend": "(cb + ca + pb + pa) / 4"}

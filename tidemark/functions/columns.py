@@ -16,26 +16,27 @@ FAR_FUTURE = 2147483647  # expiry of a symbol whose date cannot be read
 EXPIRY_HOUR_SECONDS = 8 * 3600  # options settle at 08:00 UTC
 US_HOURS, ASIA_HOURS, EUROPE_HOURS = (13, 21), (0, 8), (7, 15)  # sessions, UTC
 
-# Market categories, first match wins.
+# Market categories of the feed and the patterns of their names, first match wins.
 MARKET_PATTERNS = [
     ("btc_15min", r"^btc-up-or-down-15m-\d+$"),
     ("eth_15min", r"^eth-up-or-down-15m-\d+$"),
-    *[
-        (f"{name}_hourly", rf"^{name}-up-or-down-(?!on-)(?!.*candle).+-et(-\d+)?$")
-        for name in ("bitcoin", "ethereum", "solana", "xrp")
-    ],
-    *[
-        (f"{name}_daily", rf"^{name}-up-or-down-on-[a-z]+-\d+(-[a-z]+)?(-\d+)?$")
-        for name in ("bitcoin", "ethereum", "solana", "xrp")
-    ],
-    *[(f"{name}_hourly_candle", rf"^{name}-up-or-down-.*-candle$") for name in ("bitcoin", "ethereum")],
+    ("bitcoin_hourly", r"^bitcoin-up-or-down-(?!on-)(?!.*candle).+-et(-\d+)?$"),
+    ("ethereum_hourly", r"^ethereum-up-or-down-(?!on-)(?!.*candle).+-et(-\d+)?$"),
+    ("solana_hourly", r"^solana-up-or-down-(?!on-)(?!.*candle).+-et(-\d+)?$"),
+    ("xrp_hourly", r"^xrp-up-or-down-(?!on-)(?!.*candle).+-et(-\d+)?$"),
+    ("bitcoin_daily", r"^bitcoin-up-or-down-on-[a-z]+-\d+(-[a-z]+)?(-\d+)?$"),
+    ("ethereum_daily", r"^ethereum-up-or-down-on-[a-z]+-\d+(-[a-z]+)?(-\d+)?$"),
+    ("solana_daily", r"^solana-up-or-down-on-[a-z]+-\d+(-[a-z]+)?(-\d+)?$"),
+    ("xrp_daily", r"^xrp-up-or-down-on-[a-z]+-\d+(-[a-z]+)?(-\d+)?$"),
+    ("bitcoin_hourly_candle", r"^bitcoin-up-or-down-.*-candle$"),
+    ("ethereum_hourly_candle", r"^ethereum-up-or-down-.*-candle$"),
     ("bitcoin_dominance", r"^bitcoin-dominance-.*$"),
     ("ethbtc", r"^ethbtc-.*$"),
     ("soleth", r"^soleth-.*$"),
-    *[
-        (f"{name}_aggregated", rf"^{name}-up-or-down-(in-|this-).*$")
-        for name in ("bitcoin", "ethereum", "solana", "xrp")
-    ],
+    ("bitcoin_aggregated", r"^bitcoin-up-or-down-(in-|this-).*$"),
+    ("ethereum_aggregated", r"^ethereum-up-or-down-(in-|this-).*$"),
+    ("solana_aggregated", r"^solana-up-or-down-(in-|this-).*$"),
+    ("xrp_aggregated", r"^xrp-up-or-down-(in-|this-).*$"),
 ]
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark.operators import intervals
 from tidemark.operators.aggregates import attach
 from tidemark.operators.series import ROWS_PER_TASK, Running, Series, lag, lead
+from tidemark.session import cut_lineage
 
 
 def _epochs(changes: DataFrame, rows_per_task: int) -> Series:
@@ -51,7 +52,7 @@ def replay(changes: DataFrame, rows_per_task: int = ROWS_PER_TASK, top: int = in
     Counts and volumes are running sums of what each event adds and takes within its epoch. Best prices come from the
     intervals in which levels are alive, so no levels are carried along and an asset of any length is shared out.
     """
-    lives = level_lives(changes, rows_per_task)
+    lives = cut_lineage(level_lives(changes, rows_per_task))  # read three times
     size, before = F.greatest("size", F.lit(0.0)), F.col("_before")
     sums = {}
     for side, name in (("BUY", "bid"), ("SELL", "ask")):

@@ -62,7 +62,8 @@ class Moments:
         d = len(self.mean) - 1
         weights = np.zeros(d)
         variance = np.diag(self.cross) / max(self.n, 1)
-        kept = [i for i in kept if variance[i] > 0]
+        # rounding leaves a constant a spread of about 1e-16 of its size
+        kept = [i for i in kept if variance[i] > 1e-24 * self.mean[i] ** 2]
         if kept and variance[d] > 0:
             spread, label = np.sqrt(variance[kept]), np.sqrt(variance[d])
             inner = self.cross[np.ix_(kept, kept)] / self.n / np.outer(spread, spread)

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tidemark.operators import grid
+from tidemark.operators import grid, quality
 from tidemark.sources import files
 
 
@@ -38,3 +38,10 @@ def test_append_does_not_shuffle_rows_by_folder(spark, tmp_path, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert "BroadcastHashJoin" in plans[1] and "SortMergeJoin" not in plans[1]
     assert files.read_table(spark, str(tmp_path / "table")).count() == 100
+
+
+def test_key_overlaps_are_exact_beyond_the_sketch(spark):
+    keys = {"l": (spark.range(0, 200_000), "id"), "r": (spark.range(100_000, 300_000), "id"), "n": (spark.range(0), "id")}
+    got = {(r["left_key"], r["right_key"]): tuple(r)[2:] for r in quality.key_overlaps(keys, 12).collect()}
+    assert len(got) == 6 and got["l", "r"] == (200_000, 200_000, 100_000, 0.5)
+    assert got["l", "n"] == (200_000, 0, 0, 0.0) and got["n", "l"] == (0, 200_000, 0, None)

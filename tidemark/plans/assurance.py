@@ -338,7 +338,7 @@ KEY_COLUMNS = {"l_orderkey": "lineitem", "o_orderkey": "orders", "o_custkey": "o
     SELECT l.name AS left_key, r.name AS right_key, l.n AS left_keys, r.n AS right_keys, coalesce(both_, 0) AS matched, round(coalesce(both_, 0)::DOUBLE / l.n, 8) AS match_rate FROM n l JOIN n r ON l.name <> r.name LEFT JOIN b ON lname = l.name AND rname = r.name""",
 )
 def key_overlaps(spark, sf):
-    """All ordered pairs of ten key columns, each column read once; exact up to 262,144 distinct keys."""
+    """All ordered pairs of ten key columns, from sketches up to 262,144 distinct keys, from the distinct keys beyond; always exact."""
     out = q.key_overlaps({c: (table(spark, sf, t, c), c) for c, t in KEY_COLUMNS.items()}, lg_entries=18)
     return rounded(out, 8)
 

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from contextlib import contextmanager
+from contextlib import ExitStack, contextmanager
 from functools import reduce
+from itertools import pairwise
 
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import Bucketizer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -23,6 +26,10 @@ from tidemark.operators.evaluate import LOG_CLIP
 from tidemark.operators.series import ROWS_PER_TASK, Running, Series
 
 SEED = 42
+BINS = 32  # of a feature: as many as Spark's trees tell apart
+PARTS = 4  # of the rows of equal bins, so that a tree's share of the rows is not one of whole cells
+GROUPS_PER_TASK = 50_000
+RANKS = 10_000  # places asked of a feature's order, as many as the rows that Spark's trees take their thresholds from
 
 
 # -- preparation -------------------------------------------------------------------------------------
@@ -138,12 +145,57 @@ def ridge_search(df: DataFrame, day: str, folds: Sequence[tuple], features: Sequ
     return fits.groupBy(*([by] if by else []), "penalty").agg(F.count("mse").alias("folds"), F.avg("mse").alias("mean_mse"))
 
 
-def boosted(train: DataFrame, features: Sequence[str], label: str = "residual", trees: int = 10, depth: int = 3) -> PipelineModel:
+def thresholds(values: Sequence[float], bins: int = BINS) -> list[float]:
+    """At most ``bins`` - 1 cuts between the distinct ones of ordered values: all of them if that is enough, otherwise
+    cuts with about equally many values between them; a value that is more than its share stays alone."""
+    counts = sorted(Counter(values).items())
+    cuts, start, below = [], 0, 0
+    for (value, n), (following, m) in pairwise(counts):
+        below += n
+        if len(counts) <= bins or (len(cuts) < bins - 1 and below - start + m / 2 > (len(values) - start) / (bins - len(cuts))):
+            middle = (value + following) / 2
+            cuts.append(middle if middle > value else following)
+            start = below
+    return cuts
+
+
+def bucketed(train: DataFrame, features: Sequence[str]) -> Bucketizer:
+    """The bin of every feature, from the order of all training rows."""
+    orders = train.approxQuantile(list(features), [i / RANKS for i in range(RANKS + 1)], 1 / RANKS)
+    # a constant feature has one bin above its value
+    splits = [[-math.inf, *(thresholds(values) or values[:1] or [0.0]), math.inf] for values in orders]
+    return Bucketizer(splitsArray=splits, inputCols=list(features), outputCols=[f"_bin_{f}" for f in features])
+
+
+def part_of(df: DataFrame) -> Column:
+    return F.pmod(F.xxhash64(*df.columns), F.lit(PARTS))
+
+
+def grouped(rows: DataFrame, bins: Bucketizer, label: str, part: Column) -> DataFrame:
+    """Rows of equal bins as one: their mean label, number and variance.
+
+    To trees that split by these bins on squared errors the group is its rows: what varies inside it no split removes.
+    There are at most ``BINS ** features * PARTS`` groups, however many rows.
+    """
+    # a sum drops the note that the bins are categories: their order counts
+    keys = [(F.col(b) + 0.0).alias(b) for b in bins.getOutputCols()]
+    return bins.transform(rows).groupBy(*keys, part.alias("_part")).agg(
+        F.avg(label).alias(label), F.count(F.lit(1)).cast("double").alias("_weight"), F.var_pop(label).alias("_var"))
+
+
+def boosted_groups(groups: DataFrame, bins: Bucketizer, label: str, trees: int, depth: int) -> PipelineModel:
     stages = [
-        VectorAssembler(inputCols=list(features), outputCol="features"),
-        GBTRegressor(labelCol=label, maxIter=trees, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, seed=SEED, cacheNodeIds=True),
+        VectorAssembler(inputCols=bins.getOutputCols(), outputCol="features"),
+        GBTRegressor(labelCol=label, weightCol="_weight", maxIter=trees, maxDepth=depth, maxBins=BINS, stepSize=0.1, subsamplingRate=0.8, seed=SEED, cacheNodeIds=True),
     ]
-    return Pipeline(stages=stages).fit(train)
+    return PipelineModel(stages=[bins, *Pipeline(stages=stages).fit(groups).stages])
+
+
+def boosted(train: DataFrame, features: Sequence[str], label: str = "residual", trees: int = 10, depth: int = 3) -> PipelineModel:
+    """Boosted trees.  The rows are read twice, for the bins and for the groups; all trees grow on the groups."""
+    bins = bucketed(train, features)
+    with kept_groups(grouped(train, bins, label, part_of(train))) as groups:
+        return boosted_groups(groups, bins, label, trees, depth)
 
 
 def concurrently(spark: SparkSession, jobs: Mapping[str, Callable[[], object]], threads: int = 8) -> dict[str, object]:
@@ -173,6 +225,13 @@ def concurrently(spark: SparkSession, jobs: Mapping[str, Callable[[], object]],
     return done
 
 
+@contextmanager
+def kept_groups(groups: DataFrame) -> Iterator[DataFrame]:
+    """Groups held for several fits, in as few partitions as their number asks for: a fit runs hundreds of short stages."""
+    with kept(groups) as held:
+        yield held.coalesce(math.ceil(max(held.count(), 1) / GROUPS_PER_TASK))
+
+
 @contextmanager
 def kept(df: DataFrame) -> Iterator[DataFrame]:
     """Rows computed once and held in memory and on disk for several fits."""
@@ -223,21 +282,35 @@ def mse(df: DataFrame, label: str = "residual") -> float:
     return df.agg(F.avg((F.col(label) - F.col("prediction")) * (F.col(label) - F.col("prediction")))).first()[0]
 
 
-def search(df: DataFrame, day: str, folds: Sequence[tuple], grid: Sequence[Mapping], fit, label: str = "residual") -> DataFrame:
-    """Mean validation error of every parameter set over time folds: (train_end, val_start, val_end).
+def search(df: DataFrame, day: str, folds: Sequence[tuple], grid: Sequence[Mapping], features: Sequence[str], label: str = "residual") -> DataFrame:
+    """Mean validation error of boosted trees with every number of ``trees`` and ``depth`` over time folds: (train_end,
+    val_start, val_end).
 
-    The fits of all sets and folds run side by side over rows that are read once.
+    The first trees of a long boosting are a short one, so there is one fit per depth and fold, and its error is taken
+    after every tree. A fold's rows are grouped once for all its fits, which run side by side.
     """
-    with kept(df) as rows:
-        def error(params, fold):
+    longest = {depth: max(p["trees"] for p in grid if p["depth"] == depth) for depth in {p["depth"] for p in grid}}
+    spark = df.sparkSession
+    with kept(df.select(day, *features, label, part_of(df).alias("_rows"))) as rows, ExitStack() as held:
+        def prepare(fold):
             train_end, val_start, val_end = fold
-            model = fit(rows.where(F.col(day) <= F.lit(train_end)), **params)
-            return mse(model.transform(rows.where(F.col(day).between(F.lit(val_start), F.lit(val_end)))), label)
-
-        jobs = {f"{i}-{j}": (lambda p=params, f=fold: error(p, f)) for i, params in enumerate(grid) for j, fold in enumerate(folds)}
-        errors = concurrently(df.sparkSession, jobs)
-    means = [(str(dict(params)), len(folds), float(sum(errors[f"{i}-{j}"] for j in range(len(folds))) / len(folds))) for i, params in enumerate(grid)]
-    return df.sparkSession.createDataFrame(means, "params string, folds int, mean_mse double")
+            train, val = rows.where(F.col(day) <= F.lit(train_end)), rows.where(F.col(day).between(F.lit(val_start), F.lit(val_end)))
+            bins = bucketed(train, features)
+            train, val = (held.enter_context(kept_groups(grouped(part, bins, label, F.col("_rows")))) for part in (train, val))
+            # what a group's one prediction leaves open in any case
+            inside = val.agg(F.sum(F.col("_weight") * F.col("_var")) / F.sum("_weight")).first()[0]
+            return bins, train, val, inside
+
+        def errors(fold, depth):
+            bins, train, val, inside = fold
+            *_, assembler, model = boosted_groups(train, bins, label, longest[depth], depth).stages
+            return [float(e + inside) for e in model.evaluateEachIteration(assembler.transform(val), "squared")]
+
+        ready = concurrently(spark, {str(j): (lambda f=fold: prepare(f)) for j, fold in enumerate(folds)})
+        jobs = {f"{depth}-{j}": (lambda d=depth, f=fold: errors(f, d)) for depth in sorted(longest, reverse=True) for j, fold in ready.items()}
+        after = concurrently(spark, jobs)
+    means = [(str(dict(p)), len(folds), sum(after[f"{p['depth']}-{j}"][p["trees"] - 1] for j in ready) / len(folds)) for p in grid]
+    return spark.createDataFrame(means, "params string, folds int, mean_mse double")
 
 
 def importances(spark: SparkSession, models: Mapping[str, PipelineModel], features: Sequence[str]) -> DataFrame:

@@ -194,7 +194,7 @@ SEARCH_GRID = [{"trees": trees, "depth": depth} for trees in (5, 10, 20) for dep
 @query("k12_parameter_search")
 def search(spark, sf):
     df = training(spark, sf)
-    return learn.search(df, "day", cv_folds(df), SEARCH_GRID, lambda d, trees, depth: learn.boosted(d, FEATURES, trees=trees, depth=depth))
+    return learn.search(df, "day", cv_folds(df), SEARCH_GRID, FEATURES)
 
 
 @query("k13_feature_importance")
